@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from arborspark.llm.exact_dedup import op9_exact_dedup
+from arborspark.llm.packing import op5_packing
 from arborspark.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op5_packing": op5_packing,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": """
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS body FROM documents
+        ), r AS (
+            SELECT doc_id, sha256(body) AS text_sha256,
+                   first_value(doc_id) OVER (PARTITION BY body ORDER BY length(raw) DESC, doc_id) AS keep_id,
+                   count(*) OVER (PARTITION BY body) AS group_size
+            FROM t
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r""",
+}
