@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from arborspark.llm.decontaminate import op6_decontamination
 from arborspark.llm.exact_dedup import op9_exact_dedup
 from arborspark.llm.near_dedup import op10_near_dedup
 from arborspark.llm.packing import op5_packing
@@ -10,6 +11,7 @@ from arborspark.llm.token_counts import op1_token_counts
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
