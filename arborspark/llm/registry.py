@@ -6,10 +6,12 @@ from arborspark.llm.decontaminate import op6_decontamination
 from arborspark.llm.exact_dedup import op9_exact_dedup
 from arborspark.llm.near_dedup import op10_near_dedup
 from arborspark.llm.packing import op5_packing
+from arborspark.llm.quality import op2_quality
 from arborspark.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality": op2_quality,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
