@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from arborspark.llm.decontaminate import op6_decontamination
 from arborspark.llm.exact_dedup import op9_exact_dedup
+from arborspark.llm.language import op3_language
 from arborspark.llm.near_dedup import op10_near_dedup
 from arborspark.llm.packing import op5_packing
 from arborspark.llm.quality import op2_quality
@@ -12,6 +13,7 @@ from arborspark.llm.token_counts import op1_token_counts
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
+    "op3_language": op3_language,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
