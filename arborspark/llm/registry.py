@@ -8,6 +8,7 @@ from arborspark.llm.language import op3_language
 from arborspark.llm.near_dedup import op10_near_dedup
 from arborspark.llm.packing import op5_packing
 from arborspark.llm.quality import op2_quality
+from arborspark.llm.substrings import op7_substring_dedup
 from arborspark.llm.token_counts import op1_token_counts
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
