@@ -3,7 +3,9 @@
 Every run of SPAN consecutive sentences is hashed; runs with equal hashes anywhere in the
 corpus are the same passage, and the sentences of all its occurrences but the first, by
 doc_id and place, are removed. A sentence ends at a mark or line break, commas included, so
-that a passage put into another sentence still has whole sentences inside.
+that a passage put into another sentence still has whole sentences inside; one of more than
+LONG words is cut further, after words that their hash picks. A run of short sentences goes on
+until it has MIN_WORDS.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from arborspark.llm.store import documents, materialise
 from arborspark.llm.textops import BASE, IS_WHITE, LOWER, chunks, mix, powers, prefix_hashes, range_hash, word_spans
 
 SPAN = 3  #: consecutive sentences of a span
-MIN_WORDS = 10  #: a span of fewer words is no passage
+MIN_WORDS = 10  #: words of a span at least
+LONG = 20  #: words of a sentence at most, about; beyond, every eighth word or so and every repeat of one ends it
 _MARK = np.zeros(256, bool)
-_MARK[list(b".!?;:,")] = True
+_MARK[list(b".!?;:,|#$%&*")] = True
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -36,20 +39,28 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     begins[1:] = seen[starts[1:]] > seen[ends[:-1]]
     begins[first[:-1][first[:-1] < len(starts)]] = True
     at = np.flatnonzero(begins)
+    size = np.diff(np.append(at, len(starts)))
+    long = np.repeat(size > LONG, size)
+    begins[1:] |= long[:-1] & ((words[:-1] & np.uint64(7) == 0) | (words[1:] == words[:-1]))
+    at = np.flatnonzero(begins)
     return starts[at], np.append(at, len(starts)), np.searchsorted(at, first), words
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, n: int, min_words: int) -> tuple[np.ndarray, ...]:
-    """Row, number of the first sentence and two hashes of every span of n sentences in one text."""
-    _, at, first, words = sentences(data, offsets)
+def span_ends(at: np.ndarray, first: np.ndarray, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text of each sentence, and the sentence after the span that begins there: n sentences on,
+    or as many as min_words take. Beyond the text's last sentence: there is no span."""
     count = np.diff(first)
     row = np.repeat(np.arange(len(count)), count)
+    return row, np.maximum(np.arange(len(row)) + n, np.searchsorted(at, at[:-1] + min_words, "left"))
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, n: int, min_words: int) -> tuple[np.ndarray, ...]:
+    """Row, number of the first sentence and two hashes of every span in one text."""
+    _, at, first, words = sentences(data, offsets)
+    row, after = span_ends(at, first, n, min_words)
+    lo = np.flatnonzero(after <= first[row + 1])
+    begin, end = at[lo], at[after[lo]]
     number = np.arange(len(row)) - first[row]
-    ok = number + n <= count[row]
-    lo = np.flatnonzero(ok)
-    begin, end = at[lo], at[lo + n]
-    enough = end - begin >= min_words
-    lo, begin, end = lo[enough], begin[enough], end[enough]
     hashes = []
     for seed in (0, 1):
         p = np.zeros(len(words) + 1, np.uint64)
@@ -85,13 +96,14 @@ def substring_dedup(docs: DataFrame, n: int = SPAN, min_words: int = MIN_WORDS,
         for b in batches:
             out = []
             for i, j, data, offsets in chunks(b.column(1)):
-                begin, _, first, _ = sentences(data, offsets)
+                begin, words_at, first, _ = sentences(data, offsets)
+                _, after = span_ends(words_at, first, n, min_words)
                 for r, gone in zip(range(j - i), b.column(2)[i:j].to_pylist()):
                     at = begin[first[r] : first[r + 1]]
                     lo, hi = offsets[r], offsets[r + 1]
                     drop = np.zeros(len(at), bool)
                     for g in gone or ():
-                        drop[g : g + n] = True
+                        drop[g : after[first[r] + g] - first[r]] = True
                     keep = np.ones(hi - lo, bool)
                     ends = np.append(at[1:], hi)
                     for s, e in zip(at[drop], ends[drop]):
