@@ -153,7 +153,7 @@ def pack(
     open in a partition, `merge` how many partitions' last windows one task merges.
     """
     path, tail = public_tokenizers.path(tokenizer), end_id.to_bytes(4, "little")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
 
@@ -163,7 +163,7 @@ def pack(
             out = out or Rows(b.schema.field(0).type)
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in by_bytes(texts):
-                for doc, ids in zip(names[i:j], c.id_bytes([t or "" for t in texts[i:j]])):
+                for doc, ids in zip(names[i:j], c.id_bytes([t or b"" for t in texts[i:j]])):
                     ids += tail
                     for w in packer.put((doc, 0, ids, len(ids) // 4)):
                         out.add(w, part << 32 | seq, part)

@@ -28,14 +28,14 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
             texts = b.column(1).to_pylist()
             n = []
             for i, j in by_bytes(texts):
-                part = [t or "" for t in texts[i:j]]
+                part = [t or b"" for t in texts[i:j]]
                 if len(part) == 1 and c.splits:
                     n.append(sum(c.count([p])[0] for p in safe_pieces(part[0])))
                 else:
                     n += c.count(part)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(lengths, f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

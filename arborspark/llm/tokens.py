@@ -1,18 +1,30 @@
 """Tokenizers inside Arrow functions.
 
-Texts are cut at white space into units, the units of a batch are made distinct, and only
-units not seen before go to the library, in batches of bounded bytes. That is exact for
-tokenizers that drop white space (checked on load); for others whole texts are encoded.
+Texts are cut into units whose encodings, put together, are the text's encoding; the units of
+a batch are made distinct, and only units not seen before go to the library, in batches of
+bounded bytes. Units end at white space, which is exact for tokenizers that drop it (tried on
+load); for others whole texts are encoded.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 
-UNIT_CACHE = 400_000  #: entries a Python worker keeps; then it starts afresh
+import numpy as np
+
+UNIT_CACHE = 600_000  #: entries a Python worker keeps; then it starts afresh
 BATCH_BYTES = 1 << 20  #: text handed to the library at once
-_WHITE = str.maketrans("\t\n\x0b\x0c\r", "     ")
+JOINED = 500  #: plain words encoded as one text
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"  #: a to z and the letters from U+00C0 to U+00FF
+_PLAIN = re.compile(_LETTER + rb"+")
+#: Marks after a letter or digit stand apart; no apostrophe, which may begin a contraction.
+_MARKS = re.compile(rb"(" + _LETTER + rb"|[0-9])([.,;:!?#$%&*|)]+)(?=\s|$)")
+#: A-Z can't be lowered early where a combining mark follows (lead bytes of U+0300 to U+037F)
+#: or where it could make a special string.
+_DELICATE = (b"\xcc", b"\xcd", b"<|")
 _codecs: dict[str, "Codec"] = {}
 
 
@@ -21,12 +33,12 @@ class Codec:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.splits, self.ends = False, None
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.encode = lambda texts: model.encode(texts, num_threads=1)
-            self.splits = False
         else:
             from tokenizers import Tokenizer
 
@@ -34,43 +46,63 @@ class Codec:
             tok.no_padding()
             tok.no_truncation()
             self.encode = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-            a, b, both, white = self.encode(["ab", "Cd.", " \nab \t\n Cd.\r\n", " \n\t\x0b\x0c\r "])
-            self.splits = both == a + b and not white
-        self.lengths: dict[str, int] = {"": 0}
-        self.bytes: dict[str, bytes] = {"": b""}
-
-    def units(self, text: str) -> list[str]:
+            a, b, lower, mark, both, white = self.encode(["Ab", "Cde3", "ab cde3", "?!", " \nAb \t\n Cde3?!\r\n", " \n\t\x0b\x0c\r "])
+            self.splits = both == a + b + mark and lower == a + b and not white
+            suffix = getattr(tok.model, "end_of_word_suffix", None)
+            if self.splits and suffix:
+                self.ends = np.zeros(tok.get_vocab_size(), bool)
+                self.ends[[i for word, i in tok.get_vocab().items() if word.endswith(suffix)]] = True
+        self.lengths: dict[bytes, int] = {b"": 0}
+        self.bytes: dict[bytes, bytes] = {b"": b""}
+
+    def units(self, text: bytes) -> list[bytes]:
         """Pieces whose encodings, put together, are the text's encoding."""
-        return text.translate(_WHITE).split(" ") if self.splits else [text]
-
-    def learn(self, units: Iterable[str], known: dict, make) -> None:
-        """Encode the units that `known` lacks, in batches of BATCH_BYTES."""
-        batch, size = [], 0
-        for u in units - known.keys():
-            batch.append(u)
+        if not self.splits:
+            return [text]
+        if any(x in text for x in _DELICATE):
+            return text.split()
+        return _MARKS.sub(rb"\1 \2", text.translate(_LOWER)).split()
+
+    def fresh(self, units: Iterable[bytes]) -> Iterator[tuple[list[bytes], list]]:
+        """Units with their ids, in batches. Plain words are encoded many to a text, which is
+        cut again after each id that ends a word."""
+        plain, other, size = [], [], 0
+        for u in units:
+            if self.ends is not None and _PLAIN.fullmatch(u):
+                plain.append(u)
+            else:
+                other.append(u)
             size += len(u)
             if size >= BATCH_BYTES:
-                known.update(zip(batch, map(make, self.encode(batch))))
-                batch, size = [], 0
-        if batch:
-            known.update(zip(batch, map(make, self.encode(batch))))
-
-    def _of(self, texts: list[str], known: dict, make) -> list[list]:
+                yield from self._encoded(plain, other)
+                plain, other, size = [], [], 0
+        yield from self._encoded(plain, other)
+
+    def _encoded(self, plain: list[bytes], other: list[bytes]) -> Iterator[tuple[list[bytes], list]]:
+        if other:
+            yield other, self.encode([u.decode() for u in other])
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for g, ids in zip(groups, self.encode([b" ".join(g).decode() for g in groups])):
+            ids = np.asarray(ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(g):
+                raise ValueError("a word's last id does not end it")
+            yield g, np.split(ids, cut[:-1])
+
+    def _of(self, texts: list[bytes], known: dict, make) -> list[list]:
         cut = [self.units(t) for t in texts]
         if len(known) > UNIT_CACHE:
             known.clear()
-            known[""] = make([])
-        self.learn(set().union(*cut), known, make)
+        for units, ids in self.fresh(u for u in set().union(*cut) if u not in known):
+            known.update(zip(units, map(make, ids)))
         get = known.__getitem__
         return [list(map(get, u)) for u in cut]
 
-    def count(self, texts: list[str]) -> list[int]:
+    def count(self, texts: list[bytes]) -> list[int]:
         return [sum(x) for x in self._of(texts, self.lengths, len)]
 
-    def id_bytes(self, texts: list[str]) -> list[bytes]:
+    def id_bytes(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids."""
-        import numpy as np
-
         return [b"".join(x) for x in self._of(texts, self.bytes, lambda ids: np.asarray(ids, "<u4").tobytes())]
 
 
@@ -80,11 +112,11 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def by_bytes(texts: list[str | None], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about `limit` characters each; a longer text stands alone."""
+def by_bytes(texts: list[bytes | None], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `limit` bytes each; a longer text stands alone."""
     start = size = 0
     for i, t in enumerate(texts):
-        n = len(t or "")
+        n = len(t or b"")
         if i > start and size + n > limit:
             yield start, i
             start, size = i, 0
@@ -93,13 +125,13 @@ def by_bytes(texts: list[str | None], limit: int = BATCH_BYTES) -> Iterator[tupl
         yield start, len(texts)
 
 
-def safe_pieces(text: str, limit: int = BATCH_BYTES) -> Iterator[str]:
+def safe_pieces(text: bytes, limit: int = BATCH_BYTES) -> Iterator[bytes]:
     """A long text in pieces cut before white space, where the tokenizer cuts as well."""
     start = 0
     while len(text) - start > limit:
-        end = max(text.rfind(c, start + 1, start + limit) for c in " \n\t\r")
+        end = max(text.rfind(c, start + 1, start + limit) for c in (b" ", b"\n", b"\t", b"\r"))
         if end <= start:
-            ends = [e for e in (text.find(c, start + limit) for c in " \n\t\r") if e > 0]
+            ends = [e for e in (text.find(c, start + limit) for c in (b" ", b"\n", b"\t", b"\r")) if e > 0]
             if not ends:
                 break
             end = min(ends)
