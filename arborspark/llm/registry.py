@@ -5,6 +5,7 @@ from __future__ import annotations
 from arborspark.llm.decontaminate import op6_decontamination
 from arborspark.llm.exact_dedup import op9_exact_dedup
 from arborspark.llm.language import op3_language
+from arborspark.llm.licenses import op8_license_scan
 from arborspark.llm.near_dedup import op10_near_dedup
 from arborspark.llm.packing import op5_packing
 from arborspark.llm.quality import op2_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
