@@ -10,12 +10,14 @@ from arborspark.llm.near_dedup import op10_near_dedup
 from arborspark.llm.packing import op5_packing
 from arborspark.llm.quality import op2_quality
 from arborspark.llm.substrings import op7_substring_dedup
+from arborspark.llm.suffixes import op4_suffix_dedup
 from arborspark.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
     "op3_language": op3_language,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
