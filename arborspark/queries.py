@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborspark.functions.encoding import DNA, decode
+from arborspark.functions.numerics import equal_rates
 from arborspark.operators import alignment as A
 from arborspark.operators import frequencies as E
 from arborspark.operators import quartets as Q
 from arborspark.operators import trees as T
+from arborspark.plans.likelihood import categorise, log_likelihood, site_rates
 from arborspark.sources.partitions import misassigned, partitions, site_map
 
 ANY = DNA.undetermined
@@ -298,3 +300,41 @@ ORACLE_SQL = {
     "weighted_mean_rate": f"WITH {_CELLS}, n AS (SELECT site, code, count(*) AS n FROM cells WHERE bit_count(code) = 1 GROUP BY ALL), r AS (SELECT site, 1 - max(n)::DOUBLE / sum(n) AS rate, sum(n) AS weight FROM n GROUP BY site), q AS (SELECT part_id, sum(rate * weight) / sum(weight) AS mean, count(*) AS sites, max(rate) AS most FROM r JOIN parts USING (site) GROUP BY part_id) SELECT part_id, sites, round(mean, 9) AS mean_rate, round(most / mean, 6) AS most_normalised FROM q",
     "quartets_four_point": f"WITH {_CELLS}{_PAIRS}, ds AS (SELECT a, b, CASE WHEN differ::DOUBLE / (same + differ) < 0.75 THEN round(-0.75 * ln(1 - differ::DOUBLE / (same + differ) * 4 / 3), 6) END AS d FROM pairs), {_TAXA}, q AS (SELECT a.taxon_id AS t1, b.taxon_id AS t2, c.taxon_id AS t3, d.taxon_id AS t4 FROM t a JOIN t b ON a.taxon_id < b.taxon_id JOIN t c ON b.taxon_id < c.taxon_id JOIN t d ON c.taxon_id < d.taxon_id), s AS (SELECT t1, t2, t3, t4, unnest([0, 1, 2]) AS topology, unnest([round(p.d + r.d, 6), round(u.d + v.d, 6), round(x.d + y.d, 6)]) AS total FROM q JOIN ds p ON p.a = t1 AND p.b = t2 JOIN ds r ON r.a = t3 AND r.b = t4 JOIN ds u ON u.a = t1 AND u.b = t3 JOIN ds v ON v.a = t2 AND v.b = t4 JOIN ds x ON x.a = t1 AND x.b = t4 JOIN ds y ON y.a = t2 AND y.b = t3), o AS (SELECT *, row_number() OVER (PARTITION BY t1, t2, t3, t4 ORDER BY total NULLS FIRST, topology) AS rn FROM s) SELECT t1, t2, t3, t4, max(CASE WHEN rn = 1 THEN topology END) AS topology, round(max(CASE WHEN rn = 2 THEN total END) - max(CASE WHEN rn = 1 THEN total END), 6) AS support FROM o GROUP BY t1, t2, t3, t4",
 } | {f"model_select_{n}": _criterion(n) for n in ("ml", "aic", "bic", "aicc")}
+
+
+# Queries that SQL can't say, or not in reasonable time; tests hold them against brute force.
+def pattern_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    c = cells(spark, sf_dir)
+    n = taxa(spark, sf_dir).count()
+    return A.pattern_codes(c, found(spark, c), n, ANY), n
+
+
+def caterpillar(n: int, z: float = 0.9) -> list[tuple[int, int, float]]:
+    """The caterpillar over tips 0 to n-1 in order."""
+    inner = list(range(n, 2 * n - 2))
+    edges = [(inner[0], 0, z), (inner[-1], n - 1, z)] + [(inner[i - 1], i, z) for i in range(1, n - 1)]
+    return edges + [(a, b, z) for a, b in zip(inner, inner[1:])]
+
+
+def tree_loglik(spark, sf_dir):
+    """The likelihood of all sites on a caterpillar of all taxa, equal rates, by partition."""
+    table, n = pattern_table(spark, sf_dir)
+    models = {p: equal_rates(4, categories=1) for p in range(4)}
+    return log_likelihood(table, caterpillar(n), models).select("part_id", F.round("lnl", 4).alias("lnl"), "weight")
+
+
+def tree_loglik_gamma(spark, sf_dir):
+    table, n = pattern_table(spark, sf_dir)
+    models = {p: equal_rates(4, alpha=0.5 + p) for p in range(4)}
+    return log_likelihood(table, caterpillar(n), models).select("part_id", F.round("lnl", 4).alias("lnl"), "weight")
+
+
+def rate_categorise(spark, sf_dir):
+    table, n = pattern_table(spark, sf_dir)
+    models = {p: equal_rates(4, categories=1) for p in range(4)}
+    rates = site_rates(table, caterpillar(n), models, [0.05, 0.2, 0.5, 1.0, 2.0, 4.0]).join(table.select("part_id", "pattern_id", "weight"), ["part_id", "pattern_id"])
+    out = categorise(rates, 4)
+    return out.groupBy("part_id", "category").agg(F.count("*").alias("patterns"), F.round(F.first("category_rate"), 6).alias("rate"))
+
+
+QUERIES |= {"tree_loglik": tree_loglik, "tree_loglik_gamma": tree_loglik_gamma, "rate_categorise": rate_categorise}
