@@ -248,3 +248,18 @@ def test_stream(spark, tmp_path):
     query = evaluate_stream(tree_stream(spark, str(tmp_path / "in")), table, models, NAMES, str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_models_are_fitted_and_chosen(spark):
+    from arborspark.plans.models import fit_models, score_models
+
+    table, models = simulated(spark, 150)
+    start = {0: models[0].with_(exchange=(4.0, 0.3, 2.0, 1.0, 0.5, 1.0))}
+    before = log_likelihood(table, TREE, start).first()["lnl"]
+    got = fit_models(table, TREE, start, alpha=False, freqs=True).first()
+    again = {0: start[0].with_(exchange=tuple(got["exchange"]), freqs=tuple(got["freqs"]))}
+    assert got["lnl"] > before and log_likelihood(table, TREE, again).first()["lnl"] == pytest.approx(got["lnl"])
+    skew = equal_rates(4, categories=1).with_(exchange=(9.0, 0.1, 0.1, 0.1, 0.1, 9.0))
+    scored = score_models(table, TREE, {"equal": models[0], "skew": skew}, {0: (0.25, 0.25, 0.25, 0.25)})
+    assert scored.count() == 4
+    assert trees.choose_models(scored, "bic").first()["model"] == "equal"
