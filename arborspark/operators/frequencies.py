@@ -21,7 +21,7 @@ def em_frequencies(weights: DataFrame, states: int, rounds: int = ROUNDS) -> Dat
     index = F.sequence(F.lit(0), F.lit(states - 1))
 
     def allowed(code: Column, s: Column) -> Column:
-        return F.expr("1") * (F.shiftright(code.cast("long"), 0).bitwiseAND(F.pow(F.lit(2.0), s).cast("long")) > 0).cast("double")
+        return (code.cast("long").bitwiseAND(F.pow(F.lit(2.0), s).cast("long")) > 0).cast("double")
 
     def one_round(freqs: Column, _: Column) -> Column:
         def share(s: Column) -> Column:

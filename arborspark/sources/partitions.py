@@ -20,13 +20,12 @@ def parse_partitions(lines: DataFrame) -> DataFrame:
     name, model = F.regexp_extract("value", MODEL, 2), F.upper(F.regexp_extract("value", MODEL, 1))
     rows = rows.select("value", name.alias("name"), model.alias("model"), F.regexp_extract("value", MODEL, 3).alias("ranges"))
     base = F.regexp_replace("model", "^(.*[^FX])[FX]$", "$1")
-    aa = [F.lit(m) for m in AA_MODELS]
     is_plain, is_suffixed = F.col("model").isin(*AA_MODELS), base.isin(*AA_MODELS)
     fixed_only = base.isin("AUTO", "LG4M", "LG4X") & ~is_plain
     kind = F.when(F.col("model").isin("DNA", "DNAX"), "DNA").when(F.col("model").isin("BIN", "BINX"), "BIN").when((is_plain | is_suffixed) & ~fixed_only, "AA")
     mode = F.when(F.col("model").isin("DNA", "BIN"), "empirical").when(F.col("model").endswith("X") & ~is_plain, "optimised").when(F.col("model").endswith("F") & ~is_plain, "empirical").otherwise("model")
     ids = rows.withColumn("part_id", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
-    each = ids.select("part_id", "name", "model", kind.alias("data_type"), mode.alias("freq_mode"), F.explode(F.split("ranges", ",")).alias("r")) if aa else ids
+    each = ids.select("part_id", "name", "model", kind.alias("data_type"), mode.alias("freq_mode"), F.explode(F.split("ranges", ",")).alias("r"))
     number = lambda pattern: F.regexp_extract(F.trim("r"), pattern, 1)
     lo = number(r"^(\d+)").cast("int")
     hi, step = number(r"-\s*(\d+)"), number(r"\\(\d+)$")
