@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborspark.llm.decontaminate import NOT_WORD
@@ -21,6 +21,7 @@ from arborspark.llm.textops import BASE, IS_WHITE, LOWER, chunks, mix, powers, p
 
 SPAN = 3  #: consecutive sentences of a span
 MIN_WORDS = 10  #: words of a span at least
+LAST = 1 << 40  #: number of the span that ends a text
 LONG = 20  #: words of a sentence at most, about; beyond, every eighth word or so and every repeat of one ends it
 _MARK = np.zeros(256, bool)
 _MARK[list(b".!?;:,|#$%&*")] = True
@@ -46,27 +47,33 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts[at], np.append(at, len(starts)), np.searchsorted(at, first), words
 
 
-def span_ends(at: np.ndarray, first: np.ndarray, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text of each sentence, and the sentence after the span that begins there: n sentences on,
-    or as many as min_words take. Beyond the text's last sentence: there is no span."""
+def span_bounds(at: np.ndarray, first: np.ndarray, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Spans as (text, first sentence, sentence after), and where those of ends begin: from each sentence n sentences on, or as many
+    as min_words take, inside its text; and for each text the shortest such span that ends it, if that is another."""
     count = np.diff(first)
     row = np.repeat(np.arange(len(count)), count)
-    return row, np.maximum(np.arange(len(row)) + n, np.searchsorted(at, at[:-1] + min_words, "left"))
+    begin = np.arange(len(row))
+    end = np.maximum(begin + n, np.searchsorted(at, at[:-1] + min_words, "left"))
+    inside = end <= first[row + 1]
+    tail = np.minimum(first[1:] - n, np.searchsorted(at, at[first[1:]] - min_words, "right") - 1)
+    texts = np.flatnonzero(tail >= first[:-1])
+    texts = texts[end[tail[texts]] != first[1:][texts]]
+    return np.concatenate([row[inside], texts]), np.concatenate([begin[inside], tail[texts]]), np.concatenate([end[inside], first[1:][texts]]), int(inside.sum())
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, n: int, min_words: int) -> tuple[np.ndarray, ...]:
-    """Row, number of the first sentence and two hashes of every span in one text."""
+    """Row, first sentence and two hashes of every span. A text's span of its own end has the number LAST."""
     _, at, first, words = sentences(data, offsets)
-    row, after = span_ends(at, first, n, min_words)
-    lo = np.flatnonzero(after <= first[row + 1])
-    begin, end = at[lo], at[after[lo]]
-    number = np.arange(len(row)) - first[row]
+    row, lo, hi, last = span_bounds(at, first, n, min_words)
+    begin, end = at[lo], at[hi]
+    number = lo - first[row]
+    number[last:] = LAST
     hashes = []
     for seed in (0, 1):
         p = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(mix(words + np.uint64(seed)) * powers(len(words))[0][: len(words)], out=p[1:])
         hashes.append(mix(range_hash(p, begin, end) + (end - begin).astype(np.uint64) * np.uint64(BASE)).view(np.int64))
-    return row[lo], number[lo], *hashes
+    return row, number, *hashes
 
 
 def substring_dedup(docs: DataFrame, n: int = SPAN, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,34 +83,54 @@ def substring_dedup(docs: DataFrame, n: int = SPAN, min_words: int = MIN_WORDS,
     one document counts as well. Null and empty texts, and texts of fewer than n sentences, keep
     all they have (kept is empty for null). Rows that share a doc_id count as one document at one
     place, so they don't remove each other; rows with a null doc_id are kept whole and remove
-    nothing. An empty table gives an empty one; other columns are not read.
+    nothing. doc_id is an integer. An empty table gives an empty one; other columns are not read.
+
+    What a batch of documents repeats itself is settled there, so a passage in a third of all rows
+    is shuffled once a batch, not once a row.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def emit(batches):
         for b in batches:
-            for i, _, data, offsets in chunks(b.column(1)):
-                row, number, h0, h1 = spans(data, offsets, n, min_words)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + i)), *(pa.array(x) for x in (number, h0, h1))], names=["doc_id", "number", "h0", "h1"])
-
-    every = rows.where("doc_id is not null").mapInArrow(emit, f"doc_id {kind}, number long, h0 long, h1 long")
-    repeated = every.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = every.join(repeated, ["h0", "h1"]).where(F.struct("doc_id", "number") != F.col("first"))
-    gone = materialise(later.groupBy("doc_id").agg(F.collect_set("number").alias("gone")), "gone")
+            parts = [(*spans(data, offsets, n, min_words), i) for i, _, data, offsets in chunks(b.column(1))]
+            row, number, h0, h1 = (np.concatenate([p[k] + p[4] if k == 0 else p[k] for p in parts]) for k in range(4))
+            doc = b.column(0).to_numpy(zero_copy_only=False)[row]
+            order = np.lexsort((number, doc, h1, h0))
+            doc, number, h0, h1 = doc[order], number[order], h0[order], h1[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (h0[1:] != h0[:-1]) | (h1[1:] != h1[:-1])
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(doc) else order
+            later = (doc != doc[lead]) | (number != number[lead])
+            # a settled span needs no partner: it stands under a key of its own
+            h0 = np.where(later, mix(doc.view(np.uint64)).view(np.int64), h0)
+            h1 = np.where(later, number, h1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, 2 * number + later, h0, h1)], names=["doc_id", "number", "h0", "h1"])
+
+    every = rows.where("doc_id is not null").mapInArrow(emit, "doc_id long, number long, h0 long, h1 long")
+    place = F.struct("doc_id", "number")
+    settled = F.col("number") % 2 != 0
+    first = F.min(F.when(~settled, place)).over(Window.partitionBy("h0", "h1"))
+    later = every.withColumn("first", first).where(settled | (place != F.col("first")))
+    gone = materialise(later.groupBy("doc_id").agg(F.collect_set(F.shiftright("number", 1)).alias("gone")), "gone")
 
     def cut(batches):
         for b in batches:
             out = []
             for i, j, data, offsets in chunks(b.column(1)):
                 begin, words_at, first, _ = sentences(data, offsets)
-                _, after = span_ends(words_at, first, n, min_words)
+                row, lo_, hi_, last = span_bounds(words_at, first, n, min_words)
+                after = dict(zip(lo_[:last].tolist(), hi_[:last].tolist()))
+                tail = dict(zip(row[last:].tolist(), lo_[last:].tolist()))
                 for r, gone in zip(range(j - i), b.column(2)[i:j].to_pylist()):
                     at = begin[first[r] : first[r + 1]]
                     lo, hi = offsets[r], offsets[r + 1]
                     drop = np.zeros(len(at), bool)
                     for g in gone or ():
-                        drop[g : after[first[r] + g] - first[r]] = True
+                        if g == LAST:
+                            drop[tail[r] - first[r] :] = True
+                        else:
+                            drop[g : after[first[r] + g] - first[r]] = True
                     keep = np.ones(hi - lo, bool)
                     ends = np.append(at[1:], hi)
                     for s, e in zip(at[drop], ends[drop]):
