@@ -28,9 +28,10 @@ from arborspark.llm.textops import BASE, chunks, mix, powers, prefix_hashes, ran
 
 WINDOW = 50
 GRAM = 20
-GROUP_BYTES = 8 << 20
-BUCKET_BYTES = 32 << 20  #: of all texts, for each bucket of anchors
-SLICE = 400_000  #: suffixes sorted at once
+GROUP_BYTES = 4 << 20
+PIECE_BYTES = 1 << 19  #: of a group or bucket worked on at once
+BUCKET_BYTES = 16 << 20  #: of all texts, for each bucket of anchors
+SLICE = 100_000  #: suffixes sorted at once
 NOBODY = np.iinfo(np.int64).max
 
 
@@ -52,7 +53,7 @@ class Runs:
     NAMES = ("doc", "start", "end", "back", "mark", "c0", "c1")
 
     def __init__(self, texts: pa.Array):
-        parts = [self._of(i, data, offsets) for i, _, data, offsets in chunks(texts)]
+        parts = [self._of(i, data, offsets) for i, _, data, offsets in chunks(texts, PIECE_BYTES)]
         for k, name in enumerate(self.NAMES):
             setattr(self, name, np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint64 if k > 3 else np.int64))
 
@@ -189,7 +190,7 @@ def send_contents(buckets: int):
             at = s.sample[k]
             size = r.end[at] - r.start[at] + WINDOW - 1
             begin = offsets[r.doc[at]] + r.start[at]
-            body = data[np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+            body = data[np.repeat(begin, size) + ranges(size)]
             out.append((b, grp, 2, pack(body, size, r.back[at].astype(np.uint8), s.least[k])))
         return mail(out)
 
@@ -250,26 +251,76 @@ class Suffixes:
         return at
 
 
+def ranges(size: np.ndarray) -> np.ndarray:
+    """0 to n-1 for each n of size, one after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def pieces(size: np.ndarray, limit: int):
+    """Ranges of items whose sizes add up to about limit; a larger item stands alone."""
+    load, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + limit, "right")))
+        yield i, j
+        i = j
+
+
+def content_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each content's anchor, and of the content with the anchor's place in it."""
+    mark, whole = np.empty(len(size), np.uint64), np.empty(len(size), np.uint64)
+    for i, j in pieces(size, PIECE_BYTES):
+        lo, n = start[i], size[i:j]
+        p, at = prefix_hashes(data[lo : start[j - 1] + size[j - 1]]), start[i:j] - lo
+        mark[i:j] = range_hash(p, at + back[i:j], at + back[i:j] + GRAM)
+        whole[i:j] = mix(range_hash(p, at, at + n) + n.astype(np.uint64) * np.uint64(BASE)) ^ mix(back[i:j].astype(np.uint64))
+    return mark, whole
+
+
+def equal_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Is data[x:x+n] the same as data[y:y+n], byte by byte? n > 0."""
+    out = np.empty(len(n), bool)
+    for i, j in pieces(n, PIECE_BYTES):
+        step = ranges(n[i:j])
+        same = data[np.repeat(x[i:j], n[i:j]) + step] == data[np.repeat(y[i:j], n[i:j]) + step]
+        out[i:j] = np.logical_and.reduceat(same, np.cumsum(n[i:j]) - n[i:j])
+    return out
+
+
+def string_classes(data: np.ndarray, start: np.ndarray, windows: np.ndarray, back: np.ndarray, family: np.ndarray) -> np.ndarray:
+    """Numbers of the strings of some contents, content by content: equal strings of one family have
+    equal numbers. The strings of a family that have their anchor at the same place are sorted as
+    suffixes; neighbours of the order that share WINDOW bytes are equal."""
+    size = windows + WINDOW - 1
+    own = data[np.repeat(start, size) + ranges(size)]
+    begin, inner = np.cumsum(size) - size, ranges(windows)
+    at = np.repeat(begin, windows) + inner
+    group = np.repeat(family, windows) * WINDOW + np.repeat(back, windows) - inner
+    order = np.argsort(group, kind="stable")
+    group, s = group[order], Suffixes(own)
+    found = s.sort(at[order], group)
+    x, y = found[:-1], found[1:]
+    equal = (group[1:] == group[:-1]) & (s.common(x, y) >= WINDOW)
+    k = np.flatnonzero(equal)
+    equal[k] = equal_bytes(own, x[k], y[k], np.full(len(k), WINDOW))
+    number = np.empty(len(own), np.int64)
+    number[found] = np.cumsum(np.append(True, ~equal)) - 1
+    return number[at]
+
+
 def answer_contents(table: pa.Table) -> pa.Table:
     """For each content, runs of its strings with the least doc_id that has them."""
     table = table.sort_by("grp")
     letters = [unpack(b, np.uint8, np.int64, np.uint8, np.int64) for b in table.column("body").to_pylist()]
     many = [len(x[1]) for x in letters]
     data, size, back, least = (np.concatenate(c) for c in zip(*letters))
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    p = prefix_hashes(data)
-    mark = range_hash(p, start + back, start + back + GRAM)
-    whole = mix(range_hash(p, start, start + size) + size.astype(np.uint64) * np.uint64(BASE)) ^ mix(back.astype(np.uint64))
+    back, start = back.astype(np.int64), np.cumsum(size) - size
+    mark, whole = content_hashes(data, start, size, back)
     # equal contents become one; bytes decide whether they are equal
     order = np.lexsort((start, whole, mark))
     a, b = order[:-1], order[1:]
     same = (mark[a] == mark[b]) & (whole[a] == whole[b]) & (size[a] == size[b]) & (back[a] == back[b])
     k = np.flatnonzero(same)
-    n, x, y = size[a[k]], start[a[k]], start[b[k]]
-    step = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(k) else np.zeros(0, np.int64)
-    if len(k):
-        equal = data[np.repeat(x, n) + step] == data[np.repeat(y, n) + step]
-        same[k] = np.logical_and.reduceat(equal, np.concatenate([[0], np.cumsum(n)[:-1]]))
+    same[k] = equal_bytes(data, start[a[k]], start[b[k]], size[a[k]])
     new = np.append(True, ~same)
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
@@ -278,40 +329,26 @@ def answer_contents(table: pa.Table) -> pa.Table:
     np.minimum.at(doc, kind, least)
 
     windows = size[own] - WINDOW + 1
-    begin = np.concatenate([[0], np.cumsum(windows)[:-1]])
+    begin = np.cumsum(windows) - windows
     result = np.repeat(doc, windows)
-    marks = mark[own]
-    family = np.cumsum(np.append(True, marks[1:] != marks[:-1])) - 1
-    several = np.flatnonzero(np.bincount(family)[family] > 1)
-    s = Suffixes(data)
-    cuts = np.flatnonzero(np.append(True, family[several][1:] != family[several][:-1])) if len(several) else np.zeros(0, np.int64)
-    load = np.cumsum(windows[several])
-    i = 0
-    while i < len(several):
-        limit = np.searchsorted(load, (load[i - 1] if i else 0) + SLICE, "right")
-        nxt = cuts[np.searchsorted(cuts, max(limit, i + 1), "left")] if len(cuts) and max(limit, i + 1) <= cuts[-1] else len(several)
-        own_slice = several[i:nxt]
-        w = windows[own_slice]
-        inner = np.arange(w.sum()) - np.repeat(np.concatenate([[0], np.cumsum(w)[:-1]]), w)
-        at = np.repeat(start[own[own_slice]], w) + inner
-        slot = np.repeat(begin[own_slice], w) + inner
-        group = np.repeat(family[own_slice], w) * WINDOW + np.repeat(back[own[own_slice]].astype(np.int64), w) - inner
-        order = np.argsort(group, kind="stable")
-        group, found = group[order], s.sort(at[order], group[order])
-        to = dict_take(at, slot, found)
-        x, y = found[:-1], found[1:]
-        equal = (group[1:] == group[:-1]) & (s.common(x, y) >= WINDOW)
-        k = np.flatnonzero(equal)
-        equal[k] = (data[x[k][:, None] + np.arange(WINDOW)] == data[y[k][:, None] + np.arange(WINDOW)]).all(axis=1)
-        first = np.flatnonzero(np.append(True, ~equal))
-        result[to] = np.repeat(np.minimum.reduceat(result[to], first), np.diff(np.append(first, len(to))))
-        i = nxt
+    family = np.cumsum(np.append(True, mark[own][1:] != mark[own][:-1])) - 1
+    members = np.bincount(family)
+    several = np.flatnonzero(members > 1)
+    first = np.cumsum(members) - members
+    strings = np.add.reduceat(windows, first)[several] if len(several) else several
+    for i, j in pieces(strings, SLICE):
+        rows = np.repeat(first[several[i:j]], members[several[i:j]]) + ranges(members[several[i:j]])
+        number = string_classes(data, start[own[rows]], windows[rows], back[own[rows]], family[rows])
+        slot = np.repeat(begin[rows], windows[rows]) + ranges(windows[rows])
+        best = np.full(number.max() + 1, NOBODY)
+        np.minimum.at(best, number, result[slot])
+        result[slot] = best[number]
 
     out, at = [], 0
     for bucket, grp, m in zip(table.column("bucket").to_pylist(), table.column("grp").to_pylist(), many):
         k = kind[at : at + m]
         w = windows[k]
-        inner = np.arange(w.sum()) - np.repeat(np.concatenate([[0], np.cumsum(w)[:-1]]), w)
+        inner = ranges(w)
         docs = result[np.repeat(begin[k], w) + inner]
         new = (inner == 0) | np.append(True, docs[1:] != docs[:-1])
         content = np.repeat(np.arange(m), w)
@@ -320,12 +357,6 @@ def answer_contents(table: pa.Table) -> pa.Table:
     return mail(out)
 
 
-def dict_take(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """values of the wanted keys; keys are distinct."""
-    order = np.argsort(keys)
-    return values[order[np.searchsorted(keys, wanted, sorter=order)]]
-
-
 def cut_out(buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         s = Shared(docs, answers, buckets) if docs.num_rows else None
@@ -344,7 +375,7 @@ def cut_out(buckets: int):
             content, inner, doc = content[order], inner[order], doc[order]
             lo = np.searchsorted(content, np.arange(len(s.sample)))
             count = np.diff(np.append(lo, len(content)))[s.content]
-            which = np.repeat(lo[s.content] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else np.zeros(0, np.int64)
+            which = np.repeat(lo[s.content], count) + ranges(count)
             run_of = np.repeat(s.at, count)
             begin = r.start[run_of] + inner[which]
             last = np.append(run_of[1:] != run_of[:-1], True) if len(run_of) else np.zeros(0, bool)
