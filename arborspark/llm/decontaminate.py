@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from arborspark.llm.store import documents
 from arborspark.llm.textops import chunks, mix, word_hashes
@@ -209,11 +210,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, doc_
     kinds = [left.schema["doc_id"].dataType.simpleString(), right.schema["item_id"].dataType.simpleString()]
     size = right.agg(F.sum(F.octet_length("item_text") + 16)).first()[0] or 0
     parts = max(1, -(-size // BLOCK_BYTES))
-    out = None
+    out, item_type = None, to_arrow_type(right.schema["item_id"].dataType)
     for part in range(parts):
         block = right.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(parts)) == part).collect()
         shared = docs.sparkSession.sparkContext.broadcast(build([(r[0], r[1]) for r in block], percent))
-        item_type = pa.array([r[0] for r in block]).type if block else None
 
         def run(batches, shared=shared):
             items = shared.value
@@ -223,7 +223,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, doc_
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array([r for r, _, _ in rows], pa.int64())),
-                        pa.array([items.ids[it] for _, it, _ in rows], item_type or pa.int64()),
+                        pa.array([items.ids[it] for _, it, _ in rows], item_type),
                         pa.array([d for _, _, d in rows], pa.int64()),
                         pa.array(n, pa.int64()),
                     ],
