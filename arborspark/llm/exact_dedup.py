@@ -125,7 +125,7 @@ def meet(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=table.schema)
 
 
-def exact_dedup(docs: DataFrame, bucket_bytes: int = 32 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, bucket_bytes: int = 12 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256, n_points.
 
     Texts are equal when identical without the characters of [\\x20\\x09-\\x0D]; null counts
