@@ -6,7 +6,7 @@ the values that follow, and neighbours in that order, which share the longest pr
 candidates. A region too dense for one task is cut at deeper values. What is linked already
 needs no more comparing, so a large group costs about one confirmed link for each row. In
 regions with more rows than a row has neighbours, rows that the neighbours have left in
-different components are compared in blocks, all against all, by bit sketches.
+different components are compared in blocks, all against all.
 """
 
 from __future__ import annotations
@@ -25,10 +25,13 @@ from arborspark.llm.textops import chunks, mix, shingle_sets
 VALUES = 128  #: MinHash values of a signature
 TREES = 32
 DEPTH = 4  #: values that a region shares: at similarity 0.75 all trees miss a pair with probability 5e-6
-NEIGHBOURS = 8
-REGION = 512  #: rows of a region, or of a block, that one task compares
+NEIGHBOURS = 4
+CELL = 50_000  #: rows of a region beyond which it is cut at deeper values
+BLOCK = 512  #: rows on either side of a block that is compared all against all
 SKETCH_MATCH = 96  #: equal bits of 128; at similarity 0.75 fewer have probability 1e-5
-ROUNDS = 3  #: best-first rounds of confirming before all the rest is confirmed
+SIGNATURE_MATCH = 72  #: equal values of 128; at similarity 0.75 fewer have probability 1e-6
+ROUNDS = 2  #: best-first rounds of confirming at most; then all the rest is confirmed
+FEW = 6  #: when rows have no more open pairs than this on average, all are confirmed at once
 _A = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, VALUES + 1001, dtype=np.uint64))
 
@@ -149,36 +152,66 @@ def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(pairs.columns)
 
 
-def blocks(rows: DataFrame, dense: DataFrame, comp: DataFrame) -> DataFrame:
-    """In dense regions that several components share: rows outside the region's largest component
-    against all its rows of other components, in blocks of about REGION rows on either side."""
-    own = rows.join(dense, "region").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = own.groupBy("region", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("region").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    sizes = sizes.select("region", F.col("top.component").alias("main"), F.ceil(F.col("all") / REGION).alias("rights"), F.ceil((F.col("all") - F.col("top.n")) / REGION).alias("lefts"))
-    own = own.drop("size").join(sizes, "region")
-    cols = ["region", "id", "component", "s0", "s1"]
+def deepened(cells: DataFrame, hot: DataFrame) -> DataFrame:
+    """Cells of hot regions cut at two more values, then at four, then by salt, where they stay too large."""
+    keys = {"six": F.xxhash64("region", F.shiftright("label", 32)), "eight": F.xxhash64("region", "label")}
+    for name, key in keys.items():
+        cells = cells.withColumn(name, key)
+    inner = cells.join(hot, "region", "left_semi")
+    out = cells.join(hot.withColumn("is_hot", F.lit(True)), "region", "left")
+    for name in keys:
+        large = inner.groupBy(name).agg(F.count("*").alias(f"n_{name}")).where(f"n_{name} > {CELL}")
+        out = out.join(large, name, "left")
+    salted = F.xxhash64("eight", F.pmod(F.xxhash64("id"), F.ceil(F.col("n_eight") / CELL)))
+    cut = F.when(F.col("n_six").isNull(), F.col("six")).when(F.col("n_eight").isNull(), F.col("eight")).otherwise(salted)
+    return out.withColumn("cell", F.when(F.col("is_hot"), cut).otherwise(F.col("region")))
+
+
+def clusters(trees: DataFrame, dense: DataFrame) -> DataFrame:
+    """Rows that dense regions connect: id, cluster. A region links its rows to its least id."""
+    members = trees.join(dense.select("region"), "region").select("region", "id")
+    least = members.groupBy("region").agg(F.min("id").alias("b"))
+    found = components(members.join(least, "region").select(F.col("id").alias("a"), "b"))
+    return found.select("id", F.col("component").alias("cluster"))
+
+
+def blocks(members: DataFrame, comp: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a cluster of dense regions: the rows outside a
+    cluster's largest component against all its rows of other components, in blocks of about BLOCK
+    rows on either side. Signatures tell which pairs are worth a look, full sets decide, and only
+    links leave the task, one at most for two components."""
+    own = members.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = own.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    sizes = sizes.select("cluster", F.col("top.component").alias("main"), F.ceil(F.col("all") / BLOCK).alias("rights"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("lefts"))
+    own = own.join(sizes, "cluster").join(heads.select("id", "sig"), "id").join(sets, "id")
+    cols = ["cluster", "id", "component", "sig", "shingles"]
     number = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    left = own.where("component <> main").select(*cols, F.lit(True).alias("is_left"), number("lefts").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("j"))
-    right = own.select(*cols, F.lit(False).alias("is_left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("i"), number("rights").alias("j"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = own.where("component <> main").select(*cols, F.lit(True).alias("is_left"), number("lefts").alias("i"), each("rights").alias("j"))
+    right = own.select(*cols, F.lit(False).alias("is_left"), each("lefts").alias("i"), number("rights").alias("j"))
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, part = t.column("id").to_numpy(), t.column("component").to_numpy()
-        bits = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")], axis=1)
+        ids, part = t.column("id").to_pylist(), t.column("component").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES)
+        full = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         is_left = t.column("is_left").to_numpy()
-        lefts, rights = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        x, y, match = [], [], []
-        for i in lefts:
-            m = _equal_bits(bits[rights], bits[i])
-            near = (m >= SKETCH_MATCH) & (part[rights] != part[i])
-            x.append(np.full(near.sum(), ids[i]))
-            y.append(ids[rights[near]])
-            match.append(m[near])
-        x, y, match = (np.concatenate([np.zeros(0, ids.dtype), *v]) for v in (x, y, match))
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "match": pa.array(match, pa.int32())})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return left.unionByName(right).groupBy("region", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, match int")
+        rights, joined, a, b = np.flatnonzero(~is_left), set(), [], []
+        for x in np.flatnonzero(is_left):
+            near = rights[((sig[rights] == sig[x]).sum(axis=1) >= SIGNATURE_MATCH) & (part[rights] != part[x])]
+            for y in near:
+                pair = frozenset((part[x], part[y]))
+                if pair in joined:
+                    continue
+                both = len(np.intersect1d(full[x], full[y], assume_unique=True))
+                if 100 * both >= percent * (len(full[x]) + len(full[y]) - both):
+                    joined.add(pair)
+                    a.append(min(ids[x], ids[y]))
+                    b.append(max(ids[x], ids[y]))
+        return pa.table({"a": pa.array(a, t.schema.field("id").type), "b": pa.array(b, t.schema.field("id").type)})
+
+    kind = members.schema["id"].dataType.simpleString()
+    return left.unionByName(right).groupBy("cluster", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,15 +231,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
     trees = forest(heads)
 
     counts = materialise(trees.groupBy("region").agg(F.count("*").alias("size")).where(f"size > {NEIGHBOURS + 1}"), "dense")
-    deeper = trees.withColumn("six", F.xxhash64("region", F.shiftright("label", 32))).withColumn("eight", F.xxhash64("region", "label"))
-    heavy = lambda df, key: df.groupBy(key).agg(F.count("*").alias(f"n_{key}")).where(f"n_{key} > {REGION}")
-    four = counts.where(f"size > {REGION}").select("region", F.col("size").alias("n_region"))
-    inner = deeper.join(four, "region", "left_semi")
-    six, eight = materialise(heavy(inner, "six"), "six"), materialise(heavy(inner, "eight"), "eight")
-    cells = deeper.join(four, "region", "left").join(six, "six", "left").join(eight, "eight", "left")
-    salted = F.xxhash64("eight", F.pmod(F.xxhash64("id"), F.ceil(F.col("n_eight") / REGION)))
-    cell = F.when(F.col("n_region").isNull(), F.col("region")).when(F.col("n_six").isNull(), F.col("six")).when(F.col("n_eight").isNull(), F.col("eight")).otherwise(salted)
-    cells = cells.select("id", cell.alias("cell"), "label", "s0", "s1").repartition("cell").sortWithinPartitions("cell", "label", "id")
+    hot = counts.where(f"size > {CELL}").select("region")
+    cells = trees.withColumn("cell", F.col("region"))
+    if not hot.isEmpty():
+        cells = deepened(cells, hot)
+    cells = cells.select("id", "cell", "label", "s0", "s1").repartition("cell").sortWithinPartitions("cell", "label", "id")
     pairs = materialise(neighbours(cells).groupBy("a", "b").agg(F.max("match").alias("match")), "pairs")
 
     def one_set(batches):
@@ -216,20 +245,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(trees.join(counts, "region", "left_semi").select("id")).distinct()
     sets = materialise(rows.join(wanted, "id", "left_semi").mapInArrow(one_set, "id long, shingles binary").dropDuplicates(["id", "shingles"]), "sets")
 
-    links = None
-    for r in range(ROUNDS):
-        comp = components(links) if links is not None else None
-        open_pairs = across(pairs, comp) if comp is not None else pairs
-        ends = open_pairs.unionByName(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "match"))
-        best = ends.groupBy("a").agg(F.max(F.struct("match", "b")).alias("top")).select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b")).distinct()
-        asked = best if r < ROUNDS - 1 else open_pairs
+    links, comp, left = None, None, pairs
+    for r in range(ROUNDS + 1):
+        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "match"))
+        best = ends.groupBy("a").agg(F.max(F.struct("match", "b")).alias("top"), F.count("*").alias("n"))
+        n = best.agg(F.sum("n").alias("pairs"), F.count("*").alias("rows")).first()
+        last = r == ROUNDS or (n["pairs"] or 0) <= FEW * n["rows"]
+        asked = left if last else materialise(best.select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b")).distinct(), "asked")
         found = materialise(confirm(asked, sets, percent), "links")
         links = found if links is None else links.unionByName(found)
-    comp = materialise(components(links), "components")
-    rest = blocks(trees, counts.select("region", "size"), comp).groupBy("a", "b").agg(F.max("match").alias("match"))
-    found = materialise(confirm(rest, sets, percent), "links")
-    if not found.isEmpty():
-        comp = materialise(components(links.unionByName(found)), "components")
+        comp = materialise(components(links), "components")
+        if last:
+            break
+        left = materialise(across(left.join(asked, ["a", "b"], "left_anti"), comp), "left")
+    found = materialise(blocks(clusters(trees, counts), comp, heads, sets, percent), "links")
+    comp = materialise(components(links.unionByName(found)), "components")
 
     group = some.groupBy("digest").agg(F.min("id").alias("head")).join(comp, F.col("head") == comp["id"], "left").select("digest", F.coalesce("component", "head").alias("component_id"))
     own = some.select("id", "digest").join(group, "digest").groupBy("id").agg(F.min("component_id").alias("component_id"))
