@@ -110,13 +110,13 @@ def build(items: list[tuple[object, str | None]], percent: int) -> Items:
     return Items([i for i, _ in items], words, vocabulary, tables, percent)
 
 
-def candidates(items: Items, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, place of the item's first word) for the windows of a chunk's words."""
+def candidates(items: Items, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, word of the window, its place in the item) for the windows of a chunk's words."""
     last = 1 + max(t.steps[-1] for t in items.tables)
     n, base = len(ids), np.int64(len(items.vocabulary) + 2)
     tail = np.zeros(last, ids.dtype)
     ids = np.concatenate([ids, tail])
-    found, places = [], []
+    found, windows, offsets = [], [], []
     for w in range(WALKS):
         bits = np.concatenate([walk_bits(hashes, w), tail.astype(np.uint64)])
         moves = [step_bit(bits, s) for s in range(last)]
@@ -141,8 +141,9 @@ def candidates(items: Items, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.nd
             which = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else lo
             e = t.entries[which]
             found.append(e[:, 0])
-            places.append(np.repeat(alive, many) - e[:, 1])
-    return np.concatenate(found), np.concatenate(places)
+            windows.append(np.repeat(alive, many))
+            offsets.append(e[:, 1])
+    return np.concatenate(found), np.concatenate(windows), np.concatenate(offsets)
 
 
 def best_edits(item: np.ndarray, text: np.ndarray) -> int:
@@ -174,20 +175,21 @@ def in_chunk(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
         return []
     ids = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
     ids = np.where(items.vocabulary[ids] == hashes, ids + 1, 0)
-    item, place = candidates(items, hashes, ids)
-    place = np.clip(place, 0, len(ids) - 1)
-    rows = np.searchsorted(first, place, "right") - 1
+    item, window, offset = candidates(items, hashes, ids)
+    # the window stands in its text, also where the item's first words, and so its place, would not
+    rows = np.searchsorted(first, window, "right") - 1
+    place = np.maximum(window - offset, first[rows])
     order = np.lexsort((place, rows, item))
     out: dict[tuple[int, int], int] = {}
     read: tuple = (-1, -1, -1)
     for i, r, p in zip(item[order].tolist(), rows[order].tolist(), place[order].tolist()):
         k, w = items.edits(i), items.words[i]
         if read[:2] == (i, r) and p - read[2] <= k:
-            continue  # the region already read holds this place
+            continue  # the region already read holds all of this place's
         read = (i, r, p)
         if out.get((r, i)) == 0:
             continue
-        a, b = max(first[r], p - k), min(first[r + 1], p + len(w) + 2 * k + 1)
+        a, b = max(first[r], p - k), min(first[r + 1], p + len(w) + 3 * k + 1)
         region = ids[a:b]
         if np.isin(region, w).sum() < len(w) - k:
             continue

@@ -255,6 +255,19 @@ def test_decontamination(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_items_that_begin_a_document_without_their_first_words():
+    r, words = random.Random(12), [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(r.sample(words, n))) for i, n in enumerate((20, 24, 32, 40, 60))]
+    built = decontaminate.build(items, 75)
+    for i, t in items:
+        k = built.edits(i)
+        rows = ["x y z " * 20, "", *(" ".join(t.split()[cut:]) + " " + " ".join(r.sample(words, 30)) for cut in range(1, k + 1))]
+        data = np.frombuffer("".join(rows).encode(), np.uint8)
+        found = decontaminate.in_chunk(built, data, np.cumsum([0, *(len(x.encode()) for x in rows)]))
+        assert {(row, it) for row, it, _ in found} == {(1 + cut, i) for cut in range(1, k + 1)}
+        assert all(d <= row - 1 for row, _, d in found)
+
+
 def test_edit_distance():
     r = random.Random(3)
     for _ in range(200):
