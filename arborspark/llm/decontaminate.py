@@ -1,17 +1,14 @@
-"""Operator 6: benchmark decontamination by CGK embedding and bit-sampling LSH.
-
-A CGK walk over a word sequence writes the word it stands on at each step and moves on when
-a random bit of that word and step says so; sequences a few edits apart fall into step again,
-so their embeddings are close in Hamming distance. Every table samples a few steps of one of
-several walks. Items are indexed at windows that start at each of their words, documents are
-read at the window of every word. A window leaves a table at the first sampled step whose word
-no item has there, which gives the same candidates as hashing whole samples. Candidates are
-confirmed by the edit distance of the whole item, in words.
+"""Operator 6: benchmark decontamination by exact pieces, confirmed by edit distance in words.
+
+An item that may differ by k edits is cut into k + 1 pieces of words; an edit touches one piece
+at most, so every copy within k edits holds a piece unchanged. The pieces of all items stand in
+one trie of word numbers, and documents are read at every word. So no copy is missed, whatever
+the item's length. Candidates are confirmed by the edit distance of the whole item, in words.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from arborspark.llm.store import documents
-from arborspark.llm.textops import chunks, mix, word_hashes
+from arborspark.llm.textops import chunks, word_hashes
 
-WALKS = 3
-TABLES = 1  #: of each walk; items are found at every word, so one is enough
-BANDS = ((0, 2), (2, 5), (5, 8), (8, 12))  #: a table samples one step of each band
-SHORT_BANDS = ((0, 1), (1, 2))  #: for windows of fewer than SHORT words
-SHORT = 7
+DEPTH = 8  #: words of a piece that are looked up; the rest of a longer one is left to the edit distance
 BLOCK_BYTES = 16 << 20  #: items are held against all documents in blocks of this much text
 
 #: What separates words: every ASCII byte but letters and digits.
@@ -35,13 +28,10 @@ NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 
 
 @dataclass
-class Table:
-    walk: int
-    steps: tuple[int, ...]
-    levels: list[np.ndarray] = field(default_factory=list)  #: sorted keys of the first 1, 2, ... samples
-    first: np.ndarray | None = None  #: by word number: may the first sample be this word
-    entries: np.ndarray | None = None  #: (item, offset) of each full key, sorted by key
-    bounds: np.ndarray | None = None
+class Level:
+    keys: np.ndarray  #: sorted: number of the node above times the base, plus the word
+    entries: np.ndarray  #: (item, offset) of the pieces that end at this depth, sorted by node
+    bounds: np.ndarray
 
 
 @dataclass
@@ -49,22 +39,16 @@ class Items:
     ids: list
     words: list[np.ndarray]  #: numbers of the words of each item
     vocabulary: np.ndarray
-    tables: list[Table]
+    levels: list[Level]
     percent: int
 
     def edits(self, item: int) -> int:
         return len(self.words[item]) * (100 - self.percent) // 100
 
 
-def walk_bits(hashes: np.ndarray, walk: int) -> np.ndarray:
-    return mix(hashes ^ np.uint64(0x5851F42D4C957F2D * (walk + 1) % (1 << 64)))
-
-
-def step_bit(bits: np.ndarray, step: int) -> np.ndarray:
-    return (bits >> np.uint64(step)).astype(np.int32) & 1
-
-
 def build(items: list[tuple[object, str | None]], percent: int) -> Items:
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     texts = pa.array([t or "" for _, t in items], pa.large_string())
     hashes: list[np.ndarray] = []
     for i, j, data, offsets in chunks(texts):
@@ -72,77 +56,49 @@ def build(items: list[tuple[object, str | None]], percent: int) -> Items:
         hashes += [h[a:b] for a, b in zip(first[:-1], first[1:])]
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
     words = [np.searchsorted(vocabulary, h).astype(np.int64) + 1 for h in hashes]
-    rng, tables = np.random.default_rng(6), []
-    for bands, count in ((BANDS, TABLES), (SHORT_BANDS, 1)):
-        for w in range(WALKS):
-            for _ in range(count):
-                tables.append(Table(w, tuple(int(rng.integers(a, b)) for a, b in bands)))
-    base = np.int64(len(vocabulary) + 2)
-    pad = np.int64(len(vocabulary) + 1)
-    for t in tables:
-        keys, entries = [], []
-        for i, (h, w) in enumerate(zip(hashes, words)):
-            short = len(w) < SHORT
-            if len(w) == 0 or short != (len(t.steps) == len(SHORT_BANDS)):
-                continue
-            bits, ids = np.append(walk_bits(h, t.walk), np.uint64(0)), np.append(w, pad)
-            offsets = np.arange(len(w) if short else len(w) - SHORT + 1)
-            at, key = offsets.astype(np.int32), []
-            for s in range(t.steps[-1] + 1):
-                if s in t.steps:
-                    key.append(ids[at])
-                at = np.minimum(at + step_bit(bits[at], s), len(w))
-            keys.append(np.stack(key, axis=1))
-            entries.append(np.stack([np.full(len(offsets), i), offsets], axis=1))
-        key = np.concatenate([np.zeros((0, len(t.steps)), np.int64), *keys])
-        entry = np.concatenate([np.zeros((0, 2), np.int64), *entries])
-        t.first = np.zeros(int(base), bool)
-        t.first[key[:, 0]] = True
-        full = np.zeros(len(key), np.int64)
-        for c in range(key.shape[1]):
-            # numbered level by level, so that keys stay small whatever the vocabulary
-            full = full * base + key[:, c]
-            level, full = np.unique(full, return_inverse=True)
-            t.levels.append(level)
-        order = np.argsort(full, kind="stable")
-        t.entries = entry[order]
-        t.bounds = np.searchsorted(full[order], np.arange(len(t.levels[-1]) + 1))
-    return Items([i for i, _ in items], words, vocabulary, tables, percent)
-
-
-def candidates(items: Items, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, word of the window, its place in the item) for the windows of a chunk's words."""
-    last = 1 + max(t.steps[-1] for t in items.tables)
-    n, base = len(ids), np.int64(len(items.vocabulary) + 2)
-    tail = np.zeros(last, ids.dtype)
-    ids = np.concatenate([ids, tail])
+    pieces, entries, length = [np.zeros((0, DEPTH), np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+    for i, w in enumerate(words):
+        if len(w) == 0:
+            continue
+        count = len(w) * (100 - percent) // 100 + 1
+        cuts = np.arange(count + 1) * len(w) // count
+        starts = cuts[:-1]
+        pieces.append(np.append(w, np.zeros(DEPTH, np.int64))[starts[:, None] + np.arange(DEPTH)])
+        entries.append(np.stack([np.full(count, i), starts], axis=1))
+        length.append(np.minimum(np.diff(cuts), DEPTH))
+    piece, entry, size = np.concatenate(pieces), np.concatenate(entries), np.concatenate(length)
+    base, node, levels = np.int64(len(vocabulary) + 1), np.zeros(len(piece), np.int64), []
+    for depth in range(int(size.max(initial=0))):
+        # numbered level by level, so that keys stay small whatever the vocabulary
+        keys, node = np.unique(node * base + piece[:, depth], return_inverse=True)
+        done = np.flatnonzero(size == depth + 1)
+        done = done[np.argsort(node[done], kind="stable")]
+        levels.append(Level(keys, entry[done], np.searchsorted(node[done], np.arange(len(keys) + 1))))
+        more = size > depth + 1
+        piece, entry, size, node = piece[more], entry[more], size[more], node[more]
+    return Items([i for i, _ in items], words, vocabulary, levels, percent)
+
+
+def candidates(items: Items, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, word where a piece of it stands, its place in the item) for a chunk's words."""
+    base = np.int64(len(items.vocabulary) + 1)
     found, windows, offsets = [], [], []
-    for w in range(WALKS):
-        bits = np.concatenate([walk_bits(hashes, w), tail.astype(np.uint64)])
-        moves = [step_bit(bits, s) for s in range(last)]
-        at, starts = np.arange(n, dtype=np.int32), {}
-        head = max(t.steps[0] for t in items.tables)
-        for s in range(head + 1):
-            starts[s] = at
-            at = at + moves[s][at]
-        for t in (t for t in items.tables if t.walk == w and len(t.entries)):
-            at = starts[t.steps[0]]
-            alive = np.flatnonzero(t.first[ids[at]])
-            at, key, s = at[alive], np.zeros(len(alive), np.int64), t.steps[0]
-            for step, level in zip(t.steps, t.levels):
-                for s in range(s, step):
-                    at = at + moves[s][at]
-                s = step
-                want = key * base + ids[at]
-                key = np.minimum(np.searchsorted(level, want), len(level) - 1)
-                ok = level[key] == want
-                alive, at, key = alive[ok], at[ok], key[ok]
-            lo, many = t.bounds[key], t.bounds[key + 1] - t.bounds[key]
-            which = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else lo
-            e = t.entries[which]
-            found.append(e[:, 0])
-            windows.append(np.repeat(alive, many))
-            offsets.append(e[:, 1])
+    alive = np.flatnonzero(ids)
+    node = np.zeros(len(alive), np.int64)
+    left = np.repeat(first[1:], np.diff(first))[alive] - alive
+    for depth, level in enumerate(items.levels):
+        inside = left > depth
+        alive, node, left = alive[inside], node[inside], left[inside]
+        want = node * base + ids[alive + depth]
+        node = np.minimum(np.searchsorted(level.keys, want), len(level.keys) - 1)
+        ok = level.keys[node] == want
+        alive, node, left = alive[ok], node[ok], left[ok]
+        lo, many = level.bounds[node], level.bounds[node + 1] - level.bounds[node]
+        which = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        e = level.entries[which]
+        found.append(e[:, 0])
+        windows.append(np.repeat(alive, many))
+        offsets.append(e[:, 1])
     return np.concatenate(found), np.concatenate(windows), np.concatenate(offsets)
 
 
@@ -175,7 +131,7 @@ def in_chunk(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
         return []
     ids = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
     ids = np.where(items.vocabulary[ids] == hashes, ids + 1, 0)
-    item, window, offset = candidates(items, hashes, ids)
+    item, window, offset = candidates(items, ids, first)
     # the window stands in its text, also where the item's first words, and so its place, would not
     rows = np.searchsorted(first, window, "right") - 1
     place = np.maximum(window - offset, first[rows])
@@ -204,7 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, doc_
     Words are runs of ASCII letters, digits and any other than ASCII characters, A-Z lowered.
     A document holds an item of n words when a run of its words is at most
     n * (100 - percent) // 100 edits away. Null and empty texts, and items without a word,
-    match nothing; of repeated rows each is reported; null ids stay null; an empty table on
+    match nothing, all others are found, whatever their length; of repeated rows each is reported; null ids stay null; an empty table on
     either side gives an empty one; other columns are not read.
     """
     left = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

@@ -268,6 +268,27 @@ def test_items_that_begin_a_document_without_their_first_words():
         assert all(d <= row - 1 for row, _, d in found)
 
 
+@pytest.mark.parametrize("percent", [60, 75, 90, 100])
+def test_items_of_every_length_are_found_at_the_most_edits(percent):
+    r, words = random.Random(13), [f"w{i}" for i in range(3000)]
+    split = [r.sample(words, n) for n in (*range(1, 31), 60)]
+    built = decontaminate.build([(i, " ".join(w)) for i, w in enumerate(split)], percent)
+    rows, want = [], {}
+    for i, w in enumerate(split):
+        for _ in range(12):
+            copy = list(w)
+            for _ in range(built.edits(i)):
+                at, kind = r.randrange(len(copy) + 1), r.randrange(3)
+                copy[at : at + (kind > 0)] = [r.choice(words)] * (kind < 2)
+            text = [*r.sample(words, r.choice((0, 0, 9))), *copy, *r.sample(words, r.choice((0, 0, 9)))]
+            for j, v in enumerate(split):
+                if (e := edit_distance_in(v, text)) <= built.edits(j):
+                    want[len(rows), j] = e
+            rows.append(" ".join(text))
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    assert {(row, i): e for row, i, e in decontaminate.in_chunk(built, data, np.cumsum([0, *map(len, rows)]))} == want
+
+
 def test_edit_distance():
     r = random.Random(3)
     for _ in range(200):
