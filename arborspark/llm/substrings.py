@@ -6,12 +6,20 @@ doc_id and place, are removed. A sentence ends at a mark or line break, commas i
 that a passage put into another sentence still has whole sentences inside; one of more than
 LONG words is cut further, after words that their hash picks. A run of short sentences goes on
 until it has MIN_WORDS.
+
+Marks are no guide to a passage that stands elsewhere without or with other ones. So runs of
+2 * MIN_WORDS words are hashed too, wherever they begin at the word whose pair with the next has
+the least hash of WINDOW in a row. Such places depend on the words around them alone and are
+WINDOW words apart at most, so every 36 common words hold a common run, and long passages are
+covered without a gap. Runs are compared with runs, spans of sentences with spans of sentences;
+what either finds is removed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +31,31 @@ SPAN = 3  #: consecutive sentences of a span
 MIN_WORDS = 10  #: words of a span at least
 LAST = 1 << 40  #: number of the span that ends a text
 LONG = 20  #: words of a sentence at most, about; beyond, every eighth word or so and every repeat of one ends it
+WINDOW = 16  #: words, of which the one of least hash begins a run
+RUNS = 1 << 41  #: added to the numbers of runs
 _MARK = np.zeros(256, bool)
 _MARK[list(b".!?;:,|#$%&*")] = True
 
 
+def run_starts(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The words that begin a run: the first of each text, and the last least one of each WINDOW words of a text."""
+    begins = np.zeros(len(words), bool)
+    begins[first[:-1][first[:-1] < len(words)]] = True
+    order = mix(words[:-1] * np.uint64(BASE) + words[1:])
+    n = max(0, len(order) - WINDOW + 1)
+    least, at = order[:n].copy(), np.zeros(n, np.int64)
+    for s in range(1, WINDOW):
+        lower = order[s : s + n] <= least
+        np.copyto(least, order[s : s + n], where=lower)
+        at[lower] = s
+    inside = np.repeat(first[1:], np.diff(first))[:n] > np.arange(n) + WINDOW
+    begins[(at + np.arange(n))[inside]] = True
+    return np.flatnonzero(begins)
+
+
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First byte of each sentence, number of its first word (one more at the end), number of the
-    first sentence of each text (one more at the end) and the hashes of all words."""
+    """First byte of each word, number of the first word of each text (one more at the end), number of
+    the first word of each sentence (one more at the end) and the hashes of all words."""
     starts, ends, first = word_spans(data, offsets, NOT_WORD)
     words = mix(range_hash(prefix_hashes(LOWER[data]), starts, ends))
     stop = data == 10
@@ -43,8 +69,7 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     size = np.diff(np.append(at, len(starts)))
     long = np.repeat(size > LONG, size)
     begins[1:] |= long[:-1] & ((words[:-1] & np.uint64(7) == 0) | (words[1:] == words[:-1]))
-    at = np.flatnonzero(begins)
-    return starts[at], np.append(at, len(starts)), np.searchsorted(at, first), words
+    return starts, first, np.append(np.flatnonzero(begins), len(starts)), words
 
 
 def span_bounds(at: np.ndarray, first: np.ndarray, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -61,26 +86,51 @@ def span_bounds(at: np.ndarray, first: np.ndarray, n: int, min_words: int) -> tu
     return np.concatenate([row[inside], texts]), np.concatenate([begin[inside], tail[texts]]), np.concatenate([end[inside], first[1:][texts]]), int(inside.sum())
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, n: int, min_words: int) -> tuple[np.ndarray, ...]:
-    """Row, first sentence and two hashes of every span. A text's span of its own end has the number LAST."""
-    _, at, first, words = sentences(data, offsets)
-    row, lo, hi, last = span_bounds(at, first, n, min_words)
-    begin, end = at[lo], at[hi]
-    number = lo - first[row]
+def run_bounds(words: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Runs as (text, first word, word after), and where those of ends begin; as span_bounds."""
+    begin = run_starts(words, first)
+    row = np.searchsorted(first, begin, "right") - 1
+    inside = begin + length <= first[row + 1]
+    row, begin = row[inside], begin[inside]
+    texts = np.flatnonzero(np.diff(first) >= length)
+    tail = first[1:][texts] - length
+    other = ~np.isin(tail, begin)
+    begins = np.concatenate([begin, tail[other]])
+    return np.concatenate([row, texts[other]]), begins, begins + length, len(begin)
+
+
+def numbered(at: np.ndarray, first: np.ndarray, words: np.ndarray, n: int, min_words: int) -> list[tuple[np.ndarray, ...]]:
+    """Row, number, first word and word after of every span of sentences, and of every run. What ends a text has the number LAST."""
+    of = np.searchsorted(at, first)
+    row, lo, hi, last = span_bounds(at, of, n, min_words)
+    number = lo - of[row]
     number[last:] = LAST
-    hashes = []
-    for seed in (0, 1):
-        p = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(mix(words + np.uint64(seed)) * powers(len(words))[0][: len(words)], out=p[1:])
-        hashes.append(mix(range_hash(p, begin, end) + (end - begin).astype(np.uint64) * np.uint64(BASE)).view(np.int64))
-    return row, number, *hashes
+    out = [(row, number, at[lo], at[hi])]
+    row, lo, hi, last = run_bounds(words, first, 2 * min_words)
+    number = RUNS + lo - first[row]
+    number[last:] = RUNS + LAST
+    return [*out, (row, number, lo, hi)]
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, n: int, min_words: int) -> tuple[np.ndarray, ...]:
+    """Row, number and two hashes of every span and run."""
+    _, first, at, words = sentences(data, offsets)
+    out = []
+    for kind, (row, number, begin, end) in enumerate(numbered(at, first, words, n, min_words)):
+        hashes = []
+        for seed in (2 * kind, 2 * kind + 1):
+            p = np.zeros(len(words) + 1, np.uint64)
+            np.cumsum(mix(words + np.uint64(seed)) * powers(len(words))[0][: len(words)], out=p[1:])
+            hashes.append(mix(range_hash(p, begin, end) + (end - begin).astype(np.uint64) * np.uint64(BASE)).view(np.int64))
+        out.append((row, number, *hashes))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def substring_dedup(docs: DataFrame, n: int = SPAN, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_sentences, n_removed (sentences), n_bytes, n_bytes_removed, kept (the text left).
+    """Per row: doc_id, n_sentences, n_removed (sentences that are removed whole), n_bytes, n_bytes_removed, kept (the text left).
 
     Words are compared without marks and with A-Z lowered; hashes have 128 bits. A repeat inside
-    one document counts as well. Null and empty texts, and texts of fewer than n sentences, keep
+    one document counts as well. Null and empty texts, and texts of fewer than min_words words keep
     all they have (kept is empty for null). Rows that share a doc_id count as one document at one
     place, so they don't remove each other; rows with a null doc_id are kept whole and remove
     nothing. doc_id is an integer. An empty table gives an empty one; other columns are not read.
@@ -118,24 +168,27 @@ def substring_dedup(docs: DataFrame, n: int = SPAN, min_words: int = MIN_WORDS,
         for b in batches:
             out = []
             for i, j, data, offsets in chunks(b.column(1)):
-                begin, words_at, first, _ = sentences(data, offsets)
-                row, lo_, hi_, last = span_bounds(words_at, first, n, min_words)
-                after = dict(zip(lo_[:last].tolist(), hi_[:last].tolist()))
-                tail = dict(zip(row[last:].tolist(), lo_[last:].tolist()))
-                for r, gone in zip(range(j - i), b.column(2)[i:j].to_pylist()):
-                    at = begin[first[r] : first[r + 1]]
+                starts, first, at, words = sentences(data, offsets)
+                texts_, number, begin, end = (np.concatenate(x) for x in zip(*numbered(at, first, words, n, min_words)))
+                key = texts_ * (2 * RUNS) + number
+                order = np.argsort(key)
+                gone = b.column(2)[i:j]
+                row = np.repeat(np.arange(j - i), pc.list_value_length(gone).fill_null(0).to_numpy(zero_copy_only=False))
+                which = order[np.searchsorted(key, row * (2 * RUNS) + gone.flatten().to_numpy(zero_copy_only=False), sorter=order)]
+                depth = np.bincount(begin[which], minlength=len(starts) + 1) - np.bincount(end[which], minlength=len(starts) + 1)
+                drop = np.cumsum(depth)[:-1] > 0
+                of = np.searchsorted(at, first)
+                left = np.concatenate([[0], np.cumsum(~drop)])
+                whole = np.concatenate([[0], np.cumsum(left[at[1:]] == left[at[:-1]])])
+                # a word goes with what follows it, up to the next word or the end of its text
+                ends = np.append(starts[1:], len(data))[: len(starts)]
+                ends[first[1:][np.diff(first) > 0] - 1] = offsets[1:][np.diff(first) > 0]
+                edge = np.bincount(starts[drop], minlength=len(data) + 1) - np.bincount(ends[drop], minlength=len(data) + 1)
+                keep = np.cumsum(edge)[:-1] == 0
+                for r in range(j - i):
                     lo, hi = offsets[r], offsets[r + 1]
-                    drop = np.zeros(len(at), bool)
-                    for g in gone or ():
-                        if g == LAST:
-                            drop[tail[r] - first[r] :] = True
-                        else:
-                            drop[g : after[first[r] + g] - first[r]] = True
-                    keep = np.ones(hi - lo, bool)
-                    ends = np.append(at[1:], hi)
-                    for s, e in zip(at[drop], ends[drop]):
-                        keep[s - lo : e - lo] = False
-                    out.append((len(at), int(drop.sum()), int(hi - lo), int((~keep).sum()), data[lo:hi][keep].tobytes().decode("utf-8", "replace")))
+                    kept = data[lo:hi][keep[lo:hi]]
+                    out.append((int(of[r + 1] - of[r]), int(whole[of[r + 1]] - whole[of[r]]), int(hi - lo), int(hi - lo) - len(kept), kept.tobytes().decode("utf-8", "replace")))
             cols = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 4, pa.string()]))], names=["doc_id", "n_sentences", "n_removed", "n_bytes", "n_bytes_removed", "kept"])
 

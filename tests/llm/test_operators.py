@@ -311,6 +311,22 @@ def test_substring_dedup(spark, docs, empty):
     assert all(r["n_bytes"] - r["n_bytes_removed"] == len(r["kept"].encode()) for r in got)
 
 
+def test_passages_of_51_words_are_found_without_marks_and_with_others(spark):
+    r, words = random.Random(14), [f"w{i}" for i in range(4000)]
+    rows, passages = [], []
+    for at in range(40):
+        passage, (a, b, c, d, e, f) = r.sample(words, 51), (r.sample(words, k) for k in (at, 40, 17, 40 - at, 40 - at, at))
+        ridden = [w + r.choice(["&&&", "%%%", ",", ".", ""]) for w in passage]
+        rows += [(3 * at, " ".join(a + passage + b)), (3 * at + 1, " ".join(c + passage + d)), (3 * at + 2, " ".join(e + ridden + f))]
+        passages.append(set(passage))
+    got = {x["doc_id"]: x for x in substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        gone = len(text.split()) - len(got[d]["kept"].split())
+        assert (gone == 0) if d % 3 == 0 else (gone >= 10), (d, gone)
+    kept = {d: set(re.findall("w[0-9]+", got[d]["kept"])) for d, _ in rows}
+    assert sum(len(kept[d] & passages[d // 3]) for d, _ in rows if d % 3) < 0.4 * 51 * 80
+
+
 def test_license_scan(spark, empty):
     lines = [(i, prose(30, 40 + i)) for i in range(150)]
     known = [(1000 + k, prose(20, k) + "\n" + t + "\nend", f) for k, (f, t) in enumerate((f, t) for f, ts in licenses.TEMPLATES.items() for t in ts)]
