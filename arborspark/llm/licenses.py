@@ -1,6 +1,7 @@
 """Operator 8: licence scans with DataFrame functions only.
 
-A paragraph is a line. Logistic regression over sparse word n-grams, one curve for each
+A paragraph is a line, or a block of lines between lines without a word, so that a wrapped notice
+is read whole. Logistic regression over sparse word n-grams, one curve for each
 licence family, is trained by gradient steps that are joins and sums; the temperature and the
 unknown class are calibrated on examples held out of training. A prediction is confirmed when
 the paragraph holds most of the word pairs of one of the family's templates. Only n-grams of
@@ -114,6 +115,22 @@ def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return lines.select("row", "doc_id", "paragraph", words(F.col("line")).alias("w"))
 
 
+def with_blocks(docs: DataFrame, doc_id: str, text: str, gate: list[str]) -> DataFrame:
+    """row (of docs), doc_id, block (its first line), paragraph (first line), n_lines, w; each line with a word of the gate, and each block of several lines that has one."""
+    passes = lambda w: F.arrays_overlap(w, F.array(*(F.lit(g) for g in gate)))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), words).alias("lines"))
+    full = lambda i: F.coalesce(F.size(F.get("lines", i)) > 0, F.lit(False))
+    places = F.sequence(F.lit(0), F.size("lines") - 1)
+    starts, ends = F.filter(places, lambda i: full(i) & ~full(i - 1)), F.filter(places, lambda i: full(i) & ~full(i + 1))
+    blocks = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("block"), F.slice("lines", a + 1, b - a + 1).alias("lines")))
+    # not explode(), for which Spark works out the array twice
+    rows = rows.select("row", "doc_id", F.explode_outer(blocks).alias("b")).select("row", "doc_id", "b.block", "b.lines").where(passes(F.flatten("lines")))
+    each = F.transform("lines", lambda w, i: F.struct((F.col("block") + i).alias("paragraph"), F.lit(1).alias("n_lines"), w.alias("w")))
+    whole = F.array(F.struct(F.col("block").alias("paragraph"), F.size("lines").alias("n_lines"), F.flatten("lines").alias("w")))
+    every = rows.select("row", "doc_id", "block", F.explode_outer(F.when(F.size("lines") > 1, F.concat(each, whole)).otherwise(each)).alias("p"))
+    return every.select("row", "doc_id", "block", "p.paragraph", "p.n_lines", "p.w").where(passes(F.col("w")))
+
+
 class LicenseModel:
     """n-gram to one weight for each family; the empty n-gram is the bias."""
 
@@ -191,17 +208,19 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Licens
 
 
 def license_scan(docs: DataFrame, model: LicenseModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per paragraph in which a family has probability 0.5 or more: doc_id, paragraph (line number
-    from 0), family (`unknown` unless a template confirms the prediction), predicted, probability,
-    template (the family's most similar one), similarity (share of its word pairs), confirmed.
+    """Per paragraph in which a family has probability 0.5 or more: doc_id, paragraph (number of its
+    first line, from 0), family (`unknown` unless a template confirms the prediction), predicted, probability,
+    template (the family's most similar one), similarity (share of its word pairs), confirmed,
+    n_lines. A block of several lines has a row if it is confirmed and none of its lines is for that
+    family; it then stands for those lines.
 
     Null and empty texts have no rows; repeated rows are all reported; a null doc_id stays null;
     an empty table gives an empty one; other columns are not read. Ties go to the first family or
     template by name.
     """
     spark = docs.sparkSession
-    found = paragraphs(docs, doc_id, text).where(F.arrays_overlap("w", F.array(*(F.lit(g) for g in model.gate))))
-    keys = ["row", "doc_id", "paragraph"]
+    found = with_blocks(docs, doc_id, text, model.gate)
+    keys = ["row", "doc_id", "block", "paragraph", "n_lines"]
     every = found.select(*keys, F.explode(F.concat(F.array(F.lit("")), grams(F.col("w")))).alias("gram"))
     table = model.table(spark)
     hits = every.join(F.broadcast(table), "gram")
@@ -220,7 +239,11 @@ def license_scan(docs: DataFrame, model: LicenseModel, doc_id: str = "doc_id", t
     same = [scores[k].eqNullSafe(match[k]) for k in keys] + [scores["predicted"] == match["family"]]
     out = scores.join(match, same, "left").select(*(scores[k] for k in keys), "predicted", "probability", F.col("m.template").alias("template"), F.round(F.coalesce(F.col("m.similarity"), F.lit(0.0)), 6).alias("similarity"))
     out = out.withColumn("confirmed", F.col("similarity") >= CONFIRM)
-    return out.select("doc_id", "paragraph", F.when(F.col("confirmed"), F.col("predicted")).otherwise("unknown").alias("family"), "predicted", "probability", "template", "similarity", "confirmed")
+    notice = Window.partitionBy("row", "block", "predicted")
+    sure = lambda of: F.max(F.col("confirmed") & of).over(notice)
+    out = out.withColumn("by_line", sure(F.col("n_lines") == 1)).withColumn("by_block", sure(F.col("n_lines") > 1))
+    out = out.where((F.col("n_lines") > 1) == (F.col("by_block") & ~F.col("by_line")))
+    return out.select("doc_id", "paragraph", F.when(F.col("confirmed"), F.col("predicted")).otherwise("unknown").alias("family"), "predicted", "probability", "template", "similarity", "confirmed", "n_lines")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -343,6 +344,19 @@ def test_license_scan(spark, empty):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_wrapped_licences_are_found(spark):
+    lines = [(i, prose(30, 40 + i)) for i in range(150)]
+    long = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts if len(t) > 80]
+    known = [(1000 + 2 * k + (width == 80), f"Code.\n\n# {sep.join(textwrap.wrap(t, width))}\n#\nend", f) for k, (f, t) in enumerate(long) for width, sep in ((40, "\n# "), (80, "\n"))]
+    rows = spark.createDataFrame([*lines, *((d, t) for d, t, _ in known)], "doc_id long, text string")
+    found = licenses.license_scan(rows, licenses.train(rows)).where("doc_id >= 1000 and confirmed").collect()
+    text = {d: t for d, t, _ in known}
+    # a short template of the family may stand in one line of the notice
+    assert {(r["doc_id"], r["family"]) for r in found} == {(d, f) for d, _, f in known}
+    assert all(r["n_lines"] == 1 or (r["paragraph"], r["n_lines"]) == (2, text[r["doc_id"]].count("\n") - 3) for r in found)
+    assert any(r["n_lines"] > 1 for r in found)
+
+
 @pytest.mark.parametrize("bucket_bytes", [400, 32 << 20])
 def test_exact_dedup(docs, empty, bucket_bytes):
     rows = docs.select("doc_id", "text")
