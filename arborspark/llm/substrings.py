@@ -29,10 +29,12 @@ from arborspark.llm.textops import BASE, IS_WHITE, LOWER, chunks, mix, powers, p
 
 SPAN = 3  #: consecutive sentences of a span
 MIN_WORDS = 10  #: words of a span at least
-LAST = 1 << 40  #: number of the span that ends a text
+LAST = 1 << 32  #: number of the span that ends a text
 LONG = 20  #: words of a sentence at most, about; beyond, every eighth word or so and every repeat of one ends it
 WINDOW = 16  #: words, of which the one of least hash begins a run
-RUNS = 1 << 41  #: added to the numbers of runs
+RUNS = 1 << 33  #: added to the numbers of runs
+TEXT_BITS = 28  #: of a text's hash, above the number: a place is a doc_id, a text and a number
+LAST_DOC = np.iinfo(np.int64).max  #: a null doc_id stands after all others
 _MARK = np.zeros(256, bool)
 _MARK[list(b".!?;:,|#$%&*")] = True
 
@@ -129,23 +131,27 @@ def spans(data: np.ndarray, offsets: np.ndarray, n: int, min_words: int) -> tupl
 def substring_dedup(docs: DataFrame, n: int = SPAN, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_sentences, n_removed (sentences that are removed whole), n_bytes, n_bytes_removed, kept (the text left).
 
-    Words are compared without marks and with A-Z lowered; hashes have 128 bits. A repeat inside
-    one document counts as well. Null and empty texts, and texts of fewer than min_words words keep
-    all they have (kept is empty for null). Rows that share a doc_id count as one document at one
-    place, so they don't remove each other; rows with a null doc_id are kept whole and remove
-    nothing. doc_id is an integer. An empty table gives an empty one; other columns are not read.
+    Words are compared without marks and with A-Z lowered; hashes have 99 bits. A repeat inside
+    one document counts as well. The first place is that of the least doc_id, null being the
+    greatest; of different texts under one doc_id each is a document of its own, in the order of
+    their hashes; rows that repeat doc_id and text are one place, so they don't remove each other
+    and lose the same. Null and empty texts, and texts of fewer than min_words words, keep all they
+    have (kept is empty for null). A long text is worked on alone, whole. doc_id is an integer. An
+    empty table gives an empty one; other columns are not read.
 
     What a batch of documents repeats itself is settled there, so a passage in a third of all rows
     is shuffled once a batch, not once a row.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    own = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << TEXT_BITS))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST_DOC))).alias("doc"), own.alias("own"))
 
     def emit(batches):
         for b in batches:
-            parts = [(*spans(data, offsets, n, min_words), i) for i, _, data, offsets in chunks(b.column(1))]
+            parts = [(*spans(data, offsets, n, min_words), i) for i, _, data, offsets in chunks(b.column(0))]
             row, number, h0, h1 = (np.concatenate([p[k] + p[4] if k == 0 else p[k] for p in parts]) for k in range(4))
-            doc = b.column(0).to_numpy(zero_copy_only=False)[row]
+            doc = b.column(1).to_numpy(zero_copy_only=False)[row]
+            number = number | b.column(2).to_numpy(zero_copy_only=False)[row] * (2 * RUNS)
+            h1 = (h1.view(np.uint64) >> np.uint64(29)).view(np.int64)
             order = np.lexsort((number, doc, h1, h0))
             doc, number, h0, h1 = doc[order], number[order], h0[order], h1[order]
             new = np.ones(len(doc), bool)
@@ -155,14 +161,16 @@ def substring_dedup(docs: DataFrame, n: int = SPAN, min_words: int = MIN_WORDS,
             # a settled span needs no partner: it stands under a key of its own
             h0 = np.where(later, mix(doc.view(np.uint64)).view(np.int64), h0)
             h1 = np.where(later, number, h1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, 2 * number + later, h0, h1)], names=["doc_id", "number", "h0", "h1"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, 2 * number + later, h0, h1)], names=["doc", "number", "h0", "h1"])
 
-    every = rows.where("doc_id is not null").mapInArrow(emit, "doc_id long, number long, h0 long, h1 long")
-    place = F.struct("doc_id", "number")
+    every = rows.select("text", "doc", "own").mapInArrow(emit, "doc long, number long, h0 long, h1 long")
+    place = F.struct("doc", "number")
     settled = F.col("number") % 2 != 0
     first = F.min(F.when(~settled, place)).over(Window.partitionBy("h0", "h1"))
     later = every.withColumn("first", first).where(settled | (place != F.col("first")))
-    gone = materialise(later.groupBy("doc_id").agg(F.collect_set(F.shiftright("number", 1)).alias("gone")), "gone")
+    number, width = F.shiftright("number", 1), (2 * RUNS).bit_length() - 1
+    later = later.select("doc", F.shiftright(number, width).alias("own"), number.bitwiseAND(F.lit(2 * RUNS - 1)).alias("number"))
+    gone = materialise(later.groupBy("doc", "own").agg(F.collect_set("number").alias("gone")), "gone")
 
     def cut(batches):
         for b in batches:
@@ -174,7 +182,9 @@ def substring_dedup(docs: DataFrame, n: int = SPAN, min_words: int = MIN_WORDS,
                 order = np.argsort(key)
                 gone = b.column(2)[i:j]
                 row = np.repeat(np.arange(j - i), pc.list_value_length(gone).fill_null(0).to_numpy(zero_copy_only=False))
-                which = order[np.searchsorted(key, row * (2 * RUNS) + gone.flatten().to_numpy(zero_copy_only=False), sorter=order)]
+                want = row * (2 * RUNS) + gone.flatten().to_numpy(zero_copy_only=False)
+                which = order[np.minimum(np.searchsorted(key, want, sorter=order), len(order) - 1)] if len(order) else order
+                which = which[key[which] == want] if len(order) else order
                 depth = np.bincount(begin[which], minlength=len(starts) + 1) - np.bincount(end[which], minlength=len(starts) + 1)
                 drop = np.cumsum(depth)[:-1] > 0
                 of = np.searchsorted(at, first)
@@ -192,8 +202,8 @@ def substring_dedup(docs: DataFrame, n: int = SPAN, min_words: int = MIN_WORDS,
             cols = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 4, pa.string()]))], names=["doc_id", "n_sentences", "n_removed", "n_bytes", "n_bytes_removed", "kept"])
 
-    both = rows.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
-    return both.mapInArrow(cut, f"doc_id {kind}, n_sentences long, n_removed long, n_bytes long, n_bytes_removed long, kept string")
+    both = rows.join(gone, ["doc", "own"], "left").select("doc_id", "text", "gone")
+    return both.mapInArrow(cut, f"doc_id long, n_sentences long, n_removed long, n_bytes long, n_bytes_removed long, kept string")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
