@@ -19,7 +19,7 @@ from arborspark.llm.store import documents
 from arborspark.llm.textops import BASE, LOWER, chunks, mix, prefix_hashes, range_hash, word_spans
 
 SAMPLE = 3000  #: labelled documents that the weights are fitted on at most
-SAMPLE_BYTES = 1 << 16  #: a longer text is not among them, so the sample's size is bounded
+SAMPLE_BYTES, SAMPLE_LINES = 1 << 16, 512  #: texts of more bytes or lines are not among them, so the sample takes 170 MB at most
 STEPS = 200
 
 #: Kinds of bytes whose shares are features.
@@ -162,12 +162,15 @@ def fit(x: np.ndarray, length: np.ndarray, first: np.ndarray, good: np.ndarray)
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled documents, by a hash of their ids, leaving out those whose
-    crc32(doc_id) % folds is 0."""
+    crc32(doc_id) % folds is 0. Of conflicting labels the greatest counts; rows that share a doc_id
+    are all examples of its label; null labels and ids are left out."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
     # the sample's table is bounded by `sample`, so it may be broadcast
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    breaks = F.octet_length(body) - F.octet_length(F.translate(body, "\n", ""))
+    rows = docs.select("doc_id", "text").where((F.octet_length(body) <= SAMPLE_BYTES) & (breaks < SAMPLE_LINES)).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality")
 
     def run(batches):
         for b in batches:
@@ -187,8 +190,8 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMP
 def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, score (0 to 1, higher: better), predicted (1 if score >= threshold), n_lines.
 
-    Null and empty texts are one empty line and get a score; repeated rows get equal scores; a
-    null doc_id stays null; an empty table gives an empty one; other columns are not read.
+    Null and empty texts are one empty line and get a score; a long text is scored alone, whole;
+    repeated rows get equal scores; a null doc_id stays null; an empty table gives an empty one; other columns are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
@@ -221,7 +224,8 @@ def line_labels(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that the classifier does not reject; scored row by row, nothing is joined."""
+    """The rows of docs that the classifier does not reject; scored row by row, nothing is joined, so
+    null and shared ids make no difference. Null and empty texts are judged as one empty line."""
     schema, place = docs.schema, docs.columns.index("text")
 
     def run(batches):
