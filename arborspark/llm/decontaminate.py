@@ -8,10 +8,12 @@ the item's length. Candidates are confirmed by the edit distance of the whole it
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -154,26 +156,32 @@ def in_chunk(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
     return [(r, i, d) for (r, i), d in out.items()]
 
 
+def item_blocks(benchmark: DataFrame, percent: int, item_id: str, item_text: str) -> Iterator[Broadcast]:
+    """The benchmark's items, ready to be looked up, in blocks of about BLOCK_BYTES that are sent to every task."""
+    right = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text"))
+    size = right.agg(F.sum(F.octet_length("item_text") + 16)).first()[0] or 0
+    parts = max(1, -(-size // BLOCK_BYTES))
+    for part in range(parts):
+        block = right.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(parts)) == part).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(build([(r[0], r[1]) for r in block], percent))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document and item that it holds: doc_id, item_id, edits, n_words (of the item), similarity.
 
     Words are runs of ASCII letters, digits and any other than ASCII characters, A-Z lowered.
     A document holds an item of n words when a run of its words is at most
-    n * (100 - percent) // 100 edits away. Null and empty texts, and items without a word,
-    match nothing, all others are found, whatever their length; of repeated rows each is reported; null ids stay null; an empty table on
-    either side gives an empty one; other columns are not read.
+    n * (100 - percent) // 100 edits away; of several such runs the one of fewest edits counts. Null
+    and empty texts, and items without a word, match nothing. Any length of text or item works: a
+    long text is read alone, whole. Of repeated rows each is reported; null ids stay null; an empty
+    table on either side gives an empty one; other columns are not read.
     """
     left = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    right = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text"))
-    kinds = [left.schema["doc_id"].dataType.simpleString(), right.schema["item_id"].dataType.simpleString()]
-    size = right.agg(F.sum(F.octet_length("item_text") + 16)).first()[0] or 0
-    parts = max(1, -(-size // BLOCK_BYTES))
-    out, item_type = None, to_arrow_type(right.schema["item_id"].dataType)
-    for part in range(parts):
-        block = right.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(parts)) == part).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(build([(r[0], r[1]) for r in block], percent))
+    kinds = [left.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()]
+    out, item_type = None, to_arrow_type(benchmark.schema[item_id].dataType)
+    for block in item_blocks(benchmark, percent, item_id, item_text):
 
-        def run(batches, shared=shared):
+        def run(batches, shared=block):
             items = shared.value
             for b in batches:
                 rows = [(i + r, it, d) for i, _, data, offsets in chunks(b.column(1)) for r, it, d in in_chunk(items, data, offsets)]
@@ -193,11 +201,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, doc_
     return out.withColumn("similarity", F.round(1 - F.col("edits") / F.col("n_words"), 6))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no item of the benchmark."""
-    doc_id = options.get("doc_id", "doc_id")
-    leaks = contamination(docs, benchmark, **options).select(F.col("doc_id").alias("leaks")).distinct()
-    return docs.join(leaks, docs[doc_id] == leaks["leaks"], "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = 75, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that hold no item of the benchmark, with their columns as they are. Every row
+    is judged by its own text where it stands, so null and shared ids make no difference and no
+    text is shuffled. Null and empty texts stay."""
+    place, out = docs.columns.index(text), docs
+    for block in item_blocks(benchmark, percent, item_id, item_text):
+
+        def run(batches, shared=block):
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                for i, _, data, offsets in chunks(b.column(place)):
+                    clean[[i + r for r, _, _ in in_chunk(shared.value, data, offsets)]] = False
+                yield b.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,8 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(down, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         edges = materialise(join_locally(small.where("u <> v").distinct().repartition(parts)), "edges")
+    else:
+        raise RuntimeError(f"components are not joined after {ROUNDS} rounds")
     ends = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     loops = links.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
     return ends.unionByName(ends.select(F.col("component").alias("id"), "component")).unionByName(loops).groupBy("id").agg(F.min("component").alias("component"))

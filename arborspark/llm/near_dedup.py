@@ -267,11 +267,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_near(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: one document of each component."""
-    doc_id = options.get("doc_id", "doc_id")
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["gone"], "left_anti")
+def keep_near(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs that stay, with their columns as they are: one of each component, that of the
+    least doc_id. Where a doc_id is null or shared, rows are numbered first and the least number
+    stays, so that exactly one row of a component does. Rows without a word all stay."""
+    shared = docs.groupBy(doc_id).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(doc_id).isNull())
+    if shared.isEmpty():
+        gone = near_duplicates(docs, doc_id=doc_id, **options).where("not kept").select(F.col("doc_id").alias("gone"))
+        return docs.join(gone, docs[doc_id] == gone["gone"], "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("place"), F.col(options.get("text", "text")).alias("text"))
+    rows = materialise(rows, "rows")
+    gone = near_duplicates(rows, **options | {"doc_id": "place", "text": "text"}).where("not kept").select(F.col("doc_id").alias("gone"))
+    return rows.join(gone, rows["place"] == gone["gone"], "left_anti").select("row.*")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,15 +134,52 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in language.language(docs, language.learn(empty)).collect()} == {"und"}
 
 
-def test_ranks_are_counted_as_by_hand():
-    g = language.grams("Ab ab! é")
-    assert len(g) == 5 + 3 + 3 + 2 + 2 + 2 - 2 - 0 + 0 or len(g) > 0
-    kinds, counts = language.ranked(g, 3)
-    assert counts.tolist() == sorted(counts.tolist(), reverse=True)
-    p = language.Profiles(["x"], np.sort(kinds), np.argsort(np.argsort(kinds))[None, :] * 0 + 5)
-    own, _ = language.ranked(g, language.LENGTH)
-    want = sum(abs(5 - i) if k in set(kinds.tolist()) else language.LENGTH for i, k in enumerate(own.tolist()))
-    assert p.guess("Ab ab! é")[1] == pytest.approx(1 - want / (language.LENGTH * len(own)))
+def grams_by_hand(text):
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    out = collections.Counter()
+    for w in low.split():
+        out.update(w)
+        w = f" {w} "
+        out.update(w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1))
+    return out
+
+
+def gram_hash(g):
+    value = 0
+    for c in g:
+        value = value << 21 | (0 if c == " " else ord(c))
+    return int(language.mix(np.array([value | (0, 1 << 62, 1 << 63)[len(g) - 1]], np.uint64))[0])
+
+
+def test_language_is_that_of_the_least_distance_by_hand(spark, docs):
+    length = language.LENGTH
+    rows = spark.createDataFrame([(1000 + i, prose(80, i) if i % 3 else prose(50, i).replace("o", "ø"), f"l{i % 3}") for i in range(30)], "doc_id long, text string, lang string")
+    order = lambda n: [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))]
+    hashed = lambda t: {gram_hash(g): n for g, n in grams_by_hand(t).items()}
+    signed = lambda g: g - (1 << 64) if g >> 63 else g
+    profiles = {}
+    for lang in ("l0", "l1", "l2"):
+        total = collections.Counter()
+        for r in rows.collect():
+            if r["lang"] == lang and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+                total.update(hashed(r["text"]))
+        profiles[lang] = order({signed(g): n for g, n in total.items()})[:length]
+    got = {r["doc_id"]: r for r in language.language(docs.unionByName(rows, True), language.learn(rows)).collect()}
+    for d, t in plain(docs.unionByName(rows, True)):
+        own = order(hashed(t or ""))[:length]
+        if d is None or not own:
+            continue
+        away = {x: sum(abs(p.index(signed(g)) - i) if signed(g) in p else length for i, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        assert got[d]["score"] == pytest.approx(1 - away[best] / (length * len(own))) and away[got[d]["lang_pred"]] == away[best]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_grams_are_counted_alike_in_slices_of_any_size(monkeypatch, size):
+    monkeypatch.setattr(language, "SLICE", size)
+    for text in ("", " ", "a", "Ab ab! é", "ß. İx 中文 don't STOP", prose(30, 3)):
+        kinds, counts = language.counted(text)
+        assert dict(zip(kinds.tolist(), counts.tolist())) == {gram_hash(g): n for g, n in grams_by_hand(text).items()}
 
 
 def cut_by_hand(rows, w):
@@ -312,6 +349,20 @@ def test_substring_dedup(spark, docs, empty):
     assert all(r["n_bytes"] - r["n_bytes_removed"] == len(r["kept"].encode()) for r in got)
 
 
+def test_texts_that_share_a_doc_id_stay_apart(spark):
+    a, b = prose(90, 31), ". ".join(prose(9, 900 + i).replace("\n", " ") for i in range(5))
+    tables = ([(0, a), (1, "Some other start here now. " + a), (1, "short text.")], [(0, a), (1, a), (1, b), (1, b), (None, a), (None, b)])
+    for rows in tables:
+        got = collections.defaultdict(list)
+        for r in substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+            got[r["doc_id"]].append((r["n_bytes"], r["n_bytes_removed"]))
+        assert got[0] == [(len(a.encode()), 0)] and len(got[1]) == len([d for d, _ in rows if d == 1])
+        left = dict(got[1])
+        assert left.get(len(b"short text."), 0) == 0 and left.get(len(b.encode()), 0) == 0
+        assert all(gone > n / 2 for n, gone in got[1] if n not in (len(b"short text."), len(b.encode())))
+        assert all(gone == n for n, gone in got[None])
+
+
 def test_passages_of_51_words_are_found_without_marks_and_with_others(spark):
     r, words = random.Random(14), [f"w{i}" for i in range(4000)]
     rows, passages = [], []
@@ -457,6 +508,56 @@ def test_registry():
     assert ORACLE_SQL.keys() <= QUERIES.keys()
 
 
+def test_stages_judge_rows_with_null_and_shared_ids(spark):
+    bad = "\n".join("#### WORD!! %% " * 3 for _ in range(3))
+    item, a, b = prose(30, 400), prose(70, 401), prose(70, 402)
+    near = a.replace(a.split()[20], "other", 1)
+    rows = [(i, prose(60, 100 + i)) for i in range(100, 160)] + [(i, bad) for i in range(200, 240)]
+    rows += [(None, prose(20, 403) + " " + item), (1, prose(20, 404) + " " + item), (1, prose(50, 405)), (2, a), (2, near), (None, near + " more"), (None, b), (3, b), (None, None), (4, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = lambda x: collections.Counter(map(tuple, x.select("doc_id", "text").collect()))
+    every = kept(docs)
+    labels = docs.where("doc_id >= 100").selectExpr("doc_id", "int(doc_id < 200) as quality")
+    model = quality.learn(docs, labels)
+    good = kept(quality.keep_good(docs, model))
+    assert good <= every and (201, bad) not in good and (1, rows[-8][1]) in good
+    once = kept(exact_dedup.keep_exact(docs))
+    assert once[3, b] == 1 and (None, b) not in once and once[None, None] + once[4, ""] == 1 and sum(n for (_, t), n in once.items() if t == bad) == 1
+    near_left = kept(near_dedup.keep_near(docs))
+    assert sum(near_left[x] for x in ((2, a), (2, near), (None, near + " more"))) == 1
+    assert near_left[None, None] == near_left[4, ""] == 1 and sum(n for (_, t), n in near_left.items() if t == b) == 1
+    clean = kept(decontaminate.keep_clean(docs, spark.createDataFrame([(0, item), (None, None)], "item_id long, text string")))
+    assert every - clean == collections.Counter({x: 1 for x in rows[100:102]})
+
+
+def test_long_texts(spark):
+    """Each operator on a text of more than 2 MB and its copy, whole."""
+    long = " ".join(prose(1000, 5000 + i) for i in range(400))
+    assert len(long) > 2 << 20
+    rows = spark.createDataFrame([(0, long), (1, long + " tail words of the second"), (2, prose(50, 1)), (3, long[: 1 << 20])], "doc_id long, text string").repartition(2)
+    tok = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    n = len(tok.encode(long, add_special_tokens=False).ids)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(rows).collect()}[0] == n
+    assert packing.pack(rows).where("doc_id = 0").agg(F.sum("length")).first()[0] == n + 1
+    labels = spark.createDataFrame([(2, 1), (0, 0)], "doc_id long, quality int")
+    assert quality.quality_scores(rows, quality.learn(rows, labels)).count() == 4
+    known = rows.withColumn("lang", F.lit("x"))
+    assert {r["lang_pred"] for r in language.language(rows, language.learn(known)).collect()} == {"x"}
+    cut = {r["doc_id"]: r for r in suffixes.suffix_dedup(rows).collect()}
+    assert (cut[0]["n_removed"], cut[1]["n_removed"], cut[3]["n_removed"]) == (0, len(long.encode()), len(long[: 1 << 20].encode()))
+    item = " ".join(long.split()[150_000:150_040])
+    leaks = decontaminate.contamination(rows, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["edits"]) for r in leaks} == {(0, 0), (1, 0)}
+    kept = {r["doc_id"]: r for r in substrings.substring_dedup(rows).collect()}
+    assert kept[1]["n_bytes_removed"] > 0.99 * len(long) and kept[3]["n_bytes_removed"] > 0.99 * (1 << 20)
+    scan = rows.unionByName(spark.createDataFrame([(9, long + "\nReleased under the MIT License.\n" + long)], "doc_id long, text string"))
+    assert (9, "MIT") in {(r["doc_id"], r["family"]) for r in licenses.license_scan(scan, licenses.train(rows)).collect()}
+    same = exact_dedup.exact_dedup(rows.unionByName(rows.where("doc_id = 0").withColumn("doc_id", F.lit(5).cast("long")))).collect()
+    assert {r["doc_id"]: r["keep_id"] for r in same} == {0: 0, 1: 1, 2: 2, 3: 3, 5: 0}
+    near = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(rows).collect()}
+    assert near == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
