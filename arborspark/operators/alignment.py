@@ -2,22 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-
-def consensus(characters: DataFrame, taxon: str, code: Column) -> DataFrame:
-    """Cells of one consensus sequence a taxon: at each site the most frequent code, ties to the
-    smallest. characters: (taxon, site, character)."""
-    counts = characters.groupBy(taxon, "site", code.alias("code")).agg(F.count("*").alias("n"))
-    best = counts.groupBy(taxon, "site").agg(F.max(F.struct("n", (-F.col("code")).alias("c"))).alias("best"))
-    return best.select(taxon, "site", (-F.col("best.c")).alias("code"))
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-def number_taxa(cells: DataFrame, taxon: str) -> DataFrame:
-    """taxon_id by name order from 0; names are few, so they are broadcast."""
-    names = cells.select(taxon).distinct().withColumn("taxon_id", F.row_number().over(Window.orderBy(taxon)) - 1)
-    return cells.join(F.broadcast(names), taxon).select("taxon_id", "site", "code")
+from arborspark.sources.tables import broadcast_if_small, numbered
+
+ROWS = 1 << 16  #: rows handed out at once
+CELLS = 4 << 20  #: sites of all taxa that a task counts before it hands out sums
+
+
+def column_counts(texts: DataFrame, taxon: str, text: str, kinds: np.ndarray, n: int) -> DataFrame:
+    """How often each of n kinds of characters stands at each site of each taxon's texts: taxon, site
+    (from 1), n0 to n(n-1). kinds: the kind by a character's first UTF-8 byte. One pass over the
+    texts: a task counts in arrays, taxon by taxon, and hands out sums, so that no character
+    becomes a row. Null texts and taxa count for nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+
+        def take() -> Iterator[pa.RecordBatch]:
+            for name, sites in sums.items():
+                at = np.flatnonzero(sites.any(axis=1))
+                for i in range(0, len(at), ROWS):
+                    some = at[i : i + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array((some + 1).astype(np.int32)), *(pa.array(sites[some, k]) for k in range(n))], names=["taxon", "site", *(f"n{k}" for k in range(n))])
+            sums.clear()
+
+        for b in batches:
+            names, bodies = b.column(0).to_pylist(), b.column(1)
+            offsets = np.frombuffer(bodies.buffers()[1], np.int32 if pa.types.is_binary(bodies.type) else np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
+            data = np.frombuffer(bodies.buffers()[2], np.uint8) if bodies.buffers()[2] else np.zeros(0, np.uint8)
+            for i, name in enumerate(names):
+                body = data[offsets[i] : offsets[i + 1]]
+                first = body[(body & 0xC0) != 0x80]
+                old = sums.get(name)
+                if old is None or len(old) < len(first):
+                    grown = np.zeros((max(len(first), 2 * len(old) if old is not None else 0), n), np.int64)
+                    if old is not None:
+                        grown[: len(old)] = old
+                    old = sums[name] = grown
+                old.ravel()[np.arange(len(first)) * n + kinds[first]] += 1
+            if sum(len(x) for x in sums.values()) > CELLS:
+                yield from take()
+        yield from take()
+
+    rows = texts.where(F.col(taxon).isNotNull() & F.col(text).isNotNull()).select(F.col(taxon).cast("string"), F.col(text).cast("binary"))
+    counted = rows.mapInArrow(run, "taxon string, site int, " + ", ".join(f"n{k} long" for k in range(n)))
+    return counted.groupBy("taxon", "site").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(n)))
+
+
+def consensus(texts: DataFrame, taxon: str, text: str, kinds: np.ndarray, codes: list[int]) -> DataFrame:
+    """Cells (taxon, site, code) of one consensus sequence a taxon: at each site the most frequent
+    code, ties to the smallest. codes: ascending, by kind of character."""
+    counts = column_counts(texts, taxon, text, kinds, len(codes))
+    n = [F.col(f"n{k}") for k in range(len(codes))]
+    most = F.greatest(*n)
+    return counts.select("taxon", "site", F.coalesce(*(F.when(x == most, F.lit(c)) for x, c in zip(n, codes))).alias("code"))
+
+
+def number_taxa(cells: DataFrame) -> DataFrame:
+    """taxon_id by name order from 0, for cells that are stored."""
+    names = numbered(cells.select("taxon").distinct(), "taxon", "taxon_id")
+    return cells.join(broadcast_if_small(names), "taxon").select("taxon_id", "site", "code")
 
 
 def gap_proportion(cells: DataFrame, undetermined: int) -> DataFrame:
@@ -53,12 +103,11 @@ def patterns(cells: DataFrame, parts: DataFrame, undetermined: int, compress: bo
 
 
 def pattern_codes(cells: DataFrame, found: DataFrame, taxa: int, undetermined: int) -> DataFrame:
-    """The pattern table: part_id, pattern_id (by first site), weight, codes (one for each taxon)."""
+    """The pattern table: part_id, pattern_id (the pattern's first site), weight, codes (one for each taxon)."""
     known = cells.join(found.select("part_id", "first_site", "weight"), F.col("site") == F.col("first_site"))
     columns = known.groupBy("part_id", "first_site", "weight").agg(F.map_from_entries(F.collect_list(F.struct("taxon_id", "code"))).alias("m"))
     codes = F.transform(F.sequence(F.lit(0), F.lit(taxa - 1)), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(undetermined)).cast("int"))
-    order = Window.partitionBy("part_id").orderBy("first_site")
-    return columns.select("part_id", (F.row_number().over(order) - 1).alias("pattern_id"), "weight", codes.alias("codes"))
+    return columns.select("part_id", F.col("first_site").alias("pattern_id"), "weight", codes.alias("codes"))
 
 
 def partition_weights(found: DataFrame) -> DataFrame:

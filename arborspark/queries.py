@@ -7,7 +7,8 @@ all else is undetermined. Sites fall into four partitions, two of them interleav
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborspark.functions.encoding import DNA, decode
@@ -18,23 +19,20 @@ from arborspark.operators import quartets as Q
 from arborspark.operators import trees as T
 from arborspark.plans.likelihood import categorise, log_likelihood, site_rates
 from arborspark.sources.partitions import misassigned, partitions, site_map
+from arborspark.sources.tables import materialise
 
 ANY = DNA.undetermined
 PARTS = ["DNA, gene1 = 1-1000", "DNA, gene2 = 1001-4000\\2", "DNA, gene3 = 1002-4000\\2", "DNA, gene4 = 4001-2000000000"]
 
 
-def code_of(character: Column) -> Column:
-    point = F.ascii(character)
-    return F.when(point.between(65, 90) | point.between(97, 122), F.element_at(F.array(*(F.lit(1 << i) for i in range(4))), point % 4 + 1)).otherwise(ANY)
-
-
-def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.posexplode(F.split("text", "")).alias("place", "character"))
-    return docs.where("character <> ''").select("source", (F.col("place") + 1).alias("site"), "character")
+CODES = [1, 2, 4, 8, ANY]
+KINDS = np.array([b % 4 if chr(b).isalpha() and b < 128 else 4 for b in range(256)])
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.number_taxa(A.consensus(characters(spark, sf_dir), "source", code_of(F.col("character"))), "source")
+    """The alignment, counted in one pass over the documents and stored, so that a query reads it as often as it likes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return A.number_taxa(materialise(A.consensus(docs, "source", "text", KINDS, CODES), "cells"))
 
 
 def ranges(spark: SparkSession) -> DataFrame:
@@ -108,7 +106,8 @@ def partition_weights(spark, sf_dir):
 
 
 def memory_estimate(spark, sf_dir):
-    return A.memory_estimate(found(spark, cells(spark, sf_dir)), 20, 4)
+    c = cells(spark, sf_dir)
+    return A.memory_estimate(found(spark, c), c.select("taxon_id").distinct().count(), 4)
 
 
 def pair_differences(spark, sf_dir):
@@ -285,7 +284,7 @@ ORACLE_SQL = {
     "partition_validation": f"WITH {_CELLS}, n AS (SELECT site, (CASE WHEN site <= 900 THEN 1 ELSE 0 END) + (CASE WHEN site BETWEEN 800 AND 2999 AND (site - 800) % 3 = 0 THEN 1 ELSE 0 END) + (CASE WHEN site >= 3100 THEN 1 ELSE 0 END) AS n FROM parts) SELECT n, count(*) AS sites, min(site) AS first_site, max(site) AS last_site FROM n WHERE n <> 1 GROUP BY n",
     "base_frequencies_em": f"WITH {_CELLS}{_PATTERNS}{_em()} SELECT part_id, round(a, 6) AS f_a, round(c, 6) AS f_c, round(g, 6) AS f_g, round(t, 6) AS f_t FROM f8",
     "partition_weights": f"WITH {_CELLS}{_PATTERNS} SELECT part_id, count(*) AS n_patterns, sum(weight) AS weight, round(sum(weight) / sum(sum(weight)) OVER (), 9) AS contribution FROM pats GROUP BY part_id",
-    "memory_estimate": f"WITH {_CELLS}{_PATTERNS} SELECT count(*) AS n_patterns, count(*) * (4 * 20 * 8 + 20) AS psr_bytes, count(*) * (4 * 4 * 20 * 8 + 20) AS gamma_bytes FROM pats",
+    "memory_estimate": f"WITH {_CELLS}{_PATTERNS} SELECT count(*) AS n_patterns, count(*) * any_value(4 * 8 * n + n) AS psr_bytes, count(*) * any_value(4 * 4 * 8 * n + n) AS gamma_bytes FROM pats, (SELECT count(*) AS n FROM ids)",
     "pair_differences": f"WITH {_CELLS}{_PAIRS} SELECT a, b, same, differ, CASE WHEN differ::DOUBLE / (same + differ) < 0.75 THEN round(-0.75 * ln(1 - differ::DOUBLE / (same + differ) * 4 / 3), 6) END AS distance FROM pairs",
     "branch_derivatives": f"WITH {_CELLS}{_PAIRS}{_LIKE} SELECT a, b, lnl, d1, d2 FROM lik",
     "bipartitions": f"WITH {_ORDERS} SELECT tree_id, split FROM splits",
@@ -305,8 +304,8 @@ ORACLE_SQL = {
 # Queries that SQL can't say, or not in reasonable time; tests hold them against brute force.
 def pattern_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     c = cells(spark, sf_dir)
-    n = taxa(spark, sf_dir).count()
-    return A.pattern_codes(c, found(spark, c), n, ANY), n
+    n = c.agg(F.max("taxon_id")).first()[0] + 1
+    return materialise(A.pattern_codes(c, found(spark, c), n, ANY), "patterns"), n
 
 
 def caterpillar(n: int, z: float = 0.9) -> list[tuple[int, int, float]]:
