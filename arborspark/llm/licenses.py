@@ -11,6 +11,7 @@ no join: that gate loses nothing.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,18 +26,21 @@ TEMPLATES = {
         "Licensed under the MIT license.",
         "This project is available under the terms of the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Released under the Apache 2.0 license.",
         "You may not use this file except in compliance with the Apache License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "Released under the GPL v3.",
         "This program is free software: you can redistribute it and modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "You should have received a copy of the GNU General Public License along with this program.",
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
@@ -52,6 +56,7 @@ TEMPLATES = {
         "Released under the BSD 3-Clause License.",
         "Licensed under the 2-clause BSD license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -83,9 +88,10 @@ SAMPLE = 1500  #: documents whose paragraphs are examples of the unknown class,
 SAMPLE_BYTES = 1 << 15  #: a longer text is not among them, so the sample's size is bounded
 VARIANTS = 10  #: examples made of each template by leaving words out; the last two calibrate
 COMMON = 0.01  #: n-grams in a larger share of unknown paragraphs are no features
-STEPS = 12
-RATE = 2.0
+STEPS = 24
+RATE = 1.0
 TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0)
+THRESHOLDS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 CONFIRM = 0.6  #: share of a template's word pairs that confirms it
 
 
@@ -118,7 +124,9 @@ def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def with_blocks(docs: DataFrame, doc_id: str, text: str, gate: list[str]) -> DataFrame:
     """row (of docs), doc_id, block (its first line), paragraph (first line), n_lines, w; each line with a word of the gate, and each block of several lines that has one."""
     passes = lambda w: F.arrays_overlap(w, F.array(*(F.lit(g) for g in gate)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), words).alias("lines"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # most texts have no word of the gate; the others are cut into lines
+    rows = rows.where(passes(words(F.col("text")))).select("row", "doc_id", F.transform(F.split("text", "\n"), words).alias("lines"))
     full = lambda i: F.coalesce(F.size(F.get("lines", i)) > 0, F.lit(False))
     places = F.sequence(F.lit(0), F.size("lines") - 1)
     starts, ends = F.filter(places, lambda i: full(i) & ~full(i - 1)), F.filter(places, lambda i: full(i) & ~full(i + 1))
@@ -132,25 +140,67 @@ def with_blocks(docs: DataFrame, doc_id: str, text: str, gate: list[str]) -> Dat
 
 
 class LicenseModel:
-    """n-gram to one weight for each family; the empty n-gram is the bias."""
+    """n-gram to one weight for each family; the empty n-gram is the bias. A paragraph whose greatest
+    probability is below the threshold is of the unknown class."""
 
-    def __init__(self, weights: dict[str, list[float]], temperature: float, gate: list[str]):
-        self.weights, self.temperature, self.gate = weights, temperature, gate
+    def __init__(self, weights: dict[str, list[float]], temperature: float, threshold: float, gate: list[str]):
+        self.weights, self.temperature, self.threshold, self.gate = weights, temperature, threshold, gate
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.weights.items()), "gram string, weights array<double>")
 
 
-def _scored(features: DataFrame, weights: DataFrame, key: str, per: list[str]) -> DataFrame:
-    """Each feature row with its example's scores by family, s0 to sN."""
-    joined = features.join(F.broadcast(weights), "gram")
-    over = Window.partitionBy(key)
-    return joined.select(*per, "gram", "v", *(F.sum(F.col("v") * F.col("weights")[i]).over(over).alias(f"s{i}") for i in range(len(FAMILIES))))
+def value(grams: Column) -> Column:
+    """Of each n-gram but the bias in an example's features."""
+    return 1 / F.greatest(F.sqrt(F.size(grams) - 1), F.lit(1.0))
+
+
+def probabilities(weights: list[list[float]], temperature: float = 1.0) -> Column:
+    """Of rows with `grams` (numbers; 0 is the bias), the probability of each family."""
+    table = F.from_json(F.lit(json.dumps(weights)), "array<array<double>>")
+
+    def family(i: Column) -> Column:
+        add = lambda t, g: t + F.get(F.get(table, g), i) * F.when(g == 0, 1.0).otherwise(value(F.col("grams")))
+        return 1 / (1 + F.exp(-F.aggregate("grams", F.lit(0.0), add) / temperature))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(len(FAMILIES) - 1)), family)
+
+
+def fitted(n: int) -> Column:
+    """Weights (n-gram by family) after STEPS of gradient ascent with a step size for each weight, from
+    a row with all distinct examples, `ex` (grams, m, y): the whole loop is one expression."""
+    families = F.sequence(F.lit(0), F.lit(len(FAMILIES) - 1))
+    inside = lambda g: F.filter(F.transform("ex", lambda e, j: F.struct(j.alias("j"), F.when(g == 0, 1.0).otherwise(value(e["grams"])).alias("v"), F.array_contains(e["grams"], g).alias("in"))), lambda x: x["in"])
+    bind = lambda x, use: F.get(F.transform(F.array(x), use), 0)
+
+    def wrong(w: Column) -> Column:
+        def family(e: Column, i: Column) -> Column:
+            add = lambda t, g: t + F.get(F.get(w, g), i) * F.when(g == 0, 1.0).otherwise(value(e["grams"]))
+            return e["m"] * (F.get(e["y"], i) - 1 / (1 + F.exp(-F.aggregate(e["grams"], F.lit(0.0), add))))
+
+        return F.transform("ex", lambda e: F.transform(families, lambda i: family(e, i)))
+
+    def step(postings: Column):
+        def run(state: Column, _: Column) -> Column:
+            slope = lambda p, e, i: F.aggregate(p, F.lit(0.0), lambda t, x: t + x["v"] * F.get(F.get(e, x["j"]), i))
+            slopes = bind(wrong(state["w"]), lambda e: F.transform(postings, lambda p: F.transform(families, lambda i: slope(p, e, i))))
+            squares = lambda g: F.zip_with(state["q"], g, lambda a, b: F.zip_with(a, b, lambda x, y: x + y * y))
+            moved = lambda g, q: F.zip_with(state["w"], F.zip_with(g, q, lambda a, b: F.zip_with(a, b, lambda x, y: RATE * x / F.sqrt(y))), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+            return bind(slopes, lambda g: bind(squares(g), lambda q: F.struct(moved(g, q).alias("w"), q.alias("q"))))
+
+        return run
+
+    constant = lambda x: F.array_repeat(F.array_repeat(F.lit(x), len(FAMILIES)), n)
+    start = F.struct(constant(0.0).alias("w"), constant(1e-6).alias("q"))
+    postings = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), inside)
+    return bind(postings, lambda p: F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step(p)))["w"]
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LicenseModel:
     """Fit on variants of the templates and on paragraphs of about SAMPLE documents, chosen by a
-    hash of their texts; sampled paragraphs that look like a template are left out."""
+    hash of their texts; sampled paragraphs that look like a template are left out. Features are
+    the templates' n-grams that hold a rare word. Examples with the same features are one row, with
+    their number; a gradient step is one sum over these rows."""
     spark = docs.sparkSession
     n_docs = max(1, docs.count())
     rate = math.ceil(1_000_000 * min(1.0, SAMPLE / n_docs))
@@ -158,7 +208,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Licens
     known = materialise(templates(spark), "templates")
     shapes = known.select("family", "template", F.explode(F.array_distinct(pairs(F.col("w")))).alias("gram"))
     sizes = shapes.groupBy("template").agg(F.count("*").alias("size"))
-    negative = paragraphs(some, doc_id, text).where(F.size("w") > 0).select(F.concat_ws("/", F.lit("-"), "row", "paragraph").alias("example"), "w")
+    negative = materialise(paragraphs(some, doc_id, text).where(F.size("w") > 0).select(F.concat_ws("/", F.lit("-"), "row", "paragraph").alias("example"), "w"), "sampled")
     like = negative.select("example", F.explode(F.array_distinct(pairs(F.col("w")))).alias("gram")).join(F.broadcast(shapes), "gram")
     like = like.groupBy("example", "template").agg(F.count("*").alias("n")).join(F.broadcast(sizes), "template").where("2 * n >= size").select("example").distinct()
     negative = materialise(negative.join(like, "example", "left_anti"), "negatives")
@@ -167,48 +217,38 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Licens
     kept = F.filter("w", lambda w, i: (F.col("variant") == 0) | ~dropped(i, F.col("variant")))
     positive = positive.select(F.concat_ws("/", "template", "variant").alias("example"), "family", (F.col("variant") >= VARIANTS - 2).alias("held"), kept.alias("w"))
     n_negative = max(1, negative.count())
-    seen = negative.select("example", F.explode(grams(F.col("w"))).alias("gram")).groupBy("gram").agg((F.count("*") / n_negative).alias("share"))
-    vocabulary = positive.select(F.explode(grams(F.col("w"))).alias("gram")).distinct().join(seen, "gram", "left").where(F.coalesce("share", F.lit(0.0)) <= COMMON).select("gram")
-    examples = positive.unionByName(negative.select("example", F.lit(None).cast("string").alias("family"), (F.pmod(F.xxhash64("example"), F.lit(5)) == 0).alias("held"), "w"))
-    hits = examples.select("example", "family", "held", F.explode(grams(F.col("w"))).alias("gram")).join(F.broadcast(vocabulary), "gram")
-    size = Window.partitionBy("example")
-    hits = hits.withColumn("v", 1 / F.sqrt(F.count("*").over(size)))
-    bias = examples.select("example", "family", "held", F.lit("").alias("gram"), F.lit(1.0).alias("v"))
-    features = materialise(hits.select("example", "family", "held", "gram", "v").unionByName(bias), "features")
-
-    weights = {r["gram"]: [0.0] * len(FAMILIES) for r in features.select("gram").distinct().collect()}
-    squares = {g: [1e-6] * len(FAMILIES) for g in weights}
-    per = ["example", "family", "held"]
-    is_of = [(F.coalesce(F.col("family"), F.lit("")) == f).cast("double") for f in FAMILIES]
+    wanted = positive.select(F.explode(grams(F.col("w"))).alias("gram")).distinct()
+    seen = negative.select("example", F.explode(grams(F.col("w"))).alias("gram")).join(F.broadcast(wanted), "gram").groupBy("gram").agg((F.count("*") / n_negative).alias("share"))
+    share = {r["gram"]: r["share"] or 0.0 for r in wanted.join(seen, "gram", "left").collect()}
+    rarest = {g: min(g.split(" "), key=lambda w: (share.get(w, 0.0), w)) for g in share}
+    vocabulary = ["", *sorted(g for g, w in rarest.items() if share[g] <= COMMON and share.get(w, 0.0) <= COMMON)]
+    gate = sorted({rarest[g] for g in vocabulary[1:]})
+
+    every = positive.unionByName(negative.select("example", F.lit(None).cast("string").alias("family"), (F.pmod(F.xxhash64("example"), F.lit(5)) == 0).alias("held"), "w"))
+    numbers = spark.createDataFrame(list(zip(vocabulary, range(len(vocabulary)))), "gram string, g int")
+    hits = every.select("example", "family", "held", F.explode(F.concat(F.array(F.lit("")), grams(F.col("w")))).alias("gram")).join(F.broadcast(numbers), "gram")
+    alike = hits.groupBy("example", "family", "held").agg(F.sort_array(F.collect_list("g")).alias("grams")).groupBy("family", "held", "grams").agg(F.count("*").alias("n"))
     # examples of a family count as much in all as the rest
     balance = F.when(F.col("family").isNull(), F.lit(1.0)).otherwise(F.lit(max(1.0, n_negative / (len(FAMILIES) * 8.0 * 4))))
-    for _ in range(STEPS):
-        table = spark.createDataFrame(list(weights.items()), "gram string, weights array<double>")
-        rows = _scored(features.where("not held"), table, "example", per)
-        errors = [F.sum(balance * F.col("v") * (y - 1 / (1 + F.exp(-F.col(f"s{i}"))))).alias(f"g{i}") for i, y in enumerate(is_of)]
-        for r in rows.groupBy("gram").agg(*errors).collect():
-            w, q = weights[r["gram"]], squares[r["gram"]]
-            for i in range(len(FAMILIES)):
-                g = r[f"g{i}"]
-                q[i] += g * g
-                w[i] += RATE * g / math.sqrt(q[i])
-
-    table = spark.createDataFrame(list(weights.items()), "gram string, weights array<double>")
-    held = _scored(features.where("held"), table, "example", per).where("gram = ''")
-    losses = []
-    for k, t in enumerate(TEMPERATURES):
-        p = [1 / (1 + F.exp(-F.col(f"s{i}") / t)) for i in range(len(FAMILIES))]
-        loss = sum((-y * F.log(x + 1e-9) - (1 - y) * F.log(1 - x + 1e-9) for x, y in zip(p, is_of)), F.lit(0.0))
-        losses.append(F.sum(balance * loss).alias(f"t{k}"))
-    loss = held.agg(*losses).first()
-    temperature = min(TEMPERATURES, key=lambda t: (loss[f"t{TEMPERATURES.index(t)}"] or 0.0, t))
-    rare = {r["gram"]: r["share"] for r in seen.join(F.broadcast(vocabulary.select(F.explode(F.split("gram", " ")).alias("gram")).distinct()), "gram").collect()}
-    gate = sorted({min(g.split(" "), key=lambda w: (rare.get(w, 0.0), w)) for g in weights if g})
-    return LicenseModel(weights, temperature, gate)
+    labels = F.array(*(F.coalesce(F.col("family") == f, F.lit(False)).cast("double") for f in FAMILIES))
+    examples = materialise(alike.select("family", "held", "grams", (F.col("n") * balance).alias("m"), labels.alias("y")).coalesce(1), "examples")
+
+    weights = examples.where("not held").agg(F.sort_array(F.collect_list(F.struct("grams", "m", "y"))).alias("ex")).select(fitted(len(vocabulary)).alias("w")).first()["w"]
+    held = examples.where("held")
+    loss = lambda y, p: -y * F.log(p + 1e-9) - (1 - y) * F.log(1 - p + 1e-9)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    losses = held.agg(*(F.sum(F.col("m") * total(F.zip_with("y", probabilities(weights, t), loss))).alias(f"t{k}") for k, t in enumerate(TEMPERATURES))).first()
+    temperature = min(TEMPERATURES, key=lambda t: (losses[f"t{TEMPERATURES.index(t)}"] or 0.0, t))
+    # the unknown class: the threshold with the least weight of held-out examples on the wrong side or in a wrong family
+    best = held.select("m", "y", probabilities(weights, temperature).alias("p")).select("m", "y", F.array_max("p").alias("top"), F.get("y", F.array_position("p", F.array_max("p")).cast("int") - 1).alias("right"))
+    bad = lambda t: F.sum(F.col("m") * F.when(F.col("top") >= t, 1 - F.col("right")).otherwise(F.array_max("y")))
+    errors = best.agg(*(bad(t).alias(f"t{k}") for k, t in enumerate(THRESHOLDS))).first()
+    threshold = min(THRESHOLDS, key=lambda t: (errors[f"t{THRESHOLDS.index(t)}"] or 0.0, abs(t - 0.5)))
+    return LicenseModel(dict(zip(vocabulary, weights)), temperature, threshold, gate)
 
 
 def license_scan(docs: DataFrame, model: LicenseModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per paragraph in which a family has probability 0.5 or more: doc_id, paragraph (number of its
+    """Per paragraph in which a family has the model's threshold of probability or more: doc_id, paragraph (number of its
     first line, from 0), family (`unknown` unless a template confirms the prediction), predicted, probability,
     template (the family's most similar one), similarity (share of its word pairs), confirmed,
     n_lines. A block of several lines has a row if it is confirmed and none of its lines is for that
@@ -219,18 +259,19 @@ def license_scan(docs: DataFrame, model: LicenseModel, doc_id: str = "doc_id", t
     template by name.
     """
     spark = docs.sparkSession
-    found = with_blocks(docs, doc_id, text, model.gate)
+    # stored, so that its row numbers are the same for scores and templates, whatever is computed again
+    found = materialise(with_blocks(docs, doc_id, text, model.gate), "paragraphs")
     keys = ["row", "doc_id", "block", "paragraph", "n_lines"]
     every = found.select(*keys, F.explode(F.concat(F.array(F.lit("")), grams(F.col("w")))).alias("gram"))
     table = model.table(spark)
     hits = every.join(F.broadcast(table), "gram")
     real = F.col("gram") != ""
-    count = F.sqrt(F.sum(real.cast("int")))
+    count = F.greatest(F.sqrt(F.sum(real.cast("int"))), F.lit(1.0))
     sums = [(F.sum(F.when(real, F.col("weights")[i])) / count + F.max(F.when(~real, F.col("weights")[i]))) / model.temperature for i in range(len(FAMILIES))]
     scores = hits.groupBy(*keys).agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).where("s0 is not null")
     best = F.greatest(*(F.struct(F.col(f"s{i}").alias("s"), F.lit(-i).alias("i")) for i in range(len(FAMILIES))))
     scores = scores.select(*keys, best.alias("best")).select(*keys, F.element_at(F.array(*(F.lit(f) for f in FAMILIES)), 1 - F.col("best.i")).alias("predicted"), F.round(1 / (1 + F.exp(-F.col("best.s"))), 6).alias("probability"))
-    scores = scores.where("probability >= 0.5")
+    scores = scores.where(F.col("probability") >= model.threshold)
     known = templates(spark)
     shapes = known.select("family", "template", F.explode(F.array_distinct(pairs(F.col("w")))).alias("gram"))
     sizes = shapes.groupBy("template").agg(F.count("*").alias("size"))

@@ -408,6 +408,16 @@ def test_wrapped_licences_are_found(spark):
     assert any(r["n_lines"] > 1 for r in found)
 
 
+def test_wording_that_is_no_template(spark):
+    lines = [(i, prose(30, 40 + i)) for i in range(200)]
+    new = ["The library is distributed under the terms of the MIT license", "this file is available under the Apache License, version 2.0 only", "You can use it under the GNU General Public License (version 3)", "Licensed under the terms of the BSD 3-clause license, see below"]
+    odd = ["The licence fee is due in March.", "Copyright law is taught here in spring.", "Their public house is known for its general store."]
+    rows = spark.createDataFrame([*lines, *((1000 + i, t) for i, t in enumerate(new)), *((2000 + i, t) for i, t in enumerate(odd))], "doc_id long, text string")
+    got = {r["doc_id"]: r["family"] for r in licenses.license_scan(rows, licenses.train(rows.where("doc_id < 1000"))).collect()}
+    assert [got.get(1000 + i) for i in range(4)] == ["MIT", "Apache-2.0", "GPL-3.0", "BSD"]
+    assert {f for d, f in got.items() if d < 1000 or d >= 2000} <= {"unknown"}
+
+
 @pytest.mark.parametrize("bucket_bytes", [400, 32 << 20])
 def test_exact_dedup(docs, empty, bucket_bytes):
     rows = docs.select("doc_id", "text")
