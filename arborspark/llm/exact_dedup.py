@@ -1,26 +1,29 @@
 """Operator 9: Grace hash deduplication.
 
 One pass normalises every text and collapses equal ones inside each partition; what is left
-is spilled, one content per record, to a table in the shared folder. Buckets of that table
-are cut by bits of the content's hash until each fits an open-addressing table in one task,
-which compares complete contents. A bucket that is too large because one content recurs in
-many partitions is cut by salt instead: its parts collapse first and meet afterwards.
+is spilled, one content per record, to a table in the shared folder. Buckets of that table are
+the records whose content hashes begin with the same bits. A bucket that does not fit an
+open-addressing table is spilled again and cut at more bits, as often as it takes. Where one
+hash alone is too much, because one content recurs in many partitions, its records collapse in
+parts, whose survivors meet again. Tables compare complete contents.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm.store import documents, materialise
+from arborspark.llm.store import documents, has_plain_ids, materialise, without
+from arborspark.sources.tables import broadcast_if_small
 
 WHITE = b" \t\n\x0b\x0c\r"
-SALTED_LEVELS = 3  #: a hot content has shrunk to one record for each salt after the first
+BITS = 63  #: of a content's hash
 
 
 class OpenTable:
@@ -142,29 +145,37 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = 12 << 20, doc_id: str = "do
     schema = SPILL.format(kind=rows.schema["doc_id"].dataType.simpleString())
     table = materialise(rows.mapInArrow(collapse(bucket_bytes), schema), "grace")
     members = table.where("content is null").select("row", "parent", "doc_id", "points", "sha")
-    left, links = table.where("content is not null"), []
-    for level in range(SALTED_LEVELS + 1):
-        size = F.sum(F.length("content") + 200)
-        parts = max(1, -(-(left.agg(size.alias("n")).first()["n"] or 0) // bucket_bytes))
-        keyed = left.withColumn("part", F.pmod(F.xxhash64("bits", F.lit(level)), F.lit(parts)))
-        hot = keyed.groupBy("part").agg(size.alias("n"), (F.count("*") > F.count_distinct("bits")).alias("again"))
-        hot = hot.where(F.col("again") & (F.col("n") > 2 * bucket_bytes)).select("part", F.ceil(F.col("n") / bucket_bytes).alias("salts"))
-        final = level == SALTED_LEVELS or hot.isEmpty()
-        if final:
-            keyed = keyed.withColumn("salt", F.lit(0))
-        else:
-            keyed = keyed.join(hot, "part", "left").withColumn("salt", F.pmod(F.xxhash64("row"), F.coalesce("salts", F.lit(1)))).drop("salts")
-        met = keyed.groupBy("part", "salt").applyInArrow(lambda t: meet(t.drop_columns(["part", "salt"])), schema)
-        met = materialise(met if not final else met.withColumn("content", F.lit(None).cast("binary")), f"met{level}")
-        links.append(met.where("parent is not null").select(F.col("row").alias("from"), F.col("parent").alias("to")))
-        left = met.where("parent is null")
-        if final:
+    size = F.sum(F.length("content") + 200)
+    rest = table.where("content is not null")
+    total = rest.agg(size.alias("n")).first()["n"] or 0
+    depth = max(0, (2 * total // bucket_bytes).bit_length())
+    rest, met, round_ = rest.withColumn("depth", F.lit(depth)), [], 0
+    while True:
+        rest = rest.withColumn("bucket", F.expr(f"shiftright(bits, {BITS} - depth)"))
+        sizes = rest.groupBy("depth", "bucket").agg(size.alias("n"), F.count("*").alias("records"), (F.min("bits") < F.max("bits")).alias("differ"))
+        large = broadcast_if_small(materialise(sizes.where((F.col("n") > bucket_bytes) & (F.col("records") > 1)), "large"))
+        if large.isEmpty():
+            met.append(meet_in(rest, F.lit(0), schema, last=True))
             break
-    out = members.withColumnRenamed("parent", "at")
-    for link in links:
-        out = out.join(link, out["at"] == link["from"], "left").withColumn("at", F.coalesce("to", "at")).drop("from", "to")
-    heads = left.select(F.col("row").alias("head"), F.col("doc_id").alias("keep_id"), F.col("rows").alias("group_size"), "best_row")
-    return out.join(heads, out["at"] == heads["head"]).select(
+        rest = rest.join(large, ["depth", "bucket"], "left")
+        met.append(meet_in(rest.where("n is null"), F.lit(0), schema, last=True))
+        # one hash alone: four records or more a part, so that few survive
+        parts = F.least(F.ceil(F.col("n") / bucket_bytes), F.ceil(F.col("records") / 4))
+        same = meet_in(rest.where("not differ"), F.pmod(F.xxhash64("row", F.lit(round_)), parts), schema, last=False)
+        met.append(same.where("parent is not null"))
+        more = F.least(F.col("depth") + F.ceil(F.log2(F.col("n") / bucket_bytes)).cast("int") + 1, F.lit(BITS))
+        again = rest.where("differ").select(*table.columns, more.alias("depth"))
+        rest = materialise(again.unionByName(same.where("parent is null").withColumn("depth", F.lit(BITS))), "spilled")
+        round_ += 1
+    # what stands for a content is known for the last survivors first, then for what they took in
+    final = reduce(DataFrame.unionByName, met)
+    heads = final.where("parent is null").select("row", F.col("doc_id").alias("keep_id"), F.col("rows").alias("group_size"), "best_row")
+    known = heads
+    for m in reversed(met):
+        links = m.where("parent is not null").select(F.col("row").alias("from"), F.col("parent").alias("to"))
+        known = known.unionByName(links.join(known, links["to"] == known["row"]).select(F.col("from").alias("row"), "keep_id", "group_size", "best_row"))
+    known = known.withColumnRenamed("row", "head")
+    return members.join(known, members["parent"] == known["head"]).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -174,17 +185,26 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = 12 << 20, doc_id: str = "do
     )
 
 
-def keep_exact(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, with their columns as they are."""
-    doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
+def meet_in(records: DataFrame, part: Column, schema: str, last: bool) -> DataFrame:
+    """The records after those of each part of each bucket have met; contents are dropped at the last time."""
+    keyed = records.withColumn("part", part).select("depth", "bucket", "part", *(c for c in records.columns if c not in ("depth", "bucket", "n", "records", "differ")))
+    out = keyed.groupBy("depth", "bucket", "part").applyInArrow(lambda t: meet(t.drop_columns(["depth", "bucket", "part"])), schema)
+    return materialise(out.withColumn("content", F.lit(None).cast("binary")) if last else out, "met")
+
+
+def keep_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay, with their columns as they are: exactly one of each group of equal
+    texts, null texts being empty. Where doc_ids are null or shared, rows are told apart by their
+    texts as well, and of rows alike in both any one stays."""
+    verdict = exact_dedup(docs, doc_id=doc_id, text=text, **options)
+    if has_plain_ids(docs, doc_id):
+        return without(docs, doc_id, verdict.where("not kept").select("doc_id"))
     stays = F.col("kept").cast("int")
-    verdict = exact_dedup(docs, **options).groupBy("doc_id", "text_sha256").agg(F.max(F.when(F.col("kept"), F.col("n_points"))).alias("n_points"), F.sum(stays).alias("n_kept"), F.count("*").alias("n_rows")).where("n_kept > 0")
+    verdict = verdict.groupBy("doc_id", "text_sha256").agg(F.max(F.when(F.col("kept"), F.col("n_points"))).alias("n_points"), F.sum(stays).alias("n_kept")).where("n_kept > 0")
     body = F.translate(F.coalesce(F.col(text), F.lit("")), " \t\n\x0b\x0c\r", "")
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.sha2(body, 256).alias("sha"), F.coalesce(F.char_length(text), F.lit(0)).alias("points"))
     same = keyed["row"][doc_id].eqNullSafe(verdict["doc_id"]) & (keyed["sha"] == verdict["text_sha256"]) & (keyed["points"] == verdict["n_points"])
-    single = keyed.join(verdict.where("n_rows = 1"), same).select("row.*")
-    repeated = keyed.join(verdict.where("n_rows > 1"), same).withColumn("id", F.col(f"row.{doc_id}")).dropDuplicates(["id", "sha"]).select("row.*")
-    return single.unionByName(repeated)
+    return keyed.join(verdict, same).withColumn("id", F.col(f"row.{doc_id}")).dropDuplicates(["id", "sha"]).select("row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from arborspark.sources.tables import broadcast_if_small, materialise
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset (tests, one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else "file:///tmp/checkpoints/arborspark"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later steps neither
-    recompute it nor depend on one executor's disk."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "has_plain_ids", "materialise", "without"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def has_plain_ids(docs: DataFrame, doc_id: str) -> bool:
+    """Is no id null or that of several rows?"""
+    return docs.groupBy(doc_id).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(doc_id).isNull()).isEmpty()
+
+
+def without(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not in the one column of gone. Where these are few, no row of docs is shuffled."""
+    gone = broadcast_if_small(materialise(gone.toDF("gone"), "gone"))
+    return docs.join(gone, docs[doc_id] == gone["gone"], "left_anti")
