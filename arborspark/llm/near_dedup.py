@@ -5,8 +5,9 @@ values in an order of its own; rows with the same first DEPTH values are a regio
 the values that follow, and neighbours in that order, which share the longest prefixes, are
 candidates. A region too dense for one task is cut at deeper values. What is linked already
 needs no more comparing, so a large group costs about one confirmed link for each row. In
-regions with more rows than a row has neighbours, rows that the neighbours have left in
-different components are compared in blocks, all against all.
+regions with more rows than a row has neighbours, what the neighbours have left in different
+components is compared again, region by region: a region of too many rows is first cut at more
+values, in several ways at once, so that each row is sent a bounded number of times.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborspark.llm.graph import components
-from arborspark.llm.store import documents, materialise
+from arborspark.llm.store import documents, has_plain_ids, materialise, without
 from arborspark.llm.textops import chunks, mix, shingle_sets
+from arborspark.sources.tables import broadcast_if_small
 
 VALUES = 128  #: MinHash values of a signature
 TREES = 32
@@ -30,6 +32,9 @@ CELL = 50_000  #: rows of a region beyond which it is cut at deeper values
 BLOCK = 512  #: rows on either side of a block that is compared all against all
 SKETCH_MATCH = 96  #: equal bits of 128; at similarity 0.75 fewer have probability 1e-5
 SIGNATURE_MATCH = 72  #: equal values of 128; at similarity 0.75 fewer have probability 1e-6
+DENSE = 4096  #: rows of a cell beyond which it is cut at more values before its components are compared
+STEP, SUBTREES, LEVELS = 4, 8, 2  #: of such cuts: values, cells of each row, and how often
+HOT = 1000  #: rows of one key that a join leaves in one task, at least
 ROUNDS = 2  #: best-first rounds of confirming at most; then all the rest is confirmed
 FEW = 6  #: when rows have no more open pairs than this on average, all are confirmed at once
 _A = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -167,25 +172,65 @@ def deepened(cells: DataFrame, hot: DataFrame) -> DataFrame:
     return out.withColumn("cell", F.when(F.col("is_hot"), cut).otherwise(F.col("region")))
 
 
-def clusters(trees: DataFrame, dense: DataFrame) -> DataFrame:
-    """Rows that dense regions connect: id, cluster. A region links its rows to its least id."""
-    members = trees.join(dense.select("region"), "region").select("region", "id")
-    least = members.groupBy("region").agg(F.min("id").alias("b"))
-    found = components(members.join(least, "region").select(F.col("id").alias("a"), "b"))
-    return found.select("id", F.col("component").alias("cluster"))
-
-
-def blocks(members: DataFrame, comp: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components that share a cluster of dense regions: the rows outside a
-    cluster's largest component against all its rows of other components, in blocks of about BLOCK
-    rows on either side. Signatures tell which pairs are worth a look, full sets decide, and only
-    links leave the task, one at most for two components."""
-    own = members.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = own.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    sizes = sizes.select("cluster", F.col("top.component").alias("main"), F.ceil(F.col("all") / BLOCK).alias("rights"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("lefts"))
-    own = own.join(sizes, "cluster").join(heads.select("id", "sig"), "id").join(sets, "id")
-    cols = ["cluster", "id", "component", "sig", "shingles"]
+def salted_join(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """left join right, which has one row a key and the number of left's rows of it. The rows of a
+    frequent key are dealt to several tasks by their ids, and its row on the right is repeated for each."""
+    limit = max(HOT, total // 100_000)
+    salts = F.ceil(F.col(size) / limit)
+    hot = broadcast_if_small(right.where(F.col(size) > limit).select(key, salts.alias("salts")))
+    left = left.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(salts, F.lit(1)) - 1)))
+    return left.join(right, [key, "salt"]).drop("salt", size)
+
+
+def deeper(cells: DataFrame, heads: DataFrame, level: int) -> DataFrame:
+    """Rows (cell, id) under SUBTREES cells of STEP more signature values each: of two rows at similarity
+    0.75 that share a cell, all of these part them with probability 0.05."""
+    at = np.stack([np.random.default_rng((21, level, k)).permutation(VALUES)[:STEP] for k in range(SUBTREES)])
+
+    def run(batches):
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, VALUES)
+            cell = np.repeat(b.column(0).to_numpy().view(np.uint64)[:, None], SUBTREES, axis=1) ^ mix(np.arange(1, SUBTREES + 1, dtype=np.uint64))
+            for d in range(STEP):
+                cell = mix(cell * np.uint64(0x9E3779B97F4A7C15) + sig[:, at[:, d]])
+            again = np.repeat(np.arange(b.num_rows), SUBTREES)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel().view(np.int64)), b.column(1).take(pa.array(again))], names=["cell", "id"])
+
+    kind = cells.schema["id"].dataType.simpleString()
+    return cells.join(heads.select("id", "sig"), "id").select("cell", "id", "sig").mapInArrow(run, f"cell long, id {kind}")
+
+
+def dense_links(cells: DataFrame, comp: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Links between the components that share a cell (cell, id): cells of several components are
+    compared in blocks, those of more than DENSE rows after they have been cut at more values. What is
+    still larger after LEVELS cuts is compared as it is, so nothing is left out."""
+    links = []
+    for level in range(LEVELS + 1):
+        own = materialise(cells.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "cells")
+        sizes = own.groupBy("cell", "component").agg(F.count("*").alias("n"))
+        sizes = sizes.groupBy("cell").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+        sizes = materialise(sizes.select("cell", F.col("top.component").alias("main"), (F.col("all") - F.col("top.n")).alias("others"), "all"), "several")
+        total = sizes.agg(F.sum("all")).first()[0]
+        if not total:
+            break
+        small = sizes if level == LEVELS else sizes.where(f"all <= {DENSE}")
+        links.append(blocks(salted_join(own, small.withColumn("size", F.col("all")), "cell", "size", total), heads, sets, percent))
+        large = sizes.where(f"all > {DENSE}").select("cell", "all")
+        if level == LEVELS or large.isEmpty():
+            break
+        cells = deeper(salted_join(own.select("cell", "id"), large, "cell", "all", total), heads, level)
+    return links
+
+
+def blocks(own: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a cell: the rows outside a cell's largest component
+    against all its rows of other components, in blocks of about BLOCK rows on either side.
+    Signatures tell which pairs are worth a look, full sets decide, and only links leave the task,
+    one at most for two components. own: cell, id, component, main, others, all."""
+    own = own.withColumn("rights", F.ceil(F.col("all") / BLOCK)).withColumn("lefts", F.ceil(F.col("others") / BLOCK))
+    own = own.join(heads.select("id", "sig"), "id").join(sets, "id")
+    cols = ["cell", "id", "component", "sig", "shingles"]
     number = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = own.where("component <> main").select(*cols, F.lit(True).alias("is_left"), number("lefts").alias("i"), each("rights").alias("j"))
@@ -210,8 +255,8 @@ def blocks(members: DataFrame, comp: DataFrame, heads: DataFrame, sets: DataFram
                     b.append(max(ids[x], ids[y]))
         return pa.table({"a": pa.array(a, t.schema.field("id").type), "b": pa.array(b, t.schema.field("id").type)})
 
-    kind = members.schema["id"].dataType.simpleString()
-    return left.unionByName(right).groupBy("cluster", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+    kind = own.schema["id"].dataType.simpleString()
+    return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,8 +264,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
 
     Rows are linked when 100 * intersection >= percent * union of their distinct k-word shingles
     (A-Z lowered, words between characters of [\\x20\\x09-\\x0D]); a text with fewer words is one
-    shingle. Null and empty texts have none and are linked with nothing. Rows that share a
-    doc_id are one document. A null doc_id is linked with nothing and kept, its component null.
+    shingle. Null and empty texts have none and are linked with nothing. A long text's set is made
+    whole, in one task. Ids are integers; rows that share a doc_id are one document. A null doc_id is linked with nothing and kept, its component null.
     An empty table gives an empty one; other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -230,6 +275,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
     heads = materialise(heads, "heads")
     trees = forest(heads)
 
+    total = TREES * heads.count()
     counts = materialise(trees.groupBy("region").agg(F.count("*").alias("size")).where(f"size > {NEIGHBOURS + 1}"), "dense")
     hot = counts.where(f"size > {CELL}").select("region")
     cells = trees.withColumn("cell", F.col("region"))
@@ -242,7 +288,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in _set_column(b, k)], pa.binary())], names=["id", "shingles"])
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(trees.join(counts, "region", "left_semi").select("id")).distinct()
+    dense = materialise(salted_join(trees.select("id", "region"), counts, "region", "size", total).select(F.col("region").alias("cell"), "id"), "members")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense.select("id")).distinct()
     sets = materialise(rows.join(wanted, "id", "left_semi").mapInArrow(one_set, "id long, shingles binary").dropDuplicates(["id", "shingles"]), "sets")
 
     links, comp, left = None, None, pairs
@@ -258,11 +305,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
         if last:
             break
         left = materialise(across(left.join(asked, ["a", "b"], "left_anti"), comp), "left")
-    found = materialise(blocks(clusters(trees, counts), comp, heads, sets, percent), "links")
-    comp = materialise(components(links.unionByName(found)), "components")
+    for found in dense_links(dense, comp, heads, sets, percent):
+        links = links.unionByName(materialise(found, "links"))
+    comp = materialise(components(links), "components")
 
-    group = some.groupBy("digest").agg(F.min("id").alias("head")).join(comp, F.col("head") == comp["id"], "left").select("digest", F.coalesce("component", "head").alias("component_id"))
-    own = some.select("id", "digest").join(group, "digest").groupBy("id").agg(F.min("component_id").alias("component_id"))
+    group = some.groupBy("digest").agg(F.min("id").alias("head"), F.count("*").alias("n")).join(comp, F.col("head") == comp["id"], "left").select("digest", F.coalesce("component", "head").alias("component_id"), "n")
+    own = salted_join(some.select("id", "digest"), materialise(group, "groups"), "digest", "n", total).groupBy("id").agg(F.min("component_id").alias("component_id"))
     out = sigs.join(own, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -271,14 +319,12 @@ def keep_near(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that stay, with their columns as they are: one of each component, that of the
     least doc_id. Where a doc_id is null or shared, rows are numbered first and the least number
     stays, so that exactly one row of a component does. Rows without a word all stay."""
-    shared = docs.groupBy(doc_id).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(doc_id).isNull())
-    if shared.isEmpty():
-        gone = near_duplicates(docs, doc_id=doc_id, **options).where("not kept").select(F.col("doc_id").alias("gone"))
-        return docs.join(gone, docs[doc_id] == gone["gone"], "left_anti")
+    if has_plain_ids(docs, doc_id):
+        return without(docs, doc_id, near_duplicates(docs, doc_id=doc_id, **options).where("not kept").select("doc_id"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("place"), F.col(options.get("text", "text")).alias("text"))
     rows = materialise(rows, "rows")
-    gone = near_duplicates(rows, **options | {"doc_id": "place", "text": "text"}).where("not kept").select(F.col("doc_id").alias("gone"))
-    return rows.join(gone, rows["place"] == gone["gone"], "left_anti").select("row.*")
+    gone = near_duplicates(rows, **options | {"doc_id": "place", "text": "text"}).where("not kept").select("doc_id")
+    return without(rows, "place", gone).select("row.*")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -439,6 +439,18 @@ def test_exact_dedup(docs, empty, bucket_bytes):
     assert stay.columns == docs.columns and stay.count() == len(groups)
 
 
+def test_buckets_are_cut_until_they_fit(spark):
+    """One content in most rows of many partitions, and large distinct texts, with buckets of 4 KB."""
+    hot, r = prose(40, 1), random.Random(3)
+    rows = [(i, hot.replace(" ", " " * r.randrange(1, 3)) if i % 3 else prose(60 + i % 90, i)) for i in range(900)] + [(1000 + i, "x" * 9000 + str(i // 2)) for i in range(12)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(60), 4096).collect()
+    groups = collections.defaultdict(list)
+    for d, t in rows:
+        groups[re.sub(r"\s", "", t)].append((-len(t), d))
+    want = {(d, min(m)[1], len(m)) for m in groups.values() for _, d in m}
+    assert {(x["doc_id"], x["keep_id"], x["group_size"]) for x in got} == want and len(got) == len(rows)
+
+
 def test_open_table_compares_contents():
     t = exact_dedup.OpenTable(4)
     assert [t.place(7, b"a"), t.place(7, b"b"), t.place(7, b"a"), t.place(3, b"c"), t.place(11, b"d"), t.place(7, b"b")] == [0, 1, 0, 2, 3, 1]
@@ -465,7 +477,8 @@ def components_by_hand(rows):
     return {(d, len(s), find(d)) for d, s in sets}
 
 
-def test_near_duplicates(spark, docs, empty, monkeypatch):
+@pytest.mark.parametrize("dense", [0, 12])
+def test_near_duplicates(spark, docs, empty, monkeypatch, dense):
     base = prose(150, 42).split()
     rows = plain(docs.where("doc_id is not null"))
     for i in range(60):  # one dense group of near copies, some too far from the others
@@ -476,6 +489,9 @@ def test_near_duplicates(spark, docs, empty, monkeypatch):
         rows.append((1000 + i, " ".join(w)))
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("region", F.lit("clash"))
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "HOT", 9)
+    if dense:
+        monkeypatch.setattr(near_dedup, "DENSE", dense)
     got = near_dedup.near_duplicates(table).collect()
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == components_by_hand(rows)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got) and len(got) == len(rows)
