@@ -1,15 +1,20 @@
-"""Operator 6: benchmark decontamination by exact pieces, confirmed by edit distance in words.
-
-An item that may differ by k edits is cut into k + 1 pieces of words; an edit touches one piece
-at most, so every copy within k edits holds a piece unchanged. The pieces of all items stand in
-one trie of word numbers, and documents are read at every word. So no copy is missed, whatever
-the item's length. Candidates are confirmed by the edit distance of the whole item, in words.
+"""Operator 6: benchmark decontamination by CGK embedding and bit-sampling LSH.
+
+A CGK walk over a word sequence writes the word it stands on at each step and moves on when a
+random bit of that word and step says so; sequences a few edits apart fall into step again, so
+their embeddings are close in Hamming distance. Items are embedded whole, and also without as many
+first words as may be missing; documents in windows of the items' sizes that begin at every word. A table samples a few steps of one walk; item and
+window are a candidate when the sampled words agree. For each class of lengths there are as many
+tables, of several walks, as it takes to find TARGET of random copies with the most edits
+allowed. Only windows that hold enough words of items are embedded, which loses nothing.
+Candidates are confirmed by the exact edit distance of the whole item, in words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from arborspark.llm.store import documents
-from arborspark.llm.textops import chunks, word_hashes
-
-DEPTH = 8  #: words of a piece that are looked up; the rest of a longer one is left to the edit distance
+from arborspark.llm.textops import chunks, mix, word_hashes
+
+TARGET = 0.99  #: share of copies with the most edits allowed that the tables of a class find, at least
+COPIES = 1000  #: random copies on which that is measured
+TABLES = 5  #: of one walk
+WALKS = 31  #: two bits of a word's hash for each; if their tables do not reach the target, building fails
+GROWTH = 1.4  #: lengths of a class, longest by shortest
+REACH = 0.65  #: rounds that are sampled, for each word of an item; a walk takes 0.7 rounds a word on average
+SOME = 20_000  #: candidates whose words are counted at once
 BLOCK_BYTES = 16 << 20  #: items are held against all documents in blocks of this much text
 
 #: What separates words: every ASCII byte but letters and digits.
@@ -29,23 +40,145 @@ NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def most_edits(n: int, percent: int) -> int:
+    """Edits within which a run of words is a copy of an item of n words."""
+    return n * (100 - percent) // 100
+
+
+def length_class(n: int) -> tuple[int, int]:
+    """Shortest and longest item of the class that items of n words are in."""
+    lo, hi = 1, 1
+    while hi < n:
+        lo = hi + 1
+        hi = int(lo * GROWTH) if lo > 3 else lo
+    return lo, hi
+
+
+def sampled_rounds(lo: int, number: int) -> tuple[int, ...]:
+    """The rounds that a class's table of this number samples: two, or the first for up to three words; for longer
+    items also the one after the first, which mostly agrees if that one does and tells many windows apart."""
+    rng, most = np.random.default_rng((6, lo, number)), lo if lo < 10 else int(REACH * lo)
+    if lo < 4:
+        return (0,)
+    rounds = set(rng.choice(most, 2, replace=False).tolist())
+    return tuple(sorted(rounds | {min(rounds) + 1} if lo >= 10 else rounds))
+
+
+class Walk:
+    """Walks from every word of a sequence. The bits of a step depend on the word and on whether the step
+    is odd or even; a round is two steps, of which at least one moves on if the word stays the same.
+    Places after 1, 2, 4, ... rounds make any round a few look-ups away."""
+
+    def __init__(self, hashes: np.ndarray, walk: int):
+        bits = (hashes >> np.uint64(2 * walk)).astype(np.int8) & 3
+        bits[bits == 0] = 3
+        bits = np.append(bits, np.int8(0))  # a walk stays behind the last word
+        place = np.arange(len(bits), dtype=np.int32)
+        after = place + (bits & 1)
+        self.jumps = [after + (bits >> 1)[after]]
+
+    def go(self, at: np.ndarray, rounds: int) -> np.ndarray:
+        for level in range(rounds.bit_length()):
+            if len(self.jumps) <= level:
+                self.jumps.append(self.jumps[-1][self.jumps[-1]])
+            if rounds >> level & 1:
+                at = self.jumps[level][at]
+        return at
+
+
+@dataclass
+class Table:
+    walk: int
+    rounds: tuple[int, ...]
+    first: np.ndarray  #: by word: is it the first sampled word of an item
+    keys: np.ndarray  #: sorted: the sampled words of the items
+    entries: np.ndarray  #: of each key: item, and the word of it at which the walk begins
+
+
 @dataclass
-class Level:
-    keys: np.ndarray  #: sorted: number of the node above times the base, plus the word
-    entries: np.ndarray  #: (item, offset) of the pieces that end at this depth, sorted by node
-    bounds: np.ndarray
+class Class:
+    lo: int
+    hi: int
+    tables: list[Table]
+
+
+def make_table(lo: int, number: int, members: np.ndarray, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, percent: int, base: int) -> Table:
+    """A table of the items `members`, whose words stand from starts to ends. An item's walks begin at each
+    word that may be the first one left of it; they are in the table if the sampled rounds lie inside the item."""
+    rounds, walk = sampled_rounds(lo, number), Walk(hashes, number // TABLES)
+    many = most_edits(ends - starts, percent) + 1
+    offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    begin, end, item = np.repeat(starts, many) + offset, np.repeat(ends, many), np.repeat(members, many)
+    ids, key = np.append(ids, 0), np.zeros(len(begin), np.int64)
+    for r in rounds:
+        at = walk.go(begin, r)
+        key = key * base + ids[at]
+        first = ids[at] if r == rounds[0] else first
+    inside = at < end
+    order = np.flatnonzero(inside)[np.argsort(key[inside], kind="stable")]
+    flags = np.zeros(base, bool)
+    flags[first[inside]] = True
+    return Table(number // TABLES, rounds, flags, key[order], np.stack([item[order], offset[order]], axis=1))
+
+
+def look_up(table: Table, walk: Walk, ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries, and starts of the windows that agree with them in all sampled words. ids: one more at the end."""
+    at = walk.go(starts, table.rounds[0])
+    hit = np.flatnonzero(table.first[ids[at]])
+    at, starts = at[hit], starts[hit]
+    key = ids[at].astype(np.int64)
+    for r, s in zip(table.rounds, table.rounds[1:]):
+        at = walk.go(at, s - r)
+        key = key * base + ids[at]
+    lo = np.searchsorted(table.keys, key)
+    hit = np.flatnonzero(table.keys[np.minimum(lo, len(table.keys) - 1)] == key) if len(table.keys) else lo[:0]
+    lo, many = lo[hit], np.searchsorted(table.keys, key[hit], "right") - lo[hit]
+    which = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+    return table.entries[which], np.repeat(starts[hit], many)
+
+
+@cache
+def tables_needed(lo: int, size: int, percent: int) -> int:
+    """How many tables of the class from lo find TARGET of random copies of items of some size with the
+    most edits, which may begin or end their document."""
+    k, rng, n, kinds = most_edits(size, percent), np.random.default_rng((7, lo)), COPIES, 1 << 20
+    if k == 0:
+        return 1
+    words, texts = rng.integers(1, kinds, (n, size)), []
+    for w in words.tolist():
+        for at, kind, new in zip(rng.random(k), rng.integers(0, 3, k).tolist(), rng.integers(1, kinds, k).tolist()):
+            at = int(at * len(w))
+            w[at : at + int(kind > 0)] = [new] * int(kind < 2)
+        around = [rng.integers(1, kinds, 6 * rng.integers(0, 2)) for _ in range(2)]
+        texts.append(np.concatenate([around[0], np.array(w, np.int64), around[1]]))
+    text, row, found = np.concatenate(texts), np.repeat(np.arange(n), [len(t) for t in texts]), np.zeros(n, bool)
+    hashes, ids, starts = mix(text), np.append(text, 0), np.arange(len(text), dtype=np.int32)
+    begin = np.arange(n) * size
+    for number in range(WALKS * TABLES):
+        table = make_table(lo, number, np.arange(n), words.ravel(), mix(words.ravel()), begin, begin + size, percent, kinds)
+        entries, window = look_up(table, Walk(hashes, table.walk), ids, starts, kinds)
+        item = entries[:, 0]
+        found[item[row[window] == item]] = True
+        if found.mean() >= TARGET:
+            return number + 1
+    raise ValueError(f"{WALKS} walks find {found.mean():.3f} of items of {size} words at {percent} percent")
 
 
 @dataclass
 class Items:
     ids: list
-    words: list[np.ndarray]  #: numbers of the words of each item
+    words: list[np.ndarray]  #: numbers of the words of each item, from 1; 0 is any other word
     vocabulary: np.ndarray
-    levels: list[Level]
+    classes: list[Class]
+    bags: np.ndarray  #: sorted: item times the base, plus each of its words
     percent: int
 
+    @property
+    def base(self) -> int:
+        return len(self.vocabulary) + 1
+
     def edits(self, item: int) -> int:
-        return len(self.words[item]) * (100 - self.percent) // 100
+        return most_edits(len(self.words[item]), self.percent)
 
 
 def build(items: list[tuple[object, str | None]], percent: int) -> Items:
@@ -58,50 +191,56 @@ def build(items: list[tuple[object, str | None]], percent: int) -> Items:
         hashes += [h[a:b] for a, b in zip(first[:-1], first[1:])]
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
     words = [np.searchsorted(vocabulary, h).astype(np.int64) + 1 for h in hashes]
-    pieces, entries, length = [np.zeros((0, DEPTH), np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+    base, members, classes = len(vocabulary) + 1, {}, []
+    if base >= 1 << 21:
+        raise ValueError("a block of items has too many different words for one key")
     for i, w in enumerate(words):
-        if len(w) == 0:
-            continue
-        count = len(w) * (100 - percent) // 100 + 1
-        cuts = np.arange(count + 1) * len(w) // count
-        starts = cuts[:-1]
-        pieces.append(np.append(w, np.zeros(DEPTH, np.int64))[starts[:, None] + np.arange(DEPTH)])
-        entries.append(np.stack([np.full(count, i), starts], axis=1))
-        length.append(np.minimum(np.diff(cuts), DEPTH))
-    piece, entry, size = np.concatenate(pieces), np.concatenate(entries), np.concatenate(length)
-    base, node, levels = np.int64(len(vocabulary) + 1), np.zeros(len(piece), np.int64), []
-    for depth in range(int(size.max(initial=0))):
-        # numbered level by level, so that keys stay small whatever the vocabulary
-        keys, node = np.unique(node * base + piece[:, depth], return_inverse=True)
-        done = np.flatnonzero(size == depth + 1)
-        done = done[np.argsort(node[done], kind="stable")]
-        levels.append(Level(keys, entry[done], np.searchsorted(node[done], np.arange(len(keys) + 1))))
-        more = size > depth + 1
-        piece, entry, size, node = piece[more], entry[more], size[more], node[more]
-    return Items([i for i, _ in items], words, vocabulary, levels, percent)
-
-
-def candidates(items: Items, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, word where a piece of it stands, its place in the item) for a chunk's words."""
-    base = np.int64(len(items.vocabulary) + 1)
-    found, windows, offsets = [], [], []
-    alive = np.flatnonzero(ids)
-    node = np.zeros(len(alive), np.int64)
-    left = np.repeat(first[1:], np.diff(first))[alive] - alive
-    for depth, level in enumerate(items.levels):
-        inside = left > depth
-        alive, node, left = alive[inside], node[inside], left[inside]
-        want = node * base + ids[alive + depth]
-        node = np.minimum(np.searchsorted(level.keys, want), len(level.keys) - 1)
-        ok = level.keys[node] == want
-        alive, node, left = alive[ok], node[ok], left[ok]
-        lo, many = level.bounds[node], level.bounds[node + 1] - level.bounds[node]
-        which = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-        e = level.entries[which]
-        found.append(e[:, 0])
-        windows.append(np.repeat(alive, many))
-        offsets.append(e[:, 1])
-    return np.concatenate(found), np.concatenate(windows), np.concatenate(offsets)
+        if len(w):
+            members.setdefault(length_class(len(w)), []).append(i)
+    for (lo, hi), m in sorted(members.items()):
+        ends = np.cumsum([len(words[i]) for i in m])
+        starts = ends - [len(words[i]) for i in m]
+        ids, h = np.concatenate([words[i] for i in m]), np.concatenate([hashes[i] for i in m])
+        tables, missing, needed = [], set(m), max(tables_needed(lo, size, percent) for size in {lo, hi})
+        # beyond the target, every item stands in a table, so that its exact copies are always found
+        while len(tables) < needed or missing:
+            tables.append(make_table(lo, len(tables), np.array(m), ids, h, starts, ends, percent, base))
+            missing -= set(tables[-1].entries[:, 0].tolist())
+        classes.append(Class(lo, hi, tables))
+    bags = np.unique(np.concatenate([np.zeros(0, np.int64), *(i * base + w for i, w in enumerate(words))]))
+    return Items([i for i, _ in items], words, vocabulary, classes, bags, percent)
+
+
+def candidates(items: Items, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start of the window, its place in the item) for a chunk's words, each once."""
+    known, n = np.concatenate([[0], np.cumsum(ids > 0)]).astype(np.int32), len(ids)
+    at, ids = np.arange(n, dtype=np.int32), np.append(ids, 0).astype(np.int32)
+    starts = []
+    for c in items.classes:
+        k = most_edits(c.hi, items.percent)
+        starts.append(np.flatnonzero(known[np.minimum(at + (c.hi + 3 * k + 1), n)] - known[np.maximum(at - k, 0)] >= c.lo - most_edits(c.lo, items.percent)).astype(np.int32))
+    found, windows = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+    for w in range(1 + max(c.tables[-1].walk for c in items.classes)):
+        walk = Walk(hashes, w)
+        for c, s in zip(items.classes, starts):
+            for t in c.tables:
+                if t.walk == w and len(s):
+                    entries, window = look_up(t, walk, ids, s, items.base)
+                    found.append(entries)
+                    windows.append(window)
+    entries, most = np.concatenate(found), np.int64(1 + max(most_edits(c.hi, items.percent) for c in items.classes))
+    each = np.unique((entries[:, 0] * n + np.concatenate(windows)) * most + entries[:, 1])
+    return each // most // n, each // most % n, each % most
+
+
+def enough_words(items: Items, ids: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """For each candidate region lo to hi: does it hold as many words of the item as are needed?"""
+    size = hi - lo
+    each = np.repeat(np.arange(len(lo)), size)
+    word = ids[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    key = item[each] * items.base + word
+    inside = items.bags[np.minimum(np.searchsorted(items.bags, key), len(items.bags) - 1)] == key
+    return np.bincount(each[inside], minlength=len(lo)) >= need
 
 
 def best_edits(item: np.ndarray, text: np.ndarray) -> int:
@@ -129,31 +268,35 @@ def best_edits(item: np.ndarray, text: np.ndarray) -> int:
 def in_chunk(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """(row, item, edits) of the chunk's texts."""
     hashes, first = word_hashes(data, offsets, NOT_WORD)
-    if not len(hashes) or not len(items.vocabulary):
+    if not len(hashes) or not items.classes:
         return []
     ids = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
     ids = np.where(items.vocabulary[ids] == hashes, ids + 1, 0)
-    item, window, offset = candidates(items, ids, first)
-    # the window stands in its text, also where the item's first words, and so its place, would not
+    item, window, offset = candidates(items, hashes, ids)
+    if not len(item):
+        return []
+    # the window begins in its text, also where the item's first words, and so its place, would not
     rows = np.searchsorted(first, window, "right") - 1
-    place = np.maximum(window - offset, first[rows])
-    order = np.lexsort((place, rows, item))
+    length = np.array([len(w) for w in items.words])[item]
+    k = np.array([items.edits(i) for i in range(len(items.words))])[item]
+    place = window - offset
+    lo, hi = np.maximum(place - k, first[rows]), np.minimum(place + length + 3 * k + 1, first[rows + 1])
+    keep = np.concatenate([enough_words(items, ids, *(x[i : i + SOME] for x in (item, lo, hi, length - k))) for i in range(0, len(item), SOME)])
+    order = np.flatnonzero(keep)
+    order = order[np.lexsort((lo[order], rows[order], item[order]))]
     out: dict[tuple[int, int], int] = {}
-    read: tuple = (-1, -1, -1)
-    for i, r, p in zip(item[order].tolist(), rows[order].tolist(), place[order].tolist()):
-        k, w = items.edits(i), items.words[i]
-        if read[:2] == (i, r) and p - read[2] <= k:
-            continue  # the region already read holds all of this place's
-        read = (i, r, p)
-        if out.get((r, i)) == 0:
-            continue
-        a, b = max(first[r], p - k), min(first[r + 1], p + len(w) + 3 * k + 1)
-        region = ids[a:b]
-        if np.isin(region, w).sum() < len(w) - k:
-            continue
-        if (d := best_edits(w, region)) <= k:
-            out[r, i] = min(d, out.get((r, i), d))
-    return [(r, i, d) for (r, i), d in out.items()]
+    i = 0
+    while i < len(order):
+        # overlapping regions of one item and text are read as one
+        c = order[i]
+        pair, a, b = (int(rows[c]), int(item[c])), int(lo[c]), int(hi[c])
+        i += 1
+        while i < len(order) and (rows[order[i]], item[order[i]]) == pair and lo[order[i]] <= b:
+            b = max(b, int(hi[order[i]]))
+            i += 1
+        if out.get(pair) != 0 and (d := best_edits(items.words[pair[1]], ids[a:b])) <= items.edits(pair[1]):
+            out[pair] = min(d, out.get(pair, d))
+    return [(r, it, d) for (r, it), d in out.items()]
 
 
 def item_blocks(benchmark: DataFrame, percent: int, item_id: str, item_text: str) -> Iterator[Broadcast]:
@@ -171,7 +314,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, doc_
 
     Words are runs of ASCII letters, digits and any other than ASCII characters, A-Z lowered.
     A document holds an item of n words when a run of its words is at most
-    n * (100 - percent) // 100 edits away; of several such runs the one of fewest edits counts. Null
+    n * (100 - percent) // 100 edits away; of several such runs found the one of fewest edits counts.
+    Copies with the most edits are found at the rate TARGET at least, exact copies always. Null
     and empty texts, and items without a word, match nothing. Any length of text or item works: a
     long text is read alone, whole. Of repeated rows each is reported; null ids stay null; an empty
     table on either side gives an empty one; other columns are not read.
