@@ -38,6 +38,12 @@ def best_trees(scored: DataFrame, k: int, topology: str = "topology", score: str
     return once.orderBy(F.desc(score), topology).limit(k)
 
 
+def ranked(scored: DataFrame, k: int, topology: str = "topology", score: str = "lnl") -> DataFrame:
+    """The k best topologies with their ranks from 1; the n-th best is where rank = n."""
+    best = best_trees(scored, k, topology, score)
+    return best.select(F.row_number().over(Window.orderBy(F.desc(score), topology)).alias("rank"), topology, score)
+
+
 def criterion(name: str, lnl: Column, k: Column, n: Column) -> Column:
     """The score, smaller is better, of a fit with k parameters to n sites."""
     aic = 2 * (k - lnl)

@@ -22,40 +22,64 @@ from arborspark.sources.newick import Tree, parse, write
 BROADCAST_BYTES = 64 << 20  #: pattern tables up to this size are sent to every task
 
 
+def blocks_of(b: pd.DataFrame, tree: Tree, models: dict[int, Model]) -> Iterator[tuple[int, pd.DataFrame, Block]]:
+    """The patterns of a batch as blocks: of one partition and, where patterns have a `rate`, of one rate."""
+    keys = ["part_id", "rate"] if "rate" in b else ["part_id"]
+    for key, g in b.groupby(keys):
+        model = models[int(key[0])] if len(keys) == 1 else models[int(key[0])].with_(categories=1)
+        rated = tree if len(keys) == 1 else [(u, v, z ** key[1]) for u, v, z in tree]
+        yield int(key[0]), g, Block(np.stack(g["codes"].to_numpy()).astype(np.int64), g["weight"].to_numpy(), model, rated)
+
+
 def log_likelihood(patterns: DataFrame, tree: Tree, models: dict[int, Model]) -> DataFrame:
-    """part_id, lnl, weight: patterns (part_id, weight, codes) stay where they are; each batch of a
-    partition is pruned on its own and the sums meet. Nothing but sums is shuffled."""
+    """part_id, lnl, weight: patterns (part_id, weight, codes, and rate where each has a rate of its own)
+    stay where they are; each batch of a partition is pruned on its own and the sums meet. Nothing but
+    sums is shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for part, g in b.groupby("part_id"):
-                block = Block(np.stack(g["codes"].to_numpy()).astype(np.int64), g["weight"].to_numpy(), models[part], tree)
-                rows.append((part, block.lnl(*root_edge(tree)), int(g["weight"].sum())))
+            rows = [(part, x.lnl(*root_edge(tree)), int(g["weight"].sum())) for part, g, x in blocks_of(b, tree, models)]
             yield pd.DataFrame(rows, columns=["part_id", "lnl", "weight"])
 
-    sums = patterns.select("part_id", "weight", "codes").mapInPandas(run, "part_id int, lnl double, weight long")
+    columns = [c for c in ("part_id", "weight", "codes", "rate") if c in patterns.columns]
+    sums = patterns.select(*columns).mapInPandas(run, "part_id int, lnl double, weight long")
     return sums.groupBy("part_id").agg(F.sum("lnl").alias("lnl"), F.sum("weight").alias("weight"))
 
 
+def derivatives(patterns: DataFrame, tree: Tree, models: dict[int, Model], edges: list[tuple[int, int]]) -> DataFrame:
+    """part_id, u, v, lnl, d1, d2: for each edge the log-likelihood and its derivatives by the branch's
+    length, a partial sum for each batch of patterns. Every batch needs its vectors only once for all edges."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for part, g, x in blocks_of(b, tree, models):
+                w = g["weight"].to_numpy()
+                for u, v in edges:
+                    rows.append((part, u, v, *(float(w @ y) for y in x.pattern_likelihoods(u, v, derivatives=True))))
+            yield pd.DataFrame(rows, columns=["part_id", "u", "v", "lnl", "d1", "d2"])
+
+    columns = [c for c in ("part_id", "weight", "codes", "rate") if c in patterns.columns]
+    return patterns.select(*columns).mapInPandas(run, "part_id int, u int, v int, lnl double, d1 double, d2 double")
+
+
 def pattern_likelihoods(patterns: DataFrame, tree: Tree, models: dict[int, Model], rates: list[float]) -> DataFrame:
     """The log-likelihood of each pattern under single rates: part_id, pattern_id, rate, lnl."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part, g in b.groupby("part_id"):
-                codes, w = np.stack(g["codes"].to_numpy()).astype(np.int64), g["weight"].to_numpy()
-                for r in rates:
-                    scaled = [(u, v, z**r) for u, v, z in tree]
-                    lnl = Block(codes, w, models[part].with_(categories=1), scaled).pattern_likelihoods(*root_edge(tree))
-                    yield pd.DataFrame({"part_id": part, "pattern_id": g["pattern_id"], "rate": r, "lnl": lnl})
+            for r in rates:
+                for part, g, x in blocks_of(b.assign(rate=r), tree, models):
+                    yield pd.DataFrame({"part_id": part, "pattern_id": g["pattern_id"], "rate": r, "lnl": x.pattern_likelihoods(*root_edge(tree))})
 
     return patterns.select("part_id", "pattern_id", "weight", "codes").mapInPandas(run, "part_id int, pattern_id int, rate double, lnl double")
 
 
 def site_rates(patterns: DataFrame, tree: Tree, models: dict[int, Model], grid: list[float]) -> DataFrame:
-    """The best single rate of each pattern from a grid: part_id, pattern_id, rate, lnl."""
-    best = pattern_likelihoods(patterns, tree, models, grid).groupBy("part_id", "pattern_id").agg(F.max(F.struct("lnl", "rate")).alias("b"))
+    """The best single rate of each pattern from a grid, of equally good ones (to nine digits) the
+    greatest: part_id, pattern_id, rate, lnl."""
+    tried = pattern_likelihoods(patterns, tree, models, grid).withColumn("lnl", F.round("lnl", 9))
+    best = tried.groupBy("part_id", "pattern_id").agg(F.max(F.struct("lnl", "rate")).alias("b"))
     return best.select("part_id", "pattern_id", "b.rate", "b.lnl")
 
 

@@ -7,17 +7,20 @@ all else is undetermined. Sites fall into four partitions, two of them interleav
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborspark.functions.encoding import DNA, decode
-from arborspark.functions.numerics import equal_rates
+from arborspark.functions.numerics import Model, equal_rates
 from arborspark.operators import alignment as A
 from arborspark.operators import frequencies as E
 from arborspark.operators import quartets as Q
 from arborspark.operators import trees as T
-from arborspark.plans.likelihood import categorise, log_likelihood, site_rates
+from arborspark.plans.likelihood import categorise, derivatives, log_likelihood, pattern_likelihoods, site_rates
+from arborspark.sources.newick import splits, to_edges, write
 from arborspark.sources.partitions import misassigned, partitions, site_map
 from arborspark.sources.tables import materialise
 
@@ -301,39 +304,177 @@ ORACLE_SQL = {
 } | {f"model_select_{n}": _criterion(n) for n in ("ml", "aic", "bic", "aicc")}
 
 
-# Queries that SQL can't say, or not in reasonable time; tests hold them against brute force.
+# Likelihoods on the caterpillar over all taxa by name, every branch exp(-t) = 0.9.
+Z = 0.9
+GRID = [0.05, 0.2, 0.5, 1.0, 2.0, 4.0]
+PSR_CATEGORIES = 4
+
+
 def pattern_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     c = cells(spark, sf_dir)
     n = c.agg(F.max("taxon_id")).first()[0] + 1
     return materialise(A.pattern_codes(c, found(spark, c), n, ANY), "patterns"), n
 
 
-def caterpillar(n: int, z: float = 0.9) -> list[tuple[int, int, float]]:
+def caterpillar(n: int, z: float = Z) -> list[tuple[int, int, float]]:
     """The caterpillar over tips 0 to n-1 in order."""
     inner = list(range(n, 2 * n - 2))
     edges = [(inner[0], 0, z), (inner[-1], n - 1, z)] + [(inner[i - 1], i, z) for i in range(1, n - 1)]
     return edges + [(a, b, z) for a, b in zip(inner, inner[1:])]
 
 
+def equal_models(alphas: list[float] | None = None) -> dict[int, Model]:
+    return {p: equal_rates(4, alpha=alphas[p]) if alphas else equal_rates(4, categories=1) for p in range(len(PARTS))}
+
+
+ALPHAS = [0.5 + p for p in range(len(PARTS))]
+
+
 def tree_loglik(spark, sf_dir):
     """The likelihood of all sites on a caterpillar of all taxa, equal rates, by partition."""
     table, n = pattern_table(spark, sf_dir)
-    models = {p: equal_rates(4, categories=1) for p in range(4)}
-    return log_likelihood(table, caterpillar(n), models).select("part_id", F.round("lnl", 4).alias("lnl"), "weight")
+    return log_likelihood(table, caterpillar(n), equal_models()).select("part_id", F.round("lnl", 4).alias("lnl"), "weight")
 
 
 def tree_loglik_gamma(spark, sf_dir):
+    """The same under four gamma rates, of another shape for each partition."""
     table, n = pattern_table(spark, sf_dir)
-    models = {p: equal_rates(4, alpha=0.5 + p) for p in range(4)}
-    return log_likelihood(table, caterpillar(n), models).select("part_id", F.round("lnl", 4).alias("lnl"), "weight")
+    return log_likelihood(table, caterpillar(n), equal_models(ALPHAS)).select("part_id", F.round("lnl", 4).alias("lnl"), "weight")
 
 
-def rate_categorise(spark, sf_dir):
+def site_loglik(spark, sf_dir):
+    """Log-likelihoods of single patterns: their number, extremes and weighted sum by partition."""
+    table, n = pattern_table(spark, sf_dir)
+    each = pattern_likelihoods(table, caterpillar(n), equal_models(), [1.0]).join(table.select("part_id", "pattern_id", "weight"), ["part_id", "pattern_id"])
+    return each.groupBy("part_id").agg(F.count("*").alias("patterns"), F.round(F.min("lnl"), 6).alias("least"), F.round(F.max("lnl"), 6).alias("most"), F.round(F.sum(F.col("lnl") * F.col("weight")), 4).alias("lnl"))
+
+
+def edge_derivatives(spark, sf_dir):
+    """Log-likelihood and its two derivatives by the length of the last taxon's branch, summed over blocks of patterns."""
     table, n = pattern_table(spark, sf_dir)
-    models = {p: equal_rates(4, categories=1) for p in range(4)}
-    rates = site_rates(table, caterpillar(n), models, [0.05, 0.2, 0.5, 1.0, 2.0, 4.0]).join(table.select("part_id", "pattern_id", "weight"), ["part_id", "pattern_id"])
-    out = categorise(rates, 4)
-    return out.groupBy("part_id", "category").agg(F.count("*").alias("patterns"), F.round(F.first("category_rate"), 6).alias("rate"))
+    out = derivatives(table, caterpillar(n), equal_models(), [(2 * n - 3, n - 1)])
+    return out.groupBy("part_id").agg(*(F.round(F.sum(c), 4).alias(c) for c in ("lnl", "d1", "d2")))
+
+
+def psr(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, DataFrame]:
+    table, n = pattern_table(spark, sf_dir)
+    rates = site_rates(table, caterpillar(n), equal_models(), GRID).join(table.select("part_id", "pattern_id", "weight"), ["part_id", "pattern_id"])
+    return table, n, categorise(materialise(rates, "rates"), PSR_CATEGORIES)
+
+
+def rate_categorise(spark, sf_dir):
+    return psr(spark, sf_dir)[2].groupBy("part_id", "category").agg(F.count("*").alias("patterns"), F.round(F.first("category_rate"), 6).alias("rate"))
+
+
+def psr_loglik(spark, sf_dir):
+    """The likelihood with one rate for each pattern, that of its category."""
+    table, n, rates = psr(spark, sf_dir)
+    rated = table.join(rates.select("part_id", "pattern_id", F.col("category_rate").alias("rate")), ["part_id", "pattern_id"])
+    return log_likelihood(rated, caterpillar(n), equal_models()).select("part_id", F.round("lnl", 4).alias("lnl"), "weight")
+
+
+def newick_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The two caterpillars of `orders` as Newick text, and the taxon names."""
+    names = [r["source"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("source").distinct().orderBy("source").collect()]
+    places = orders(spark, sf_dir).orderBy("tree_id", "place").collect()
+    rows = []
+    for tree_id in (0, 1):
+        order = [r["taxon_id"] for r in places if r["tree_id"] == tree_id]
+        tree = [(u if u >= len(names) else order[u], v if v >= len(names) else order[v], z) for u, v, z in caterpillar(len(names))]
+        rows.append((tree_id, write(tree, names)))
+    return spark.createDataFrame(rows, "tree_id long, newick string"), names
 
 
-QUERIES |= {"tree_loglik": tree_loglik, "tree_loglik_gamma": tree_loglik_gamma, "rate_categorise": rate_categorise}
+def newick_bipartitions(spark, sf_dir):
+    trees, names = newick_trees(spark, sf_dir)
+    return splits(trees, names).select(F.col("tree_id").cast("int").alias("tree_id"), F.concat_ws(",", "split").alias("split"))
+
+
+def newick_rf_distance(spark, sf_dir):
+    trees, names = newick_trees(spark, sf_dir)
+    return T.rf_distance(splits(trees, names), 0, 1)
+
+
+def tree_lengths(spark, sf_dir):
+    trees, names = newick_trees(spark, sf_dir)
+    return to_edges(trees, names, lengths=True).select(F.col("tree_id").cast("int").alias("tree_id"), F.size("edges").alias("branches"), F.round(T.tree_length(F.col("edges")), 6).alias("length"))
+
+
+def ranked_trees(spark, sf_dir):
+    """The k-th best of scored topologies: every rank with its topology."""
+    return T.ranked(scored_pairs(spark, sf_dir), 20)
+
+
+def _walk(rates: str, z: float = Z) -> str:
+    """Common table expressions that prune the caterpillar from taxon 0 on: ends (part_id, first_site,
+    weight, rate, codes, n, likelihoods l of the states seen from the last taxon, e of a branch).
+    rates: a query of part_id, first_site, rate."""
+
+    def through(v: str) -> str:
+        return f"list_transform({v}, lambda x: e * x + (1 - e) / 4 * list_sum({v}))"
+
+    def tip(i: str) -> str:
+        return f"list_transform([0, 1, 2, 3], lambda b: ((codes[{i}] >> b) & 1)::DOUBLE)"
+
+    def times(a: str, b: str) -> str:
+        return f"list_transform([1, 2, 3, 4], lambda s: ({a})[s] * ({b})[s])"
+
+    return f""",
+    nt AS (SELECT count(*) AS n FROM ids),
+    cols AS (SELECT part_id, first_site, weight, list(coalesce(code, 15) ORDER BY taxon_id) AS codes FROM (SELECT p.part_id, p.first_site, p.weight, i.taxon_id, c.code FROM pats p CROSS JOIN ids i LEFT JOIN cells c ON c.site = p.first_site AND c.taxon_id = i.taxon_id) GROUP BY ALL),
+    rts AS ({rates}),
+    tipped AS (SELECT part_id, first_site, weight, rate, codes, n, e, {times(through(tip("1")), through(tip("2")))} AS l
+               FROM (SELECT cols.*, rate, n, pow({z}, 4.0 / 3.0 * rate) AS e FROM cols JOIN rts USING (part_id, first_site), nt)),
+    steps AS (SELECT *, 3 AS i FROM tipped
+              UNION ALL SELECT part_id, first_site, weight, rate, codes, n, e, {times(through("l"), through(tip("i")))} AS l, i + 1 FROM steps WHERE i < n),
+    ends AS (SELECT part_id, first_site, weight, rate, codes, n, e, l FROM steps WHERE i = n),
+    lik AS (SELECT part_id, first_site, weight, rate, e, l, {tip("n")} AS t, list_sum({times("l", through(tip("n")))}) / 4 AS f FROM ends)"""
+
+
+def _rates(values: list[float]) -> str:
+    return "SELECT part_id, first_site, unnest([" + ", ".join(repr(float(v)) for v in values) + "]) AS rate FROM pats"
+
+
+def _gamma_rates() -> str:
+    each = (f"SELECT {p} AS part_id, unnest([{', '.join(repr(float(r)) for r in m.rates)}]) AS rate" for p, m in equal_models(ALPHAS).items())
+    return f"SELECT part_id, first_site, rate FROM pats JOIN ({' UNION ALL '.join(each)}) USING (part_id)"
+
+
+_RATED = f""",
+    tried AS (SELECT part_id, first_site, weight, rate, round(ln(f), 9) AS lnl FROM lik),
+    best AS (SELECT part_id, first_site, weight, rate, lnl FROM (SELECT *, row_number() OVER (PARTITION BY part_id, first_site ORDER BY lnl DESC, rate DESC) AS rn FROM tried) WHERE rn = 1),
+    clu AS (SELECT part_id, rate AS cluster, row_number() OVER (PARTITION BY part_id ORDER BY sum(lnl), rate) AS rn FROM best GROUP BY part_id, rate),
+    kept AS (SELECT part_id, cluster, row_number() OVER (PARTITION BY part_id ORDER BY cluster) - 1 AS category FROM clu WHERE rn <= {PSR_CATEGORIES}),
+    near AS (SELECT b.part_id, first_site, weight, category, cluster, row_number() OVER (PARTITION BY b.part_id, first_site ORDER BY abs(cluster - rate), cluster) AS rn FROM best b JOIN kept k ON b.part_id = k.part_id),
+    mean AS (SELECT part_id, sum(cluster * weight) / sum(weight) AS mean FROM near WHERE rn = 1 GROUP BY part_id),
+    psr AS (SELECT part_id, first_site, weight, category, cluster / mean AS rate FROM near JOIN mean USING (part_id) WHERE rn = 1)"""
+_START = f"WITH RECURSIVE {_CELLS}{_PATTERNS}"
+
+QUERIES |= {
+    f.__name__: f
+    for f in (tree_loglik, tree_loglik_gamma, site_loglik, edge_derivatives, rate_categorise, psr_loglik, newick_bipartitions, newick_rf_distance, tree_lengths, ranked_trees)
+}
+ORACLE_SQL |= {
+    "tree_loglik": f"{_START}{_walk(_rates([1.0]))} SELECT part_id, round(sum(weight * ln(f)), 4) AS lnl, sum(weight) AS weight FROM lik GROUP BY part_id",
+    "tree_loglik_gamma": f"{_START}{_walk(_gamma_rates())}, mixed AS (SELECT part_id, first_site, any_value(weight) AS weight, avg(f) AS f FROM lik GROUP BY part_id, first_site) SELECT part_id, round(sum(weight * ln(f)), 4) AS lnl, sum(weight) AS weight FROM mixed GROUP BY part_id",
+    "site_loglik": f"{_START}{_walk(_rates([1.0]))} SELECT part_id, count(*) AS patterns, round(min(ln(f)), 6) AS least, round(max(ln(f)), 6) AS most, round(sum(weight * ln(f)), 4) AS lnl FROM lik GROUP BY part_id",
+    "edge_derivatives": f"""{_START}{_walk(_rates([1.0]))},
+        d AS (SELECT part_id, weight, f, -4.0 / 3.0 * e * list_sum(list_transform([1, 2, 3, 4], lambda s: l[s] * (t[s] - list_sum(t) / 4))) / 4 AS g FROM lik)
+        SELECT part_id, round(sum(weight * ln(f)), 4) AS lnl, round(sum(weight * g / f), 4) AS d1, round(sum(weight * (-4.0 / 3.0 * g / f - (g / f) * (g / f))), 4) AS d2 FROM d GROUP BY part_id""",
+    "rate_categorise": f"{_START}{_walk(_rates(GRID))}{_RATED} SELECT part_id, category, count(*) AS patterns, round(any_value(rate), 6) AS rate FROM psr GROUP BY part_id, category",
+    "newick_bipartitions": f"WITH {_ORDERS} SELECT tree_id, split FROM splits",
+    "newick_rf_distance": ORACLE_SQL["rf_distance"],
+    "tree_lengths": f"SELECT tree_id, 2 * n - 3 AS branches, round((2 * n - 3) * -ln({Z}), 6) AS length FROM (SELECT count(DISTINCT source) AS n FROM documents), (SELECT unnest([0, 1]) AS tree_id)",
+    "ranked_trees": f"WITH {_CELLS}{_PAIRS}{_LIKE} SELECT rank, topology, lnl FROM (SELECT row_number() OVER (ORDER BY lnl DESC, a || '-' || b) AS rank, a || '-' || b AS topology, lnl FROM lik) WHERE rank <= 20",
+}
+
+
+def _second_walk() -> str:
+    """The names of _walk once more, for the categories that the first one gave."""
+    text = _walk("SELECT part_id, first_site, rate FROM psr")
+    for name in ("nt", "cols", "rts", "tipped", "steps", "ends", "lik"):
+        text = re.sub(rf"\b{name}\b", f"{name}2", text)
+    return text
+
+
+ORACLE_SQL["psr_loglik"] = f"{_START}{_walk(_rates(GRID))}{_RATED}{_second_walk()} SELECT part_id, round(sum(weight * ln(f)), 4) AS lnl, sum(weight) AS weight FROM lik2 GROUP BY part_id"
