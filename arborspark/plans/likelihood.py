@@ -1,13 +1,7 @@
-"""Likelihoods as Spark jobs.
-
-Two ways to spread the work: over independent rows (trees, quartets, candidates), each scored in
-one task against broadcast patterns whose size is checked; or over blocks of patterns, which any
-size of alignment allows, summed by partition.
-"""
+"""Likelihoods of an alignment as Spark jobs over blocks of patterns, summed by partition."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborspark.functions.numerics import ALPHA_MAX, ALPHA_MIN, Model
-from arborspark.plans.kernel import Block, root_edge, smooth, tree_of
-from arborspark.sources.newick import Tree, parse, write
-
-BROADCAST_BYTES = 64 << 20  #: pattern tables up to this size are sent to every task
+from arborspark.functions.numerics import Model
+from arborspark.plans.kernel import Block, root_edge
+from arborspark.sources.newick import Tree
 
 
 def blocks_of(b: pd.DataFrame, tree: Tree, models: dict[int, Model]) -> Iterator[tuple[int, pd.DataFrame, Block]]:
@@ -97,82 +89,3 @@ def categorise(rates: DataFrame, categories: int = 25) -> DataFrame:
     out = picked.join(F.broadcast(mean), "part_id").withColumn("category_rate", F.col("cluster") / F.col("mean"))
     number = kept.select("part_id", F.posexplode(F.array_sort(F.transform("kept", lambda c: c["cluster"]))).alias("category", "cluster"))
     return out.join(F.broadcast(number), ["part_id", "cluster"]).select("part_id", "pattern_id", "weight", "rate", "lnl", "category", "category_rate")
-
-
-def gathered(patterns: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(part_id, codes, weights) of a pattern table no larger than BROADCAST_BYTES; a larger one
-    has to be scored with log_likelihood, block by block."""
-    size = patterns.agg(F.sum(8 * F.size("codes") + 16)).first()[0] or 0
-    if size > BROADCAST_BYTES:
-        raise ValueError(f"{size} bytes of patterns are too many to broadcast; use log_likelihood")
-    rows = patterns.select("part_id", "weight", "codes").toPandas()
-    return [(int(p), np.stack(g["codes"].to_numpy()).astype(np.int64), g["weight"].to_numpy()) for p, g in rows.groupby("part_id")]
-
-
-def optimise_alpha(blocks: list[Block], make, rounds: int = 24) -> float:
-    """Golden-section search of the gamma shape, shared by the blocks; make(alpha) gives new blocks."""
-    lo, hi, ratio = math.log(ALPHA_MIN), math.log(ALPHA_MAX), (math.sqrt(5) - 1) / 2
-    score = lambda x: sum(b.lnl(*root_edge(tree_of(b.near))) for b in make(math.exp(x)))
-    a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-    fa, fb = score(a), score(b)
-    for _ in range(rounds):
-        if fa >= fb:
-            hi, b, fb = b, a, fa
-            a = hi - ratio * (hi - lo)
-            fa = score(a)
-        else:
-            lo, a, fa = a, b, fb
-            b = lo + ratio * (hi - lo)
-            fb = score(b)
-    return math.exp((lo + hi) / 2)
-
-
-def evaluate_trees(trees: DataFrame, patterns: DataFrame, models: dict[int, Model], names: list[str], passes: int = 8, shape: bool = False) -> DataFrame:
-    """Every tree with its branches (and, if asked, the gamma shape) optimised: tree_id, newick, lnl,
-    alpha, length. One row a tree, spread over the cluster; trees do not depend on each other."""
-    data = trees.sparkSession.sparkContext.broadcast(gathered(patterns))
-    tips = {n: i for i, n in enumerate(names)}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for tree_id, text in zip(b["tree_id"], b["newick"]):
-                tree, alpha = parse(text, tips), float("nan")
-                blocks = [Block(c, w, models[p], tree) for p, c, w in data.value]
-                smooth(blocks, passes)
-                if shape:
-                    tree = tree_of(blocks[0].near)
-                    make = lambda a, tree=tree: [Block(c, w, models[p].with_(alpha=a), tree) for p, c, w in data.value]
-                    alpha = optimise_alpha(blocks, make)
-                    blocks = make(alpha)
-                    smooth(blocks, passes)
-                tree = tree_of(blocks[0].near)
-                lnl = sum(x.lnl(*root_edge(tree)) for x in blocks)
-                rows.append((tree_id, write(tree, names), lnl, alpha, -sum(math.log(z) for _, _, z in tree)))
-            yield pd.DataFrame(rows, columns=["tree_id", "newick", "lnl", "alpha", "length"])
-
-    return trees.select("tree_id", "newick").mapInPandas(run, "tree_id long, newick string, lnl double, alpha double, length double")
-
-
-def score_quartets(quartets: DataFrame, patterns: DataFrame, models: dict[int, Model], passes: int = 4) -> DataFrame:
-    """The three topologies of each quartet with optimised branches: t1..t4, topology, lnl. Columns of
-    the pattern table that agree on the four taxa are merged again before they are scored."""
-    data = quartets.sparkSession.sparkContext.broadcast(gathered(patterns))
-    shapes = ((0, 1, 2, 3), (0, 2, 1, 3), (0, 3, 1, 2))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for taxa in b[["t1", "t2", "t3", "t4"]].itertuples(index=False):
-                merged = []
-                for p, codes, w in data.value:
-                    four, inverse = np.unique(codes[:, list(taxa)], axis=0, return_inverse=True)
-                    merged.append((p, four, np.bincount(inverse.ravel(), w)))
-                for k, (i, j, x, y) in enumerate(shapes):
-                    tree = [(4, i, 0.9), (4, j, 0.9), (5, x, 0.9), (5, y, 0.9), (4, 5, 0.9)]
-                    blocks = [Block(c, w, models[p], tree) for p, c, w in merged]
-                    smooth(blocks, passes, 1e-4)
-                    rows.append((*taxa, k, sum(z.lnl(4, 5) for z in blocks)))
-            yield pd.DataFrame(rows, columns=["t1", "t2", "t3", "t4", "topology", "lnl"])
-
-    return quartets.mapInPandas(run, "t1 int, t2 int, t3 int, t4 int, topology int, lnl double")

@@ -1,4 +1,4 @@
-"""Model parameters, partition by partition: each partition is fitted in one task, all in parallel."""
+"""Model parameters: small partitions are fitted each in one task, large ones by sweeps over their blocks."""
 
 from __future__ import annotations
 
@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborspark.functions.numerics import ALPHA_MAX, ALPHA_MIN, Model
+from arborspark.plans import blockwise
+from arborspark.plans.evaluate import gathered
 from arborspark.plans.kernel import Block, root_edge
-from arborspark.plans.likelihood import gathered
 from arborspark.sources.newick import Tree
 
 RATE_MIN, RATE_MAX = 1e-4, 1e4
+FLOOR = 0.001  #: least frequency of a state
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -60,7 +62,7 @@ def fit(codes: np.ndarray, weights: np.ndarray, model: Model, tree: Tree, alpha:
 
                 def moved(v: float, i: int = i, logs: np.ndarray = logs) -> Model:
                     e = np.exp(np.where(np.arange(len(logs)) == i, logs + v, logs))
-                    return model.with_(freqs=tuple(e / e.sum()))
+                    return model.with_(freqs=tuple(FLOOR + (1 - len(e) * FLOOR) * e / e.sum()))
 
                 step(moved, -2.0, 2.0)
         if alpha and model.categories > 1:
@@ -70,8 +72,17 @@ def fit(codes: np.ndarray, weights: np.ndarray, model: Model, tree: Tree, alpha:
     return model, best
 
 
-def fit_models(patterns: DataFrame, tree: Tree, models: dict[int, Model], alpha: bool = True, exchange: bool = True, freqs: bool = False, epsilon: float = 0.1) -> DataFrame:
-    """part_id, lnl, alpha, exchange, freqs of each partition on a fixed tree."""
+PARAMETERS = "part_id int, lnl double, alpha double, exchange array<double>, freqs array<double>"
+
+
+def fit_models(patterns: DataFrame, tree: Tree, models: dict[int, Model], alpha: bool = True, exchange: bool = True, freqs: bool = False, epsilon: float = 0.1, links: dict[int, int] | None = None) -> DataFrame:
+    """part_id, lnl, alpha, exchange, freqs of each partition on a fixed tree. Where all patterns are few,
+    a partition is fitted in one task; else, and where partitions share parameters (links: part_id to
+    group), all partitions are fitted at once by sweeps over the blocks."""
+    if links or gathered(patterns) is None:
+        fitted, _, _ = blockwise.fit(patterns, tree, models, alpha, exchange, freqs, epsilon=epsilon, links=links)
+        lnl = blockwise.score_candidates(patterns, tree, {p: [m] for p, m in fitted.items()})
+        return patterns.sparkSession.createDataFrame([(p, lnl[p][0], m.alpha, list(m.exchange), list(m.freqs)) for p, m in fitted.items()], PARAMETERS)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         part = int(g["part_id"].iloc[0])
@@ -79,25 +90,17 @@ def fit_models(patterns: DataFrame, tree: Tree, models: dict[int, Model], alpha:
         model, lnl = fit(codes, g["weight"].to_numpy(), models[part], tree, alpha, exchange, freqs, epsilon)
         return pd.DataFrame([(part, lnl, model.alpha, list(model.exchange), list(model.freqs))], columns=["part_id", "lnl", "alpha", "exchange", "freqs"])
 
-    return patterns.select("part_id", "weight", "codes").groupBy("part_id").applyInPandas(run, "part_id int, lnl double, alpha double, exchange array<double>, freqs array<double>")
+    return patterns.select("part_id", "weight", "codes").groupBy("part_id").applyInPandas(run, PARAMETERS)
 
 
 def score_models(patterns: DataFrame, tree: Tree, candidates: dict[str, Model], empirical: dict[int, tuple[float, ...]]) -> DataFrame:
     """Every partition under every named model, with its own frequencies and the partition's:
-    part_id, model, freq_mode, lnl, k, n, a row for each, scored in parallel. choose_models picks."""
-    spark, data = patterns.sparkSession, gathered(patterns)
-    shared = spark.sparkContext.broadcast({p: (c, w) for p, c, w in data})
-    rows = spark.createDataFrame([(p, name, mode) for p, _, _ in data for name in candidates for mode in ("fixed", "empirical")], "part_id int, model string, freq_mode string")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for part, name, mode in b.itertuples(index=False):
-                (codes, w), model = shared.value[part], candidates[name]
-                if mode == "empirical":
-                    model = model.with_(freqs=tuple(empirical[part]))
-                k = len(tree) + (model.states - 1) * (mode == "empirical") + (model.categories > 1)
-                out.append((part, name, mode, Block(codes, w, model, tree).lnl(*root_edge(tree)), k, int(w.sum())))
-            yield pd.DataFrame(out, columns=["part_id", "model", "freq_mode", "lnl", "k", "n"])
-
-    return rows.repartition(F.col("part_id"), F.col("model"), F.col("freq_mode")).mapInPandas(run, "part_id int, model string, freq_mode string, lnl double, k int, n long")
+    part_id, model, freq_mode, lnl, k, n. All candidates are scored in one pass over the blocks of
+    patterns. choose_models picks."""
+    rows = [(name, mode) for name in candidates for mode in ("fixed", "empirical")]
+    each = {p: [candidates[name] if mode == "fixed" else candidates[name].with_(freqs=tuple(f)) for name, mode in rows] for p, f in empirical.items()}
+    scores = blockwise.score_candidates(patterns, tree, each)
+    sites = {r["part_id"]: r["n"] for r in patterns.groupBy("part_id").agg(F.sum("weight").alias("n")).collect()}
+    parameters = lambda m, mode: len(tree) + (m.states - 1) * (mode == "empirical") + (m.categories > 1)
+    out = [(p, name, mode, s[i], parameters(candidates[name], mode), int(sites[p])) for p, s in scores.items() if p in sites for i, (name, mode) in enumerate(rows)]
+    return patterns.sparkSession.createDataFrame(out, "part_id int, model string, freq_mode string, lnl double, k int, n long")

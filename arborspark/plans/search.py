@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborspark.functions.numerics import Model
 from arborspark.operators.trees import best_trees
-from arborspark.plans.kernel import Block, optimise_edge, root_edge, smooth, tree_of
-from arborspark.plans.likelihood import gathered
-from arborspark.sources.newick import Tree, neighbours, parse, write
+from arborspark.plans import blockwise
+from arborspark.plans.blockwise import Case, smooth_cases
+from arborspark.plans.evaluate import evaluate_trees, gathered
+from arborspark.plans.kernel import Block, optimise_edge, root_edge, tree_of
+from arborspark.sources.newick import Tree, neighbours, parse, tip_sets, write
+from arborspark.sources.pattern_store import latest_snapshot, snapshot
 
 
 def moves(tree: Tree, n_tips: int, radius: int) -> Iterator[tuple[int, int, int, int]]:
@@ -44,63 +47,114 @@ def regraft(tree: Tree, node: int, cut: int, a: int, b: int) -> Tree:
     return [*kept, (p, q, joined), (cut, a, half), (cut, b, half)]
 
 
-def respects(splits: set[frozenset], tree: Tree, n_tips: int) -> bool:
+def respects(wanted: set[frozenset], tree: Tree, n_tips: int) -> bool:
     """Does the tree have every split of a constraint?"""
-    near = neighbours(tree)
-
-    def below(n: int, p: int) -> frozenset:
-        return frozenset([n]) if n < n_tips else frozenset().union(*(below(c, n) for c in near[n] if c != p))
+    return wanted <= tip_sets(tree, n_tips)
 
-    own = {s if 0 not in s else frozenset(range(n_tips)) - s for u, v, _ in tree for s in (below(v, u),)}
-    return splits <= own
 
-
-def spr_cycle(spark: SparkSession, newick: str, patterns: list, models: dict[int, Model], names: list[str], radius: int, keep: int, constraint: set[frozenset] = frozenset()) -> DataFrame:
-    """The `keep` best neighbours of a tree: topology (newick without lengths), newick, lnl. One row a
-    move; each is scored with the three branches around the graft optimised."""
-    tips = {n: i for i, n in enumerate(names)}
+def spr_cycle(patterns: DataFrame, newick: str, models: dict[int, Model], names: list[str], radius: int, keep: int, constraint: frozenset[frozenset] = frozenset(), local: list | None = None) -> DataFrame:
+    """The `keep` best neighbours of a tree: topology (newick without lengths), newick, lnl. Each move is
+    scored with the three branches around the graft optimised: in a task of its own where the patterns
+    are few (`local`), else all moves at once over the blocks of patterns."""
+    spark, tips = patterns.sparkSession, {n: i for i, n in enumerate(names)}
     tree = parse(newick, tips, lengths=True)
-    rows = spark.createDataFrame(list(moves(tree, len(names), radius)), "node int, cut int, a int, b int")
-    data = spark.sparkContext.broadcast(patterns)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for m in batches:
-            out = []
-            for node, cut, a, b in m.itertuples(index=False):
-                new = regraft(tree, node, cut, a, b)
-                if constraint and not respects(constraint, new, len(names)):
-                    continue
-                blocks = [Block(c, w, models[p], new) for p, c, w in data.value]
-                for x in (node, a, b):
-                    optimise_edge(blocks, cut, x, 8)
-                best = tree_of(blocks[0].near)
-                out.append((write(best, names, False), write(best, names), sum(x.lnl(*root_edge(best)) for x in blocks)))
-            yield pd.DataFrame(out, columns=["topology", "newick", "lnl"])
-
-    cores = spark.sparkContext.defaultParallelism
-    scored = rows.repartition(4 * cores).mapInPandas(run, "topology string, newick string, lnl double")
+    if local is None:
+        grafts = [(cut, node, a, b, regraft(tree, node, cut, a, b)) for node, cut, a, b in moves(tree, len(names), radius)]
+        cases = [Case(new, [(cut, x) for x in (node, a, b)]) for cut, node, a, b, new in grafts if new is not tree and (not constraint or respects(constraint, new, len(names)))]
+        done = [c.at(c.best) for c in smooth_cases(patterns, models, cases, 4)]
+        scored = spark.createDataFrame([(write(t, names, False), write(t, names), c.lnl) for t, c in zip(done, cases)], "topology string, newick string, lnl double")
+    else:
+        data = spark.sparkContext.broadcast(local)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for m in batches:
+                out = []
+                for node, cut, a, b in m.itertuples(index=False):
+                    new = regraft(tree, node, cut, a, b)
+                    if constraint and not respects(constraint, new, len(names)):
+                        continue
+                    blocks = [Block(c, w, models[p], new) for p, c, w in data.value]
+                    for x in (node, a, b):
+                        optimise_edge(blocks, cut, x, 8)
+                    best = tree_of(blocks[0].near)
+                    out.append((write(best, names, False), write(best, names), sum(x.lnl(*root_edge(best)) for x in blocks)))
+                yield pd.DataFrame(out, columns=["topology", "newick", "lnl"])
+
+        rows = spark.createDataFrame(list(moves(tree, len(names), radius)), "node int, cut int, a int, b int")
+        scored = rows.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(run, "topology string, newick string, lnl double")
     best = best_trees(scored.groupBy("topology").agg(F.max("lnl").alias("lnl"), F.max_by("newick", "lnl").alias("newick")).select("lnl", F.struct("topology", "newick").alias("t")), keep, "t")
     return best.select("t.topology", "t.newick", "lnl")
 
 
-def search(patterns: DataFrame, newick: str, models: dict[int, Model], names: list[str], radius: int = 5, most: int = 21, epsilon: float = 0.1, keep: int = 20, constraint: set[frozenset] = frozenset()) -> list[tuple[float, str]]:
-    """Hill climbing: every cycle scores all moves within the radius, smooths the best few and goes on
-    from the best; without gain the radius grows by 5 up to `most`. Returns (lnl, newick) by step."""
-    spark, data = patterns.sparkSession, gathered(patterns)
+def polished(rows: DataFrame, patterns: DataFrame, models: dict[int, Model], names: list[str]) -> list[tuple[float, str]]:
+    """(lnl, newick) of trees (newick) with all branches optimised, best first; one row a tree."""
+    numbered = rows.select(F.monotonically_increasing_id().alias("tree_id"), "newick")
+    found = evaluate_trees(numbered, patterns, models, names, passes=4, lengths=True).collect()
+    return sorted(((r["lnl"], r["newick"]) for r in found), key=lambda x: (-x[0], x[1]))
+
+
+def relative_distance(a: str, b: str, names: list[str]) -> float:
+    """Splits that two binary trees do not share, of all 2 (n - 3)."""
     tips = {n: i for i, n in enumerate(names)}
+    x, y = (tip_sets(parse(t, tips), len(names)) for t in (a, b))
+    return len(x ^ y) / max(1, 2 * (len(names) - 3))
 
-    def polished(text: str) -> tuple[float, str]:
-        blocks = [Block(c, w, models[p], parse(text, tips, lengths=True)) for p, c, w in data]
-        smooth(blocks, 4)
-        tree = tree_of(blocks[0].near)
-        return sum(b.lnl(*root_edge(tree)) for b in blocks), write(tree, names)
 
-    steps = [polished(newick)]
+def choose_radius(patterns: DataFrame, newick: str, models: dict[int, Model], names: list[str], most: int = 26) -> int:
+    """The radius up to which farther moves still pay: 5, 10, 15, ... until the best move of a cycle is no better."""
+    local, best, radius = gathered(patterns), float("-inf"), 5
+    while radius <= most:
+        top = spr_cycle(patterns, newick, models, names, radius, 1, local=local).first()
+        if top is None or top["lnl"] <= best + 1e-6:
+            break
+        best, radius = top["lnl"], radius + 5
+    return max(5, radius - 5)
+
+
+def search(
+    patterns: DataFrame, newick: str, models: dict[int, Model], names: list[str], radius: int = 5, most: int = 21, epsilon: float = 0.1, keep: int = 20,
+    constraint: frozenset[frozenset] = frozenset(), fit_model: bool = False, stop_distance: float = 0.0, folder: str | None = None,
+) -> list[tuple[float, str]]:
+    """Hill climbing: every cycle scores all moves within the radius, smooths the best few, a row each, and
+    goes on from the best; without gain the radius grows by 5 up to `most`. fit_model: model parameters
+    are optimised with the branches before the first cycle and after the last. stop_distance: stop when a cycle
+    changes the tree by no more than this relative distance. folder: every step is stored there as
+    a numbered snapshot (step, radius, lnl, newick), and a search begins where the last one ended.
+    Returns (lnl, newick) by step."""
+    spark, local = patterns.sparkSession, gathered(patterns)
+    row = lambda text: spark.createDataFrame([(text,)], "newick string")
+    steps: list[tuple[float, str]] = []
+
+    def take(step: tuple[float, str]) -> None:
+        steps.append(step)
+        if folder:
+            rows = [(i, radius, lnl, text) for i, (lnl, text) in enumerate(steps)]
+            snapshot(spark.createDataFrame(rows, "step int, radius int, lnl double, newick string").coalesce(1), folder, len(steps) - 1)
+
+    def fitted(text: str) -> tuple[float, str]:
+        tips = {n: i for i, n in enumerate(names)}
+        own, tree, lnl = blockwise.fit(patterns, parse(text, tips, lengths=True), models, branches=True)
+        models.update(own)
+        return lnl, write(tree, names)
+
+    before = latest_snapshot(spark, folder) if folder else None
+    if before is not None:
+        rows = before.orderBy("step").collect()
+        steps, radius = [(r["lnl"], r["newick"]) for r in rows], rows[-1]["radius"]
+    else:
+        take(polished(row(newick), patterns, models, names)[0])
+        if fit_model:
+            take(fitted(steps[-1][1]))
     while radius <= most:
-        found = spr_cycle(spark, steps[-1][1], data, models, names, radius, keep, constraint).limit(3).collect()
-        best = max((polished(r["newick"]) for r in found), default=(float("-inf"), ""))
+        top = spr_cycle(patterns, steps[-1][1], models, names, radius, keep, constraint, local).limit(3)
+        best = next(iter(polished(top, patterns, models, names)), (float("-inf"), ""))
         if best[0] > steps[-1][0] + epsilon:
-            steps.append(best)
+            near = relative_distance(best[1], steps[-1][1], names) <= stop_distance
+            take(best)
+            if near:
+                break
         else:
             radius += 5
+    if fit_model:
+        take(fitted(steps[-1][1]))
     return steps

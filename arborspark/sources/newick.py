@@ -77,15 +77,37 @@ def write(tree: Tree, names: list[str], lengths: bool = True) -> str:
     """Canonical text: rooted at the inner node next to tip 0, children by their smallest tip."""
     near = neighbours(tree)
     root = next(iter(near[0]))
-
-    def text(node: int, parent: int) -> tuple[int, str]:
-        tail = f":{-math.log(near[node][parent]):.10f}" if lengths and parent >= 0 else ""
-        if node < len(names):
-            return node, names[node] + tail
-        below = sorted(text(c, node) for c in near[node] if c != parent)
-        return below[0][0], "(" + ",".join(t for _, t in below) + ")" + tail
-
-    return text(root, -1)[1] + ";"
+    order, above = [root], {root: -1}
+    for n in order:
+        for c in near[n]:
+            if c != above[n]:
+                above[c] = n
+                order.append(c)
+    # joined from the tips on, without recursion: the least tip and the text of what is below
+    text: dict[int, tuple[int, str]] = {}
+    for n in reversed(order):
+        tail = f":{-math.log(near[n][above[n]]):.10f}" if lengths and n != root else ""
+        if n < len(names):
+            text[n] = n, names[n] + tail
+            continue
+        below = sorted(text.pop(c) for c in near[n] if c != above[n])
+        text[n] = below[0][0], "(" + ",".join(t for _, t in below) + ")" + tail
+    return text[root][1] + ";"
+
+
+def tip_sets(tree: Tree, n_tips: int) -> set[frozenset[int]]:
+    """The inner splits of a tree: tips of the side without tip 0."""
+    near = neighbours(tree)
+    order, above = [0], {0: -1}
+    for n in order:
+        for c in near[n]:
+            if c != above[n]:
+                above[c] = n
+                order.append(c)
+    under = {n: {n} if n < n_tips else set() for n in order}
+    for n in reversed(order[1:]):
+        under[above[n]] |= under[n]
+    return {frozenset(under[n]) for n in order[1:] if n >= n_tips and 2 <= len(under[n]) <= n_tips - 2}
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
@@ -112,19 +134,7 @@ def splits(trees: DataFrame, names: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for tree_id, newick in zip(b["tree_id"], b["newick"]):
-                near = neighbours(parse(newick, tips))
-                order, above = [0], {0: -1}
-                for n in order:
-                    for c in near[n]:
-                        if c != above[n]:
-                            above[c] = n
-                            order.append(c)
-                under = {n: {n} if n < len(names) else set() for n in order}
-                for n in reversed(order[1:]):
-                    under[above[n]] |= under[n]
-                rows += [(tree_id, sorted(under[n])) for n in order[1:] if n >= len(names) and 2 <= len(under[n]) <= len(names) - 2]
+            rows = [(tree_id, sorted(x)) for tree_id, text in zip(b["tree_id"], b["newick"]) for x in tip_sets(parse(text, tips), len(names))]
             yield pd.DataFrame(rows, columns=["tree_id", "split"])
 
     return trees.mapInPandas(run, "tree_id long, split array<int>")

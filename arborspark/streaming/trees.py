@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborspark.functions.numerics import Model
-from arborspark.plans.likelihood import evaluate_trees
+from arborspark.plans.evaluate import evaluate_trees
 
 
 def tree_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,8 +11,10 @@ from arborspark.functions.encoding import AA, BINARY, DNA, decode, encode
 from arborspark.functions.numerics import Model, equal_rates, gamma_rates, lower_gamma
 from arborspark.operators import alignment, frequencies, quartets, trees
 from arborspark.plans.kernel import Block, root_edge, smooth, tree_of
-from arborspark.plans.likelihood import categorise, evaluate_trees, log_likelihood, score_quartets, site_rates
-from arborspark.plans.search import moves, regraft, search
+from arborspark.plans import blockwise, evaluate
+from arborspark.plans.evaluate import evaluate_trees, score_quartets
+from arborspark.plans.likelihood import categorise, derivatives, log_likelihood, site_rates
+from arborspark.plans.search import choose_radius, moves, regraft, relative_distance, search
 from arborspark.queries import caterpillar
 from arborspark.sources import newick, partitions, phylip, pattern_store
 
@@ -194,6 +196,83 @@ def test_trees_quartets_and_search(spark):
     assert newick.write(newick.parse(steps[-1][1], TIPS), NAMES, False) == "(a,b,(c,(d,e)));"
 
 
+def test_large_alignments_stay_in_their_blocks(spark, monkeypatch, tmp_path):
+    table, models = simulated(spark)
+    table = table.repartition(3)
+    rows = spark.createDataFrame([(1, "((a,b),(c,(d,e)));"), (2, "((a,d),(c,(b,e)));")], "tree_id long, newick string")
+    four = quartets.all_quartets(spark.createDataFrame([(i,) for i in range(5)], "taxon_id int"))
+    near = {r["tree_id"]: r["lnl"] for r in evaluate_trees(rows, table, models, NAMES).collect()}
+    scores = {tuple(r)[:5]: r["lnl"] for r in score_quartets(four, table, models).collect()}
+    monkeypatch.setattr(evaluate, "BROADCAST_BYTES", 0)
+    assert evaluate.gathered(table) is None
+    far = {r["tree_id"]: r["lnl"] for r in evaluate_trees(rows, table, models, NAMES).collect()}
+    assert far == pytest.approx(near, abs=0.01)
+    assert {tuple(r)[:5]: r["lnl"] for r in score_quartets(four, table, models).collect()} == pytest.approx(scores, abs=0.01)
+    steps = search(table, "((a,d),(c,(b,e)));", models, NAMES, radius=2, most=2, folder=str(tmp_path / "steps"))
+    assert newick.write(newick.parse(steps[-1][1], TIPS), NAMES, False) == "(a,b,(c,(d,e)));"
+    again = search(table, "((a,d),(c,(b,e)));", models, NAMES, radius=2, most=2, folder=str(tmp_path / "steps"))
+    assert again[: len(steps)] == steps
+
+
+def test_derivatives_are_summed_over_blocks(spark):
+    table, models = simulated(spark)
+    whole = Block(*(np.array(x) for x in zip(*((r["codes"], r["weight"]) for r in table.collect()))), models[0], TREE)
+    for r in derivatives(table.repartition(3), TREE, models, [(u, v) for u, v, _ in TREE]).groupBy("u", "v").agg(*(F.sum(c).alias(c) for c in ("lnl", "d1", "d2"))).collect():
+        assert (r["lnl"], r["d1"], r["d2"]) == pytest.approx((whole.lnl(r["u"], r["v"]), *whole.slopes(r["u"], r["v"], whole.near[r["u"]][r["v"]])))
+
+
+def test_models_are_fitted_over_blocks_and_linked(spark):
+    table, models = simulated(spark, 200)
+    two = table.withColumn("part_id", (F.col("pattern_id") % 2).cast("int")).repartition(3)
+    start = {p: models[0].with_(exchange=(4.0, 0.3, 2.0, 1.0, 0.5, 1.0)) for p in (0, 1)}
+    before = sum(r["lnl"] for r in log_likelihood(two, TREE, start).collect())
+    free, _, best = blockwise.fit(two, TREE, start, alpha=False, freqs=True, cycles=2)
+    shared, _, tied = blockwise.fit(two, TREE, start, alpha=False, cycles=2, links={0: 7, 1: 7})
+    assert before < tied <= best + 1e-6 and shared[0].exchange == shared[1].exchange and free[0].exchange != free[1].exchange
+    assert sum(r["lnl"] for r in log_likelihood(two, TREE, free).collect()) == pytest.approx(best)
+    assert all(min(m.freqs) >= 0.001 and sum(m.freqs) == pytest.approx(1) for m in free.values())
+
+
+def test_radius_distance_and_deep_trees(spark):
+    table, models = simulated(spark, 100)
+    assert choose_radius(table, newick.write(TREE, NAMES), models, NAMES) in (5, 10)
+    assert relative_distance("((a,b),(c,(d,e)));", "((a,c),(b,(d,e)));", NAMES) == 0.5
+    n = 1200
+    names = [f"t{i:04d}" for i in range(n)]
+    text = newick.write(caterpillar(n), names)
+    assert len(newick.tip_sets(newick.parse(text, {x: i for i, x in enumerate(names)}), n)) == n - 3
+
+
+def test_site_rates_enter_the_likelihood(spark):
+    table, models = simulated(spark, 80)
+    rated = table.withColumn("rate", F.when(F.col("pattern_id") % 2 == 0, 0.5).otherwise(2.0))
+    want = 0.0
+    for r in rated.collect():
+        want += r["weight"] * brute(r["codes"], models[0], [(u, v, z ** r["rate"]) for u, v, z in TREE])
+    assert log_likelihood(rated, TREE, models).first()["lnl"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("categories", [1, 2])
+def test_twenty_states(categories):
+    rng = np.random.default_rng(5)
+    model = Model(tuple(rng.dirichlet(np.ones(20) * 5)), tuple(rng.gamma(1.0, 1.0, 190)), alpha=0.7, categories=categories)
+    tree = newick.parse("(a:0.1,b:0.2,(c:0.3,d:0.1):0.4);", {n: i for i, n in enumerate("abcd")}, True)
+    codes = np.array([[AA.mask(c) for c in column] for column in ("AACA", "WYFW", "B-ZX", "KRKQ")])
+    got = Block(codes, np.ones(4), model, tree).pattern_likelihoods(*root_edge(tree))
+    root = next(u for u, v, _ in tree if v == 0)
+    other = ({u for u, _, _ in tree} | {v for _, v, _ in tree}) - {0, 1, 2, 3, root}
+    (other,) = other
+    z = {frozenset((u, v)): z for u, v, z in tree}
+    for row, lnl in zip(codes, got):
+        tip = [np.array([m >> s & 1 for s in range(20)], float) for m in row]
+        total = 0.0
+        for k in range(len(model.rates)):
+            p = {e: model.transition(x)[k] for e, x in z.items()}
+            far = (p[frozenset((other, 2))] @ tip[2]) * (p[frozenset((other, 3))] @ tip[3])
+            total += np.array(model.freqs) @ ((p[frozenset((root, 0))] @ tip[0]) * (p[frozenset((root, 1))] @ tip[1]) * (p[frozenset((root, other))] @ far))
+        assert lnl == pytest.approx(math.log(total / len(model.rates)))
+
+
 def test_moves_give_trees():
     for node, cut, a, b in moves(TREE, 5, 3):
         new = regraft(TREE, node, cut, a, b)
