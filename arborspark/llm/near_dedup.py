@@ -290,7 +290,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
 
     dense = materialise(salted_join(trees.select("id", "region"), counts, "region", "size", total).select(F.col("region").alias("cell"), "id"), "members")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense.select("id")).distinct()
-    sets = materialise(rows.join(wanted, "id", "left_semi").mapInArrow(one_set, "id long, shingles binary").dropDuplicates(["id", "shingles"]), "sets")
+    # where these are few, no text is shuffled
+    wanted = broadcast_if_small(materialise(wanted, "wanted"))
+    sets = rows.join(wanted, "id", "left_semi").mapInArrow(one_set, "id long, shingles binary")
+    sets = materialise(sets if has_plain_ids(some, "id") else sets.dropDuplicates(["id", "shingles"]), "sets")
 
     links, comp, left = None, None, pairs
     for r in range(ROUNDS + 1):
