@@ -409,12 +409,12 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gr
     Removed is each byte that lies in a WINDOW-byte string which also starts in a document with a
     smaller doc_id (an integer). Strings never cross documents and are judged on the input. A null
     or short text loses nothing; rows that share a doc_id don't remove from each other; a null
-    doc_id counts as greater than all. An empty table gives an empty one; other columns are not read.
+    doc_id counts as greater than all. A long text is a group of its own and worked on piece by piece. An empty table gives an empty one; other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 1
     groups, buckets = -(-size // group_bytes), -(-size // bucket_bytes)
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))  # null and shared ids are spread as well
     by_group = rows.groupBy("grp")
     first = by_group.applyInArrow(send_marks(buckets), MAIL)
     shared = first.groupBy("bucket").applyInArrow(answer_marks, MAIL)
