@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field, replace
+from pathlib import Path
 
 import numpy as np
 
@@ -81,6 +82,12 @@ class Model:
             self.cache["rates"] = gamma_rates(self.alpha, self.categories, self.median) if self.categories > 1 else np.ones(1)
         return self.cache["rates"]
 
+    @property
+    def root(self) -> np.ndarray:
+        """Shares of states by rate category; they sum to 1 over all."""
+        pi = np.array(self.freqs) / sum(self.freqs)
+        return np.broadcast_to(pi / len(self.rates), (len(self.rates), self.states))
+
     def with_(self, **changes) -> "Model":
         return replace(self, cache={}, **changes)
 
@@ -106,16 +113,70 @@ class Model:
         return np.einsum("ij,cj,jk->cik", left, x**derivative * np.exp(x * t), right)
 
 
+@dataclass(frozen=True)
+class Mixture:
+    """Site categories with matrices of their own, as in mixtures of four amino-acid matrices: each
+    component is a model without rate variation. Rates are scaled to a mean of 1 under the weights."""
+
+    components: tuple[Model, ...]
+    relative: tuple[float, ...]  #: rates before they are scaled
+    shares: tuple[float, ...]  #: weights before they are scaled
+
+    @classmethod
+    def gamma(cls, components: tuple[Model, ...], alpha: float) -> "Mixture":
+        """Equal weights and the rates of a discrete gamma distribution."""
+        n = len(components)
+        return cls(components, tuple(gamma_rates(alpha, n)), (1.0,) * n)
+
+    @property
+    def states(self) -> int:
+        return self.components[0].states
+
+    @property
+    def categories(self) -> int:
+        return len(self.components)
+
+    @property
+    def weights(self) -> np.ndarray:
+        return np.array(self.shares) / sum(self.shares)
+
+    @property
+    def rates(self) -> np.ndarray:
+        r = np.array(self.relative)
+        return r / (self.weights @ r)
+
+    @property
+    def root(self) -> np.ndarray:
+        return np.stack([w * c.root[0] for w, c in zip(self.weights, self.components)])
+
+    def with_(self, **changes) -> "Mixture":
+        return replace(self, **changes)
+
+    def transition(self, z: float, derivative: int = 0) -> np.ndarray:
+        out = []
+        for c, r in zip(self.components, self.rates):
+            values, left, right = c.eigen()
+            x = r * values
+            out.append(left * (x**derivative * np.exp(x * -math.log(min(max(z, Z_MIN), Z_MAX)))) @ right)
+        return np.stack(out)
+
+
 def equal_rates(states: int, **options) -> Model:
     return Model((1.0 / states,) * states, (1.0,) * (states * (states - 1) // 2), **options)
 
 
 def read_exchange(text: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """A published amino-acid matrix in the usual text form, the lower triangle row by row and then 20
-    frequencies: (exchange, freqs). The tables themselves are not part of this package."""
+    frequencies: (exchange, scaled to a greatest rate of 10, and freqs). The tables themselves are not part of this package."""
     numbers = [float(x) for x in text.split()]
     if len(numbers) < 210:
         raise ValueError("190 exchange rates and 20 frequencies are needed")
     s = np.zeros((20, 20))
     s[np.tril_indices(20, -1)] = numbers[:190]
-    return tuple((s + s.T)[np.triu_indices(20, 1)]), tuple(numbers[190:210])
+    exchange = (s + s.T)[np.triu_indices(20, 1)]
+    return tuple(exchange * (10 / exchange.max())), tuple(numbers[190:210])
+
+
+def read_models(folder: str, **options) -> dict[str, Model]:
+    """The published matrices of a folder of text files by name, candidates for the choice of a model."""
+    return {f.stem.upper(): Model(freqs, exchange, **options) for f in sorted(Path(folder).iterdir()) if f.is_file() for exchange, freqs in (read_exchange(f.read_text()),)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborspark.functions.encoding import TYPES
+
 ROUNDS = 8
 FLOOR = 0.001
 
@@ -48,3 +50,21 @@ def smooth(freqs: list[float], floor: float = FLOOR, rounds: int = 100) -> list[
         rest = sum(f for f, x in zip(freqs, low) if not x)
         freqs = [floor if x else f * (1 - floor * sum(low)) / rest for f, x in zip(freqs, low)]
     return freqs
+
+
+def frequencies_by_type(weights: DataFrame, dims: DataFrame) -> DataFrame:
+    """part_id, freqs of partitions of any kind: the fixed rounds by the kind's states, raised to the floor
+    for the kinds that ask for it. A few numbers a partition, so the floor is applied on the driver.
+    weights: part_id, code, weight; dims: part_id, data_type."""
+    rows = []
+    for kind in TYPES.values():
+        own = weights.join(dims.where(F.col("data_type") == kind.name).select("part_id"), "part_id")
+        rows += [(r["part_id"], smooth(r["freqs"]) if kind.smooth_frequencies else list(r["freqs"])) for r in em_frequencies(own, len(kind.states)).collect()]
+    return weights.sparkSession.createDataFrame(rows, "part_id int, freqs array<double>")
+
+
+def missing_states(counts: DataFrame, dims: DataFrame) -> DataFrame:
+    """part_id, state: states that a partition never has unambiguously, a warning sign. counts: part_id, code, n."""
+    each = F.coalesce(*(F.when(F.col("data_type") == t.name, F.array(*(F.struct(F.lit(s).alias("state"), F.lit(t.mask(s)).alias("code")) for s in t.states))) for t in TYPES.values()))
+    wanted = dims.select("part_id", F.explode(each).alias("s")).select("part_id", "s.state", "s.code")
+    return wanted.join(counts, ["part_id", "code"], "left_anti").select("part_id", "state")

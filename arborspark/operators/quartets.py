@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,10 +25,56 @@ def grouped_quartets(groups: DataFrame) -> DataFrame:
     return t[0].join(F.broadcast(t[1]), F.lit(True)).join(F.broadcast(t[2]), F.lit(True)).join(F.broadcast(t[3]), F.lit(True))
 
 
-def random_quartets(taxa: DataFrame, share: float, seed: int) -> DataFrame:
-    """Each quartet with probability `share`, by a hash of its taxa, so the choice can be repeated."""
-    pick = F.pmod(F.xxhash64("t1", "t2", "t3", "t4", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
-    return all_quartets(taxa).where(pick)
+def random_quartets(spark: SparkSession, n_taxa: int, count: int, seed: int) -> DataFrame:
+    """`count` different quartets of taxa 0 to n_taxa - 1, or all if there are no more: numbers are drawn by a
+    hash and turned into quartets one by one, so not all quartets are ever listed."""
+    total = math.comb(n_taxa, 4)
+    if count >= total:
+        numbers = spark.range(total).select(F.col("id").alias("number"))
+    else:
+        tries = count + int(2 * count * count / total) + 16 if 4 * count < total else 8 * total
+        drawn = spark.range(tries).select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("number"))
+        numbers = drawn.groupBy("number").agg(F.min("id").alias("id")).orderBy("id").limit(count).select("number")
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([unranked(int(x)) for x in b["number"]], columns=["t1", "t2", "t3", "t4"])
+
+    return numbers.mapInPandas(run, "t1 int, t2 int, t3 int, t4 int")
+
+
+def unranked(number: int) -> tuple[int, int, int, int]:
+    """The quartet of this number in the order of its greatest taxon, then the next, and so on."""
+    out = []
+    for k in (4, 3, 2, 1):
+        t = k - 1
+        step = 1 << max(0, int((number * math.factorial(k) + 1) ** (1 / k)).bit_length())
+        while step:
+            if math.comb(t + step, k) <= number:
+                t += step
+            else:
+                step //= 2
+        out.append(t)
+        number -= math.comb(t, k)
+    return tuple(reversed(out))
+
+
+def parse_groups(text: str, names: list[str]) -> list[tuple[int, int]]:
+    """(taxon_id, grp) of a grouping `(a,b),(c),(d),(e,f);`: four groups that hold every taxon once."""
+    body = "".join(text.split())
+    if not re.fullmatch(r"\([^()]+\)(,\([^()]+\)){3};", body):
+        raise ValueError("a grouping has the form (a,b),(c),(d),(e,f);")
+    number = {n: i for i, n in enumerate(names)}
+    rows = [(t, g) for g, part in enumerate(re.findall(r"\(([^()]+)\)", body)) for t in part.split(",")]
+    if sorted(t for t, _ in rows) != sorted(names):
+        raise ValueError("every taxon must be in one group")
+    return [(number[t], g) for t, g in rows]
+
+
+def with_names(quartets: DataFrame, names: list[str]) -> DataFrame:
+    """Scored quartets with the names of their taxa, n1 to n4."""
+    table = F.array(*(F.lit(n) for n in names))
+    return quartets.select("*", *(F.get(table, F.col(f"t{i}")).alias(f"n{i}") for i in (1, 2, 3, 4)))
 
 
 def pair_differences(cells: DataFrame) -> DataFrame:

@@ -150,3 +150,17 @@ def score_quartets_in_blocks(quartets: DataFrame, patterns: DataFrame, models: d
         four = four.groupBy(*names, "part_id", "c0", "c1", "c2", "c3").agg(F.sum("w").alias("w"))
         out.append(materialise(four.groupBy(*names).applyInPandas(score, f"{kinds}, topology int, lnl double"), "quartets"))
     return reduce(DataFrame.unionByName, out) if out else quartets.sparkSession.createDataFrame([], "t1 int, t2 int, t3 int, t4 int, topology int, lnl double")
+
+
+def score_quartets_in_lots(quartets: DataFrame, patterns: DataFrame, models: dict[int, Model], folder: str, lots: int, passes: int = 4) -> DataFrame:
+    """score_quartets, lot by lot by a hash of the taxa; each lot is stored under the folder and one that
+    is complete there is not scored again, so a run that was stopped goes on."""
+    spark, names = quartets.sparkSession, ["t1", "t2", "t3", "t4"]
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for lot in range(lots):
+        path = f"{folder}/lot={lot}"
+        done = files.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            some = quartets.where(F.pmod(F.xxhash64(*names), F.lit(lots)) == lot)
+            score_quartets(some, patterns, models, passes).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(folder).drop("lot")

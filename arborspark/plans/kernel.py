@@ -59,11 +59,10 @@ class Block:
     def pattern_likelihoods(self, u: int, v: int, z: float | None = None, derivatives: bool = False):
         """Log-likelihood of each pattern at the edge u-v, with first and second derivatives by t if asked."""
         (x, i), (y, j) = self.toward(u, v), self.toward(v, u)
-        pi = np.array(self.model.freqs) / sum(self.model.freqs)
         shape = (len(x), len(self.model.rates), self.model.states)
-        x = np.broadcast_to(x, shape) * pi
+        x = np.broadcast_to(x, shape) * self.model.root
         z = self.near[u][v] if z is None else z
-        parts = [(x * through(y, self.model.transition(z, d))).sum(axis=(1, 2)) / shape[1] for d in range(3 if derivatives else 1)]
+        parts = [(x * through(y, self.model.transition(z, d))).sum(axis=(1, 2)) for d in range(3 if derivatives else 1)]
         lnl = np.log(np.abs(parts[0])) - (i + j) * LOG_SCALE
         return (lnl, parts[1] / parts[0], parts[2] / parts[0] - (parts[1] / parts[0]) ** 2) if derivatives else lnl
 

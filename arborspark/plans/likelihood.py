@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborspark.functions.numerics import Model
 from arborspark.plans.kernel import Block, root_edge
 from arborspark.sources.newick import Tree
+from arborspark.sources.tables import materialise
 
 
 def blocks_of(b: pd.DataFrame, tree: Tree, models: dict[int, Model]) -> Iterator[tuple[int, pd.DataFrame, Block]]:
@@ -75,17 +76,62 @@ def site_rates(patterns: DataFrame, tree: Tree, models: dict[int, Model], grid:
     return best.select("part_id", "pattern_id", "b.rate", "b.lnl")
 
 
-def categorise(rates: DataFrame, categories: int = 25) -> DataFrame:
+def rated_likelihoods(patterns: DataFrame, tree: Tree, models: dict[int, Model]) -> DataFrame:
+    """The log-likelihood of each pattern at its own `rate`: part_id, pattern_id, rate, lnl."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part, g, x in blocks_of(b, tree, models):
+                yield pd.DataFrame({"part_id": part, "pattern_id": g["pattern_id"], "rate": g["rate"], "lnl": x.pattern_likelihoods(*root_edge(tree))})
+
+    return patterns.select("part_id", "pattern_id", "weight", "codes", "rate").mapInPandas(run, "part_id int, pattern_id int, rate double, lnl double")
+
+
+def climb_rates(patterns: DataFrame, rates: DataFrame, tree: Tree, models: dict[int, Model], factor: float = 1.25, rounds: int = 8, least: float = 1e-3, most: float = 32.0) -> DataFrame:
+    """Every pattern's rate moved up or down by a factor as long as its log-likelihood grows. Rates stay
+    multiples of few values, so patterns of one rate are worked on together. rates: part_id, pattern_id,
+    rate, lnl; so is the result."""
+    key = ["part_id", "pattern_id"]
+    now = rates.select(*key, "rate", F.round("lnl", 9).alias("lnl"))
+    for _ in range(rounds):
+        near = F.array(*(F.round(F.col("rate") * f, 9) for f in (factor, 1 / factor)))
+        tried = patterns.join(now.select(*key, "rate"), key).withColumn("rate", F.explode(near)).where(F.col("rate").between(least, most))
+        best = rated_likelihoods(tried, tree, models).withColumn("lnl", F.round("lnl", 9)).unionByName(now)
+        new = materialise(best.groupBy(*key).agg(F.max(F.struct("lnl", "rate")).alias("b")).select(*key, "b.rate", "b.lnl"), "rates")
+        moved = new.join(now.select(*key, F.col("lnl").alias("old")), key).where(F.col("lnl") > F.col("old") + 1e-6)
+        now = new
+        if moved.isEmpty():
+            break
+    return now
+
+
+def optimise_psr(patterns: DataFrame, tree: Tree, models: dict[int, Model], categories: int = 25, grid: tuple[float, ...] = (0.05, 0.2, 0.5, 1.0, 2.0, 4.0)) -> tuple[DataFrame, float]:
+    """Patterns with a rate each (column `rate`) and their log-likelihood: the best rates, climbed to and
+    put into categories. If that is worse than what the patterns had, they are given back as they were."""
+    old = patterns if "rate" in patterns.columns else patterns.withColumn("rate", F.lit(1.0))
+    before = log_likelihood(old, tree, models).agg(F.sum("lnl")).first()[0]
+    plain = patterns.select("part_id", "pattern_id", "weight", "codes")
+    key = ["part_id", "pattern_id"]
+    rates = climb_rates(plain, site_rates(plain, tree, models, list(grid)), tree, models)
+    done = categorise(rates.join(plain.select(*key, "weight"), key), categories)
+    new = materialise(plain.join(done.select(*key, F.col("category_rate").alias("rate")), key), "rated")
+    after = log_likelihood(new, tree, models).agg(F.sum("lnl")).first()[0]
+    return (new, after) if after >= before else (old, before)
+
+
+def categorise(rates: DataFrame, categories: int = 25, joint: bool = False) -> DataFrame:
     """At most `categories` rates of each partition: rates equal to three digits are one cluster, the
     clusters with the least summed log-likelihood stay, each pattern takes the nearest, and weights
-    make the mean rate 1. rates: part_id, pattern_id, weight, rate, lnl; adds category, category_rate."""
+    make the mean rate 1, of each partition or, if branches are `joint`, of all. rates: part_id, pattern_id, weight, rate, lnl; adds category, category_rate."""
     cluster = F.round("rate", 3)
     sums = rates.groupBy("part_id", cluster.alias("cluster")).agg(F.sum("lnl").alias("lnl"))
     kept = sums.groupBy("part_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("lnl", "cluster"))), 1, categories).alias("kept"))
     joined = rates.join(F.broadcast(kept), "part_id")
     near = F.array_min(F.transform("kept", lambda c: F.struct(F.abs(c["cluster"] - F.col("rate")).alias("away"), c["cluster"].alias("cluster"))))
     picked = joined.select("part_id", "pattern_id", "weight", "rate", "lnl", near["cluster"].alias("cluster"))
-    mean = picked.groupBy("part_id").agg((F.sum(F.col("cluster") * F.col("weight")) / F.sum("weight")).alias("mean"))
+    sums = picked.groupBy("part_id").agg(F.sum(F.col("cluster") * F.col("weight")).alias("rate"), F.sum("weight").alias("w"))
+    over = Window.partitionBy(F.lit(0)) if joint else Window.partitionBy("part_id")
+    mean = sums.select("part_id", (F.sum("rate").over(over) / F.sum("w").over(over)).alias("mean"))
     out = picked.join(F.broadcast(mean), "part_id").withColumn("category_rate", F.col("cluster") / F.col("mean"))
     number = kept.select("part_id", F.posexplode(F.array_sort(F.transform("kept", lambda c: c["cluster"]))).alias("category", "cluster"))
     return out.join(F.broadcast(number), ["part_id", "cluster"]).select("part_id", "pattern_id", "weight", "rate", "lnl", "category", "category_rate")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -65,6 +66,71 @@ def parse(newick: str, tips: dict[str, int], lengths: bool = False) -> Tree:
     return [(names.get(u, u), names.get(v, v), z) for u, v, z in edges]
 
 
+def constraint_splits(newick: str, tips: dict[str, int]) -> frozenset[frozenset[int]]:
+    """The inner splits of a tree of all tips that need not be binary: tips of the side without tip 0."""
+    stack: list[set[int]] = []
+    found, seen, skip, after = [], [], False, ""
+    for t in TOKEN.findall(newick):
+        if t == "(":
+            stack.append(set())
+        elif t == ")":
+            done = stack.pop()
+            found.append(done)
+            if stack:
+                stack[-1] |= done
+        elif t == ":":
+            skip = True
+        elif t == ";":
+            break
+        elif t != ",":
+            if not skip and after != ")":
+                name = t.strip("'").replace("''", "'")
+                if name not in tips:
+                    raise ValueError(f"unknown taxon {name!r}")
+                seen.append(tips[name])
+                stack[-1].add(tips[name])
+            skip = False
+        after = t
+    if stack or sorted(seen) != sorted(tips.values()):
+        raise ValueError("parentheses don't match, or a taxon is missing or twice in the tree")
+    every = frozenset(seen)
+    sides = (every - x if 0 in x else frozenset(x) for x in found)
+    return frozenset(x for x in sides if 2 <= len(x) <= len(every) - 2)
+
+
+def resolved(newick: str, names: list[str], seed: int) -> str:
+    """A random binary tree with all splits of a tree that need not be binary; lengths are left out.
+    Children of a node are joined two by two at random until two are left, three at the root."""
+    tips, rng, stack, after, skip = {n: i for i, n in enumerate(names)}, random.Random(seed), [[]], "", False
+    quoted = lambda n: n if re.fullmatch(r"[^\s(),:;\[\]']+", n) else "'" + n.replace("'", "''") + "'"
+
+    def joined(parts: list[str], most: int) -> str:
+        parts = list(parts)
+        while len(parts) > most:
+            a, b = (parts.pop(rng.randrange(len(parts))) for _ in range(2))
+            parts.append(f"({a},{b})")
+        return parts[0] if len(parts) == 1 else "(" + ",".join(parts) + ")"
+
+    for t in TOKEN.findall(newick):
+        if t == "(":
+            stack.append([])
+        elif t == ")":
+            parts = stack.pop()
+            stack[-1].append(joined(parts, 3 if len(stack) == 1 else 2))
+        elif t == ":":
+            skip = True
+        elif t == ";":
+            break
+        elif t != ",":
+            if not skip and after != ")":
+                stack[-1].append(quoted(t.strip("'").replace("''", "'")))
+            skip = False
+        after = t
+    out = stack[0][0] + ";"
+    parse(out, tips)
+    return out
+
+
 def neighbours(tree: Tree) -> dict[int, dict[int, float]]:
     out: dict[int, dict[int, float]] = {}
     for u, v, z in tree:
@@ -112,8 +178,8 @@ def tip_sets(tree: Tree, n_tips: int) -> set[frozenset[int]]:
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
     """Trees of text files, split at `;`: tree_id (in the order of the text), newick."""
-    rows = spark.read.option("lineSep", ";").text(path).where(F.trim("value") != "")
-    return rows.select(F.monotonically_increasing_id().alias("tree_id"), F.concat(F.trim("value"), F.lit(";")).alias("newick"))
+    rows = spark.read.option("lineSep", ";").text(path).select(F.monotonically_increasing_id().alias("tree_id"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("newick"))
+    return rows.where("newick <> ''").select("tree_id", F.concat("newick", F.lit(";")).alias("newick"))
 
 
 def to_edges(trees: DataFrame, names: list[str], lengths: bool = False) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # The names a partition may give for its model.
 AA_MODELS = (
-    "DAYHOFF DCMUT JTT WAG RTREV CPREV VT BLOSUM62 MTMAM LG MTART MTZOA PMB HIVB HIVW JTTDCMUT FLU "
-    "STMTREV MTREV AUTO LG4M LG4X GTR"
+    "AUTO BLOSUM62 CPREV DAYHOFF DCMUT FLU GTR HIVB HIVW JTT JTTDCMUT LG LG4M LG4X MTART MTMAM MTREV "
+    "MTZOA PMB RTREV STMTREV VT WAG"
 ).split()
 MODEL = r"^\s*([A-Za-z0-9]+)\s*,\s*([^=\s]+)\s*=\s*(.+?)\s*$"
 
@@ -22,7 +22,7 @@ def parse_partitions(lines: DataFrame) -> DataFrame:
     base = F.regexp_replace("model", "^(.*[^FX])[FX]$", "$1")
     is_plain, is_suffixed = F.col("model").isin(*AA_MODELS), base.isin(*AA_MODELS)
     fixed_only = base.isin("AUTO", "LG4M", "LG4X") & ~is_plain
-    kind = F.when(F.col("model").isin("DNA", "DNAX"), "DNA").when(F.col("model").isin("BIN", "BINX"), "BIN").when((is_plain | is_suffixed) & ~fixed_only, "AA")
+    kind = F.when(F.col("model").isin("MULTI", "CODON"), F.col("model")).when(F.col("model").isin("DNA", "DNAX"), "DNA").when(F.col("model").isin("BIN", "BINX"), "BIN").when((is_plain | is_suffixed) & ~fixed_only, "AA")
     mode = F.when(F.col("model").isin("DNA", "BIN"), "empirical").when(F.col("model").endswith("X") & ~is_plain, "optimised").when(F.col("model").endswith("F") & ~is_plain, "empirical").otherwise("model")
     ids = rows.withColumn("part_id", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
     each = ids.select("part_id", "name", "model", kind.alias("data_type"), mode.alias("freq_mode"), F.explode(F.split("ranges", ",")).alias("r"))
@@ -40,6 +40,13 @@ def partitions(spark: SparkSession, lines: list[str]) -> DataFrame:
     return parse_partitions(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1))
 
 
+def check_ranges(ranges: DataFrame) -> None:
+    """Raise for lines that could not be read: an unknown model, no place, or an empty range."""
+    bad = ranges.where("data_type is null or lo is null or hi is null or lo < 1 or hi < lo or step < 1").limit(3).collect()
+    if bad:
+        raise ValueError(f"partitions that can't be read: {[(r['part_id'], r['name'], r['model'], r['lo'], r['hi']) for r in bad]}")
+
+
 def site_map(sites: DataFrame, ranges: DataFrame) -> DataFrame:
     """site to part_id: a range join with a stride; ranges are as many as the partition file's, so they are broadcast."""
     inside = F.col("site").between(F.col("lo"), F.col("hi")) & ((F.col("site") - F.col("lo")) % F.col("step") == 0)

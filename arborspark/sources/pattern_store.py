@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
 
 
-def write_patterns(patterns: DataFrame, taxa: DataFrame, path: str) -> None:
-    """patterns (part_id, pattern_id, weight, codes), taxa (taxon_id, name). Refuses to overwrite."""
-    patterns.withColumn("version", F.lit(VERSION)).write.mode("errorifexists").partitionBy("part_id").parquet(f"{path}/patterns")
+def write_patterns(patterns: DataFrame, taxa: DataFrame, path: str, partitions: DataFrame | None = None) -> None:
+    """patterns (part_id, pattern_id, weight, codes), taxa (taxon_id, name) and, if given, the partitions'
+    dimension (name, model, weights, frequencies). Refuses to overwrite; the metadata row, written last,
+    says that the store is complete."""
+    patterns.write.mode("errorifexists").partitionBy("part_id").parquet(f"{path}/patterns")
     taxa.coalesce(1).write.mode("errorifexists").parquet(f"{path}/taxa")
+    if partitions is not None:
+        partitions.coalesce(1).write.mode("errorifexists").parquet(f"{path}/partitions")
+    size = patterns.sparkSession.read.parquet(f"{path}/patterns").agg(F.count("*").alias("n_patterns"), F.count_distinct("part_id").alias("n_partitions"), F.sum("weight").alias("weight"))
+    size.select(F.lit(VERSION).alias("version"), "*").coalesce(1).write.mode("errorifexists").parquet(f"{path}/metadata")
+
+
+def read_metadata(spark: SparkSession, path: str) -> Row:
+    meta = spark.read.parquet(f"{path}/metadata").first()
+    if meta is None or meta["version"] != VERSION:
+        raise ValueError("the table was written by another version")
+    return meta
 
 
 def read_patterns(spark: SparkSession, path: str, part_ids: list[int] | None = None) -> DataFrame:
+    """The patterns, pruned to some partitions if asked; one row is read to check the version."""
+    read_metadata(spark, path)
     rows = spark.read.parquet(f"{path}/patterns")
-    if rows.select("version").where(F.col("version") != VERSION).limit(1).count():
-        raise ValueError("the table was written by another version")
-    rows = rows.drop("version")
     return rows if part_ids is None else rows.where(F.col("part_id").isin(part_ids))
 
 
+def read_partition_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/partitions")
+
+
 def read_taxa(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/taxa")
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborspark.functions.encoding import DataType
+
 BAD_NAME = r"[\t\r\n :,()\[\];]"
 
 
@@ -44,6 +48,15 @@ def parse_phylip(text: str) -> list[tuple[int, str, str]]:
     return [(i + 1, n, s.upper()) for i, (n, s) in enumerate(zip(names, seqs))]
 
 
+def check_characters(alignment: DataFrame, kind: DataType) -> None:
+    """Raise for the first character that the alphabet lacks, with its taxon and site."""
+    letters = "".join(sorted({x for c in kind.characters for x in (c, c.lower())}))
+    pattern = "[^" + re.escape(letters) + "]"
+    bad = alignment.where(F.col("seq").rlike(pattern)).select("name", F.regexp_instr("seq", F.lit(pattern)).alias("site"), F.regexp_extract("seq", pattern, 0).alias("c")).first()
+    if bad:
+        raise ValueError(f"taxon {bad['name']!r} has {bad['c']!r} at site {bad['site']}, which {kind.name} data can't have")
+
+
 def read_phylip(spark: SparkSession, path: str) -> DataFrame:
     """One row for each taxon of each file under path: file, taxon_id (from 1), name, seq."""
 

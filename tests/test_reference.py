@@ -342,3 +342,119 @@ def test_models_are_fitted_and_chosen(spark):
     scored = score_models(table, TREE, {"equal": models[0], "skew": skew}, {0: (0.25, 0.25, 0.25, 0.25)})
     assert scored.count() == 4
     assert trees.choose_models(scored, "bic").first()["model"] == "equal"
+
+
+def test_ingest(spark, tmp_path):
+    from arborspark.sources.ingest import read_alignment
+
+    (tmp_path / "a.phy").write_text("4 10\nta ACGTACRDGH\ntb ACGTAC-DXH\ntc TCGTAC?D-K\ntd TCNTAA-EGK\n")
+    (tmp_path / "a.model").write_text("DNA, g1 = 1-6\\2\nDNA, g2 = 2-6\\2, 7\nWAG, p = 8-10\n")
+    a = read_alignment(spark, str(tmp_path / "a.phy"), str(tmp_path / "a.model"))
+    assert [r["name"] for r in a.taxa.orderBy("taxon_id").collect()] == ["ta", "tb", "tc", "td"]
+    rows = {r["part_id"]: r for r in a.partitions.collect()}
+    assert [(rows[p]["n_patterns"], rows[p]["weight"], rows[p]["states"], len(rows[p]["freqs"])) for p in (0, 1, 2)] == [(3, 3, 4, 4), (4, 4, 4, 4), (3, 3, 20, 20)]
+    assert min(rows[2]["freqs"]) >= 0.001 - 1e-12 and sum(rows[2]["freqs"]) == pytest.approx(1)
+    got = {(r["part_id"], r["pattern_id"]): (list(r["codes"]), r["weight"]) for r in a.patterns.collect()}
+    assert got[1, 7] == ([5, 15, 15, 15], 1) and got[2, 9][0][1] == AA.undetermined and got[0, 3] == ([4, 4, 4, 15], 1)
+    counts = alignment.state_counts(a.cells, partitions.site_map(spark.range(1, 11).selectExpr("int(id) as site"), a.ranges))
+    gone = frequencies.missing_states(counts, a.ranges.select("part_id", "data_type").distinct())
+    assert {r["state"] for r in gone.where("part_id = 0").collect()} == {"C"}
+    pattern_store.write_patterns(a.patterns, a.taxa, str(tmp_path / "store"), a.partitions)
+    assert pattern_store.read_metadata(spark, str(tmp_path / "store"))["n_patterns"] == 10
+    assert pattern_store.read_partition_table(spark, str(tmp_path / "store")).count() == 3
+    for model, text in (("DNA, g = 1-6", "ACGTACRDGH"), ("DNA, g = 1-10", "ACGTACRDGJ"), ("DNA, g = 1-9\\2\nDNA, h = 2-10\\2", None), ("ODD, g = 1-10", "A"), ("DNA, g = 1-9\nDNA, h = 10", "AAAAAAAAA-")):
+        (tmp_path / "b.model").write_text(model + "\n")
+        body = "".join(f"t{i} {text or 'ACGTACACGT'}\n" for i in range(4)) if text != "A" else "".join(f"t{i} ACGTACACGT\n" for i in range(4))
+        (tmp_path / "b.phy").write_text("4 10\n" + body)
+        with pytest.raises(ValueError):
+            read_alignment(spark, str(tmp_path / "b.phy"), str(tmp_path / "b.model"), compress=text is not None)
+
+
+def test_constraints_groups_and_random_quartets(spark):
+    some = newick.constraint_splits("((a,b,c),d,e);", TIPS)
+    assert some == {frozenset({3, 4})}
+    for seed in range(5):
+        text = newick.resolved("((a,b,c),d,e);", NAMES, seed)
+        assert some <= newick.tip_sets(newick.parse(text, TIPS), 5)
+    with pytest.raises(ValueError):
+        newick.constraint_splits("((a,b),d,e);", TIPS)
+    assert quartets.parse_groups("(a, b),(c),(d),\n(e);", NAMES) == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)]
+    for bad in ("(a),(b),(c),(d);", "(a,b),(c),(d,e);", "(a),(b),(c),(d,e,e);"):
+        with pytest.raises(ValueError):
+            quartets.parse_groups(bad, NAMES)
+    assert [quartets.unranked(i) for i in range(math.comb(9, 4))] == sorted(itertools.combinations(range(9), 4), key=lambda q: q[::-1])
+    for count in (5, 100, 126, 500):
+        got = [tuple(r) for r in quartets.random_quartets(spark, 9, count, 1).collect()]
+        assert len(set(got)) == len(got) == min(count, 126) and all(a < b < c < d < 9 for a, b, c, d in got)
+    assert [tuple(r) for r in quartets.random_quartets(spark, 9, 20, 1).collect()] == [tuple(r) for r in quartets.random_quartets(spark, 9, 20, 1).collect()]
+    named = quartets.with_names(spark.createDataFrame([(0, 1, 2, 4)], "t1 int, t2 int, t3 int, t4 int"), NAMES).first()
+    assert [named[f"n{i}"] for i in (1, 2, 3, 4)] == ["a", "b", "c", "e"]
+
+
+def test_quartets_go_on_where_they_stopped(spark, tmp_path):
+    table, models = simulated(spark, 60)
+    four = quartets.all_quartets(spark.createDataFrame([(i,) for i in range(5)], "taxon_id int"))
+    want = {tuple(r)[:5]: r["lnl"] for r in score_quartets(four, table, models).collect()}
+    for _ in range(2):
+        got = evaluate.score_quartets_in_lots(four, table, models, str(tmp_path / "q"), 3)
+        assert {tuple(r)[:5]: r["lnl"] for r in got.collect()} == pytest.approx(want)
+
+
+def test_mixtures():
+    from arborspark.functions.numerics import Mixture
+
+    rng = np.random.default_rng(2)
+    parts = tuple(Model(tuple(rng.dirichlet(np.ones(4))), tuple(rng.gamma(1, 1, 6)), categories=1) for _ in range(3))
+    mix = Mixture(parts, (0.3, 1.0, 2.5), (0.2, 0.5, 0.3))
+    assert mix.weights @ mix.rates == pytest.approx(1) and mix.root.sum() == pytest.approx(1)
+    b = block(model=mix, n=6)
+    want = 0.0
+    for c, w in zip(b.codes, b.weights):
+        each = [math.exp(brute(c, m, [(u, v, z**r) for u, v, z in TREE])) for m, r in zip(parts, mix.rates)]
+        want += w * math.log(mix.weights @ each)
+    for u, v, _ in TREE:
+        assert b.lnl(u, v) == pytest.approx(want, abs=1e-9)
+    assert Mixture.gamma(parts, 0.7).rates == pytest.approx(gamma_rates(0.7, 3))
+
+
+def test_rates_are_climbed_to(spark):
+    from arborspark.plans.likelihood import climb_rates, optimise_psr
+
+    table, models = simulated(spark, 60)
+    first = site_rates(table, TREE, models, [0.05, 0.5, 2.0])
+    done = {r["pattern_id"]: r for r in climb_rates(table, first, TREE, models).collect()}
+    for r in first.collect():
+        assert done[r["pattern_id"]]["lnl"] >= r["lnl"] - 1e-9
+    before = log_likelihood(table, TREE, models).first()["lnl"]
+    rated, after = optimise_psr(table, TREE, models, 4)
+    assert after >= before and rated.select("rate").distinct().count() <= 4
+    assert log_likelihood(rated, TREE, models).first()["lnl"] == pytest.approx(after)
+
+
+def test_reports(spark, tmp_path):
+    from arborspark.functions.numerics import read_models
+    from arborspark.plans import reports
+
+    table, models = simulated(spark, 80)
+    two = table.withColumn("part_id", (F.col("pattern_id") % 2).cast("int"))
+    both = {0: models[0], 1: models[0]}
+    own = {r["part_id"]: r for r in reports.partition_trees(two, TREE, both, NAMES).collect()}
+    joint = blockwise.smoothed(two, both, [TREE])[0]
+    assert sum(r["lnl"] for r in own.values()) >= joint[0] - 0.01
+    edges = spark.createDataFrame([(p, u, v, z) for p, r in own.items() for u, v, z in newick.parse(r["newick"], TIPS, True)], "part_id int, u int, v int, z double")
+    weights = alignment.partition_weights(two)
+    mean = {(r["u"], r["v"]): r["length"] for r in reports.mean_branches(edges, weights).collect()}
+    share = {r["part_id"]: r["contribution"] for r in weights.collect()}
+    assert sum(mean.values()) == pytest.approx(sum(share[p] * r["length"] for p, r in own.items()), rel=1e-6)
+    rows = reports.parameter_report(spark, 3, TREE, both).collect()
+    assert len(rows) == 2 * (2 + 4 + 6) and {r["parameter"] for r in rows} >= {"alpha", "length", "freq_0", "rate_2_3"}
+    scored = spark.createDataFrame([("x", -3.0), ("y", -2.0), ("x", -2.5)], "topology string, lnl double")
+    reports.write_good_trees(scored, 2, str(tmp_path / "good"))
+    assert [(r["rank"], r["topology"]) for r in spark.read.parquet(str(tmp_path / "good")).collect()] == [(1, "y"), (2, "x")]
+    reports.write_result(spark.createDataFrame([(2, "(b);"), (1, "(a);")], "tree_id long, newick string"), str(tmp_path / "out"))
+    assert [r["newick"] for r in newick.read_trees(spark, str(tmp_path / "out")).orderBy("tree_id").collect()] == ["(a);", "(b);"]
+    assert reports.search_log(spark, [(-3.0, "a"), (-2.0, "b")]).count() == 2
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "own.dat").write_text(" ".join(str(1 + i % 7) for i in range(190)) + "\n" + " ".join(["0.05"] * 20))
+    m = read_models(str(tmp_path / "m"), categories=1)["OWN"]
+    assert max(m.exchange) == 10 and m.exchange[0] == pytest.approx(10 / 7) and m.eigen()[0].max() == pytest.approx(0, abs=1e-9)
