@@ -105,12 +105,27 @@ class Model:
             self.cache["eigen"] = values, vectors / root[:, None], vectors.T * root
         return self.cache["eigen"]
 
+    def spectrum(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By rate category: eigenvalues times rate, and the two matrices around them."""
+        if "spectrum" not in self.cache:
+            values, left, right = self.eigen()
+            k = len(self.rates)
+            self.cache["spectrum"] = self.rates[:, None] * values, np.broadcast_to(left, (k, *left.shape)), np.broadcast_to(right, (k, *right.shape))
+        return self.cache["spectrum"]
+
     def transition(self, z: float, derivative: int = 0) -> np.ndarray:
         """P for each rate category at z = exp(-t), or its first or second derivative by t."""
-        values, left, right = self.eigen()
-        t = -math.log(min(max(z, Z_MIN), Z_MAX))
-        x = self.rates[:, None] * values
-        return np.einsum("ij,cj,jk->cik", left, x**derivative * np.exp(x * t), right)
+        return transition(self.spectrum(), z, derivative)
+
+
+def transition(spectrum: tuple[np.ndarray, np.ndarray, np.ndarray], z: float, derivative: int = 0) -> np.ndarray:
+    values, left, right = spectrum
+    return left * (values**derivative * np.exp(values * length(z)))[:, None, :] @ right
+
+
+def length(z: float) -> float:
+    """The branch length t of z = exp(-t), within its limits."""
+    return -math.log(min(max(z, Z_MIN), Z_MAX))
 
 
 @dataclass(frozen=True)
@@ -152,13 +167,12 @@ class Mixture:
     def with_(self, **changes) -> "Mixture":
         return replace(self, **changes)
 
+    def spectrum(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values, left, right = (np.stack(x) for x in zip(*(c.eigen() for c in self.components)))
+        return self.rates[:, None] * values, left, right
+
     def transition(self, z: float, derivative: int = 0) -> np.ndarray:
-        out = []
-        for c, r in zip(self.components, self.rates):
-            values, left, right = c.eigen()
-            x = r * values
-            out.append(left * (x**derivative * np.exp(x * -math.log(min(max(z, Z_MIN), Z_MAX)))) @ right)
-        return np.stack(out)
+        return transition(self.spectrum(), z, derivative)
 
 
 def equal_rates(states: int, **options) -> Model:

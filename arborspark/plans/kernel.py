@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-from arborspark.functions.numerics import Z_MAX, Z_MIN, Model
+from arborspark.functions.numerics import Z_MAX, Z_MIN, Model, length
 from arborspark.sources.newick import Tree, neighbours
 
 SCALE, LOG_SCALE = 2.0**256, 256 * math.log(2.0)
@@ -29,6 +29,8 @@ class Block:
         self.codes, self.weights, self.model = codes, weights, model
         self.near = neighbours(tree)
         self.vectors: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self.kinds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.products: tuple[tuple[int, int], np.ndarray, np.ndarray] | None = None
 
     def toward(self, node: int, parent: int) -> tuple[np.ndarray, np.ndarray]:
         """Likelihoods below node seen from parent, and how often each pattern was scaled up.
@@ -43,27 +45,48 @@ class Block:
                 self.vectors[n, p] = tip_vectors(self.codes[:, n], self.model.states), np.zeros(len(self.codes), int)
                 continue
             below = [(c, n) for c in self.near[n] if c != p]
-            if missing := [b for b in below if b not in self.vectors]:
+            if missing := [b for b in below if b not in self.vectors and b[0] >= self.codes.shape[1]]:
                 stack += missing
                 continue
             out, scaled = 1.0, 0
             for c, _ in below:
+                along = self.model.transition(self.near[n][c])
+                if c < self.codes.shape[1]:
+                    out = out * self.tip_through(c, along)
+                    continue
                 x, k = self.vectors[c, n]
-                out = out * through(x, self.model.transition(self.near[n][c]))
+                out = out * through(x, along)
                 scaled = scaled + k
             small = np.abs(out).max(axis=(1, 2)) < 1 / SCALE
             out[small] *= SCALE
             self.vectors[n, p] = out, scaled + small
         return self.vectors[node, parent]
 
+    def tip_through(self, tip: int, p: np.ndarray) -> np.ndarray:
+        """A tip's vectors along a branch: worked out once for each code that occurs there."""
+        if tip not in self.kinds:
+            self.kinds[tip] = np.unique(self.codes[:, tip], return_inverse=True)
+        codes, at = self.kinds[tip]
+        return through(np.broadcast_to(tip_vectors(codes, self.model.states), (len(codes), len(p), self.model.states)), p)[at.ravel()]
+
+    def edge_products(self, u: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+        """What both ends of an edge have in common in the eigenvectors' space (pattern, rate, state), and
+        the scaling: with it, another length of this edge takes one weighted sum."""
+        if self.products is None or self.products[0] != (u, v):
+            (x, i), (y, j) = self.toward(u, v), self.toward(v, u)
+            _, left, right = self.model.spectrum()
+            x = np.broadcast_to(x, (len(x), len(left), self.model.states)) * self.model.root
+            y = np.broadcast_to(y, x.shape)
+            self.products = (u, v), through(x, left.transpose(0, 2, 1)) * through(y, right), i + j
+        return self.products[1:]
+
     def pattern_likelihoods(self, u: int, v: int, z: float | None = None, derivatives: bool = False):
         """Log-likelihood of each pattern at the edge u-v, with first and second derivatives by t if asked."""
-        (x, i), (y, j) = self.toward(u, v), self.toward(v, u)
-        shape = (len(x), len(self.model.rates), self.model.states)
-        x = np.broadcast_to(x, shape) * self.model.root
-        z = self.near[u][v] if z is None else z
-        parts = [(x * through(y, self.model.transition(z, d))).sum(axis=(1, 2)) for d in range(3 if derivatives else 1)]
-        lnl = np.log(np.abs(parts[0])) - (i + j) * LOG_SCALE
+        products, scaled = self.edge_products(u, v)
+        values, t = self.model.spectrum()[0], length(self.near[u][v] if z is None else z)
+        grown = np.exp(values * t)
+        parts = [np.einsum("pks,ks->p", products, grown * values**d) for d in range(3 if derivatives else 1)]
+        lnl = np.log(np.abs(parts[0])) - scaled * LOG_SCALE
         return (lnl, parts[1] / parts[0], parts[2] / parts[0] - (parts[1] / parts[0]) ** 2) if derivatives else lnl
 
     def lnl(self, u: int, v: int) -> float:
@@ -76,6 +99,8 @@ class Block:
     def set_length(self, u: int, v: int, z: float) -> None:
         """Change an edge and drop the vectors that hold it: those that look at it from elsewhere."""
         self.near[u][v] = self.near[v][u] = z
+        if self.products and self.products[0] != (u, v):
+            self.products = None
         behind = {u: self._side(u, v), v: self._side(v, u)}
         self.vectors = {(n, p): x for (n, p), x in self.vectors.items() if (n, p) in ((u, v), (v, u)) or not self._sees(n, p, u, v, behind)}
 

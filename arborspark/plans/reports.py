@@ -14,11 +14,11 @@ from arborspark.plans.blockwise import smoothed
 from arborspark.sources.newick import Tree, write
 
 
-def partition_trees(patterns: DataFrame, tree: Tree, models: dict[int, Model], names: list[str]) -> DataFrame:
+def partition_trees(patterns: DataFrame, tree: Tree, models: dict[int, Model], names: list[str], rounds: int = 24) -> DataFrame:
     """The topology with branch lengths of its own for each partition: part_id, newick, lnl, length."""
     rows = []
     for part in sorted(models):
-        [(lnl, own)] = smoothed(patterns.where(F.col("part_id") == part), models, [tree])
+        [(lnl, own)] = smoothed(patterns.where(F.col("part_id") == part), models, [tree], rounds)
         rows.append((part, write(own, names), lnl, -sum(math.log(z) for _, _, z in own)))
     return patterns.sparkSession.createDataFrame(rows, "part_id int, newick string, lnl double, length double")
 

@@ -13,13 +13,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.functions.encoding import DNA, decode
+from arborspark.functions.encoding import AA, DNA, decode, encode
 from arborspark.functions.numerics import Model, equal_rates
 from arborspark.operators import alignment as A
 from arborspark.operators import frequencies as E
 from arborspark.operators import quartets as Q
 from arborspark.operators import trees as T
+from arborspark.plans.evaluate import evaluate_in_blocks, score_quartets
 from arborspark.plans.likelihood import categorise, derivatives, log_likelihood, pattern_likelihoods, site_rates
+from arborspark.plans.reports import partition_trees
 from arborspark.sources.newick import splits, to_edges, write
 from arborspark.sources.partitions import misassigned, partitions, site_map
 from arborspark.sources.tables import materialise
@@ -450,11 +452,59 @@ _RATED = f""",
     psr AS (SELECT part_id, first_site, weight, category, cluster / mean AS rate FROM near JOIN mean USING (part_id) WHERE rn = 1)"""
 _START = f"WITH RECURSIVE {_CELLS}{_PATTERNS}"
 
+
+def recode_alignment(spark, sf_dir):
+    """Codes of the characters that the codes stand for: nothing changes on the way."""
+    c = cells(spark, sf_dir).withColumn("character", decode(F.col("code"), DNA)).withColumn("again", encode(F.lower("character"), DNA))
+    return c.groupBy("character", "code", "again").agg(F.count("*").alias("n"))
+
+
+def vanished_partitions(spark, sf_dir):
+    """Partitions of a file, one of which begins behind the last site, that have no determined site."""
+    c, wanted = cells(spark, sf_dir), partitions(spark, [*PARTS[:3], "DNA, rest = 4001-1000000000", "DNA, none = 1000000001-2000000000"])
+    kept = site_map(A.determined_sites(c, ANY), wanted)
+    return wanted.select("part_id", "name").distinct().join(kept, "part_id", "left_anti")
+
+
+def missing_states(spark, sf_dir):
+    """States that a source never has, by source, as for partitions."""
+    c = cells(spark, sf_dir)
+    counts = c.where(F.bit_count("code") == 1).groupBy(F.col("taxon_id").alias("part_id"), "code").agg(F.count("*").alias("n"))
+    dims = c.select(F.col("taxon_id").alias("part_id")).distinct().withColumn("data_type", F.lit("AA"))
+    return E.missing_states(counts, dims)
+
+
+def tree_evaluation(spark, sf_dir):
+    """Two caterpillars with all branches optimised over the blocks of the alignment."""
+    table, n = pattern_table(spark, sf_dir)
+    trees, names = newick_trees(spark, sf_dir)
+    found = evaluate_in_blocks(trees, table, equal_models(), names, 12, False, True)
+    return found.select("tree_id", F.round("lnl", 2).alias("lnl"), F.round("length", 3).alias("length"))
+
+
+def quartet_likelihoods(spark, sf_dir):
+    """The best topology of each quartet of one taxon from each of four groups, branches optimised."""
+    table, n = pattern_table(spark, sf_dir)
+    groups = spark.range(n).select(F.col("id").cast("int").alias("taxon_id"), (F.col("id") % 4).alias("grp"))
+    scored = score_quartets(Q.grouped_quartets(groups).repartition(4 * spark.sparkContext.defaultParallelism), table, equal_models(), 2)
+    return scored.groupBy("t1", "t2", "t3", "t4").agg(F.max_by("topology", "lnl").alias("topology"), F.round(F.max("lnl"), 3).alias("lnl"))
+
+
+def partition_lengths(spark, sf_dir):
+    """The caterpillar with branches of its own for each partition, and their weighted mean length."""
+    table, n = pattern_table(spark, sf_dir)
+    names = [f"t{i}" for i in range(n)]
+    return partition_trees(table, caterpillar(n), equal_models(), names, 6).select("part_id", F.round("lnl", 2).alias("lnl"), F.round("length", 3).alias("length"))
+
+
 QUERIES |= {
     f.__name__: f
-    for f in (tree_loglik, tree_loglik_gamma, site_loglik, edge_derivatives, rate_categorise, psr_loglik, newick_bipartitions, newick_rf_distance, tree_lengths, ranked_trees)
+    for f in (tree_loglik, tree_loglik_gamma, site_loglik, edge_derivatives, rate_categorise, psr_loglik, newick_bipartitions, newick_rf_distance, tree_lengths, ranked_trees, recode_alignment, vanished_partitions, missing_states, tree_evaluation, quartet_likelihoods, partition_lengths)
 }
 ORACLE_SQL |= {
+    "recode_alignment": f"WITH {_CELLS} SELECT CASE code WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 4 THEN 'G' WHEN 8 THEN 'T' ELSE '-' END AS character, code, code AS again, count(*) AS n FROM cells GROUP BY ALL",
+    "vanished_partitions": f"WITH {_CELLS}, k AS (SELECT count(*) AS n FROM cells WHERE code <> 15 AND site > 1000000000) SELECT 4 AS part_id, 'none' AS name FROM k WHERE n = 0",
+    "missing_states": f"WITH {_CELLS}, aa AS (SELECT unnest(string_split('{AA.states}', '')) AS state, unnest(range({len(AA.states)})) AS bit), have AS (SELECT DISTINCT taxon_id, code FROM cells WHERE code IN (1, 2, 4, 8)) SELECT taxon_id AS part_id, state FROM ids CROSS JOIN aa WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.taxon_id = ids.taxon_id AND h.code = 1 << bit)",
     "tree_loglik": f"{_START}{_walk(_rates([1.0]))} SELECT part_id, round(sum(weight * ln(f)), 4) AS lnl, sum(weight) AS weight FROM lik GROUP BY part_id",
     "tree_loglik_gamma": f"{_START}{_walk(_gamma_rates())}, mixed AS (SELECT part_id, first_site, any_value(weight) AS weight, avg(f) AS f FROM lik GROUP BY part_id, first_site) SELECT part_id, round(sum(weight * ln(f)), 4) AS lnl, sum(weight) AS weight FROM mixed GROUP BY part_id",
     "site_loglik": f"{_START}{_walk(_rates([1.0]))} SELECT part_id, count(*) AS patterns, round(min(ln(f)), 6) AS least, round(max(ln(f)), 6) AS most, round(sum(weight * ln(f)), 4) AS lnl FROM lik GROUP BY part_id",
