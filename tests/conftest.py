@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from arborspark.sources.tables import remove_tables
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -15,4 +17,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_tables(session)
     session.stop()
