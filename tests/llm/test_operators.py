@@ -121,6 +121,28 @@ def test_marginals_are_the_sums_over_all_paths():
     assert np.allclose(p, want) and np.allclose(pairs, want_pairs) and total == pytest.approx(want_total)
 
 
+def test_quality_scores_by_hand(spark):
+    """The score from all labellings of a text's lines, weighted by their lengths."""
+    import itertools
+
+    rng = np.random.default_rng(6)
+    model = quality.Model(rng.normal(size=3 * quality.WIDTH) / 4, rng.normal(size=(2, 2)), 1.3, -0.2)
+    texts = ["one line only", "First line here.\nSECOND!! 123\n\nfourth one, longer than the rest of them", "", "a\nb\na\nb\nb b b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.quality_scores(rows, model).collect():
+        body = texts[r["doc_id"]].encode()
+        x, length, first = quality.line_features(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+        assert len(x) == max(1, len(body.split(b"\n"))) == r["n_lines"]
+        s = np.concatenate([x, np.vstack([0 * x[:1], x[:-1]]), np.vstack([x[1:], 0 * x[:1]])], axis=1) @ model.weights
+        good, total = np.zeros(len(x)), 0.0
+        for path in itertools.product((0, 1), repeat=len(x)):
+            w = np.exp(sum((s[i] if y else -s[i]) / 2 for i, y in enumerate(path)) + sum(model.move[a, b] for a, b in zip(path, path[1:])))
+            good, total = good + w * np.array(path), total + w
+        w = np.maximum(length, 1)
+        mean = np.clip(w @ (good / total) / w.sum(), 1e-4, 1 - 1e-4)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(1.3 * np.log(mean / (1 - mean)) - 0.2))))
+
+
 def test_language(spark, docs, empty):
     a = [(i, " ".join(random.Random(i).choice(["the", "and", "that", "with", "over"]) for _ in range(40)), "en") for i in range(80)]
     b = [(100 + i, " ".join(random.Random(i).choice(["und", "nicht", "über", "der", "sich"]) for _ in range(40)), "de") for i in range(60)]
@@ -376,6 +398,49 @@ def test_texts_that_share_a_doc_id_stay_apart(spark):
         assert all(gone == n for n, gone in got[None])
 
 
+def removed_by_hand(rows):
+    """(doc_id, n_bytes_removed) of each row: all spans and runs as tuples of words in a dictionary, each first place
+    kept, every word of any other place removed with what follows it up to the next word."""
+    places, texts = collections.defaultdict(set), {}
+    last = float("inf")
+    for d, t in rows:
+        body = (t or "").encode()
+        own = int(F_HASH[t or ""])
+        data, offsets = np.frombuffer(body, np.uint8), np.array([0, len(body)])
+        starts, first, at, _ = substrings.sentences(data, offsets)
+        words = [w.lower() for w in re.findall(rb"[A-Za-z0-9\x80-\xff]+", body)]
+        assert len(words) == len(starts)
+        spans = []
+        for kind, (_, number, lo, hi) in enumerate(substrings.numbered(at, first, substrings.sentences(data, offsets)[3], substrings.SPAN, substrings.MIN_WORDS)):
+            spans += [((last if d is None else d, own, int(x)), (kind, *words[a:b]), a, b) for x, a, b in zip(number, lo, hi)]
+        texts[d, t] = body, starts, spans
+        for place, key, _, _ in spans:
+            places[key].add(place)
+    out = collections.Counter()
+    for d, t in rows:
+        body, starts, spans = texts[d, t]
+        gone = np.zeros(len(starts) + 1, bool)
+        for place, key, a, b in spans:
+            if place != min(places[key]):
+                gone[a:b] = True
+        ends = [*starts[1:], len(body)]
+        out[d, sum(int(e - s) for s, e, g in zip(starts, ends, gone) if g)] += 1
+    return out
+
+
+F_HASH = {}
+
+
+def test_substring_dedup_by_hand(spark, docs):
+    r = random.Random(4)
+    rows = plain(docs) + [(200 + i, " ".join(prose(12, r.randrange(30)) + r.choice([". ", "\n", " "]) for _ in range(8))) for i in range(40)] + [(201, prose(50, 1)), (None, prose(60, 99))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    own = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << substrings.TEXT_BITS))
+    F_HASH.update({x["text"] or "": x["own"] for x in table.select("text", own.alias("own")).collect()})
+    got = collections.Counter((x["doc_id"], x["n_bytes_removed"]) for x in substrings.substring_dedup(table).collect())
+    assert got == removed_by_hand(rows)
+
+
 def test_passages_of_51_words_are_found_without_marks_and_with_others(spark):
     r, words = random.Random(14), [f"w{i}" for i in range(4000)]
     rows, passages = [], []
