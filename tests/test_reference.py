@@ -458,3 +458,34 @@ def test_reports(spark, tmp_path):
     (tmp_path / "m" / "own.dat").write_text(" ".join(str(1 + i % 7) for i in range(190)) + "\n" + " ".join(["0.05"] * 20))
     m = read_models(str(tmp_path / "m"), categories=1)["OWN"]
     assert max(m.exchange) == 10 and m.exchange[0] == pytest.approx(10 / 7) and m.eigen()[0].max() == pytest.approx(0, abs=1e-9)
+
+
+def test_columns_are_counted_as_by_hand(spark, monkeypatch):
+    from arborspark.queries import CODES, KINDS
+
+    rng = np.random.default_rng(8)
+    rows = [(rng.choice(["x", "y", "z"]), "".join(rng.choice(list("ABcdé中 -z1"), rng.integers(0, 30)))) for _ in range(60)] + [("x", None), (None, "AAA"), ("w", "")]
+    counts = {}
+    for taxon, text in rows:
+        for site, c in enumerate(text or "", 1):
+            code = 1 << ord(c) % 4 if c.isascii() and c.isalpha() else 15
+            cell = counts.setdefault((taxon, site), {})
+            cell[code] = cell.get(code, 0) + 1
+    want = {(t, s, min(n, key=lambda c: (-n[c], c))) for (t, s), n in counts.items() if t}
+    got = alignment.consensus(spark.createDataFrame([tuple(str(x) if x is not None else None for x in r) for r in rows], "source string, text string").repartition(3), "source", "text", KINDS, CODES)
+    assert {(r["taxon"], r["site"], r["code"]) for r in got.collect()} == want
+
+
+def test_rows_are_numbered_in_ranges(spark, monkeypatch):
+    from arborspark.sources import tables
+
+    rows = spark.createDataFrame([(f"n{i * 7919 % 5000:05d}",) for i in range(5000)], "name string").repartition(6)
+    monkeypatch.setattr(tables.is_small, "__defaults__", (100,))
+    got = [(r["name"], r["i"]) for r in tables.numbered(rows, "name", "i").collect()]
+    assert sorted(got) == [(f"n{i:05d}", i) for i in range(5000)]
+
+
+def test_lines_of_a_large_alignment(spark, tmp_path):
+    (tmp_path / "a.phy").write_text("4 6\nalpha acg tac\nbeta ACGTAA\n\n gamma  ACGTTT\ndelta ACGTNN\n")
+    got = {r["name"]: r["seq"] for r in phylip.read_phylip_lines(spark, str(tmp_path / "a.phy")).collect()}
+    assert got == {"alpha": "ACGTAC", "beta": "ACGTAA", "gamma": "ACGTTT", "delta": "ACGTNN"}
