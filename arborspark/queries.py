@@ -503,7 +503,7 @@ QUERIES |= {
 }
 ORACLE_SQL |= {
     "recode_alignment": f"WITH {_CELLS} SELECT CASE code WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 4 THEN 'G' WHEN 8 THEN 'T' ELSE '-' END AS character, code, code AS again, count(*) AS n FROM cells GROUP BY ALL",
-    "vanished_partitions": f"WITH {_CELLS}, k AS (SELECT count(*) AS n FROM cells WHERE code <> 15 AND site > 1000000000) SELECT 4 AS part_id, 'none' AS name FROM k WHERE n = 0",
+    "vanished_partitions": f"WITH {_CELLS}, beyond AS (SELECT count(*) AS n FROM cells WHERE code <> 15 AND site > 1000000000) SELECT 4 AS part_id, 'none' AS name FROM beyond WHERE n = 0",
     "missing_states": f"WITH {_CELLS}, aa AS (SELECT unnest(string_split('{AA.states}', '')) AS state, unnest(range({len(AA.states)})) AS bit), have AS (SELECT DISTINCT taxon_id, code FROM cells WHERE code IN (1, 2, 4, 8)) SELECT taxon_id AS part_id, state FROM ids CROSS JOIN aa WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.taxon_id = ids.taxon_id AND h.code = 1 << bit)",
     "tree_loglik": f"{_START}{_walk(_rates([1.0]))} SELECT part_id, round(sum(weight * ln(f)), 4) AS lnl, sum(weight) AS weight FROM lik GROUP BY part_id",
     "tree_loglik_gamma": f"{_START}{_walk(_gamma_rates())}, mixed AS (SELECT part_id, first_site, any_value(weight) AS weight, avg(f) AS f FROM lik GROUP BY part_id, first_site) SELECT part_id, round(sum(weight * ln(f)), 4) AS lnl, sum(weight) AS weight FROM mixed GROUP BY part_id",
