@@ -9,7 +9,8 @@ consecutive strings with one anchor are the unit of work:
 2. the bytes of the remaining runs, each distinct content once, go to their anchor's bucket.
    There the strings' suffixes are sorted by a mergesort whose comparisons find the common
    extension of two suffixes by binary search over prefix hashes; neighbours that agree on
-   WINDOW bytes, checked byte by byte, are one string, and the least doc_id of each goes back;
+   WINDOW bytes, checked byte by byte, are one string, and the least doc_id of each goes back.
+   Strings of an anchor that is in very many groups go to buckets by their own hashes;
 3. each group removes what a document with a smaller doc_id has as well.
 
 Groups and buckets grow in number, not in size, and texts are shuffled once.
@@ -32,6 +33,7 @@ GROUP_BYTES = 4 << 20
 PIECE_BYTES = 1 << 19  #: of a group or bucket worked on at once
 BUCKET_BYTES = 16 << 20  #: of all texts, for each bucket of anchors
 SLICE = 100_000  #: suffixes sorted at once
+HOT_GROUPS = 256  #: groups in which an anchor may stand before its strings are dealt out one by one
 NOBODY = np.iinfo(np.int64).max
 
 
@@ -141,8 +143,12 @@ def send_marks(buckets: int):
     return run
 
 
-def answer_marks(table: pa.Table) -> pa.Table:
-    """For each letter one bit a mark: is it in two documents or more."""
+def answer_marks(hot_groups: int):
+    """For each letter two bits a mark: is it in two documents or more, and in more than hot_groups groups."""
+    return lambda table: _answer_marks(table, hot_groups)
+
+
+def _answer_marks(table: pa.Table, hot_groups: int) -> pa.Table:
     table = table.sort_by("grp")
     letters = [unpack(b, np.uint64, np.uint8) for b in table.column("body").to_pylist()]
     sizes = [len(m) for m, _ in letters]
@@ -150,31 +156,59 @@ def answer_marks(table: pa.Table) -> pa.Table:
     twice = np.concatenate([np.unpackbits(t)[: len(m)] for m, t in letters]).astype(bool)
     _, inverse, count = np.unique(marks, return_inverse=True, return_counts=True)
     shared = (count > 1) | (np.bincount(inverse[twice], minlength=len(count)) > 0)
-    flags = np.split(shared[inverse], np.cumsum(sizes)[:-1])
-    return mail([(b, g, 1, np.packbits(f).tobytes()) for b, g, f in zip(table.column("bucket").to_pylist(), table.column("grp").to_pylist(), flags)])
+    flags = np.split(shared[inverse] + 2 * (count > hot_groups)[inverse], np.cumsum(sizes)[:-1])
+    return mail([(b, g, 1, np.packbits(f & 1).tobytes() + np.packbits(f >> 1).tobytes()) for b, g, f in zip(table.column("bucket").to_pylist(), table.column("grp").to_pylist(), flags)])
 
 
 class Shared:
-    """The runs of a group whose anchors are shared, and their distinct contents."""
+    """The runs of a group whose anchors are shared, and their distinct contents. Runs of an anchor that
+    is in very many groups are cut into single strings, which go to buckets by their own hashes, so
+    that no bucket gets all of a frequent anchor's contents."""
 
     def __init__(self, docs: pa.Table, answers: pa.Table, buckets: int):
         self.table, self.ids, self.texts = ordered(docs)
-        r = self.runs = Runs(self.texts)
+        texts = self.texts.fill_null(b"")
+        self.offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        self.data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
+        r = Runs(self.texts)
         marks, inverse = np.unique(r.mark, return_inverse=True)
-        flag = np.zeros(len(marks), bool)
+        flag, hot = np.zeros(len(marks), bool), np.zeros(len(marks), bool)
         bits = {b: x for b, k, x in zip(*(answers.column(c).to_pylist() for c in ("bucket", "kind", "body"))) if k == 1}
         for b, at in by_bucket(marks, buckets):
-            flag[at] = np.unpackbits(np.frombuffer(bits[b], np.uint8))[: len(at)]
-        self.at = np.flatnonzero(flag[inverse])
-        key = np.stack([r.mark[self.at], r.c0[self.at], r.c1[self.at]], axis=1)
-        order = np.lexsort((key[:, 2], key[:, 1], key[:, 0]))
+            both = np.frombuffer(bits[b], np.uint8).reshape(2, -1)
+            flag[at], hot[at] = (np.unpackbits(x)[: len(at)] for x in both)
+        plain, cut = (np.flatnonzero(flag[inverse] & x) for x in (~hot[inverse], hot[inverse]))
+        columns = [np.concatenate([getattr(r, n)[plain], x]) for n, x in zip(Runs.NAMES, self.strings(r, cut))]
+        self.doc, self.start, self.end, self.back, self.route, c0, c1 = columns
+        order = np.lexsort((c1, c0, self.route))
+        key = np.stack([self.route, c0, c1], axis=1)[order]
         new = np.ones(len(order), bool)
-        new[1:] = (key[order[1:]] != key[order[:-1]]).any(axis=1)
+        new[1:] = (key[1:] != key[:-1]).any(axis=1)
         self.content = np.empty(len(order), np.int64)  # number of each run's content
         self.content[order] = np.cumsum(new) - 1
-        self.sample = self.at[order[new]]  # a run of each content
+        self.sample = order[new]  # a run of each content
         self.least = np.full(len(self.sample), NOBODY)
-        np.minimum.at(self.least, self.content, self.ids[r.doc[self.at]])
+        np.minimum.at(self.least, self.content, self.ids[self.doc])
+
+    def strings(self, r: Runs, cut: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The strings of some runs as runs of one, each with its own hash in the anchor's place."""
+        count = r.end[cut] - r.start[cut]
+        doc, inner = np.repeat(r.doc[cut], count), ranges(count)
+        start, back = np.repeat(r.start[cut], count) + inner, np.repeat(r.back[cut], count) - inner
+        at, c = self.offsets[doc] + start, np.empty((2, len(doc)), np.uint64)
+        i = 0
+        while i < len(at):  # runs stand in the order of the texts
+            j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE_BYTES)))
+            data, own = self.data[at[i] : at[j - 1] + WINDOW], at[i:j] - at[i]
+            c[0, i:j] = range_hash(prefix_hashes(data), own, own + WINDOW)
+            c[1, i:j] = range_hash(prefix_hashes(mix_bytes(data)), own, own + WINDOW)
+            i = j
+        return doc, start, start + 1, back, mix(c[0] ^ np.uint64(BASE)), c[0], c[1]
+
+
+def mix_bytes(data: np.ndarray) -> np.ndarray:
+    """Other bytes in one-to-one correspondence, for a second hash."""
+    return np.random.default_rng(4).permutation(256).astype(np.uint8)[data]
 
 
 def send_contents(buckets: int):
@@ -182,16 +216,13 @@ def send_contents(buckets: int):
         if not docs.num_rows:
             return mail([])
         grp, s = docs.column("grp")[0].as_py(), Shared(docs, answers, buckets)
-        r, texts = s.runs, s.texts.fill_null(b"")
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
         out = []
-        for b, k in by_bucket(r.mark[s.sample], buckets):
+        for b, k in by_bucket(s.route[s.sample], buckets):
             at = s.sample[k]
-            size = r.end[at] - r.start[at] + WINDOW - 1
-            begin = offsets[r.doc[at]] + r.start[at]
-            body = data[np.repeat(begin, size) + ranges(size)]
-            out.append((b, grp, 2, pack(body, size, r.back[at].astype(np.uint8), s.least[k])))
+            size = s.end[at] - s.start[at] + WINDOW - 1
+            begin = s.offsets[s.doc[at]] + s.start[at]
+            body = s.data[np.repeat(begin, size) + ranges(size)]
+            out.append((b, grp, 2, pack(body, size, s.back[at].astype(np.uint8), s.least[k])))
         return mail(out)
 
     return run
@@ -362,10 +393,9 @@ def cut_out(buckets: int):
         s = Shared(docs, answers, buckets) if docs.num_rows else None
         rows = []
         if s:
-            r = s.runs
             segments = {b: unpack(x, np.uint32, np.uint32, np.int64) for b, k, x in zip(*(answers.column(c).to_pylist() for c in ("bucket", "kind", "body"))) if k == 3}
             content, inner, doc = [], [], []
-            for b, k in by_bucket(r.mark[s.sample], buckets):
+            for b, k in by_bucket(s.route[s.sample], buckets):
                 c, i, d = segments[b]
                 content.append(k[c])
                 inner.append(i.astype(np.int64))
@@ -376,12 +406,12 @@ def cut_out(buckets: int):
             lo = np.searchsorted(content, np.arange(len(s.sample)))
             count = np.diff(np.append(lo, len(content)))[s.content]
             which = np.repeat(lo[s.content], count) + ranges(count)
-            run_of = np.repeat(s.at, count)
-            begin = r.start[run_of] + inner[which]
+            run_of = np.repeat(np.arange(len(s.doc)), count)
+            begin = s.start[run_of] + inner[which]
             last = np.append(run_of[1:] != run_of[:-1], True) if len(run_of) else np.zeros(0, bool)
-            end = np.where(last, r.end[run_of], np.append(begin[1:], 0))
-            hit = doc[which] < s.ids[r.doc[run_of]]
-            row, begin, end = r.doc[run_of][hit], begin[hit], end[hit] + WINDOW - 1
+            end = np.where(last, s.end[run_of], np.append(begin[1:], 0))
+            hit = doc[which] < s.ids[s.doc[run_of]]
+            row, begin, end = s.doc[run_of][hit], begin[hit], end[hit] + WINDOW - 1
             order = np.argsort(row, kind="stable")
             row, begin, end = row[order], begin[order], end[order]
             bounds = np.searchsorted(row, np.arange(docs.num_rows + 1))
@@ -403,7 +433,7 @@ def cut_out(buckets: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_groups: int = HOT_GROUPS) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (bytes left).
 
     Removed is each byte that lies in a WINDOW-byte string which also starts in a document with a
@@ -417,7 +447,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gr
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))  # null and shared ids are spread as well
     by_group = rows.groupBy("grp")
     first = by_group.applyInArrow(send_marks(buckets), MAIL)
-    shared = first.groupBy("bucket").applyInArrow(answer_marks, MAIL)
+    shared = first.groupBy("bucket").applyInArrow(answer_marks(hot_groups), MAIL)
     second = by_group.cogroup(shared.groupBy("grp")).applyInArrow(send_contents(buckets), MAIL)
     least = second.groupBy("bucket").applyInArrow(answer_contents, MAIL)
     return by_group.cogroup(shared.unionByName(least).groupBy("grp")).applyInArrow(cut_out(buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

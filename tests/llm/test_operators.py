@@ -223,9 +223,9 @@ def cut_by_hand(rows, w):
     return out
 
 
-@pytest.mark.parametrize("group_bytes", [500, 8 << 20])
-def test_suffix_dedup(docs, empty, group_bytes):
-    got = suffixes.suffix_dedup(docs, group_bytes=group_bytes, bucket_bytes=2000).collect()
+@pytest.mark.parametrize(("group_bytes", "hot_groups"), [(500, 256), (8 << 20, 256), (500, 1), (2000, 3)])
+def test_suffix_dedup(docs, empty, group_bytes, hot_groups):
+    got = suffixes.suffix_dedup(docs, group_bytes=group_bytes, bucket_bytes=2000, hot_groups=hot_groups).collect()
     assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == cut_by_hand(plain(docs), suffixes.WINDOW)
     assert suffixes.suffix_dedup(empty).count() == 0
 
