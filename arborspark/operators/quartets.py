@@ -4,25 +4,28 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborspark.sources.tables import broadcast_if_small, materialise
+
 
 def all_quartets(taxa: DataFrame) -> DataFrame:
     """Every t1 < t2 < t3 < t4. The taxa of a tree are few; the result has C(n, 4) rows by nature."""
     t = [taxa.select(F.col("taxon_id").alias(f"t{i}")) for i in (1, 2, 3, 4)]
     out = t[0]
     for i in (1, 2, 3):
-        out = out.join(F.broadcast(t[i]), F.col(f"t{i}") < F.col(f"t{i + 1}"))
+        out = out.join(broadcast_if_small(t[i]), F.col(f"t{i}") < F.col(f"t{i + 1}"))
     return out
 
 
 def grouped_quartets(groups: DataFrame) -> DataFrame:
     """One taxon of each of four groups (grp 0 to 3), which are disjoint."""
     t = [groups.where(F.col("grp") == i).select(F.col("taxon_id").alias(f"t{i + 1}")) for i in range(4)]
-    return t[0].join(F.broadcast(t[1]), F.lit(True)).join(F.broadcast(t[2]), F.lit(True)).join(F.broadcast(t[3]), F.lit(True))
+    return reduce(lambda a, b: a.join(broadcast_if_small(b), F.lit(True)), t)
 
 
 def random_quartets(spark: SparkSession, n_taxa: int, count: int, seed: int) -> DataFrame:
@@ -108,11 +111,11 @@ def pair_likelihood(pairs: DataFrame, t: float) -> DataFrame:
 def four_point(distances: DataFrame, quartets: DataFrame) -> DataFrame:
     """The topology of each quartet with the least sum of two distances: t1..t4, topology (0: t1 t2 | t3 t4,
     1: t1 t3 | t2 t4, 2: t1 t4 | t2 t3), support (second least minus least sum)."""
-    out = quartets
+    out, distances = quartets, broadcast_if_small(materialise(distances, "distances"))
     for x, y in ((1, 2), (3, 4), (1, 3), (2, 4), (1, 4), (2, 3)):
         d = distances.select(F.col("a").alias("l"), F.col("b").alias("r"), F.col("distance").alias(f"d{x}{y}"))
-        at = (F.least(f"t{x}", f"t{y}") == F.col("l")) & (F.greatest(f"t{x}", f"t{y}") == F.col("r"))
-        out = out.join(F.broadcast(d), at).drop("l", "r")
+        at = (F.least(out[f"t{x}"], out[f"t{y}"]) == d["l"]) & (F.greatest(out[f"t{x}"], out[f"t{y}"]) == d["r"])
+        out = out.join(d, at).drop("l", "r")
     sums = F.sort_array(F.array(*(F.struct(F.round(F.col(a) + F.col(b), 6).alias("s"), F.lit(i).alias("i")) for i, (a, b) in enumerate((("d12", "d34"), ("d13", "d24"), ("d14", "d23"))))))
     out = out.withColumn("sums", sums)
     return out.select("t1", "t2", "t3", "t4", F.col("sums")[0]["i"].alias("topology"), F.round(F.col("sums")[1]["s"] - F.col("sums")[0]["s"], 6).alias("support"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from arborspark.functions.numerics import Model
 from arborspark.plans.kernel import Block, root_edge
 from arborspark.sources.newick import Tree
-from arborspark.sources.tables import materialise
+from arborspark.sources.tables import broadcast_if_small, materialise
 
 
 def blocks_of(b: pd.DataFrame, tree: Tree, models: dict[int, Model]) -> Iterator[tuple[int, pd.DataFrame, Block]]:
@@ -126,12 +126,13 @@ def categorise(rates: DataFrame, categories: int = 25, joint: bool = False) -> D
     cluster = F.round("rate", 3)
     sums = rates.groupBy("part_id", cluster.alias("cluster")).agg(F.sum("lnl").alias("lnl"))
     kept = sums.groupBy("part_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("lnl", "cluster"))), 1, categories).alias("kept"))
-    joined = rates.join(F.broadcast(kept), "part_id")
+    kept = broadcast_if_small(materialise(kept, "kept"))  # a row a partition
+    joined = rates.join(kept, "part_id")
     near = F.array_min(F.transform("kept", lambda c: F.struct(F.abs(c["cluster"] - F.col("rate")).alias("away"), c["cluster"].alias("cluster"))))
     picked = joined.select("part_id", "pattern_id", "weight", "rate", "lnl", near["cluster"].alias("cluster"))
     sums = picked.groupBy("part_id").agg(F.sum(F.col("cluster") * F.col("weight")).alias("rate"), F.sum("weight").alias("w"))
     over = Window.partitionBy(F.lit(0)) if joint else Window.partitionBy("part_id")
     mean = sums.select("part_id", (F.sum("rate").over(over) / F.sum("w").over(over)).alias("mean"))
-    out = picked.join(F.broadcast(mean), "part_id").withColumn("category_rate", F.col("cluster") / F.col("mean"))
+    out = picked.join(broadcast_if_small(materialise(mean, "mean")), "part_id").withColumn("category_rate", F.col("cluster") / F.col("mean"))
     number = kept.select("part_id", F.posexplode(F.array_sort(F.transform("kept", lambda c: c["cluster"]))).alias("category", "cluster"))
-    return out.join(F.broadcast(number), ["part_id", "cluster"]).select("part_id", "pattern_id", "weight", "rate", "lnl", "category", "category_rate")
+    return out.join(broadcast_if_small(number), ["part_id", "cluster"]).select("part_id", "pattern_id", "weight", "rate", "lnl", "category", "category_rate")
