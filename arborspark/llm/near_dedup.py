@@ -133,17 +133,22 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"a {kind}, b {kind}, match int")
 
 
+def views(column: pa.Array):
+    """Sets of a binary column, read where they are."""
+    return (np.frombuffer(x.as_buffer(), np.uint64) for x in column)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(views(b.column(2)), views(b.column(3))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     kind = pairs.schema["a"].dataType.simpleString()
     x, y = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
@@ -239,7 +244,7 @@ def blocks(own: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> D
     def compare(t: pa.Table) -> pa.Table:
         ids, part = t.column("id").to_pylist(), t.column("component").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES)
-        full = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        full = list(views(t.column("shingles")))
         is_left = t.column("is_left").to_numpy()
         rights, joined, a, b = np.flatnonzero(~is_left), set(), [], []
         for x in np.flatnonzero(is_left):
@@ -286,7 +291,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
 
     def one_set(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in _set_column(b, k)], pa.binary())], names=["id", "shingles"])
+            for i, j, data, offsets in chunks(b.column(1)):  # handed out chunk by chunk, so that a batch's sets are never all in memory
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([s.tobytes() for s in shingle_sets(data, offsets, k)], pa.binary())], names=["id", "shingles"])
+            pa.default_memory_pool().release_unused()
 
     dense = materialise(salted_join(trees.select("id", "region"), counts, "region", "size", total).select(F.col("region").alias("cell"), "id"), "members")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense.select("id")).distinct()

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20  #: bytes of text worked on at once; a longer text stands alone
+CHUNK = 1 << 20  #: bytes of text worked on at once; a longer text stands alone
 
 
 def mix(x: np.ndarray) -> np.ndarray:
