@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 20  #: bytes of text worked on at once; a longer text stands alone
 
@@ -69,6 +70,16 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         i = j
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts take about `limit` bytes; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = IS_WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the number of the first word of each text (one more at the end)."""
     inside = np.zeros(len(data) + 2, bool)
