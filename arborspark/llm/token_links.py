@@ -28,9 +28,10 @@ from arborspark.llm.textops import chunks
 
 BUCKETS = 64  #: radix partitions of the pairs, by B's id
 LOT = 32  #: tasks whose runs are merged together
-RUN_RECORDS = 4_000_000  #: pair-document records a task holds before it writes runs
+RUN_RECORDS = 2_000_000  #: pair-document records a task holds before it writes runs
+CHUNK_BYTES = 4 << 20  #: text worked on at once; a longer text is cut at units
 BLOCK = 1 << 16  #: records compressed together
-KEPT_UNIT, KEPT_BYTES = 64, 64 << 20  #: longest unit that is remembered, and how many bytes of them
+KEPT_UNITS = 300_000  #: units whose ids a Python worker remembers; then it starts afresh
 _aligners: dict[tuple[str, str], "Aligner"] = {}
 
 
@@ -69,41 +70,21 @@ def sums_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)
 
 
-class Aligned:
-    """A unit's tokens: how many of A, of B, groups and links, the links' distinct pairs (b << 32 | a) with
-    their numbers, and its groups as text. `fits`: do the tokens' bytes give the unit?"""
-
-    __slots__ = ("counts", "fits", "pairs", "text", "times")
-
-    def __init__(self, unit: bytes, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]):
-        x, y = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-        self.fits = b"".join(x) == unit == b"".join(y)
-        if not self.fits:
-            self.counts, self.pairs, self.times, self.text = (0, 0, 0, 0), (), (), ""
-            return
-        links: dict[int, int] = {}
-        groups, i, j, end_a, end_b, from_a, from_b, n_links = [], 0, 0, len(x[0]), len(y[0]), 0, 0, 0
-        while True:
-            pair = b[j] << 32 | a[i]
-            links[pair] = links.get(pair, 0) + 1
-            n_links += 1
-            both, step_a, step_b = end_a == end_b, end_a <= end_b, end_b <= end_a
-            i, j = i + step_a, j + step_b
-            if both:
-                groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                from_a, from_b = i, j
-                if i == len(a):
-                    break
-            if step_a:
-                end_a += len(x[i])
-            if step_b:
-                end_b += len(y[j])
-        self.counts, self.text = (len(a), len(b), len(groups), n_links), ";".join(groups)
-        self.pairs, self.times = tuple(links), tuple(links.values())
+class Vocabulary:
+    """The bytes of a tokenizer's ids: one array, and each id's place and size in it."""
+
+    def __init__(self, words: list[bytes]):
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.start = np.r_[0, np.cumsum(self.size)][:-1]
+        self.data = np.frombuffer(b"".join(words), np.uint8)
+
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        n = self.size[ids]
+        return self.data[np.repeat(self.start[ids] - np.r_[0, np.cumsum(n)][:-1], n) + np.arange(n.sum())]
 
 
 class Aligner:
-    """Both tokenizers in one Python worker, and the units they have met."""
+    """Both tokenizers in one Python worker, and the ids of units they have met."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -116,22 +97,23 @@ class Aligner:
         self.a.no_truncation()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         value = byte_values()
-        self.bytes_a = [b""] * self.a.get_vocab_size()
+        words = [b""] * self.a.get_vocab_size()
         for word, i in self.a.get_vocab(with_added_tokens=True).items():
-            self.bytes_a[i] = bytes(value[c] for c in word) if all(c in value for c in word) else word.encode()
+            words[i] = bytes(value[c] for c in word) if all(c in value for c in word) else word.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.words_a = Vocabulary(words)
+        self.words_b = Vocabulary([bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        self.digits = pa.array([b"%d" % i for i in range(max(len(words), len(pieces)))], pa.large_binary())
         self.space = self.b.piece_to_id("▁")
         #: B's merges stay within a unit if no piece holds a space after another character, or a line end.
         self.splits = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
-        self.known: dict[bytes, Aligned] = {}
-        self.size = 0
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of units: texts (each with its space), cut before a space or line end that follows a
         character that is no white space for certain. Neither tokenizer joins anything across such a place."""
         if not self.splits:
-            return offsets[:-1]
+            return offsets[:-1][np.diff(offsets) > 0]
         plain = (data > 0x20) & (data < 0x7F)
         plain[1:] |= (data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
         cut = np.zeros(len(data) + 1, bool)
@@ -145,19 +127,18 @@ class Aligner:
         ids = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1) if units else []
         return [[self.space] if u == " " else x if u[0] == " " else x[1:] for u, x in zip(units, ids)]
 
-    def aligned(self, units: list[bytes]) -> list[Aligned]:
-        """The tokens of units: those not met before go to both libraries at once."""
-        new = list({u for u in units if u not in self.known})
+    def encoded(self, units: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Of each tokenizer the ids of all units, one after the other, and how many each unit has. Units not
+        met before go to both libraries at once."""
+        new = [u for u in units if u not in self.known]
+        if len(self.known) + len(new) > KEPT_UNITS:
+            self.known, new = {}, units
         texts = [u.decode() for u in new]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        fresh = {u: Aligned(u, a, b, self.bytes_a, self.bytes_b) for u, a, b in zip(new, ids_a, self.ids_b(texts))}
-        out = [fresh[u] if u in fresh else self.known[u] for u in units]
-        if self.size > KEPT_BYTES:
-            self.known, self.size = {}, 0
-        short = {u: x for u, x in fresh.items() if len(u) <= KEPT_UNIT}
-        self.known |= short
-        self.size += sum(map(len, short))
-        return out
+        pack_ids = lambda x: np.asarray(x, "<u4").tobytes()
+        ids_a = (pack_ids(e.ids) for e in self.a.encode_batch_fast(texts, add_special_tokens=False))
+        self.known |= zip(new, zip(ids_a, map(pack_ids, self.ids_b(texts))))
+        cells = [self.known[u] for u in units]
+        return tuple((np.frombuffer(b"".join(c[k] for c in cells), "<u4").astype(np.int64), np.array([len(c[k]) // 4 for c in cells], np.int64)) for k in (0, 1))
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -169,66 +150,115 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts that are not empty with a space before each; empty ones stay empty."""
     full = np.diff(offsets) > 0
-    data = np.insert(data, offsets[:-1][full], 0x20)
-    return data, offsets + np.r_[0, np.cumsum(full)]
+    return np.insert(data, offsets[:-1][full], 0x20), offsets + np.r_[0, np.cumsum(full)]
+
+
+def lists(sizes: np.ndarray, values: pa.Array, mark: bytes) -> pa.Array:
+    """Runs of values of the given sizes, joined by a mark."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int64()), values), pa.scalar(mark, pa.large_binary()))
+
+
+class Units:
+    """Distinct units: do their tokens' bytes give the unit (`fits`), how many tokens of A and B, groups and
+    links they have (`counts`), their groups as text, and their links (pair: b << 32 | a)."""
+
+    def __init__(self, with_: Aligner, units: pa.Array):
+        (a, n_a), (b, n_b) = with_.encoded(units.to_pylist())
+        size = pc.binary_length(units).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = np.frombuffer(units.buffers()[2], np.uint8)
+        one = np.arange(len(size))
+        fits = np.ones(len(size), bool)
+        for ids, n, words in ((a, n_a, with_.words_a), (b, n_b, with_.words_b)):
+            fits &= np.bincount(np.repeat(one, n), words.size[ids], len(size)) == size
+        at = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(size)]
+        for ids, n, words in ((a, n_a, with_.words_a), (b, n_b, with_.words_b)):
+            own = words.spelled(ids[np.repeat(fits, n)])
+            there = np.repeat(at[fits] - np.r_[0, np.cumsum(size[fits])][:-1], size[fits]) + np.arange(size[fits].sum())
+            wrong = np.zeros(len(size), bool)
+            wrong[np.repeat(one[fits], size[fits])[own != data[there]]] = True
+            fits = fits & ~wrong
+        a, b = a[np.repeat(fits, n_a)], b[np.repeat(fits, n_b)]
+        end_a, end_b, end = np.cumsum(with_.words_a.size[a]), np.cumsum(with_.words_b.size[b]), np.cumsum(np.where(fits, size, 0))
+        # between neighbouring ends of either side lies one link
+        ends = np.union1d(end_a, end_b)
+        i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        self.pairs = b[j] << 32 | a[i]
+        unit = np.searchsorted(end, ends)
+        both = (end_a[i] == ends) & (end_b[j] == ends)
+        links, groups = np.bincount(unit, minlength=len(size)), np.bincount(unit[both], minlength=len(size))
+        self.fits, self.counts = fits, np.stack([np.where(fits, n_a, 0), np.where(fits, n_b, 0), groups, links], axis=1)
+        self.first_link = np.r_[0, np.cumsum(links)]
+        sides = [lists(np.diff(k[both] + 1, prepend=0), with_.digits.take(pa.array(ids)), b",") for k, ids in ((i, a), (j, b))]
+        self.text = lists(groups, pc.binary_join_element_wise(*sides, pa.scalar(b"|", pa.large_binary())), b";")
 
 
 class Found:
-    """What a chunk of texts gave: by document the four counts and the groups' digest; and records of
-    pair, document, times, sorted."""
+    """What texts gave, each with its space before it: by text whether its tokens fit, the four counts and its
+    groups as text; and records of pair, text, times, sorted."""
 
     def __init__(self, with_: Aligner, data: np.ndarray, offsets: np.ndarray):
-        data, offsets = spaced(data, offsets)
         starts = with_.units(data, offsets)
         docs = len(offsets) - 1
-        self.counts, self.digests = np.zeros((docs, 4), np.int64), [""] * docs
-        self.records = tuple(np.zeros(0, np.int64) for _ in range(3))
-        if not len(starts):
-            return
         cells = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[starts, len(data)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pc.dictionary_encode(cells)
-        unit, kinds = coded.indices.to_numpy().astype(np.int64), with_.aligned(coded.dictionary.to_pylist())
+        unit, kinds = coded.indices.to_numpy().astype(np.int64), Units(with_, coded.dictionary)
         first = np.searchsorted(starts, offsets)
         doc = np.repeat(np.arange(docs), np.diff(first))
-        bad = np.zeros(docs, bool)
-        bad[doc[~np.array([k.fits for k in kinds])[unit]]] = True
-        counts = np.array([k.counts for k in kinds])[unit]
-        for c in range(4):
-            self.counts[:, c] = np.diff(np.r_[0, np.cumsum(counts[:, c])][first])
-        self.counts[bad] = 0
-        texts = [k.text for k in kinds]
-        at = unit.tolist()
-        for d in np.flatnonzero((np.diff(first) > 0) & ~bad):
-            self.digests[d] = hashlib.sha256(";".join([texts[u] for u in at[first[d] : first[d + 1]]]).encode()).hexdigest()
-        good = ~bad[doc]
-        key, times = sums_by(unit[good] * docs + doc[good], np.ones(int(good.sum()), np.int64))
-        self.records = self._records(kinds, key // docs, key % docs, times, docs)
-
-    @staticmethod
-    def _records(kinds: list[Aligned], unit: np.ndarray, doc: np.ndarray, times: np.ndarray, docs: int) -> tuple[np.ndarray, ...]:
-        """Each unit of a document in as many records as the unit has pairs; sums by pair and document."""
-        size = np.array([len(k.pairs) for k in kinds])
-        begin = np.r_[0, np.cumsum(size)]
-        pairs = np.array([p for k in kinds for p in k.pairs], np.int64)
-        each = np.array([t for k in kinds for t in k.times], np.int64)
-        distinct, place = np.unique(pairs, return_inverse=True)
-        n = size[unit]
-        at = np.repeat(begin[unit] - np.r_[0, np.cumsum(n)][:-1], n) + np.arange(n.sum())
-        key, total = sums_by(place[at] * docs + np.repeat(doc, n), each[at] * np.repeat(times, n))
-        return distinct[key // docs], key % docs, total
+        self.fits = np.ones(docs, bool)
+        self.fits[doc[~kinds.fits[unit]]] = False
+        good = self.fits[doc]
+        unit, doc = unit[good], doc[good]
+        per_doc = np.bincount(doc, minlength=docs)
+        self.counts = np.stack([np.bincount(doc, kinds.counts[unit, c], docs).astype(np.int64) for c in range(4)], axis=1)
+        self.text = lists(per_doc, kinds.text.take(pa.array(unit)), b";")
+        key, times = sums_by(unit * docs + doc, np.ones(len(unit), np.int64))
+        unit, doc = key // docs, key % docs
+        n = np.diff(kinds.first_link)[unit]
+        at = np.repeat(kinds.first_link[unit] - np.r_[0, np.cumsum(n)][:-1], n) + np.arange(n.sum())
+        distinct, place = np.unique(kinds.pairs, return_inverse=True)
+        key, times = sums_by(place[at] * docs + np.repeat(doc, n), np.repeat(times, n))
+        self.records = distinct[key // docs], key % docs, times
+
+
+def found(with_: Aligner, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str], tuple[np.ndarray, ...]]:
+    """Of each text the four counts and the digest of its groups, and records of pair, text, times. A long
+    text, alone in its chunk, is worked on in parts that begin with units."""
+    data, offsets = spaced(data, offsets)
+    if not len(data):
+        return np.zeros((len(offsets) - 1, 4), np.int64), [""] * (len(offsets) - 1), tuple(np.zeros(0, np.int64) for _ in range(3))
+    if len(offsets) > 2 or len(data) <= 2 * CHUNK_BYTES:
+        x = Found(with_, data, offsets)
+        texts = np.frombuffer(x.text.buffers()[2] or b"", np.uint8)
+        ends = np.frombuffer(x.text.buffers()[1], np.int64)[: len(offsets)]
+        whole = x.fits & (x.counts[:, 0] > 0)
+        return x.counts, [hashlib.sha256(texts[i:j]).hexdigest() if w else "" for i, j, w in zip(ends[:-1], ends[1:], whole)], x.records
+    starts = with_.units(data, offsets)
+    cuts = np.unique(starts[np.searchsorted(starts, np.arange(0, starts[-1] + 1, CHUNK_BYTES))])
+    counts, digest, pair, times, fits = np.zeros((1, 4), np.int64), hashlib.sha256(), *(np.zeros(0, np.int64) for _ in range(2)), True
+    for i, j in zip(cuts, [*cuts[1:], len(data)]):
+        x = Found(with_, data[i:j], np.array([0, j - i]))
+        fits = fits and bool(x.fits[0])
+        counts += x.counts
+        digest.update((b";" if i else b"") + x.text[0].as_py())
+        pair, times = sums_by(np.r_[pair, x.records[0]], np.r_[times, x.records[2]])
+    if not fits:
+        return np.zeros((1, 4), np.int64), [""], tuple(np.zeros(0, np.int64) for _ in range(3))
+    return counts, [digest.hexdigest()], (pair, np.zeros(len(pair), np.int64), times)
 
 
 def runs(held: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """bucket, block, payload: records of pair, document, times, sorted by bucket (B's id modulo their
-    number), pair and document, in blocks with differences of pairs."""
+    number), pair and document, in blocks with differences of pairs. What is held is in the order of
+    documents and sorted by pair, document, so a stable sort by pair is enough."""
     pair, doc, times = (np.concatenate(c) for c in zip(*held))
-    order = np.lexsort((doc, pair, (pair >> 32) % buckets))
-    pair, doc, times = pair[order], doc[order], times[order]
-    edges = np.searchsorted((pair >> 32) % buckets, np.arange(buckets + 1))
-    for bucket, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+    bucket = (pair >> 32) % buckets
+    order = np.argsort(bucket * (int(pair.max(initial=0)) + 1) + pair, kind="stable")
+    pair, doc, times, bucket = pair[order], doc[order], times[order], bucket[order]
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    for number, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
         for block, i in enumerate(range(lo, hi, BLOCK)):
             j = min(i + BLOCK, hi)
-            yield bucket, block, pack(np.diff(pair[i:j], prepend=0), doc[i:j], times[i:j])
+            yield number, block, pack(np.diff(pair[i:j], prepend=0), doc[i:j], times[i:j])
 
 
 def read_run(blocks: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -350,12 +380,11 @@ def token_links(docs: DataFrame, tokenizer_a: str = "byte_bpe_50k.json", tokeniz
         names = ["doc_id", "number", *COUNTS, "groups_sha256", "task", "bucket", "run", "block", "payload"]
         for b in batches:
             types = b.schema.field(0).type
-            for i, j, data, offsets in chunks(b.column(1), 4 << 20):
-                found = Found(with_, data, offsets)
-                pair, doc, times = found.records
+            for i, j, data, offsets in chunks(b.column(1), CHUNK_BYTES):
+                counts, digests, (pair, doc, times) = found(with_, data, offsets)
                 held.append((pair, doc + number, times))
                 n, none = j - i, [pa.nulls(j - i, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array(np.arange(number, number + n)), *map(pa.array, found.counts.T.copy()), pa.array(found.digests, pa.string()), pa.array([task] * n, pa.int32()), *none], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array(np.arange(number, number + n)), *map(pa.array, counts.T.copy()), pa.array(digests, pa.string()), pa.array([task] * n, pa.int32()), *none], names=names)
                 number += n
                 if sum(len(h[0]) for h in held) > RUN_RECORDS:
                     yield written()

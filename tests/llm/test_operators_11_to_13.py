@@ -224,6 +224,21 @@ def test_token_links_of_documents(spark):
     assert rows_of(token_links(docs.repartition(3), lot=1)) == plain_links([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_long_texts_are_cut_at_units(spark, monkeypatch):
+    import numpy as np
+
+    from arborspark.llm import token_links as t
+
+    with_ = t.aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    for text in (" ".join(f"wörd{i % 97}, it's\n{i}" for i in range(2000)), "a▁b " * 3000):
+        data = np.frombuffer(text.encode(), np.uint8)
+        monkeypatch.setattr(t, "CHUNK_BYTES", 4 << 20)
+        whole = t.found(with_, data, np.array([0, len(data)]))
+        monkeypatch.setattr(t, "CHUNK_BYTES", 1000)
+        parts = t.found(with_, data, np.array([0, len(data)]))
+        assert whole[0].tolist() == parts[0].tolist() and whole[1] == parts[1] and all(x.tolist() == y.tolist() for x, y in zip(whole[2], parts[2]))
+
+
 def test_token_links_of_nothing(spark):
     assert token_links(table(spark, [])).count() == 0
     assert rows_of(token_links(table(spark, [(1, None, "en", "a")]))) == [(1, 0, 0, 0, 0, 0, 0, "")]
