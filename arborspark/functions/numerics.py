@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field, replace
 from pathlib import Path
@@ -175,6 +176,26 @@ class Mixture:
         return transition(self.spectrum(), z, derivative)
 
 
+def as_text(models: dict[int, "Model | Mixture"]) -> str:
+    """Models as JSON; models_of reads them again, to the last bit."""
+
+    def parts(m: Model | Mixture) -> dict:
+        if isinstance(m, Mixture):
+            return {"components": [parts(c) for c in m.components], "relative": list(map(float, m.relative)), "shares": list(map(float, m.shares))}
+        return {"freqs": list(map(float, m.freqs)), "exchange": list(map(float, m.exchange)), "alpha": float(m.alpha), "categories": m.categories, "median": m.median}
+
+    return json.dumps({str(p): parts(m) for p, m in sorted(models.items())})
+
+
+def models_of(text: str) -> dict[int, "Model | Mixture"]:
+    def model(x: dict) -> Model | Mixture:
+        if "components" in x:
+            return Mixture(tuple(model(c) for c in x["components"]), tuple(x["relative"]), tuple(x["shares"]))
+        return Model(tuple(x["freqs"]), tuple(x["exchange"]), x["alpha"], x["categories"], x["median"])
+
+    return {int(p): model(x) for p, x in json.loads(text).items()}
+
+
 def equal_rates(states: int, **options) -> Model:
     return Model((1.0 / states,) * states, (1.0,) * (states * (states - 1) // 2), **options)
 

@@ -130,7 +130,7 @@ def score_candidates(patterns: DataFrame, tree: Tree, candidates: dict[int, list
             rows = []
             for part, g in b.groupby("part_id"):
                 for i, model in enumerate(candidates.get(int(part), ())):
-                    rows += [(p, i, block.lnl(*edge)) for p, _, block in blocks_of(g, tree, {int(part): model})]
+                    rows += [(p, i, block.lnl(*edge)) for p, _, block in blocks_of(g, tree, {int(part): model}, every_edge=False)]
             yield pd.DataFrame(rows, columns=["part_id", "number", "lnl"])
 
     columns = [c for c in ("part_id", "weight", "codes", "rate") if c in patterns.columns]

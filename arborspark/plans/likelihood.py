@@ -10,18 +10,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborspark.functions.numerics import Model
-from arborspark.plans.kernel import Block, root_edge
+from arborspark.plans.kernel import Block, patterns_at_once, root_edge
 from arborspark.sources.newick import Tree
 from arborspark.sources.tables import broadcast_if_small, materialise
 
 
-def blocks_of(b: pd.DataFrame, tree: Tree, models: dict[int, Model]) -> Iterator[tuple[int, pd.DataFrame, Block]]:
-    """The patterns of a batch as blocks: of one partition and, where patterns have a `rate`, of one rate."""
+def blocks_of(b: pd.DataFrame, tree: Tree, models: dict[int, Model], every_edge: bool = True) -> Iterator[tuple[int, pd.DataFrame, Block]]:
+    """The patterns of a batch as blocks: of one partition and, where patterns have a `rate`, of one rate;
+    cut so that the vectors of a block take the same memory, however many taxa, rates and states there are.
+    every_edge off: only one edge is looked at, and vectors are dropped on the way."""
     keys = ["part_id", "rate"] if "rate" in b else ["part_id"]
-    for key, g in b.groupby(keys):
-        model = models[int(key[0])] if len(keys) == 1 else models[int(key[0])].with_(categories=1)
+    for key, rows in b.groupby(keys):
+        model = models[int(key[0])] if len(keys) == 1 else single_rate(models[int(key[0])])
         rated = tree if len(keys) == 1 else [(u, v, z ** key[1]) for u, v, z in tree]
-        yield int(key[0]), g, Block(np.stack(g["codes"].to_numpy()).astype(np.int64), g["weight"].to_numpy(), model, rated)
+        step = patterns_at_once(len(rows["codes"].iloc[0]), model, every_edge)
+        for i in range(0, len(rows), step):
+            g = rows.iloc[i : i + step]
+            yield int(key[0]), g, Block(np.stack(g["codes"].to_numpy()).astype(np.int64), g["weight"].to_numpy(), model, rated, every_edge)
+
+
+def single_rate(model: Model) -> Model:
+    """The model of patterns that have a rate each. A mixture has a rate for each matrix, so it can't be had."""
+    if not isinstance(model, Model):
+        raise ValueError("patterns with rates of their own need a model with one matrix")
+    return model.with_(categories=1)
 
 
 def log_likelihood(patterns: DataFrame, tree: Tree, models: dict[int, Model]) -> DataFrame:
@@ -31,7 +43,7 @@ def log_likelihood(patterns: DataFrame, tree: Tree, models: dict[int, Model]) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(part, x.lnl(*root_edge(tree)), int(g["weight"].sum())) for part, g, x in blocks_of(b, tree, models)]
+            rows = [(part, x.lnl(*root_edge(tree)), int(g["weight"].sum())) for part, g, x in blocks_of(b, tree, models, every_edge=False)]
             yield pd.DataFrame(rows, columns=["part_id", "lnl", "weight"])
 
     columns = [c for c in ("part_id", "weight", "codes", "rate") if c in patterns.columns]
@@ -62,7 +74,7 @@ def pattern_likelihoods(patterns: DataFrame, tree: Tree, models: dict[int, Model
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in rates:
-                for part, g, x in blocks_of(b.assign(rate=r), tree, models):
+                for part, g, x in blocks_of(b.assign(rate=r), tree, models, every_edge=False):
                     yield pd.DataFrame({"part_id": part, "pattern_id": g["pattern_id"], "rate": r, "lnl": x.pattern_likelihoods(*root_edge(tree))})
 
     return patterns.select("part_id", "pattern_id", "weight", "codes").mapInPandas(run, "part_id int, pattern_id int, rate double, lnl double")
@@ -81,7 +93,7 @@ def rated_likelihoods(patterns: DataFrame, tree: Tree, models: dict[int, Model])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part, g, x in blocks_of(b, tree, models):
+            for part, g, x in blocks_of(b, tree, models, every_edge=False):
                 yield pd.DataFrame({"part_id": part, "pattern_id": g["pattern_id"], "rate": g["rate"], "lnl": x.pattern_likelihoods(*root_edge(tree))})
 
     return patterns.select("part_id", "pattern_id", "weight", "codes", "rate").mapInPandas(run, "part_id int, pattern_id int, rate double, lnl double")

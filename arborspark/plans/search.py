@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.functions.numerics import Model
-from arborspark.operators.trees import best_trees
+from arborspark.functions.numerics import Mixture, Model, as_text, models_of
 from arborspark.plans import blockwise
 from arborspark.plans.blockwise import Case, smooth_cases
 from arborspark.plans.evaluate import evaluate_trees, gathered
-from arborspark.plans.kernel import Block, optimise_edge, root_edge, tree_of
-from arborspark.sources.newick import Tree, neighbours, parse, tip_sets, write
-from arborspark.sources.pattern_store import latest_snapshot, snapshot
+from arborspark.plans.insertion import LOCAL_BYTES, score_moves, vector_bytes
+from arborspark.plans.likelihood import optimise_psr
+from arborspark.sources.newick import Tree, neighbours, parse, regraft, tip_sets, write
+from arborspark.sources.pattern_store import exists, latest_snapshot, snapshot
+from arborspark.sources.tables import materialise
 
 
 def moves(tree: Tree, n_tips: int, radius: int) -> Iterator[tuple[int, int, int, int]]:
@@ -36,60 +39,50 @@ def moves(tree: Tree, n_tips: int, radius: int) -> Iterator[tuple[int, int, int,
                                 queue.append((c, at, depth + 1))
 
 
-def regraft(tree: Tree, node: int, cut: int, a: int, b: int) -> Tree:
-    near = neighbours(tree)
-    p, q = (x for x in near[cut] if x != node)
-    joined = near[cut][p] * near[cut][q]
-    kept = [(u, v, z) for u, v, z in tree if {u, v} not in ({cut, p}, {cut, q}, {a, b})]
-    half = near[a][b] ** 0.5
-    if {a, b} == {p, q}:
-        return tree
-    return [*kept, (p, q, joined), (cut, a, half), (cut, b, half)]
-
-
-def respects(wanted: set[frozenset], tree: Tree, n_tips: int) -> bool:
-    """Does the tree have every split of a constraint?"""
-    return wanted <= tip_sets(tree, n_tips)
-
-
-def spr_cycle(patterns: DataFrame, newick: str, models: dict[int, Model], names: list[str], radius: int, keep: int, constraint: frozenset[frozenset] = frozenset(), local: list | None = None) -> DataFrame:
-    """The `keep` best neighbours of a tree: topology (newick without lengths), newick, lnl. Each move is
-    scored with the three branches around the graft optimised: in a task of its own where the patterns
-    are few (`local`), else all moves at once over the blocks of patterns."""
-    spark, tips = patterns.sparkSession, {n: i for i, n in enumerate(names)}
-    tree = parse(newick, tips, lengths=True)
-    if local is None:
-        grafts = [(cut, node, a, b, regraft(tree, node, cut, a, b)) for node, cut, a, b in moves(tree, len(names), radius)]
-        cases = [Case(new, [(cut, x) for x in (node, a, b)]) for cut, node, a, b, new in grafts if new is not tree and (not constraint or respects(constraint, new, len(names)))]
-        done = [c.at(c.best) for c in smooth_cases(patterns, models, cases, 4)]
-        scored = spark.createDataFrame([(write(t, names, False), write(t, names), c.lnl) for t, c in zip(done, cases)], "topology string, newick string, lnl double")
-    else:
-        data = spark.sparkContext.broadcast(local)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for m in batches:
-                out = []
-                for node, cut, a, b in m.itertuples(index=False):
-                    new = regraft(tree, node, cut, a, b)
-                    if constraint and not respects(constraint, new, len(names)):
-                        continue
-                    blocks = [Block(c, w, models[p], new) for p, c, w in data.value]
-                    for x in (node, a, b):
-                        optimise_edge(blocks, cut, x, 8)
-                    best = tree_of(blocks[0].near)
-                    out.append((write(best, names, False), write(best, names), sum(x.lnl(*root_edge(best)) for x in blocks)))
-                yield pd.DataFrame(out, columns=["topology", "newick", "lnl"])
-
-        rows = spark.createDataFrame(list(moves(tree, len(names), radius)), "node int, cut int, a int, b int")
-        scored = rows.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(run, "topology string, newick string, lnl double")
-    best = best_trees(scored.groupBy("topology").agg(F.max("lnl").alias("lnl"), F.max_by("newick", "lnl").alias("newick")).select("lnl", F.struct("topology", "newick").alias("t")), keep, "t")
-    return best.select("t.topology", "t.newick", "lnl")
-
-
-def polished(rows: DataFrame, patterns: DataFrame, models: dict[int, Model], names: list[str]) -> list[tuple[float, str]]:
-    """(lnl, newick) of trees (newick) with all branches optimised, best first; one row a tree."""
-    numbered = rows.select(F.monotonically_increasing_id().alias("tree_id"), "newick")
-    found = evaluate_trees(numbered, patterns, models, names, passes=4, lengths=True).collect()
+@dataclass
+class Cycle:
+    """What a cycle of moves gave: the best trees (lnl, tree), how many moves were scored, and by how much
+    those that lose do so on the average."""
+
+    best: list[tuple[float, Tree]]
+    scored: int
+    drop: float
+
+
+def with_lengths(tree: Tree, lengths: dict[tuple[int, int], float]) -> Tree:
+    new = {frozenset(e): z for e, z in lengths.items()}
+    return [(u, v, new.get(frozenset((u, v)), z)) for u, v, z in tree]
+
+
+def spr_cycle(
+    patterns: DataFrame, newick: str, models: dict[int, Model], names: list[str], radius: int, keep: int, constraint: frozenset[frozenset] = frozenset(), local: list | None = None,
+    rounds: int = 4, cutoff: float = math.inf, start: float = -math.inf,
+) -> Cycle:
+    """The `keep` best neighbours of a tree, of different topologies. Moves are scored from the vectors of the
+    tree (see score_moves) and kept as a table; the driver reads the best of them only. rounds: how often the
+    three branches around a graft are optimised, 0 for a fast pass; over blocks of patterns this is done for the
+    best moves alone. start: the tree's own log-likelihood, which drops are measured by."""
+    tree, n = parse(newick, {x: i for i, x in enumerate(names)}, lengths=True), len(names)
+    rows = materialise(score_moves(patterns, tree, models, n, radius, rounds, cutoff, local, constraint), "moves")
+    lost = F.when(F.col("lnl") < start, start - F.col("lnl"))
+    scored, drop = rows.agg(F.count("*"), F.avg(lost)).first()
+    found: dict[frozenset, tuple[float, Tree, list]] = {}
+    for r in rows.orderBy(F.desc("lnl"), "node", "cut", "a", "b").limit(12 * keep).collect():  # one topology is reached by few moves
+        node, cut, a, b = r["node"], r["cut"], r["a"], r["b"]
+        new = with_lengths(regraft(tree, node, cut, a, b), {(cut, a): r["z_a"], (cut, b): r["z_b"], (cut, node): r["z_node"]})
+        splits = frozenset(tip_sets(new, n))
+        if len(found) < keep and splits not in found:
+            found[splits] = r["lnl"], new, [(cut, x) for x in (node, a, b)]
+    if local is None and rounds and found:
+        cases = smooth_cases(patterns, models, [Case(t, edges) for _, t, edges in found.values()], rounds)
+        return Cycle(sorted(((c.lnl, c.at(c.best)) for c in cases), key=lambda x: -x[0]), scored, drop or 0.0)
+    return Cycle([(lnl, t) for lnl, t, _ in found.values()], scored, drop or 0.0)
+
+
+def polished(trees: list[str], patterns: DataFrame, models: dict[int, Model], names: list[str]) -> list[tuple[float, str]]:
+    """(lnl, newick) of trees with all branches optimised, best first; one row a tree."""
+    rows = patterns.sparkSession.createDataFrame(list(enumerate(trees)), "tree_id long, newick string").repartition(max(1, len(trees)))
+    found = evaluate_trees(rows, patterns, models, names, passes=4, lengths=True).collect()
     return sorted(((r["lnl"], r["newick"]) for r in found), key=lambda x: (-x[0], x[1]))
 
 
@@ -100,61 +93,134 @@ def relative_distance(a: str, b: str, names: list[str]) -> float:
     return len(x ^ y) / max(1, 2 * (len(names) - 3))
 
 
+def fitting(patterns: DataFrame, models: dict[int, Model]) -> list | None:
+    """The alignment, if it is small and all vectors of a tree over it fit one task."""
+    return gathered(patterns) if "rate" not in patterns.columns and vector_bytes(patterns, models) <= LOCAL_BYTES else None
+
+
 def choose_radius(patterns: DataFrame, newick: str, models: dict[int, Model], names: list[str], most: int = 26) -> int:
     """The radius up to which farther moves still pay: 5, 10, 15, ... until the best move of a cycle is no better."""
-    local, best, radius = gathered(patterns), float("-inf"), 5
+    local, best, radius = fitting(patterns, models), float("-inf"), 5
     while radius <= most:
-        top = spr_cycle(patterns, newick, models, names, radius, 1, local=local).first()
-        if top is None or top["lnl"] <= best + 1e-6:
+        top = spr_cycle(patterns, newick, models, names, radius, 1, local=local, rounds=0).best
+        if not top or top[0][0] <= best + 1e-6:
             break
-        best, radius = top["lnl"], radius + 5
+        best, radius = top[0][0], radius + 5
     return max(5, radius - 5)
 
 
-def search(
-    patterns: DataFrame, newick: str, models: dict[int, Model], names: list[str], radius: int = 5, most: int = 21, epsilon: float = 0.1, keep: int = 20,
-    constraint: frozenset[frozenset] = frozenset(), fit_model: bool = False, stop_distance: float = 0.0, folder: str | None = None,
-) -> list[tuple[float, str]]:
-    """Hill climbing: every cycle scores all moves within the radius, smooths the best few, a row each, and
-    goes on from the best; without gain the radius grows by 5 up to `most`. fit_model: model parameters
-    are optimised with the branches before the first cycle and after the last. stop_distance: stop when a cycle
-    changes the tree by no more than this relative distance. folder: every step is stored there as
-    a numbered snapshot (step, radius, lnl, newick), and a search begins where the last one ended.
-    Returns (lnl, newick) by step."""
-    spark, local = patterns.sparkSession, gathered(patterns)
-    row = lambda text: spark.createDataFrame([(text,)], "newick string")
-    steps: list[tuple[float, str]] = []
-
-    def take(step: tuple[float, str]) -> None:
-        steps.append(step)
-        if folder:
-            rows = [(i, radius, lnl, text) for i, (lnl, text) in enumerate(steps)]
-            snapshot(spark.createDataFrame(rows, "step int, radius int, lnl double, newick string").coalesce(1), folder, len(steps) - 1)
-
-    def fitted(text: str) -> tuple[float, str]:
-        tips = {n: i for i, n in enumerate(names)}
-        own, tree, lnl = blockwise.fit(patterns, parse(text, tips, lengths=True), models, branches=True)
-        models.update(own)
-        return lnl, write(tree, names)
-
-    before = latest_snapshot(spark, folder) if folder else None
-    if before is not None:
+FAST, THOROUGH, DONE = "fast", "thorough", "done"
+STATE = "step int, phase string, radius int, cutoff double, lnl double, newick string, scored long, models string, options string"
+
+
+@dataclass
+class State:
+    """Where a search stands after a step; `models` and the table of site rates belong to its tree."""
+
+    phase: str
+    radius: int
+    cutoff: float
+    lnl: float
+    newick: str
+    scored: int
+    models: dict[int, Model | Mixture]
+
+
+class Log:
+    """The steps of a search, each kept as a snapshot if there is a folder: all steps so far, the models, the
+    options and, where patterns have rates, a table of these. A snapshot counts once it is complete, and one
+    that was written under other options is refused."""
+
+    def __init__(self, spark: SparkSession, folder: str | None, options: dict):
+        self.spark, self.folder, self.options, self.steps = spark, folder, json.dumps(options, sort_keys=True), []
+
+    def restore(self) -> str | None:
+        """Read the latest complete snapshot; the path of its site rates, if it has any."""
+        before = latest_snapshot(self.spark, self.folder) if self.folder else None
+        if before is None:
+            return None
         rows = before.orderBy("step").collect()
-        steps, radius = [(r["lnl"], r["newick"]) for r in rows], rows[-1]["radius"]
-    else:
-        take(polished(row(newick), patterns, models, names)[0])
+        if rows[-1]["options"] != self.options:
+            raise ValueError(f"the search in {self.folder} was begun with other options: {rows[-1]['options']}")
+        self.steps = [State(*(r[c] for c in ("phase", "radius", "cutoff", "lnl", "newick", "scored")), models_of(r["models"])) for r in rows]
+        rates = f"{self.folder}/rates-{len(self.steps) - 1:06d}"
+        return rates if exists(self.spark, f"{rates}/_SUCCESS") else None
+
+    def take(self, state: State, rated: DataFrame | None = None) -> None:
+        self.steps.append(state)
+        if self.folder:
+            if rated is not None:  # written first: the snapshot makes it count
+                rated.select("part_id", "pattern_id", "rate").write.mode("overwrite").parquet(f"{self.folder}/rates-{len(self.steps) - 1:06d}")
+            rows = [(i, s.phase, s.radius, s.cutoff, s.lnl, s.newick, s.scored, as_text(s.models), self.options) for i, s in enumerate(self.steps)]
+            snapshot(self.spark.createDataFrame(rows, STATE).coalesce(1), self.folder, len(self.steps) - 1)
+
+
+def run_search(
+    patterns: DataFrame, newick: str, models: dict[int, Model], names: list[str], radius: int = 5, most: int = 21, epsilon: float = 0.1, keep: int = 20,
+    constraint: frozenset[frozenset] = frozenset(), fit_model: bool = False, stop_distance: float = 0.0, folder: str | None = None, steps: int | None = None,
+) -> list[State]:
+    """Hill climbing in phases. The fast phase scores moves at the lengths they have, does not follow a subtree
+    beyond edges that lose more than such moves lost on the average in the cycle before, and optimises the best
+    `keep`, three of them on all branches. Without gain the thorough phase takes over: the branches around
+    every graft are optimised, and the radius grows by 5 up to `most`. fit_model: models (and site rates, where
+    patterns have them) are fitted before the first cycle, between the phases and after the last; patterns
+    with rates need a pattern_id. stop_distance: a phase ends when a cycle changes the tree by no more than
+    this relative distance. folder: every step is stored, with models and rates, and a search
+    begins where the last one ended; one of other options or another alignment is refused. steps: stop after so many."""
+    spark, rated = patterns.sparkSession, "rate" in patterns.columns
+    size = patterns.agg(F.count("*"), F.sum("weight")).first()
+    options = {"radius": radius, "most": most, "epsilon": epsilon, "keep": keep, "fit_model": fit_model, "stop_distance": stop_distance, "names": names, "patterns": list(size), "constraint": sorted(sorted(x) for x in constraint), "from": newick, "models": as_text(models)}
+    log = Log(spark, folder, options)
+    if rates := log.restore():
+        patterns = patterns.drop("rate").join(spark.read.parquet(rates), ["part_id", "pattern_id"])
+    local = fitting(patterns, models)
+
+    def fitted(s: State) -> None:
+        """The state's models, rates, branches and log-likelihood, better than they were or as they were."""
+        nonlocal patterns
+        tree = parse(s.newick, {n: i for i, n in enumerate(names)}, lengths=True)
+        if rated:
+            patterns, _ = optimise_psr(patterns, tree, s.models)
+        own, tree, lnl = blockwise.fit(patterns, tree, s.models, alpha=not rated, branches=True)
+        if lnl > s.lnl:
+            s.models, s.newick, s.lnl = own, write(tree, names), lnl
+
+    def kept() -> DataFrame | None:
+        return patterns if rated else None
+
+    if not log.steps:
+        [(lnl, text)] = polished([newick], patterns, models, names)
+        first = State(FAST, radius, abs(lnl) / 1000, lnl, text, 0, dict(models))
         if fit_model:
-            take(fitted(steps[-1][1]))
-    while radius <= most:
-        top = spr_cycle(patterns, steps[-1][1], models, names, radius, keep, constraint, local).limit(3)
-        best = next(iter(polished(top, patterns, models, names)), (float("-inf"), ""))
-        if best[0] > steps[-1][0] + epsilon:
-            near = relative_distance(best[1], steps[-1][1], names) <= stop_distance
-            take(best)
-            if near:
-                break
+            fitted(first)
+        log.take(first, kept())
+    while log.steps[-1].phase != DONE and (steps is None or len(log.steps) < steps):
+        s = replace(log.steps[-1])
+        fast = s.phase == FAST
+        cycle = spr_cycle(patterns, s.newick, s.models, names, s.radius, keep, constraint, local, 0 if fast else 4, s.cutoff if fast else math.inf, s.lnl)
+        top = [write(t, names) for _, t in cycle.best[: keep if fast else 3]]
+        better = polished(top, patterns, s.models, names) if top else []
+        s.scored, s.cutoff = cycle.scored, cycle.drop or s.cutoff
+        if better and better[0][0] > s.lnl + epsilon:
+            near = relative_distance(better[0][1], s.newick, names) <= stop_distance
+            s.lnl, s.newick = better[0]
         else:
-            radius += 5
-    if fit_model:
-        take(fitted(steps[-1][1]))
-    return steps
+            near = True
+        if near:
+            if fast:
+                s.phase = THOROUGH
+            elif s.radius + 5 <= most:
+                s.radius += 5
+            else:
+                s.phase = DONE
+            if fit_model and s.phase != log.steps[-1].phase:
+                fitted(s)
+        log.take(s, kept())
+    return log.steps
+
+
+def search(patterns: DataFrame, newick: str, models: dict[int, Model], names: list[str], **options) -> list[tuple[float, str]]:
+    """run_search; (lnl, newick) by step. `models` are replaced by those of the last step."""
+    steps = run_search(patterns, newick, models, names, **options)
+    models.update(steps[-1].models)
+    return [(s.lnl, s.newick) for s in steps]

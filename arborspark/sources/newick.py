@@ -139,6 +139,18 @@ def neighbours(tree: Tree) -> dict[int, dict[int, float]]:
     return out
 
 
+def regraft(tree: Tree, node: int, cut: int, a: int, b: int) -> Tree:
+    """The tree with the subtree behind node, cut off at `cut`, put into the middle of edge a-b."""
+    near = neighbours(tree)
+    p, q = (x for x in near[cut] if x != node)
+    joined = near[cut][p] * near[cut][q]
+    kept = [(u, v, z) for u, v, z in tree if {u, v} not in ({cut, p}, {cut, q}, {a, b})]
+    half = near[a][b] ** 0.5
+    if {a, b} == {p, q}:
+        return tree
+    return [*kept, (p, q, joined), (cut, a, half), (cut, b, half)]
+
+
 def write(tree: Tree, names: list[str], lengths: bool = True) -> str:
     """Canonical text: rooted at the inner node next to tip 0, children by their smallest tip."""
     near = neighbours(tree)

@@ -45,15 +45,21 @@ def read_taxa(spark: SparkSession, path: str) -> DataFrame:
 def snapshot(rows: DataFrame, folder: str, number: int) -> str:
     """One numbered state of an iterative run; complete once its _SUCCESS file is there."""
     path = f"{folder}/state={number:06d}"
-    rows.write.mode("errorifexists").parquet(path)
+    rows.write.mode("error" if exists(rows.sparkSession, f"{path}/_SUCCESS") else "overwrite").parquet(path)
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The last complete state of a folder. One that was broken off has no _SUCCESS file and does not count."""
+    if not exists(spark, folder):
+        return None
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(folder)
     files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(at):
-        return None
-    done = sorted(str(s.getPath()) for s in files.listStatus(at) if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    done = sorted(str(s.getPath()) for s in files.listStatus(at) if s.getPath().getName().startswith("state=") and files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
     return spark.read.parquet(done[-1]) if done else None
