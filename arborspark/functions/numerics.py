@@ -137,12 +137,13 @@ class Mixture:
     components: tuple[Model, ...]
     relative: tuple[float, ...]  #: rates before they are scaled
     shares: tuple[float, ...]  #: weights before they are scaled
+    alpha: float | None = None  #: shape of the rates' distribution; None: rates and weights are free
 
     @classmethod
     def gamma(cls, components: tuple[Model, ...], alpha: float) -> "Mixture":
         """Equal weights and the rates of a discrete gamma distribution."""
         n = len(components)
-        return cls(components, tuple(gamma_rates(alpha, n)), (1.0,) * n)
+        return cls(components, tuple(gamma_rates(alpha, n)), (1.0,) * n, alpha)
 
     @property
     def states(self) -> int:
@@ -166,6 +167,9 @@ class Mixture:
         return np.stack([w * c.root[0] for w, c in zip(self.weights, self.components)])
 
     def with_(self, **changes) -> "Mixture":
+        """A changed mixture; another alpha changes the rates with it."""
+        if changes.get("alpha") is not None:
+            changes["relative"] = tuple(gamma_rates(changes["alpha"], len(self.components)))
         return replace(self, **changes)
 
     def spectrum(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +185,7 @@ def as_text(models: dict[int, "Model | Mixture"]) -> str:
 
     def parts(m: Model | Mixture) -> dict:
         if isinstance(m, Mixture):
-            return {"components": [parts(c) for c in m.components], "relative": list(map(float, m.relative)), "shares": list(map(float, m.shares))}
+            return {"components": [parts(c) for c in m.components], "relative": list(map(float, m.relative)), "shares": list(map(float, m.shares)), "alpha": m.alpha}
         return {"freqs": list(map(float, m.freqs)), "exchange": list(map(float, m.exchange)), "alpha": float(m.alpha), "categories": m.categories, "median": m.median}
 
     return json.dumps({str(p): parts(m) for p, m in sorted(models.items())})
@@ -190,7 +194,7 @@ def as_text(models: dict[int, "Model | Mixture"]) -> str:
 def models_of(text: str) -> dict[int, "Model | Mixture"]:
     def model(x: dict) -> Model | Mixture:
         if "components" in x:
-            return Mixture(tuple(model(c) for c in x["components"]), tuple(x["relative"]), tuple(x["shares"]))
+            return Mixture(tuple(model(c) for c in x["components"]), tuple(x["relative"]), tuple(x["shares"]), x["alpha"])
         return Model(tuple(x["freqs"]), tuple(x["exchange"]), x["alpha"], x["categories"], x["median"])
 
     return {int(p): model(x) for p, x in json.loads(text).items()}

@@ -10,15 +10,18 @@ from __future__ import annotations
 import math
 import pickle
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborspark.functions.numerics import ALPHA_MAX, ALPHA_MIN, Z_MAX, Z_MIN, Model
+from arborspark.functions.numerics import Z_MAX, Z_MIN
+from arborspark.plans import parameters
+from arborspark.plans.kernel import root_edge
 from arborspark.plans.likelihood import blocks_of
+from arborspark.plans.parameters import AnyModel
 from arborspark.sources.newick import Tree
 
 AT_ONCE = 16 << 20  #: bytes of cases that one sweep sends to every task
@@ -28,10 +31,14 @@ Edge = tuple[int, int]
 
 @dataclass
 class Case:
-    """A tree and the edges to be moved, with the best lengths found and the step tried from there."""
+    """A tree and the edges to be moved, with the best lengths found and the step tried from there. `parts`:
+    the partitions that count (all, if None); `models`: its own, if it has any."""
 
     tree: Tree
     edges: list[Edge]
+    parts: frozenset[int] | None = None
+    models: dict[int, AnyModel] | None = None
+    by_part: dict[int, float] = field(default_factory=dict)  #: log-likelihoods at the best lengths
     best: dict[Edge, float] = field(default_factory=dict)  #: lengths t
     lnl: float = -math.inf
     step: dict[Edge, float] = field(default_factory=dict)
@@ -49,13 +56,14 @@ class Case:
         new = {frozenset(e): math.exp(-t) for e, t in lengths.items()}
         return [(u, v, new.get(frozenset((u, v)), z)) for u, v, z in self.tree]
 
-    def take(self, lnl: float, slopes: dict[Edge, tuple[float, float]], tolerance: float) -> None:
+    def take(self, by_part: dict[int, float], slopes: dict[Edge, tuple[float, float]], tolerance: float) -> None:
         """The sums of a sweep at the tried lengths: go on from there, or halve the step."""
+        lnl = sum(by_part.values())
         if lnl < self.lnl:
             self.share /= 2
             self.done = self.share < 1e-3
             return
-        gain, self.best, self.lnl = lnl - self.lnl, self.tried(), lnl
+        gain, self.best, self.lnl, self.by_part = lnl - self.lnl, self.tried(), lnl, by_part
         self.step = {}
         for e, (d1, d2) in slopes.items():
             t = self.best[e]
@@ -78,59 +86,73 @@ def in_lots(cases: list, limit: int = AT_ONCE) -> Iterator[list]:
         yield lot
 
 
-def sweep(patterns: DataFrame, models: dict[int, Model], trees: dict[int, tuple[Tree, list[Edge]]]) -> dict[int, tuple[float, dict[Edge, tuple[float, float]]]]:
-    """For each case the log-likelihood and the derivatives by its edges' lengths."""
+def sweep(patterns: DataFrame, models: dict[int, AnyModel], cases: dict[int, Case]) -> dict[int, tuple[dict[int, float], dict[Edge, tuple[float, float]]]]:
+    """For each case, at the lengths it tries, the log-likelihood by partition and the derivatives by its
+    edges' lengths. Cases of single partitions look at these alone, so a sweep moves all partitions."""
     out = {}
-    for lot in in_lots(list(trees.items())):
+    for lot in in_lots([(i, c.at(c.tried()), c.edges, c.parts, c.models) for i, c in cases.items()]):
 
         def run(batches: Iterator[pd.DataFrame], lot=lot) -> Iterator[pd.DataFrame]:
             for b in batches:
                 rows = []
-                for number, (tree, edges) in lot:
-                    for _, g, block in blocks_of(b, tree, models):
+                for number, tree, edges, parts, own in lot:
+                    some = b if parts is None else b[b["part_id"].isin(parts)]
+                    for part, g, block in blocks_of(some, tree, own or models):
                         w = g["weight"].to_numpy()
                         for u, v in edges:
-                            rows.append((number, u, v, *(float(w @ y) for y in block.pattern_likelihoods(u, v, derivatives=True))))
-                yield pd.DataFrame(rows, columns=["number", "u", "v", "lnl", "d1", "d2"])
+                            rows.append((number, part, u, v, *(float(w @ y) for y in block.pattern_likelihoods(u, v, derivatives=True))))
+                yield pd.DataFrame(rows, columns=["number", "part_id", "u", "v", "lnl", "d1", "d2"])
 
         columns = [c for c in ("part_id", "weight", "codes", "rate") if c in patterns.columns]
-        sums = patterns.select(*columns).mapInPandas(run, "number int, u int, v int, lnl double, d1 double, d2 double").groupBy("number", "u", "v").agg(*(F.sum(c).alias(c) for c in ("lnl", "d1", "d2")))
-        slopes: dict = defaultdict(dict)
-        lnl = {}
+        sums = patterns.select(*columns).mapInPandas(run, "number int, part_id int, u int, v int, lnl double, d1 double, d2 double").groupBy("number", "part_id", "u", "v").agg(*(F.sum(c).alias(c) for c in ("lnl", "d1", "d2")))
         for r in sums.collect():
-            lnl[r["number"]] = r["lnl"]
-            slopes[r["number"]][r["u"], r["v"]] = r["d1"], r["d2"]
-        out |= {n: (lnl[n], slopes[n]) for n in lnl}
+            by_part, slopes = out.setdefault(r["number"], ({}, defaultdict(lambda: (0.0, 0.0))))
+            by_part[r["part_id"]] = r["lnl"]
+            e = r["u"], r["v"]
+            slopes[e] = slopes[e][0] + r["d1"], slopes[e][1] + r["d2"]
     return out
 
 
-def smooth_cases(patterns: DataFrame, models: dict[int, Model], cases: list[Case], rounds: int = 24, tolerance: float = 1e-3) -> list[Case]:
+def smooth_cases(patterns: DataFrame, models: dict[int, AnyModel], cases: list[Case], rounds: int = 24, tolerance: float = 1e-3) -> list[Case]:
     """Move the lengths of all cases' edges at once, by Newton steps that are halved where they lose."""
     for _ in range(rounds):
         left = {i: c for i, c in enumerate(cases) if not c.done}
         if not left:
             break
-        for i, (lnl, slopes) in sweep(patterns, models, {i: (c.at(c.tried()), c.edges) for i, c in left.items()}).items():
-            cases[i].take(lnl, slopes, tolerance)
+        for i, (by_part, slopes) in sweep(patterns, models, left).items():
+            cases[i].take(by_part, slopes, tolerance)
     return cases
 
 
-def smoothed(patterns: DataFrame, models: dict[int, Model], trees: list[Tree], rounds: int = 24) -> list[tuple[float, Tree]]:
+def smoothed(patterns: DataFrame, models: dict[int, AnyModel], trees: list[Tree], rounds: int = 24) -> list[tuple[float, Tree]]:
     """Every tree with all its branches optimised: (lnl, tree)."""
     cases = smooth_cases(patterns, models, [Case(t, [(u, v) for u, v, _ in t]) for t in trees], rounds)
     return [(c.lnl, c.at(c.best)) for c in cases]
 
 
-def score_candidates(patterns: DataFrame, tree: Tree, candidates: dict[int, list[Model]]) -> dict[int, list[float]]:
-    """The log-likelihood of each partition under each of its candidate models, in one pass over the patterns."""
-    edge = next((u, v) for u, v, _ in tree if 0 in (u, v))
+def smoothed_by_partition(patterns: DataFrame, models: dict[int, AnyModel], trees: list[dict[int, Tree]], rounds: int = 24) -> list[tuple[dict[int, float], dict[int, Tree]]]:
+    """Every tree with branch lengths of its own for each partition (part_id to tree), all optimised in the same
+    sweeps: log-likelihoods and trees by partition."""
+    cases = [Case(t, [(u, v) for u, v, _ in t], frozenset([p])) for own in trees for p, t in own.items()]
+    done = iter(smooth_cases(patterns, models, cases, rounds))
+    out = []
+    for own in trees:
+        mine = {p: next(done) for p in own}
+        out.append(({p: c.lnl for p, c in mine.items()}, {p: c.at(c.best) for p, c in mine.items()}))
+    return out
+
+
+def score_candidates(patterns: DataFrame, tree: Tree | dict[int, Tree], candidates: dict[int, list[AnyModel]]) -> dict[int, list[float]]:
+    """The log-likelihood of each partition under each of its candidate models, in one pass over the patterns.
+    tree: one, or one with lengths of its own for each partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for part, g in b.groupby("part_id"):
+                own = tree[int(part)] if isinstance(tree, dict) else tree
                 for i, model in enumerate(candidates.get(int(part), ())):
-                    rows += [(p, i, block.lnl(*edge)) for p, _, block in blocks_of(g, tree, {int(part): model}, every_edge=False)]
+                    rows += [(p, i, block.lnl(*root_edge(own))) for p, _, block in blocks_of(g, own, {int(part): model}, every_edge=False)]
             yield pd.DataFrame(rows, columns=["part_id", "number", "lnl"])
 
     columns = [c for c in ("part_id", "weight", "codes", "rate") if c in patterns.columns]
@@ -141,58 +163,18 @@ def score_candidates(patterns: DataFrame, tree: Tree, candidates: dict[int, list
     return out
 
 
-def linked(groups: dict[int, int], scores: dict[int, list[float]]) -> dict[int, list[float]]:
-    """Scores of candidates, summed over the partitions that share a parameter (groups: part_id to group)."""
-    sums: dict[int, list[float]] = {}
-    for p, s in scores.items():
-        g = groups.get(p, p)
-        sums[g] = [a + b for a, b in zip(sums[g], s)] if g in sums else list(s)
-    return {p: sums[groups.get(p, p)] for p in scores}
-
-
-def optimise(patterns: DataFrame, tree: Tree, models: dict[int, Model], make: Callable[[Model, float], Model], place: Callable[[Model], float], limits: tuple[float, float], width: float | None = None, links: dict[int, int] | None = None, points: int = 9, rounds: int = 3) -> tuple[dict[int, Model], dict[int, float]]:
-    """One parameter of every partition at once, shared where `links` says so: `points` values across a
-    bracket that shrinks around the best. A partition's old value is among those scored, so none gets worse."""
-    centre = {p: place(m) for p, m in models.items()}
-    half = width or (limits[1] - limits[0]) / 2
-    lnl: dict[int, float] = {}
-    for _ in range(rounds):
-        values = {p: [min(max(c + half * (2 * i / (points - 1) - 1), limits[0]), limits[1]) for i in range(points)] + [c] for p, c in centre.items()}
-        scores = linked(links or {}, score_candidates(patterns, tree, {p: [make(models[p], v) for v in values[p]] for p in models}))
-        for p, s in scores.items():
-            best = max(range(len(s)), key=s.__getitem__)
-            centre[p], lnl[p] = values[p][best], s[best]
-        half *= 2 / (points - 1)
-    return {p: make(m, centre[p]) for p, m in models.items()}, lnl
-
-
-def frequencies_with(model: Model, state: int, log_odds: float, floor: float = 0.001) -> Model:
-    """The model with another share of one state; all shares stay at the floor or above."""
-    x = [math.log(f) for f in model.freqs]
-    e = [math.exp(y + (log_odds if i == state else 0.0)) for i, y in enumerate(x)]
-    total, n = sum(e), len(e)
-    return model.with_(freqs=tuple(floor + (1 - n * floor) * y / total for y in e))
-
-
-def fit(patterns: DataFrame, tree: Tree, models: dict[int, Model], alpha: bool = True, exchange: bool = True, freqs: bool = False, branches: bool = False, epsilon: float = 0.1, cycles: int = 10, links: dict[int, int] | None = None) -> tuple[dict[int, Model], Tree, float]:
+def fit(patterns: DataFrame, tree: Tree, models: dict[int, AnyModel], alpha: bool = True, exchange: bool = True, freqs: bool = False, branches: bool = False, epsilon: float = 0.1, cycles: int = 10, links: dict[int, int] | None = None) -> tuple[dict[int, AnyModel], Tree, float]:
     """Cycles over all parameters, and over the branches if asked, until one gains less than epsilon.
-    links: partitions that share exchange rates and shapes."""
-    total = lambda t, m: sum(s[0] for s in score_candidates(patterns, t, {p: [x] for p, x in m.items()}).values())
-    best, first = total(tree, models), True
+    links: partitions that share exchange rates and shapes, or their mixtures' rates and weights."""
+    score = lambda c: score_candidates(patterns, tree, c)
+    best = parameters.total(score, models)
     for _ in range(cycles):
-        before, width = best, None if first else 0.5
-        if exchange:
-            for i in range(len(next(iter(models.values())).exchange) - 1):
-                make = lambda m, v, i=i: m.with_(exchange=(*m.exchange[:i], math.exp(v), *m.exchange[i + 1 :]))
-                models, _ = optimise(patterns, tree, models, make, lambda m, i=i: math.log(m.exchange[i]), (math.log(1e-4), math.log(1e4)), width or 3.0, links)
-        if freqs:
-            for i in range(next(iter(models.values())).states - 1):
-                models, _ = optimise(patterns, tree, models, lambda m, v, i=i: frequencies_with(m, i, v) if v else m, lambda m: 0.0, (-2.0, 2.0), width)
-        if alpha and all(m.categories > 1 for m in models.values()):
-            models, _ = optimise(patterns, tree, models, lambda m, v: m.with_(alpha=math.exp(v)), lambda m: math.log(m.alpha), (math.log(ALPHA_MIN), math.log(ALPHA_MAX)), width, links)
+        before = best
+        models, best = parameters.cycles(score, models, alpha, exchange, freqs, math.inf, 1, links)
         if branches:
-            [(_, tree)] = smoothed(patterns, models, [tree])
-        best, first = total(tree, models), False
+            [(after, new)] = smoothed(patterns, models, [tree])
+            if after > best:
+                tree, best = new, after
         if best - before < epsilon:
             break
     return models, tree, best

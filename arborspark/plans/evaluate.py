@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborspark.functions.numerics import ALPHA_MAX, ALPHA_MIN, Model
+from arborspark.functions.numerics import Model
 from arborspark.plans.blockwise import fit, smoothed
 from arborspark.plans.kernel import Block, root_edge, smooth, tree_of
-from arborspark.sources.newick import parse, write
+from arborspark.plans.parameters import SHAPE, optimise
+from arborspark.sources.newick import Tree, parse, write
 from arborspark.sources.tables import materialise
 
 BROADCAST_BYTES = 64 << 20  #: pattern tables up to this size are sent to every task
@@ -36,22 +37,14 @@ def gathered(patterns: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]] |
     return [(int(p), np.stack(g["codes"].to_numpy()).astype(np.int64), g["weight"].to_numpy()) for p, g in rows.groupby("part_id")]
 
 
-def optimise_alpha(blocks: list[Block], make, rounds: int = 24) -> float:
-    """Golden-section search of the gamma shape, shared by the blocks; make(alpha) gives new blocks."""
-    lo, hi, ratio = math.log(ALPHA_MIN), math.log(ALPHA_MAX), (math.sqrt(5) - 1) / 2
-    score = lambda x: sum(b.lnl(*root_edge(tree_of(b.near))) for b in make(math.exp(x)))
-    a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-    fa, fb = score(a), score(b)
-    for _ in range(rounds):
-        if fa >= fb:
-            hi, b, fb = b, a, fa
-            a = hi - ratio * (hi - lo)
-            fa = score(a)
-        else:
-            lo, a, fa = a, b, fb
-            b = lo + ratio * (hi - lo)
-            fb = score(b)
-    return math.exp((lo + hi) / 2)
+def optimise_alpha(local: list, models: dict[int, Model], tree: Tree) -> dict[int, Model]:
+    """The models with the best gamma shape that all partitions share."""
+
+    def score(tried: dict[int, list[Model]]) -> dict[int, list[float]]:
+        return {p: [Block(c, w, m, tree, keep=False).lnl(*root_edge(tree)) for m in tried[p]] for p, c, w in local if p in tried}
+
+    own = {p: models[p] for p, _, _ in local}
+    return optimise(score, own, SHAPE, list(own), {p: 0 for p in own})
 
 
 def evaluate_trees(trees: DataFrame, patterns: DataFrame, models: dict[int, Model], names: list[str], passes: int = 8, shape: bool = False, lengths: bool = False) -> DataFrame:
@@ -72,9 +65,9 @@ def evaluate_trees(trees: DataFrame, patterns: DataFrame, models: dict[int, Mode
                 smooth(blocks, passes)
                 if shape:
                     tree = tree_of(blocks[0].near)
-                    make = lambda a, tree=tree: [Block(c, w, models[p].with_(alpha=a), tree) for p, c, w in data.value]
-                    alpha = optimise_alpha(blocks, make)
-                    blocks = make(alpha)
+                    own = optimise_alpha(data.value, models, tree)
+                    alpha = next(iter(own.values())).alpha
+                    blocks = [Block(c, w, own[p], tree) for p, c, w in data.value]
                     smooth(blocks, passes)
                 tree = tree_of(blocks[0].near)
                 lnl = sum(x.lnl(*root_edge(tree)) for x in blocks)

@@ -3,73 +3,29 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborspark.functions.numerics import ALPHA_MAX, ALPHA_MIN, Model
-from arborspark.plans import blockwise
+from arborspark.functions.numerics import Model
+from arborspark.plans import blockwise, parameters
+from arborspark.plans.blockwise import Case, smooth_cases, smoothed
 from arborspark.plans.evaluate import gathered
 from arborspark.plans.kernel import Block, root_edge
+from arborspark.plans.likelihood import optimise_psr
+from arborspark.plans.parameters import AnyModel
 from arborspark.sources.newick import Tree
 
-RATE_MIN, RATE_MAX = 1e-4, 1e4
-FLOOR = 0.001  #: least frequency of a state
-GOLDEN = (math.sqrt(5) - 1) / 2
-
-
-def best_in(score: Callable[[float], float], lo: float, hi: float, rounds: int = 20) -> tuple[float, float]:
-    """Golden-section search for the greatest score: (place, score)."""
-    a, b = hi - GOLDEN * (hi - lo), lo + GOLDEN * (hi - lo)
-    fa, fb = score(a), score(b)
-    for _ in range(rounds):
-        if fa >= fb:
-            hi, b, fb = b, a, fa
-            a = hi - GOLDEN * (hi - lo)
-            fa = score(a)
-        else:
-            lo, a, fa = a, b, fb
-            b = lo + GOLDEN * (hi - lo)
-            fb = score(b)
-    return max((fa, a), (fb, b))[::-1]
-
-
-def fit(codes: np.ndarray, weights: np.ndarray, model: Model, tree: Tree, alpha: bool, exchange: bool, freqs: bool, epsilon: float = 0.1, cycles: int = 10) -> tuple[Model, float]:
-    """One parameter after the other, again and again until a cycle gains less than epsilon. A
-    parameter is kept as it was where the search finds nothing better."""
+def fit(codes: np.ndarray, weights: np.ndarray, model: AnyModel, tree: Tree, alpha: bool, exchange: bool, freqs: bool, epsilon: float = 0.1, cycles: int = 10) -> tuple[AnyModel, float]:
+    """The model of one partition on a fixed tree, in one task. A parameter is kept as it was where the search
+    finds nothing better."""
     edge = root_edge(tree)
-    score = lambda m: Block(codes, weights, m, tree).lnl(*edge)
-    best = score(model)
-
-    def step(make: Callable[[float], Model], lo: float, hi: float) -> None:
-        nonlocal model, best
-        x, found = best_in(lambda v: score(make(v)), lo, hi)
-        if found > best:
-            model, best = make(x), found
-
-    for _ in range(cycles):
-        before = best
-        if exchange:
-            for i in range(len(model.exchange) - 1):
-                rates = list(model.exchange)
-                step(lambda v, i=i, r=rates: model.with_(exchange=tuple([*r[:i], math.exp(v), *r[i + 1 :]])), max(math.log(RATE_MIN), math.log(rates[i]) - 3), min(math.log(RATE_MAX), math.log(rates[i]) + 3))
-        if freqs:
-            for i in range(model.states - 1):
-                logs = np.log(model.freqs)
-
-                def moved(v: float, i: int = i, logs: np.ndarray = logs) -> Model:
-                    e = np.exp(np.where(np.arange(len(logs)) == i, logs + v, logs))
-                    return model.with_(freqs=tuple(FLOOR + (1 - len(e) * FLOOR) * e / e.sum()))
-
-                step(moved, -2.0, 2.0)
-        if alpha and model.categories > 1:
-            step(lambda v: model.with_(alpha=math.exp(v)), math.log(ALPHA_MIN), math.log(ALPHA_MAX))
-        if best - before < epsilon:
-            break
-    return model, best
+    score = lambda tried: {0: [Block(codes, weights, m, tree, keep=False).lnl(*edge) for m in tried[0]]} if tried else {}
+    models, lnl = parameters.cycles(score, {0: model}, alpha, exchange, freqs, epsilon, cycles)
+    return models[0], lnl
 
 
 PARAMETERS = "part_id int, lnl double, alpha double, exchange array<double>, freqs array<double>"
@@ -104,3 +60,77 @@ def score_models(patterns: DataFrame, tree: Tree, candidates: dict[str, Model],
     parameters = lambda m, mode: len(tree) + (m.states - 1) * (mode == "empirical") + (m.categories > 1)
     out = [(p, name, mode, s[i], parameters(candidates[name], mode), int(sites[p])) for p, s in scores.items() if p in sites for i, (name, mode) in enumerate(rows)]
     return patterns.sparkSession.createDataFrame(out, "part_id int, model string, freq_mode string, lnl double, k int, n long")
+
+
+@dataclass
+class Choice:
+    """Models, tree and log-likelihood after a choice, what was chosen (part_id to model and frequencies) and
+    whether anything was."""
+
+    models: dict[int, AnyModel]
+    tree: Tree
+    lnl: float
+    chosen: dict[int, tuple[str, str]]
+    taken: bool
+
+
+CRITERIA = ("ml", "bic", "aic", "aicc")
+
+
+def penalised(lnl: float, k: int, n: int, criterion: str) -> float:
+    """What is to be greatest: the log-likelihood, or half an information criterion's negative."""
+    if criterion not in CRITERIA:
+        raise ValueError(f"no such criterion: {criterion!r}; there are {CRITERIA}")
+    if criterion == "aicc":
+        return lnl - k - k * (k + 1) / max(n - k - 1, 1e-9)
+    return lnl - {"ml": 0.0, "bic": k * math.log(max(n, 1)) / 2, "aic": k}[criterion]
+
+
+def auto_models(patterns: DataFrame, tree: Tree, models: dict[int, AnyModel], candidates: dict[str, Model], empirical: dict[int, tuple[float, ...]], criterion: str = "ml", rounds: int = 8) -> Choice:
+    """The best of the named matrices, with its own or the partition's frequencies, for each partition of
+    `empirical` (part_id to frequencies); other partitions keep their models.
+
+    Branches are coupled with the choice: every candidate is given to all these partitions at once and all
+    branches are smoothed under it, all candidates in the same sweeps. Each partition takes what served it best;
+    then branches are smoothed under the models taken, and if the log-likelihood of the whole is below what
+    it was, models and branches go back together."""
+    sites = {r["part_id"]: int(r["n"]) for r in patterns.groupBy("part_id").agg(F.sum("weight").alias("n")).collect()}
+    own = [p for p in empirical if p in sites]
+    start = parameters.total(lambda c: blockwise.score_candidates(patterns, tree, c), {p: m for p, m in models.items() if p in sites})
+    rows = [(name, mode) for name in sorted(candidates) for mode in ("fixed", "empirical")]
+
+    def given(name: str, mode: str, p: int) -> Model:
+        shape = {"alpha": models[p].alpha, "categories": models[p].categories} if isinstance(models[p], Model) else {}
+        return candidates[name].with_(**shape, **({"freqs": tuple(empirical[p])} if mode == "empirical" else {}))
+
+    edges = [(u, v) for u, v, _ in tree]
+    cases = [Case(tree, edges, models={**models, **{p: given(*row, p) for p in own}}) for row in rows]
+    smooth_cases(patterns, models, cases, rounds)
+    chosen = {}
+    for p in own:
+        k = lambda row: len(edges) + (candidates[row[0]].states - 1) * (row[1] == "empirical") + (given(*row, p).categories > 1)  # noqa: E731, B023
+        chosen[p] = max(range(len(rows)), key=lambda i: (penalised(cases[i].by_part[p], k(rows[i]), sites[p], criterion), -i))  # noqa: B023
+    new = {**models, **{p: given(*rows[i], p) for p, i in chosen.items()}}
+    [(lnl, better)] = smoothed(patterns, new, [tree])
+    names = {p: rows[i] for p, i in chosen.items()}
+    if criterion == "ml" and lnl < start:
+        return Choice(models, tree, start, names, False)
+    return Choice(new, better, lnl, names, True)
+
+
+def optimise_all(patterns: DataFrame, tree: Tree, models: dict[int, AnyModel], candidates: dict[str, Model] | None = None, empirical: dict[int, tuple[float, ...]] | None = None, criterion: str = "ml", alpha: bool = True, exchange: bool | None = None, freqs: bool = False, epsilon: float = 0.1, cycles: int = 10, links: dict[int, int] | None = None) -> tuple[dict[int, AnyModel], Tree, float, DataFrame]:
+    """Everything that a model has, in cycles until one gains less than epsilon: the choice among candidates for
+    the partitions of `empirical`, parameters, branches, and, where patterns have a `rate`, the rates of
+    sites. Gives models, tree, log-likelihood and the patterns with their rates."""
+    rated, best = "rate" in patterns.columns, -math.inf
+    for _ in range(cycles):
+        before = best
+        if candidates and empirical:
+            choice = auto_models(patterns, tree, models, candidates, empirical, criterion)
+            models, tree = choice.models, choice.tree
+        if rated:
+            patterns, _ = optimise_psr(patterns, tree, models)
+        models, tree, best = blockwise.fit(patterns, tree, models, alpha and not rated, not candidates if exchange is None else exchange, freqs, branches=True, epsilon=math.inf, cycles=1, links=links)
+        if best - before < epsilon:
+            break
+    return models, tree, best, patterns

@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 
 from arborspark.functions.numerics import Model
 from arborspark.operators.trees import ranked
-from arborspark.plans.blockwise import smoothed
+from arborspark.plans.blockwise import smoothed_by_partition
 from arborspark.sources.newick import Tree, write
 
 
 def partition_trees(patterns: DataFrame, tree: Tree, models: dict[int, Model], names: list[str], rounds: int = 24) -> DataFrame:
-    """The topology with branch lengths of its own for each partition: part_id, newick, lnl, length."""
-    rows = []
-    for part in sorted(models):
-        [(lnl, own)] = smoothed(patterns.where(F.col("part_id") == part), models, [tree], rounds)
-        rows.append((part, write(own, names), lnl, -sum(math.log(z) for _, _, z in own)))
+    """The topology with branch lengths of its own for each partition, all moved in the same sweeps: part_id,
+    newick, lnl, length."""
+    [(lnl, own)] = smoothed_by_partition(patterns, models, [{p: tree for p in sorted(models)}], rounds)
+    rows = [(p, write(t, names), lnl[p], -sum(math.log(z) for _, _, z in t)) for p, t in own.items() if math.isfinite(lnl[p])]
     return patterns.sparkSession.createDataFrame(rows, "part_id int, newick string, lnl double, length double")
 
 
