@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,11 @@ from arborspark.llm.textops import chunks
 
 BUCKETS = 64  #: radix partitions of the pairs, by B's id
 LOT = 32  #: tasks whose runs are merged together
-RUN_RECORDS = 2_000_000  #: pair-document records a task holds before it writes runs
-CHUNK_BYTES = 4 << 20  #: text worked on at once; a longer text is cut at units
+RUN_RECORDS = 1_000_000  #: pair-document records a task holds before it writes runs
+CHUNK_BYTES = 2 << 20  #: text worked on at once; a longer text is cut at units
+AT_ONCE = 8000  #: units that go to the libraries together
 BLOCK = 1 << 16  #: records compressed together
-KEPT_UNITS = 300_000  #: units whose ids a Python worker remembers; then it starts afresh
+KEPT_UNITS = 80_000  #: units whose ids a Python worker remembers, and as many of those it met before
 _aligners: dict[tuple[str, str], "Aligner"] = {}
 
 
@@ -108,6 +111,7 @@ class Aligner:
         #: B's merges stay within a unit if no piece holds a space after another character, or a line end.
         self.splits = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of units: texts (each with its space), cut before a space or line end that follows a
@@ -129,16 +133,17 @@ class Aligner:
 
     def encoded(self, units: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """Of each tokenizer the ids of all units, one after the other, and how many each unit has. Units not
-        met before go to both libraries at once."""
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > KEPT_UNITS:
-            self.known, new = {}, units
-        texts = [u.decode() for u in new]
-        pack_ids = lambda x: np.asarray(x, "<u4").tobytes()
-        ids_a = (pack_ids(e.ids) for e in self.a.encode_batch_fast(texts, add_special_tokens=False))
-        self.known |= zip(new, zip(ids_a, map(pack_ids, self.ids_b(texts))))
-        cells = [self.known[u] for u in units]
-        return tuple((np.frombuffer(b"".join(c[k] for c in cells), "<u4").astype(np.int64), np.array([len(c[k]) // 4 for c in cells], np.int64)) for k in (0, 1))
+        met before go to both libraries."""
+        cells = [self.known.get(u) or self.older.get(u) for u in units]
+        for some in itertools.batched([i for i, c in enumerate(cells) if c is None], AT_ONCE):
+            texts = [units[i].decode() for i in some]
+            for i, e, b in zip(some, self.a.encode_batch_fast(texts, add_special_tokens=False), self.ids_b(texts)):
+                cells[i] = array("I", e.ids).tobytes(), array("I", b).tobytes()
+        if len(self.known) > KEPT_UNITS:  # what is still in use comes back from the older ones
+            self.known, self.older = {}, dict(itertools.islice(self.known.items(), KEPT_UNITS))
+        room = max(0, 2 * KEPT_UNITS - len(self.known))
+        self.known.update(itertools.islice(((u, c) for u, c in zip(units, cells) if len(u) <= 64), room))
+        return tuple((np.frombuffer(b"".join([c[k] for c in cells]), "<u4").astype(np.int64), np.array([len(c[k]) // 4 for c in cells], np.int64)) for k in (0, 1))
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
