@@ -23,17 +23,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from arborspark.llm.store import documents
-from arborspark.llm.textops import chunks, mix, word_hashes
+from arborspark.llm.store import documents, materialise
+from arborspark.llm.textops import BASE as HASH_BASE
+from arborspark.llm.textops import chunks, mix, word_hashes, word_spans
 
 TARGET = 0.99  #: share of copies with the most edits allowed that the tables of a class find, at least
-COPIES = 1000  #: random copies on which that is measured
+COPIES, COPIED_WORDS = 1000, 1_000_000  #: random copies on which that is measured, fewer for long items
 TABLES = 5  #: of one walk
 WALKS = 31  #: two bits of a word's hash for each; if their tables do not reach the target, building fails
 GROWTH = 1.4  #: lengths of a class, longest by shortest
 REACH = 0.65  #: rounds that are sampled, for each word of an item; a walk takes 0.7 rounds a word on average
-SOME = 20_000  #: candidates whose words are counted at once
-BLOCK_BYTES = 16 << 20  #: items are held against all documents in blocks of this much text
+SOME = 2_000_000  #: words of candidates that are counted at once
+LONG = 1000  #: words of items whose candidates are counted by prefix sums
+BLOCK_BYTES = 16 << 20  #: items are brought to the driver in parts of this much text
+TABLE_BYTES = 128 << 20  #: items are held against all documents in blocks whose tables take about this much
+
+BASE = np.uint64(HASH_BASE)
 
 #: What separates words: every ASCII byte but letters and digits.
 NOT_WORD = np.ones(256, bool)
@@ -90,8 +95,8 @@ class Walk:
 class Table:
     walk: int
     rounds: tuple[int, ...]
-    first: np.ndarray  #: by word: is it the first sampled word of an item
-    keys: np.ndarray  #: sorted: the sampled words of the items
+    first: np.ndarray  #: by word of the class: is it the first sampled word of an item
+    keys: np.ndarray  #: sorted: hashes of the sampled words of the items
     entries: np.ndarray  #: of each key: item, and the word of it at which the walk begins
 
 
@@ -99,37 +104,39 @@ class Table:
 class Class:
     lo: int
     hi: int
+    own: np.ndarray  #: by word of the block: its number among the words of the class, from 1; 0 if it is not one
     tables: list[Table]
 
 
 def make_table(lo: int, number: int, members: np.ndarray, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, percent: int, base: int) -> Table:
-    """A table of the items `members`, whose words stand from starts to ends. An item's walks begin at each
+    """A table of the items `members`, whose words (numbers below base) stand from starts to ends. An item's walks begin at each
     word that may be the first one left of it; they are in the table if the sampled rounds lie inside the item."""
     rounds, walk = sampled_rounds(lo, number), Walk(hashes, number // TABLES)
     many = most_edits(ends - starts, percent) + 1
     offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     begin, end, item = np.repeat(starts, many) + offset, np.repeat(ends, many), np.repeat(members, many)
-    ids, key = np.append(ids, 0), np.zeros(len(begin), np.int64)
+    ids, key = np.append(ids, 0), np.zeros(len(begin), np.uint64)
     for r in rounds:
         at = walk.go(begin, r)
-        key = key * base + ids[at]
+        key = key * BASE + ids[at].astype(np.uint64)
         first = ids[at] if r == rounds[0] else first
     inside = at < end
     order = np.flatnonzero(inside)[np.argsort(key[inside], kind="stable")]
     flags = np.zeros(base, bool)
     flags[first[inside]] = True
-    return Table(number // TABLES, rounds, flags, key[order], np.stack([item[order], offset[order]], axis=1))
+    return Table(number // TABLES, rounds, flags, key[order], np.stack([item[order], offset[order]], axis=1).astype(np.int32))
 
 
-def look_up(table: Table, walk: Walk, ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries, and starts of the windows that agree with them in all sampled words. ids: one more at the end."""
+def look_up(table: Table, walk: Walk, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries, and starts of the windows that agree with them in all sampled words, or, once in 2**64, in their
+    hash alone: the edit distance decides. ids: numbers among the words of the class, one more at the end."""
     at = walk.go(starts, table.rounds[0])
     hit = np.flatnonzero(table.first[ids[at]])
     at, starts = at[hit], starts[hit]
-    key = ids[at].astype(np.int64)
+    key = ids[at].astype(np.uint64)
     for r, s in zip(table.rounds, table.rounds[1:]):
         at = walk.go(at, s - r)
-        key = key * base + ids[at]
+        key = key * BASE + ids[at].astype(np.uint64)
     lo = np.searchsorted(table.keys, key)
     hit = np.flatnonzero(table.keys[np.minimum(lo, len(table.keys) - 1)] == key) if len(table.keys) else lo[:0]
     lo, many = lo[hit], np.searchsorted(table.keys, key[hit], "right") - lo[hit]
@@ -141,22 +148,25 @@ def look_up(table: Table, walk: Walk, ids: np.ndarray, starts: np.ndarray, base:
 def tables_needed(lo: int, size: int, percent: int) -> int:
     """How many tables of the class from lo find TARGET of random copies of items of some size with the
     most edits, which may begin or end their document."""
-    k, rng, n, kinds = most_edits(size, percent), np.random.default_rng((7, lo)), COPIES, 1 << 20
+    k, rng, kinds = most_edits(size, percent), np.random.default_rng((7, lo)), 1 << 20
+    n = min(COPIES, max(20, COPIED_WORDS // size))
     if k == 0:
         return 1
     words, texts = rng.integers(1, kinds, (n, size)), []
-    for w in words.tolist():
-        for at, kind, new in zip(rng.random(k), rng.integers(0, 3, k).tolist(), rng.integers(1, kinds, k).tolist()):
-            at = int(at * len(w))
-            w[at : at + int(kind > 0)] = [new] * int(kind < 2)
+    for w in words:
+        change = np.full(size, 3)  # of a word: 0 another before it, 1 another in its place, 2 gone
+        change[rng.choice(size, k, replace=False)] = rng.integers(0, 3, k)
+        copy = np.repeat(w, np.array([2, 1, 0, 1])[change])
+        begin = (np.cumsum(np.array([2, 1, 0, 1])[change]) - np.array([2, 1, 0, 1])[change])[change < 2]
+        copy[begin] = rng.integers(1, kinds, len(begin))
         around = [rng.integers(1, kinds, 6 * rng.integers(0, 2)) for _ in range(2)]
-        texts.append(np.concatenate([around[0], np.array(w, np.int64), around[1]]))
+        texts.append(np.concatenate([around[0], copy, around[1]]))
     text, row, found = np.concatenate(texts), np.repeat(np.arange(n), [len(t) for t in texts]), np.zeros(n, bool)
     hashes, ids, starts = mix(text), np.append(text, 0), np.arange(len(text), dtype=np.int32)
     begin = np.arange(n) * size
     for number in range(WALKS * TABLES):
         table = make_table(lo, number, np.arange(n), words.ravel(), mix(words.ravel()), begin, begin + size, percent, kinds)
-        entries, window = look_up(table, Walk(hashes, table.walk), ids, starts, kinds)
+        entries, window = look_up(table, Walk(hashes, table.walk), ids, starts)
         item = entries[:, 0]
         found[item[row[window] == item]] = True
         if found.mean() >= TARGET:
@@ -192,8 +202,6 @@ def build(items: list[tuple[object, str | None]], percent: int) -> Items:
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
     words = [np.searchsorted(vocabulary, h).astype(np.int64) + 1 for h in hashes]
     base, members, classes = len(vocabulary) + 1, {}, []
-    if base >= 1 << 21:
-        raise ValueError("a block of items has too many different words for one key")
     for i, w in enumerate(words):
         if len(w):
             members.setdefault(length_class(len(w)), []).append(i)
@@ -201,12 +209,15 @@ def build(items: list[tuple[object, str | None]], percent: int) -> Items:
         ends = np.cumsum([len(words[i]) for i in m])
         starts = ends - [len(words[i]) for i in m]
         ids, h = np.concatenate([words[i] for i in m]), np.concatenate([hashes[i] for i in m])
+        kinds, ids = np.unique(ids, return_inverse=True)
+        own, ids = np.zeros(base, np.int32), ids + 1
+        own[kinds] = np.arange(1, len(kinds) + 1)
         tables, missing, needed = [], set(m), max(tables_needed(lo, size, percent) for size in {lo, hi})
         # beyond the target, every item stands in a table, so that its exact copies are always found
         while len(tables) < needed or missing:
-            tables.append(make_table(lo, len(tables), np.array(m), ids, h, starts, ends, percent, base))
+            tables.append(make_table(lo, len(tables), np.array(m), ids, h, starts, ends, percent, len(kinds) + 1))
             missing -= set(tables[-1].entries[:, 0].tolist())
-        classes.append(Class(lo, hi, tables))
+        classes.append(Class(lo, hi, own, tables))
     bags = np.unique(np.concatenate([np.zeros(0, np.int64), *(i * base + w for i, w in enumerate(words))]))
     return Items([i for i, _ in items], words, vocabulary, classes, bags, percent)
 
@@ -223,24 +234,36 @@ def candidates(items: Items, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.nd
     for w in range(1 + max(c.tables[-1].walk for c in items.classes)):
         walk = Walk(hashes, w)
         for c, s in zip(items.classes, starts):
+            own = c.own[ids]
             for t in c.tables:
                 if t.walk == w and len(s):
-                    entries, window = look_up(t, walk, ids, s, items.base)
+                    entries, window = look_up(t, walk, own, s)
                     found.append(entries)
                     windows.append(window)
     entries, most = np.concatenate(found), np.int64(1 + max(most_edits(c.hi, items.percent) for c in items.classes))
-    each = np.unique((entries[:, 0] * n + np.concatenate(windows)) * most + entries[:, 1])
+    each = np.unique((entries[:, 0].astype(np.int64) * n + np.concatenate(windows)) * most + entries[:, 1])
     return each // most // n, each // most % n, each % most
 
 
 def enough_words(items: Items, ids: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """For each candidate region lo to hi: does it hold as many words of the item as are needed?"""
-    size = hi - lo
-    each = np.repeat(np.arange(len(lo)), size)
-    word = ids[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
-    key = item[each] * items.base + word
-    inside = items.bags[np.minimum(np.searchsorted(items.bags, key), len(items.bags) - 1)] == key
-    return np.bincount(each[inside], minlength=len(lo)) >= need
+    """For each candidate region lo to hi: does it hold as many words of the item as are needed? Regions of
+    long items are counted by prefix sums, those of short ones word by word, some at a time."""
+    out, length = np.zeros(len(item), bool), np.array([len(w) for w in items.words])[item]
+    for one in np.unique(item[length > LONG]):
+        at = np.flatnonzero(item == one)
+        inside = np.r_[0, np.cumsum(np.isin(ids, items.words[one]) & (ids > 0))]
+        out[at] = inside[hi[at]] - inside[lo[at]] >= need[at]
+    short = np.flatnonzero(length <= LONG)
+    size = hi[short] - lo[short]
+    parts = np.searchsorted(np.cumsum(size), np.arange(SOME, size.sum(), SOME)) if len(short) else []
+    for at in np.split(short, np.unique(parts)) if len(short) else []:
+        size = hi[at] - lo[at]
+        each = np.repeat(np.arange(len(at)), size)
+        word = ids[np.repeat(lo[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        key = item[at][each] * items.base + word
+        found = items.bags[np.minimum(np.searchsorted(items.bags, key), len(items.bags) - 1)] == key
+        out[at] = np.bincount(each[found], minlength=len(at)) >= need[at]
+    return out
 
 
 def best_edits(item: np.ndarray, text: np.ndarray) -> int:
@@ -281,8 +304,7 @@ def in_chunk(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
     k = np.array([items.edits(i) for i in range(len(items.words))])[item]
     place = window - offset
     lo, hi = np.maximum(place - k, first[rows]), np.minimum(place + length + 3 * k + 1, first[rows + 1])
-    keep = np.concatenate([enough_words(items, ids, *(x[i : i + SOME] for x in (item, lo, hi, length - k))) for i in range(0, len(item), SOME)])
-    order = np.flatnonzero(keep)
+    order = np.flatnonzero(enough_words(items, ids, item, lo, hi, length - k))
     order = order[np.lexsort((lo[order], rows[order], item[order]))]
     out: dict[tuple[int, int], int] = {}
     i = 0
@@ -299,14 +321,35 @@ def in_chunk(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[
     return [(r, it, d) for (r, it), d in out.items()]
 
 
+def table_bytes(words: int, percent: int) -> int:
+    """About what an item takes in the tables of its class."""
+    lo, hi = length_class(max(1, words))
+    return max(tables_needed(lo, size, percent) for size in {lo, hi}) * (most_edits(words, percent) + 1) * 16 + 100 * words
+
+
+def in_blocks(rows: list[tuple[object, str | None]], percent: int) -> Iterator[list[tuple[object, str | None]]]:
+    """Items in lots whose tables take about TABLE_BYTES, however many different words they have."""
+    lot, size = [], 0
+    for item_id, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        n = table_bytes(len(word_spans(data, np.array([0, len(data)]), NOT_WORD)[0]), percent)
+        if lot and size + n > TABLE_BYTES:
+            yield lot
+            lot, size = [], 0
+        lot.append((item_id, text))
+        size += n
+    yield lot
+
+
 def item_blocks(benchmark: DataFrame, percent: int, item_id: str, item_text: str) -> Iterator[Broadcast]:
-    """The benchmark's items, ready to be looked up, in blocks of about BLOCK_BYTES that are sent to every task."""
+    """The benchmark's items, ready to be looked up, in blocks of bounded tables that are sent to every task."""
     right = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text"))
     size = right.agg(F.sum(F.octet_length("item_text") + 16)).first()[0] or 0
     parts = max(1, -(-size // BLOCK_BYTES))
     for part in range(parts):
-        block = right.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(parts)) == part).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(build([(r[0], r[1]) for r in block], percent))
+        rows = right.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(parts)) == part).collect()
+        for lot in in_blocks([(r[0], r[1]) for r in rows], percent):
+            yield benchmark.sparkSession.sparkContext.broadcast(build(lot, percent))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -350,7 +393,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = 75, text: s
     is judged by its own text where it stands, so null and shared ids make no difference and no
     text is shuffled. Null and empty texts stay."""
     place, out = docs.columns.index(text), docs
-    for block in item_blocks(benchmark, percent, item_id, item_text):
+    for number, block in enumerate(item_blocks(benchmark, percent, item_id, item_text)):
+        if number:  # one block's worker a task, not a chain of them
+            out = materialise(out, "clean")
 
         def run(batches, shared=block):
             for b in batches:
