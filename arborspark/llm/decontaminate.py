@@ -98,6 +98,7 @@ class Table:
     first: np.ndarray  #: by word of the class: is it the first sampled word of an item
     keys: np.ndarray  #: sorted: hashes of the sampled words of the items
     entries: np.ndarray  #: of each key: item, and the word of it at which the walk begins
+    marks: np.ndarray  #: by the first bits of a mixed key: is there such a key; most windows end here
 
 
 @dataclass
@@ -124,7 +125,13 @@ def make_table(lo: int, number: int, members: np.ndarray, ids: np.ndarray, hashe
     order = np.flatnonzero(inside)[np.argsort(key[inside], kind="stable")]
     flags = np.zeros(base, bool)
     flags[first[inside]] = True
-    return Table(number // TABLES, rounds, flags, key[order], np.stack([item[order], offset[order]], axis=1).astype(np.int32))
+    marks = np.zeros(1 << (len(order).bit_length() + 4), bool)
+    marks[leading(key[order], marks)] = True
+    return Table(number // TABLES, rounds, flags, key[order], np.stack([item[order], offset[order]], axis=1).astype(np.int32), marks)
+
+
+def leading(key: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    return (key * BASE) >> np.uint64(64 - (len(marks).bit_length() - 1))
 
 
 def look_up(table: Table, walk: Walk, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +144,8 @@ def look_up(table: Table, walk: Walk, ids: np.ndarray, starts: np.ndarray) -> tu
     for r, s in zip(table.rounds, table.rounds[1:]):
         at = walk.go(at, s - r)
         key = key * BASE + ids[at].astype(np.uint64)
+    hit = np.flatnonzero(table.marks[leading(key, table.marks)])
+    key, starts = key[hit], starts[hit]
     lo = np.searchsorted(table.keys, key)
     hit = np.flatnonzero(table.keys[np.minimum(lo, len(table.keys) - 1)] == key) if len(table.keys) else lo[:0]
     lo, many = lo[hit], np.searchsorted(table.keys, key[hit], "right") - lo[hit]
@@ -230,11 +239,11 @@ def candidates(items: Items, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.nd
     for c in items.classes:
         k = most_edits(c.hi, items.percent)
         starts.append(np.flatnonzero(known[np.minimum(at + (c.hi + 3 * k + 1), n)] - known[np.maximum(at - k, 0)] >= c.lo - most_edits(c.lo, items.percent)).astype(np.int32))
+    owns = [c.own[ids] for c in items.classes]
     found, windows = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
     for w in range(1 + max(c.tables[-1].walk for c in items.classes)):
         walk = Walk(hashes, w)
-        for c, s in zip(items.classes, starts):
-            own = c.own[ids]
+        for c, s, own in zip(items.classes, starts, owns):
             for t in c.tables:
                 if t.walk == w and len(s):
                     entries, window = look_up(t, walk, own, s)
