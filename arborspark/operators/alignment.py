@@ -13,41 +13,52 @@ from arborspark.sources.tables import broadcast_if_small, numbered
 
 ROWS = 1 << 16  #: rows handed out at once
 CELLS = 4 << 20  #: sites of all taxa that a task counts before it hands out sums
+RANGE = 1 << 16  #: sites that are counted in one array
 
 
 def column_counts(texts: DataFrame, taxon: str, text: str, kinds: np.ndarray, n: int) -> DataFrame:
     """How often each of n kinds of characters stands at each site of each taxon's texts: taxon, site
     (from 1), n0 to n(n-1). kinds: the kind by a character's first UTF-8 byte. One pass over the
-    texts: a task counts in arrays, taxon by taxon, and hands out sums, so that no character
-    becomes a row. Null texts and taxa count for nothing."""
+    texts: a task counts in arrays, by taxon and range of sites, and hands out sums whenever its arrays hold
+    CELLS sites, so that no character becomes a row and neither many taxa nor a long text need
+    more memory. Null texts and taxa count for nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
 
         def take() -> Iterator[pa.RecordBatch]:
-            for name, sites in sums.items():
+            for (name, part), sites in sums.items():
                 at = np.flatnonzero(sites.any(axis=1))
                 for i in range(0, len(at), ROWS):
                     some = at[i : i + ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array((some + 1).astype(np.int32)), *(pa.array(sites[some, k]) for k in range(n))], names=["taxon", "site", *(f"n{k}" for k in range(n))])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array((some + part * RANGE + 1).astype(np.int32)), *(pa.array(sites[some, k]) for k in range(n))], names=["taxon", "site", *(f"n{k}" for k in range(n))])
             sums.clear()
 
+        held = 0
         for b in batches:
             names, bodies = b.column(0).to_pylist(), b.column(1)
             offsets = np.frombuffer(bodies.buffers()[1], np.int32 if pa.types.is_binary(bodies.type) else np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
             data = np.frombuffer(bodies.buffers()[2], np.uint8) if bodies.buffers()[2] else np.zeros(0, np.uint8)
             for i, name in enumerate(names):
-                body = data[offsets[i] : offsets[i + 1]]
-                first = body[(body & 0xC0) != 0x80]
-                old = sums.get(name)
-                if old is None or len(old) < len(first):
-                    grown = np.zeros((max(len(first), 2 * len(old) if old is not None else 0), n), np.int64)
-                    if old is not None:
-                        grown[: len(old)] = old
-                    old = sums[name] = grown
-                old.ravel()[np.arange(len(first)) * n + kinds[first]] += 1
-            if sum(len(x) for x in sums.values()) > CELLS:
-                yield from take()
+                site = 0
+                for lo in range(offsets[i], offsets[i + 1], RANGE):
+                    body = data[lo : min(lo + RANGE, offsets[i + 1])]
+                    first = kinds[body[(body & 0xC0) != 0x80]]  # a character's first byte
+                    while len(first):
+                        part, at = divmod(site, RANGE)
+                        here, first = first[: RANGE - at], first[RANGE - at :]
+                        old = sums.get((name, part))
+                        if old is None or len(old) < at + len(here):
+                            grown = np.zeros((min(RANGE, max(at + len(here), 2 * len(old) if old is not None else 0)), n), np.int64)
+                            if old is not None:
+                                grown[: len(old)] = old
+                            held += len(grown) - (len(old) if old is not None else 0)
+                            old = sums[name, part] = grown
+                        old.ravel()[(at + np.arange(len(here))) * n + here] += 1
+                        site += len(here)
+                    if held > CELLS:
+                        yield from take()
+                        held = 0
         yield from take()
 
     rows = texts.where(F.col(taxon).isNotNull() & F.col(text).isNotNull()).select(F.col(taxon).cast("string"), F.col(text).cast("binary"))

@@ -13,7 +13,7 @@ from arborspark.functions.encoding import TYPES
 from arborspark.operators import alignment as A
 from arborspark.operators.frequencies import frequencies_by_type
 from arborspark.sources.partitions import check_ranges, misassigned, partitions, read_partitions, site_map
-from arborspark.sources.phylip import bad_names, check_characters, read_phylip
+from arborspark.sources.phylip import bad_names, read_interleaved, read_phylip
 from arborspark.sources.tables import materialise
 
 ROWS = 1 << 16
@@ -28,41 +28,79 @@ class Alignment:
     partitions: DataFrame  #: part_id, name, model, data_type, states, n_patterns, weight, contribution, freqs
 
 
-def encoded(alignment: DataFrame, ranges: list) -> DataFrame:
-    """Cells of sequences (taxon_id, seq): each site by the alphabet of its partition, in arrays."""
+def alphabets() -> dict[str, tuple[np.ndarray, int]]:
+    """By kind of data: the code of each byte, 0 where the alphabet lacks it, and the code of no knowledge."""
     tables = {}
     for kind in TYPES.values():
         table = np.zeros(256, np.int32)
         for c in kind.characters:
             table[[ord(c), ord(c.lower())]] = kind.mask(c)
         tables[kind.name] = table, kind.undetermined
+    return tables
+
+
+def inside(begin: int, size: int, lo: int, hi: int, step: int) -> slice:
+    """Where the sites of a range are in a piece of a sequence that begins at a site."""
+    first = lo + max(0, -(-(begin - lo) // step)) * step
+    return slice(min(first - begin, size), max(0, min(hi - begin + 1, size)), step)
+
+
+def encoded(pieces: DataFrame, ranges: list) -> DataFrame:
+    """Cells of sequences (taxon_id, begin, seq): each site by the alphabet of its partition, in arrays."""
+    tables = alphabets()
 
     def run(batches):
         for b in batches:
-            for taxon, seq in zip(b["taxon_id"], b["seq"]):
+            for taxon, begin, seq in zip(b["taxon_id"], b["begin"], b["seq"]):
                 body = np.frombuffer(seq.encode("ascii"), np.uint8)
                 code, known = np.zeros(len(body), np.int32), np.zeros(len(body), bool)
                 for kind, lo, hi, step in ranges:
                     table, undetermined = tables[kind]
-                    at = slice(lo - 1, min(hi, len(body)), step)
+                    at = inside(begin, len(body), lo, hi, step)
                     code[at] = table[body[at]]
                     known[at] = code[at] != undetermined
                 sites = np.flatnonzero(known)
                 for i in range(0, len(sites), ROWS):
                     some = sites[i : i + ROWS]
-                    yield pd.DataFrame({"taxon_id": taxon, "site": some + 1, "code": code[some]})
+                    yield pd.DataFrame({"taxon_id": taxon, "site": some + begin, "code": code[some]})
+
+    return pieces.select("taxon_id", "begin", "seq").mapInPandas(run, "taxon_id int, site int, code int")
+
+
+def bad_characters(pieces: DataFrame, ranges: list) -> DataFrame:
+    """name, site, character, kind: the first character of each piece that its partition's alphabet lacks."""
+    tables = alphabets()
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for name, begin, seq in zip(b["name"], b["begin"], b["seq"]):
+                body = np.frombuffer(seq.encode("utf-32-le"), "<u4")  # a character each, ASCII or not
+                found = []
+                for kind, lo, hi, step in ranges:
+                    at = inside(begin, len(body), lo, hi, step)
+                    wrong = np.flatnonzero((body[at] > 127) | (tables[kind][0][body[at] & 127] == 0))
+                    if len(wrong):
+                        found.append((at.start + int(wrong[0]) * step, kind))
+                if found:
+                    i, kind = min(found)
+                    rows.append((name, begin + i, seq[i], kind))
+            yield pd.DataFrame(rows, columns=["name", "site", "character", "kind"])
 
-    return alignment.select("taxon_id", "seq").mapInPandas(run, "taxon_id int, site int, code int")
+    return pieces.select("name", "begin", "seq").mapInPandas(run, "name string, site long, character string, kind string")
 
 
-def read_alignment(spark: SparkSession, path: str, partition_path: str | None = None, kind: str = "DNA", compress: bool = True) -> Alignment:
+def read_alignment(spark: SparkSession, path: str, partition_path: str | None = None, kind: str = "DNA", compress: bool = True, splits: bool = False) -> Alignment:
     """An alignment with its partition file, or as one partition of a kind. Names that a tree can't hold,
     characters that a partition's alphabet lacks, sites without a partition or with several, partitions of
-    which no site is determined, and interleaved partitions without compression are errors."""
-    text = materialise(read_phylip(spark, path).select((F.col("taxon_id") - 1).cast("int").alias("taxon_id"), "name", "seq"), "alignment")
-    if wrong := bad_names(text).limit(3).collect():
+    which no site is determined, and interleaved partitions without compression are errors. splits: the file
+    has blocks of one line a taxon and is read in splits, whatever its size; else a task reads a file."""
+    rows = read_interleaved(spark, path) if splits else read_phylip(spark, path).withColumn("begin", F.lit(1).cast("long"))
+    text = materialise(rows.select((F.col("taxon_id") - 1).cast("int").alias("taxon_id"), "name", "begin", "seq"), "alignment")
+    taxa = text.where("begin = 1").select("taxon_id", "name").distinct()
+    if wrong := bad_names(taxa).limit(3).collect():
         raise ValueError(f"names that a tree can't hold, or twice: {[r['name'] for r in wrong]}")
-    n_taxa, n_sites = (lambda r: (r[0], r[1]))(text.agg(F.count("*"), F.max(F.length("seq"))).first())
+    n_taxa, n_sites = (lambda r: (r[0], r[1]))(text.agg(F.count_distinct("taxon_id"), F.max(F.col("begin") + F.length("seq") - 1)).first())
     ranges = materialise(read_partitions(spark, partition_path) if partition_path else partitions(spark, [f"{kind}, all = 1-{n_sites}"]), "ranges")
     check_ranges(ranges)
     sites = spark.range(1, n_sites + 1).select(F.col("id").cast("int").alias("site"))
@@ -73,9 +111,8 @@ def read_alignment(spark: SparkSession, path: str, partition_path: str | None =
     rows = ranges.select("data_type", "lo", "hi", "step").collect()
     if {r["data_type"] for r in rows} - set(TYPES):
         raise ValueError(f"data of these kinds are not supported: {sorted({r['data_type'] for r in rows} - set(TYPES))}")
-    for name in {r["data_type"] for r in rows}:
-        if len({r["data_type"] for r in rows}) == 1:
-            check_characters(text, TYPES[name])
+    if bad := bad_characters(text, [tuple(r) for r in rows]).orderBy("site", "name").first():
+        raise ValueError(f"taxon {bad['name']!r} has {bad['character']!r} at site {bad['site']}, which {bad['kind']} data can't have")
     cells = materialise(encoded(text, [tuple(r) for r in rows]), "cells")
     parts = site_map(sites, ranges)
     found = materialise(A.patterns(cells, parts, 0, compress), "found")
@@ -89,7 +126,7 @@ def read_alignment(spark: SparkSession, path: str, partition_path: str | None =
     freqs = frequencies_by_type(code_weights_of(patterns), dims)
     states = F.coalesce(*(F.when(F.col("data_type") == t.name, F.lit(len(t.states))) for t in TYPES.values()))
     table = dims.join(A.partition_weights(found), "part_id").join(freqs, "part_id").withColumn("states", states)
-    return Alignment(text.select("taxon_id", "name"), ranges, cells, patterns, table)
+    return Alignment(taxa, ranges, cells, patterns, table)
 
 
 def code_weights_of(patterns: DataFrame) -> DataFrame:
