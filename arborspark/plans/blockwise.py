@@ -163,18 +163,22 @@ def score_candidates(patterns: DataFrame, tree: Tree | dict[int, Tree], candidat
     return out
 
 
-def fit(patterns: DataFrame, tree: Tree, models: dict[int, AnyModel], alpha: bool = True, exchange: bool = True, freqs: bool = False, branches: bool = False, epsilon: float = 0.1, cycles: int = 10, links: dict[int, int] | None = None) -> tuple[dict[int, AnyModel], Tree, float]:
+def fit(patterns: DataFrame, tree: Tree | dict[int, Tree], models: dict[int, AnyModel], alpha: bool = True, exchange: bool = True, freqs: bool = False, branches: bool = False, epsilon: float = 0.1, cycles: int = 10, links: dict[int, int] | None = None) -> tuple[dict[int, AnyModel], Tree | dict[int, Tree], float]:
     """Cycles over all parameters, and over the branches if asked, until one gains less than epsilon.
-    links: partitions that share exchange rates and shapes, or their mixtures' rates and weights."""
+    tree: one, or one with lengths of its own for each partition. links: partitions that share exchange
+    rates and shapes, or their mixtures' rates and weights."""
     score = lambda c: score_candidates(patterns, tree, c)
     best = parameters.total(score, models)
     for _ in range(cycles):
         before = best
         models, best = parameters.cycles(score, models, alpha, exchange, freqs, math.inf, 1, links)
-        if branches:
+        if branches and isinstance(tree, dict):
+            [(lnl, new)] = smoothed_by_partition(patterns, models, [tree])
+            after = sum(lnl.values())
+        elif branches:
             [(after, new)] = smoothed(patterns, models, [tree])
-            if after > best:
-                tree, best = new, after
+        if branches and after > best:
+            tree, best = new, after
         if best - before < epsilon:
             break
     return models, tree, best

@@ -28,46 +28,60 @@ NAMES = ["node", "cut", "a", "b", "depth", "lnl", "z_a", "z_b", "z_node"]
 
 @dataclass
 class Graft:
-    """A subtree put into the edge a-b: for each block the vectors at a, b and the subtree's end, and the
-    lengths of the three branches that meet there."""
+    """A subtree put into the edge a-b: for each block the vectors at a, b and the subtree's end, and the lengths
+    of the three branches that meet there. `tied`: all blocks have the same lengths."""
 
     blocks: list[Block]
     ends: list[list[Vector]]
-    z: list[float]
+    z: list[list[float]]
+    tied: bool = True
 
-    def table(self, i: int) -> list[Vector]:
-        """What the branch to end i has in common with the two others joined, by block."""
-        others = [k for k in range(3) if k != i]
-        return [facing(b.model, joined(b.model, [(ends[k], self.z[k]) for k in others]), ends[i]) for b, ends in zip(self.blocks, self.ends)]
+    def groups(self) -> list[list[int]]:
+        """Numbers of the blocks whose lengths are moved together."""
+        every = range(len(self.blocks))
+        return [list(every)] if self.tied else [[k] for k in every]
+
+    def table(self, k: int, i: int) -> Vector:
+        """What the branch to end i has in common with the two others joined, in a block."""
+        model, ends = self.blocks[k].model, self.ends[k]
+        return facing(model, joined(model, [(ends[o], self.z[k][o]) for o in range(3) if o != i]), ends[i])
 
     def lnl(self) -> float:
-        return sum(float(b.weights @ along(b.model, t, self.z[2])) for b, t in zip(self.blocks, self.table(2)))
+        return sum(float(b.weights @ along(b.model, self.table(k, 2), self.z[k][2])) for k, b in enumerate(self.blocks))
 
-    def best_length(self, tables: list[Vector], z: float, steps: int) -> tuple[float, float]:
-        return newton(z, lambda x: summed([(b.weights, along(b.model, t, x, True)) for b, t in zip(self.blocks, tables)]), steps)
+    def best_length(self, some: list[int], tables: list[Vector], z: float, steps: int = 8) -> tuple[float, float]:
+        own = [self.blocks[k] for k in some]
+        return newton(z, lambda x: summed([(b.weights, along(b.model, t, x, True)) for b, t in zip(own, tables)]), steps)
 
-    def triangle(self) -> None:
+    def triangle(self, some: list[int]) -> None:
         """Start from the three distances between the ends, each at its best: they give the three branches."""
-        t = {}
+        t, z = {}, self.z[some[0]]
         for i, j in ((0, 1), (0, 2), (1, 2)):
-            z, _ = self.best_length([facing(b.model, e[i], e[j]) for b, e in zip(self.blocks, self.ends)], self.z[i] * self.z[j], 8)
-            t[i, j] = -math.log(z)
+            best, _ = self.best_length(some, [facing(self.blocks[k].model, self.ends[k][i], self.ends[k][j]) for k in some], z[i] * z[j])
+            t[i, j] = -math.log(best)
         half = (t[0, 1] + t[0, 2] - t[1, 2]) / 2, (t[0, 1] + t[1, 2] - t[0, 2]) / 2, (t[0, 2] + t[1, 2] - t[0, 1]) / 2
-        tried = Graft(self.blocks, self.ends, [min(max(math.exp(-max(h, 0.0)), Z_MIN), Z_MAX) for h in half])
-        if tried.lnl() > self.lnl():
-            self.z = tried.z
+        tried = [min(max(math.exp(-max(h, 0.0)), Z_MIN), Z_MAX) for h in half]
+        own = Graft([self.blocks[k] for k in some], [self.ends[k] for k in some], [tried] * len(some))
+        if own.lnl() > Graft(own.blocks, own.ends, [self.z[k] for k in some]).lnl():
+            for k in some:
+                self.z[k] = list(tried)
 
     def settle(self, rounds: int, tolerance: float = 1e-6) -> float:
         """The three branches moved in turn until a round gains little; the log-likelihood."""
-        self.triangle()
-        best = self.lnl()
-        for _ in range(rounds):
-            before = best
-            for i in range(3):
-                self.z[i], best = self.best_length(self.table(i), self.z[i], 8)
-            if best - before < tolerance:
-                break
-        return best
+        out = 0.0
+        for some in self.groups():
+            self.triangle(some)
+            best = -math.inf
+            for _ in range(rounds):
+                before = best
+                for i in range(3):
+                    z, best = self.best_length(some, [self.table(k, i) for k in some], self.z[some[0]][i])
+                    for k in some:
+                        self.z[k][i] = z
+                if best - before < tolerance:
+                    break
+            out += best
+        return out
 
 
 def prunings(tree: Tree, n_tips: int) -> list[tuple[int, int]]:
@@ -76,22 +90,23 @@ def prunings(tree: Tree, n_tips: int) -> list[tuple[int, int]]:
     return [(node, cut) for cut in sorted(n for n in near if n >= n_tips) for node in sorted(near[cut])]
 
 
-def grafts(blocks: list[Block], node: int, cut: int, radius: int, visit: Callable[[int, int, int, Graft], bool]) -> None:
-    """All edges within `radius` of the cut, outward; visit(a, b, depth, graft) says whether to go on beyond."""
+def grafts(blocks: list[Block], node: int, cut: int, radius: int, visit: Callable[[int, int, int, Graft], bool], tied: bool = True) -> None:
+    """All edges within `radius` of the cut, outward; visit(a, b, depth, graft) says whether to go on beyond. Blocks
+    have one topology, and one set of lengths if they are tied."""
     near, n_tips = blocks[0].near, blocks[0].codes.shape[1]
     p, q = (x for x in near[cut] if x != node)
     subtree = [b.toward(node, cut) for b in blocks]
     for start, other in ((p, q), (q, p)):
-        stack = [(start, cut, [b.toward(other, cut) for b in blocks], near[cut][p] * near[cut][q], 1)]
+        stack = [(start, cut, [b.toward(other, cut) for b in blocks], [b.near[cut][p] * b.near[cut][q] for b in blocks], 1)]
         while stack:
-            at, back, behind, z, depth = stack.pop()
+            at, back, behind, back_z, depth = stack.pop()
             below = [c for c in near[at] if c != back] if at >= n_tips else []
             for c, sibling in zip(below, below[::-1]):
-                here = [joined(b.model, [(x, z), (b.toward(sibling, at), near[at][sibling])]) for b, x in zip(blocks, behind)]
-                half = math.sqrt(near[at][c])
-                graft = Graft(blocks, [[x, b.toward(c, at), s] for b, x, s in zip(blocks, here, subtree)], [half, half, near[cut][node]])
+                here = [joined(b.model, [(x, z), (b.toward(sibling, at), b.near[at][sibling])]) for b, x, z in zip(blocks, behind, back_z)]
+                lengths = [[math.sqrt(b.near[at][c]), math.sqrt(b.near[at][c]), b.near[cut][node]] for b in blocks]
+                graft = Graft(blocks, [[x, b.toward(c, at), s] for b, x, s in zip(blocks, here, subtree)], lengths, tied)
                 if visit(at, c, depth, graft) and depth < radius and c >= n_tips:
-                    stack.append((c, at, here, near[at][c], depth + 1))
+                    stack.append((c, at, here, [b.near[at][c] for b in blocks], depth + 1))
 
 
 def allowed(wanted: frozenset[frozenset], tree: Tree, n_tips: int) -> Callable[[int, int, int, int], bool]:
@@ -105,7 +120,7 @@ def vector_bytes(patterns: DataFrame, models: dict[int, Model]) -> int:
     return sum(r["n"] * vectors_held(r["taxa"]) * len(models[r["part_id"]].rates) * models[r["part_id"]].states * 8 for r in sizes if r["part_id"] in models)
 
 
-def score_moves(patterns: DataFrame, tree: Tree, models: dict[int, Model], n_tips: int, radius: int, rounds: int = 0, cutoff: float = math.inf, local: list | None = None, constraint: frozenset[frozenset] = frozenset()) -> DataFrame:
+def score_moves(patterns: DataFrame, tree: Tree, models: dict[int, Model], n_tips: int, radius: int, rounds: int = 0, cutoff: float = math.inf, local: list | None = None, constraint: frozenset[frozenset] = frozenset(), own: dict[int, Tree] | None = None) -> DataFrame:
     """Every move within the radius with its log-likelihood and the lengths of the three new branches.
 
     rounds 0: at the lengths that the halved edge and the subtree's branch have; else the three branches are
@@ -113,14 +128,15 @@ def score_moves(patterns: DataFrame, tree: Tree, models: dict[int, Model], n_tip
     subtree is not moved on. local: a gathered alignment whose vectors fit one task; subtrees are then dealt
     out over tasks. Else moves are scored over blocks of patterns: a task works on some patterns and on some
     subtrees, and shares of the log-likelihood are summed by move; there all edges within the radius are
-    scored, at the lengths they have. Moves are made in the tasks; the driver sends the tree alone."""
+    scored, at the lengths they have. own: the tree with lengths for each partition, which are then moved apart;
+    the lengths given back are those of the first one. Moves are made in the tasks; the driver sends trees alone."""
     spark, cuts = patterns.sparkSession, prunings(tree, n_tips)
     fits = allowed(constraint, tree, n_tips)
     if local is not None:
         data = spark.sparkContext.broadcast(local)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            blocks = [Block(c, w, models[p], tree) for p, c, w in data.value if p in models]
+            blocks = [Block(c, w, models[p], own[p] if own else tree) for p, c, w in data.value if p in models]
             start = sum(b.lnl(*tree[0][:2]) for b in blocks)
             for m in batches:
                 for i in m["id"]:
@@ -130,10 +146,10 @@ def score_moves(patterns: DataFrame, tree: Tree, models: dict[int, Model], n_tip
                         if not fits(node, cut, a, b):
                             return True
                         lnl = graft.settle(rounds) if rounds else graft.lnl()
-                        rows.append((node, cut, a, b, depth, lnl, *graft.z))
+                        rows.append((node, cut, a, b, depth, lnl, *graft.z[0]))
                         return start - lnl <= cutoff
 
-                    grafts(blocks, node, cut, radius, visit)
+                    grafts(blocks, node, cut, radius, visit, own is None)
                     yield pd.DataFrame(rows, columns=NAMES)
 
         tasks = min(len(cuts), 4 * spark.sparkContext.defaultParallelism)
@@ -146,16 +162,20 @@ def score_moves(patterns: DataFrame, tree: Tree, models: dict[int, Model], n_tip
         rows = rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
         rows = rows.repartition(blocks * lots, "lot", "block").drop("block")
 
+    def trees_of(b: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, Block]]:
+        for p, g in b.groupby("part_id"):
+            yield from blocks_of(g, own[int(p)] if own else tree, models)
+
     def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lot, part in b.groupby("lot") if "lot" in b else [(0, b)]:
-                for _, _, block in blocks_of(part.drop(columns="lot", errors="ignore"), tree, models):
+                for _, _, block in trees_of(part.drop(columns="lot", errors="ignore")):
                     for node, cut in cuts[int(lot) :: lots]:
                         out: list[tuple] = []
 
                         def visit(a: int, b: int, depth: int, graft: Graft, out=out, node=node, cut=cut) -> bool:
                             if fits(node, cut, a, b):
-                                out.append((node, cut, a, b, depth, graft.lnl(), *graft.z))
+                                out.append((node, cut, a, b, depth, graft.lnl(), *graft.z[0]))
                             return True
 
                         grafts([block], node, cut, radius, visit)

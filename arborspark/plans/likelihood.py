@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborspark.functions.numerics import Model
-from arborspark.plans.kernel import Block, patterns_at_once, root_edge
+from arborspark.plans.kernel import Block, patterns_at_once, root_edge, tree_of
 from arborspark.sources.newick import Tree
-from arborspark.sources.tables import broadcast_if_small, materialise
+from arborspark.sources.tables import broadcast_if_small, is_small, materialise
 
 
 def blocks_of(b: pd.DataFrame, tree: Tree, models: dict[int, Model], every_edge: bool = True) -> Iterator[tuple[int, pd.DataFrame, Block]]:
@@ -88,56 +88,84 @@ def site_rates(patterns: DataFrame, tree: Tree, models: dict[int, Model], grid:
     return best.select("part_id", "pattern_id", "b.rate", "b.lnl")
 
 
-def rated_likelihoods(patterns: DataFrame, tree: Tree, models: dict[int, Model]) -> DataFrame:
-    """The log-likelihood of each pattern at its own `rate`: part_id, pattern_id, rate, lnl."""
+def climb_rates(patterns: DataFrame, tree: Tree, models: dict[int, Model], lower: float = 0.5, upper: float = 1.0, least: float = 1e-4, most: float = 32.0) -> DataFrame:
+    """The rate that each pattern climbs to from its own (column `rate`, else 1): down by steps of `lower`, up by steps
+    of `upper`, each way as long as the log-likelihood (to nine digits) grows and the limits are kept; the better
+    end, or the start. A block tries one rate after the other with the patterns that still climb, so nothing
+    is shuffled. Result: part_id, pattern_id, rate, lnl."""
+
+    def lnl_at(block: Block, some: np.ndarray, rate: float, start: float) -> np.ndarray:
+        tree_at = [(u, v, z ** (rate / start)) for u, v, z in tree_of(block.near)]
+        return np.round(Block(block.codes[some], block.weights[some], block.model, tree_at, keep=False).pattern_likelihoods(*root_edge(tree)), 9)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part, g, x in blocks_of(b, tree, models, every_edge=False):
-                yield pd.DataFrame({"part_id": part, "pattern_id": g["pattern_id"], "rate": g["rate"], "lnl": x.pattern_likelihoods(*root_edge(tree))})
-
-    return patterns.select("part_id", "pattern_id", "weight", "codes", "rate").mapInPandas(run, "part_id int, pattern_id int, rate double, lnl double")
-
-
-def climb_rates(patterns: DataFrame, rates: DataFrame, tree: Tree, models: dict[int, Model], factor: float = 1.25, rounds: int = 8, least: float = 1e-3, most: float = 32.0) -> DataFrame:
-    """Every pattern's rate moved up or down by a factor as long as its log-likelihood grows. Rates stay
-    multiples of few values, so patterns of one rate are worked on together. rates: part_id, pattern_id,
-    rate, lnl; so is the result."""
-    key = ["part_id", "pattern_id"]
-    now = rates.select(*key, "rate", F.round("lnl", 9).alias("lnl"))
-    for _ in range(rounds):
-        near = F.array(*(F.round(F.col("rate") * f, 9) for f in (factor, 1 / factor)))
-        tried = patterns.join(now.select(*key, "rate"), key).withColumn("rate", F.explode(near)).where(F.col("rate").between(least, most))
-        best = rated_likelihoods(tried, tree, models).withColumn("lnl", F.round("lnl", 9)).unionByName(now)
-        new = materialise(best.groupBy(*key).agg(F.max(F.struct("lnl", "rate")).alias("b")).select(*key, "b.rate", "b.lnl"), "rates")
-        moved = new.join(now.select(*key, F.col("lnl").alias("old")), key).where(F.col("lnl") > F.col("old") + 1e-6)
-        now = new
-        if moved.isEmpty():
-            break
-    return now
-
-
-def optimise_psr(patterns: DataFrame, tree: Tree, models: dict[int, Model], categories: int = 25, grid: tuple[float, ...] = (0.05, 0.2, 0.5, 1.0, 2.0, 4.0)) -> tuple[DataFrame, float]:
-    """Patterns with a rate each (column `rate`) and their log-likelihood: the best rates, climbed to and
-    put into categories. If that is worse than what the patterns had, they are given back as they were."""
+            for part, g, block in blocks_of(b, tree, models, every_edge=False):
+                start = float(g["rate"].iloc[0])
+                every = np.arange(len(g))
+                rates, lnl = np.full(len(g), start), lnl_at(block, every, start, start)
+                first = lnl.copy()
+                for step in (-lower, upper):
+                    at, here, live = start, first.copy(), every
+                    while len(live) and least < (at := round(at + step, 9)) <= most:
+                        new = lnl_at(block, live, at, start)
+                        up = new > here[live]
+                        live = live[up]
+                        here[live] = new[up]
+                        better = here[live] > lnl[live]
+                        rates[live[better]], lnl[live[better]] = at, here[live[better]]
+                yield pd.DataFrame({"part_id": part, "pattern_id": g["pattern_id"].to_numpy(), "rate": rates, "lnl": lnl})
+
+    rate = F.col("rate") if "rate" in patterns.columns else F.lit(1.0)
+    return patterns.select("part_id", "pattern_id", "weight", "codes", rate.alias("rate")).mapInPandas(run, "part_id int, pattern_id int, rate double, lnl double")
+
+
+def optimise_psr(patterns: DataFrame, tree: Tree, models: dict[int, Model], categories: int = 25, finer: tuple[int, ...] = (1, 2), most: float = 32.0) -> tuple[DataFrame, float]:
+    """Patterns with a rate each (column `rate`) and their log-likelihood: rates climbed to by steps of 0.5 down and
+    1 up, then by these divided by each further number of `finer`, and put into categories. If that is
+    worse than what the patterns had, they are given back as they were."""
     old = patterns if "rate" in patterns.columns else patterns.withColumn("rate", F.lit(1.0))
     before = log_likelihood(old, tree, models).agg(F.sum("lnl")).first()[0]
-    plain = patterns.select("part_id", "pattern_id", "weight", "codes")
-    key = ["part_id", "pattern_id"]
-    rates = climb_rates(plain, site_rates(plain, tree, models, list(grid)), tree, models)
+    key, plain, now = ["part_id", "pattern_id"], old.drop("rate"), old
+    for n in finer:
+        rates = materialise(climb_rates(now, tree, models, 0.5 / n, 1.0 / n, most=most), "rates")
+        now = plain.join(rates.select(*key, "rate"), key)
     done = categorise(rates.join(plain.select(*key, "weight"), key), categories)
     new = materialise(plain.join(done.select(*key, F.col("category_rate").alias("rate")), key), "rated")
     after = log_likelihood(new, tree, models).agg(F.sum("lnl")).first()[0]
     return (new, after) if after >= before else (old, before)
 
 
-def categorise(rates: DataFrame, categories: int = 25, joint: bool = False) -> DataFrame:
-    """At most `categories` rates of each partition: rates equal to three digits are one cluster, the
-    clusters with the least summed log-likelihood stay, each pattern takes the nearest, and weights
-    make the mean rate 1, of each partition or, if branches are `joint`, of all. rates: part_id, pattern_id, weight, rate, lnl; adds category, category_rate."""
-    cluster = F.round("rate", 3)
-    sums = rates.groupBy("part_id", cluster.alias("cluster")).agg(F.sum("lnl").alias("lnl"))
-    kept = sums.groupBy("part_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("lnl", "cluster"))), 1, categories).alias("kept"))
+def islands(rates: DataFrame, tolerance: float) -> DataFrame:
+    """Distinct rates of each partition (part_id, rate) with the number of their island: rates that follow each
+    other by less than the tolerance are on one. Many rates are cut into ranges: a range numbers its islands,
+    and one whose first rate is near the last before it goes on with that one's island."""
+    apart = lambda before: (F.col("rate") - before >= tolerance) | before.isNull()
+    if is_small(rates):
+        line = Window.partitionBy("part_id").orderBy("rate")
+        return rates.withColumn("starts", apart(F.lag("rate").over(line)).cast("long")).withColumn("island", F.sum("starts").over(line)).drop("starts")
+    cut = materialise(rates.repartitionByRange("part_id", "rate").withColumn("range_id", F.spark_partition_id()), "rate_ranges")
+    line, key = Window.partitionBy("range_id", "part_id").orderBy("rate"), ["range_id", "part_id"]
+    inner = materialise(cut.withColumn("before", F.lag("rate").over(line)).withColumn("starts", (apart(F.col("before")) & F.col("before").isNotNull()).cast("long")), "rate_gaps")
+    borders = inner.groupBy(*key).agg(F.min("rate").alias("lo"), F.max("rate").alias("hi"), F.sum("starts").alias("inside"))
+    order = Window.partitionBy("part_id").orderBy("range_id")  # a row a range and partition
+    opens = (F.col("lo") - F.lag("hi").over(order) >= tolerance) | F.lag("hi").over(order).isNull()
+    borders = borders.withColumn("opens", opens.cast("long")).withColumn("begin", F.sum(F.col("opens") + F.col("inside")).over(order) - F.col("inside"))
+    borders = broadcast_if_small(materialise(borders.select(*key, "begin"), "borders"))
+    return inner.withColumn("own", F.sum("starts").over(line)).join(borders, key).select("part_id", "rate", (F.col("begin") + F.col("own")).alias("island"))
+
+
+def categorise(rates: DataFrame, categories: int = 25, joint: bool = False, tolerance: float = 1e-3) -> DataFrame:
+    """At most `categories` rates of each partition: rates nearer to the next than the tolerance are one cluster,
+    which has the rate of its first pattern; the clusters with the least summed log-likelihood stay, each
+    pattern takes the nearest, and weights make the mean rate 1, of each partition or, if branches
+    are `joint`, of all. rates: part_id, pattern_id, weight, rate, lnl; adds category, category_rate."""
+    each = materialise(rates.groupBy("part_id", "rate").agg(F.sum("lnl").alias("lnl"), F.min("pattern_id").alias("first")), "distinct_rates")
+    sums = each.join(islands(each.select("part_id", "rate"), tolerance), ["part_id", "rate"]).groupBy("part_id", "island")
+    sums = sums.agg(F.sum("lnl").alias("lnl"), F.min_by("rate", "first").alias("cluster"))
+    best = Window.partitionBy("part_id").orderBy("lnl", "cluster")
+    sums = sums.withColumn("place", F.row_number().over(best)).where(F.col("place") <= categories)
+    kept = sums.groupBy("part_id").agg(F.sort_array(F.collect_list(F.struct("lnl", "cluster"))).alias("kept"))
     kept = broadcast_if_small(materialise(kept, "kept"))  # a row a partition
     joined = rates.join(kept, "part_id")
     near = F.array_min(F.transform("kept", lambda c: F.struct(F.abs(c["cluster"] - F.col("rate")).alias("away"), c["cluster"].alias("cluster"))))

@@ -28,6 +28,16 @@ def mean_branches(edges: DataFrame, weights: DataFrame) -> DataFrame:
     return edges.join(weights.select("part_id", "contribution"), "part_id").groupBy("u", "v").agg(F.sum(-F.log("z") * F.col("contribution")).alias("length"))
 
 
+def mean_tree(own: dict[int, Tree], shares: dict[int, float]) -> Tree:
+    """One tree with the mean lengths of the partitions' trees, by their shares of all weight."""
+    total = sum(shares[p] for p in own)
+    sums: dict[frozenset, float] = {}
+    for p, tree in own.items():
+        for u, v, z in tree:
+            sums[frozenset((u, v))] = sums.get(frozenset((u, v)), 0.0) - math.log(z) * shares[p] / total
+    return [(u, v, math.exp(-sums[frozenset((u, v))])) for u, v, _ in next(iter(own.values()))]
+
+
 def parameter_report(spark: SparkSession, tree_id: int, tree: Tree, models: dict[int, Model]) -> DataFrame:
     """tree_id, part_id, parameter, value: shape, length of the tree, frequencies, exchange rates."""
     rows = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from arborspark.plans.blockwise import Case, smooth_cases
 from arborspark.plans.evaluate import evaluate_trees, gathered
 from arborspark.plans.insertion import LOCAL_BYTES, score_moves, vector_bytes
 from arborspark.plans.likelihood import optimise_psr
+from arborspark.plans.reports import mean_tree
 from arborspark.sources.newick import Tree, neighbours, parse, regraft, tip_sets, write
 from arborspark.sources.pattern_store import exists, latest_snapshot, snapshot
 from arborspark.sources.tables import materialise
@@ -47,6 +48,7 @@ class Cycle:
     best: list[tuple[float, Tree]]
     scored: int
     drop: float
+    own: list[dict[int, Tree]] = field(default_factory=list)  #: the best trees with lengths for each partition
 
 
 def with_lengths(tree: Tree, lengths: dict[tuple[int, int], float]) -> Tree:
@@ -56,27 +58,30 @@ def with_lengths(tree: Tree, lengths: dict[tuple[int, int], float]) -> Tree:
 
 def spr_cycle(
     patterns: DataFrame, newick: str, models: dict[int, Model], names: list[str], radius: int, keep: int, constraint: frozenset[frozenset] = frozenset(), local: list | None = None,
-    rounds: int = 4, cutoff: float = math.inf, start: float = -math.inf,
+    rounds: int = 4, cutoff: float = math.inf, start: float = -math.inf, own: dict[int, Tree] | None = None,
 ) -> Cycle:
     """The `keep` best neighbours of a tree, of different topologies. Moves are scored from the vectors of the
     tree (see score_moves) and kept as a table; the driver reads the best of them only. rounds: how often the
     three branches around a graft are optimised, 0 for a fast pass; over blocks of patterns this is done for the
-    best moves alone. start: the tree's own log-likelihood, which drops are measured by."""
+    best moves alone. start: the tree's own log-likelihood, which drops are measured by. own: the tree with
+    lengths for each partition."""
     tree, n = parse(newick, {x: i for i, x in enumerate(names)}, lengths=True), len(names)
-    rows = materialise(score_moves(patterns, tree, models, n, radius, rounds, cutoff, local, constraint), "moves")
+    rows = materialise(score_moves(patterns, tree, models, n, radius, rounds, cutoff, local, constraint, own), "moves")
     lost = F.when(F.col("lnl") < start, start - F.col("lnl"))
     scored, drop = rows.agg(F.count("*"), F.avg(lost)).first()
-    found: dict[frozenset, tuple[float, Tree, list]] = {}
+    found: dict[frozenset, tuple[float, Tree, list, dict]] = {}
     for r in rows.orderBy(F.desc("lnl"), "node", "cut", "a", "b").limit(12 * keep).collect():  # one topology is reached by few moves
         node, cut, a, b = r["node"], r["cut"], r["a"], r["b"]
         new = with_lengths(regraft(tree, node, cut, a, b), {(cut, a): r["z_a"], (cut, b): r["z_b"], (cut, node): r["z_node"]})
         splits = frozenset(tip_sets(new, n))
         if len(found) < keep and splits not in found:
-            found[splits] = r["lnl"], new, [(cut, x) for x in (node, a, b)]
+            found[splits] = r["lnl"], new, [(cut, x) for x in (node, a, b)], {p: regraft(t, node, cut, a, b) for p, t in (own or {}).items()}
+    if own:
+        return Cycle([(lnl, t) for lnl, t, _, _ in found.values()], scored, drop or 0.0, [t for *_, t in found.values()])
     if local is None and rounds and found:
-        cases = smooth_cases(patterns, models, [Case(t, edges) for _, t, edges in found.values()], rounds)
+        cases = smooth_cases(patterns, models, [Case(t, edges) for _, t, edges, _ in found.values()], rounds)
         return Cycle(sorted(((c.lnl, c.at(c.best)) for c in cases), key=lambda x: -x[0]), scored, drop or 0.0)
-    return Cycle([(lnl, t) for lnl, t, _ in found.values()], scored, drop or 0.0)
+    return Cycle([(lnl, t) for lnl, t, _, _ in found.values()], scored, drop or 0.0)
 
 
 def polished(trees: list[str], patterns: DataFrame, models: dict[int, Model], names: list[str]) -> list[tuple[float, str]]:
@@ -110,7 +115,7 @@ def choose_radius(patterns: DataFrame, newick: str, models: dict[int, Model], na
 
 
 FAST, THOROUGH, DONE = "fast", "thorough", "done"
-STATE = "step int, phase string, radius int, cutoff double, lnl double, newick string, scored long, models string, options string"
+STATE = "step int, phase string, radius int, cutoff double, lnl double, newick string, scored long, models string, lengths string, options string"
 
 
 @dataclass
@@ -124,6 +129,7 @@ class State:
     newick: str
     scored: int
     models: dict[int, Model | Mixture]
+    own: dict[int, str] = field(default_factory=dict)  #: the tree with lengths of its own for each partition, if these have any
 
 
 class Log:
@@ -142,7 +148,7 @@ class Log:
         rows = before.orderBy("step").collect()
         if rows[-1]["options"] != self.options:
             raise ValueError(f"the search in {self.folder} was begun with other options: {rows[-1]['options']}")
-        self.steps = [State(*(r[c] for c in ("phase", "radius", "cutoff", "lnl", "newick", "scored")), models_of(r["models"])) for r in rows]
+        self.steps = [State(*(r[c] for c in ("phase", "radius", "cutoff", "lnl", "newick", "scored")), models_of(r["models"]), {int(p): t for p, t in json.loads(r["lengths"]).items()}) for r in rows]
         rates = f"{self.folder}/rates-{len(self.steps) - 1:06d}"
         return rates if exists(self.spark, f"{rates}/_SUCCESS") else None
 
@@ -151,13 +157,13 @@ class Log:
         if self.folder:
             if rated is not None:  # written first: the snapshot makes it count
                 rated.select("part_id", "pattern_id", "rate").write.mode("overwrite").parquet(f"{self.folder}/rates-{len(self.steps) - 1:06d}")
-            rows = [(i, s.phase, s.radius, s.cutoff, s.lnl, s.newick, s.scored, as_text(s.models), self.options) for i, s in enumerate(self.steps)]
+            rows = [(i, s.phase, s.radius, s.cutoff, s.lnl, s.newick, s.scored, as_text(s.models), json.dumps(s.own), self.options) for i, s in enumerate(self.steps)]
             snapshot(self.spark.createDataFrame(rows, STATE).coalesce(1), self.folder, len(self.steps) - 1)
 
 
 def run_search(
     patterns: DataFrame, newick: str, models: dict[int, Model], names: list[str], radius: int = 5, most: int = 21, epsilon: float = 0.1, keep: int = 20,
-    constraint: frozenset[frozenset] = frozenset(), fit_model: bool = False, stop_distance: float = 0.0, folder: str | None = None, steps: int | None = None,
+    constraint: frozenset[frozenset] = frozenset(), fit_model: bool = False, stop_distance: float = 0.0, folder: str | None = None, steps: int | None = None, by_partition: bool = False,
 ) -> list[State]:
     """Hill climbing in phases. The fast phase scores moves at the lengths they have, does not follow a subtree
     beyond edges that lose more than such moves lost on the average in the cycle before, and optimises the best
@@ -166,44 +172,62 @@ def run_search(
     patterns have them) are fitted before the first cycle, between the phases and after the last; patterns
     with rates need a pattern_id. stop_distance: a phase ends when a cycle changes the tree by no more than
     this relative distance. folder: every step is stored, with models and rates, and a search
-    begins where the last one ended; one of other options or another alignment is refused. steps: stop after so many."""
+    begins where the last one ended; one of other options or another alignment is refused. steps: stop after so many.
+    by_partition: each partition has branch lengths of its own; a state's tree then has their weighted means."""
     spark, rated = patterns.sparkSession, "rate" in patterns.columns
     size = patterns.agg(F.count("*"), F.sum("weight")).first()
-    options = {"radius": radius, "most": most, "epsilon": epsilon, "keep": keep, "fit_model": fit_model, "stop_distance": stop_distance, "names": names, "patterns": list(size), "constraint": sorted(sorted(x) for x in constraint), "from": newick, "models": as_text(models)}
+    options = {"radius": radius, "most": most, "epsilon": epsilon, "keep": keep, "fit_model": fit_model, "stop_distance": stop_distance, "names": names, "patterns": list(size), "constraint": sorted(sorted(x) for x in constraint), "from": newick, "models": as_text(models), "by_partition": by_partition}
     log = Log(spark, folder, options)
     if rates := log.restore():
         patterns = patterns.drop("rate").join(spark.read.parquet(rates), ["part_id", "pattern_id"])
-    local = fitting(patterns, models)
+    local, tips = fitting(patterns, models), {n: i for i, n in enumerate(names)}
+    shares = {r["part_id"]: r["w"] for r in patterns.groupBy("part_id").agg(F.sum("weight").alias("w")).collect()} if by_partition else {}
+    read = lambda own: {p: parse(t, tips, lengths=True) for p, t in own.items()}
+
+    def apart(trees: list[dict[int, Tree]], models: dict[int, Model | Mixture]) -> list[tuple[float, str, dict[int, str]]]:
+        """(lnl, mean tree, trees by partition) of trees whose branches are optimised by partition, best first."""
+        done = blockwise.smoothed_by_partition(patterns, models, trees)
+        rows = [(sum(lnl.values()), write(mean_tree(own, shares), names), {p: write(t, names) for p, t in own.items()}) for lnl, own in done]
+        return sorted(rows, key=lambda x: (-x[0], x[1]))
 
     def fitted(s: State) -> None:
         """The state's models, rates, branches and log-likelihood, better than they were or as they were."""
         nonlocal patterns
-        tree = parse(s.newick, {n: i for i, n in enumerate(names)}, lengths=True)
+        tree = parse(s.newick, tips, lengths=True)
         if rated:
             patterns, _ = optimise_psr(patterns, tree, s.models)
-        own, tree, lnl = blockwise.fit(patterns, tree, s.models, alpha=not rated, branches=True)
-        if lnl > s.lnl:
+        own, tree, lnl = blockwise.fit(patterns, read(s.own) if by_partition else tree, s.models, alpha=not rated, branches=True)
+        if lnl > s.lnl and by_partition:
+            s.models, s.newick, s.lnl, s.own = own, write(mean_tree(tree, shares), names), lnl, {p: write(t, names) for p, t in tree.items()}
+        elif lnl > s.lnl:
             s.models, s.newick, s.lnl = own, write(tree, names), lnl
 
     def kept() -> DataFrame | None:
         return patterns if rated else None
 
     if not log.steps:
-        [(lnl, text)] = polished([newick], patterns, models, names)
-        first = State(FAST, radius, abs(lnl) / 1000, lnl, text, 0, dict(models))
+        if by_partition:
+            [(lnl, text, own)] = apart([{p: parse(newick, tips, lengths=True) for p in shares}], models)
+        else:
+            [(lnl, text)], own = polished([newick], patterns, models, names), {}
+        first = State(FAST, radius, abs(lnl) / 1000, lnl, text, 0, dict(models), own)
         if fit_model:
             fitted(first)
         log.take(first, kept())
     while log.steps[-1].phase != DONE and (steps is None or len(log.steps) < steps):
         s = replace(log.steps[-1])
         fast = s.phase == FAST
-        cycle = spr_cycle(patterns, s.newick, s.models, names, s.radius, keep, constraint, local, 0 if fast else 4, s.cutoff if fast else math.inf, s.lnl)
-        top = [write(t, names) for _, t in cycle.best[: keep if fast else 3]]
-        better = polished(top, patterns, s.models, names) if top else []
+        cycle = spr_cycle(patterns, s.newick, s.models, names, s.radius, keep, constraint, local, 0 if fast else 4, s.cutoff if fast else math.inf, s.lnl, read(s.own))
+        some = keep if fast else 3
+        if by_partition:
+            better = apart(cycle.own[:some], s.models) if cycle.own else []
+        else:
+            better = polished([write(t, names) for _, t in cycle.best[:some]], patterns, s.models, names) if cycle.best else []
         s.scored, s.cutoff = cycle.scored, cycle.drop or s.cutoff
         if better and better[0][0] > s.lnl + epsilon:
             near = relative_distance(better[0][1], s.newick, names) <= stop_distance
-            s.lnl, s.newick = better[0]
+            s.lnl, s.newick = better[0][:2]
+            s.own = better[0][2] if by_partition else {}
         else:
             near = True
         if near:

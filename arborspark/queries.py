@@ -20,7 +20,9 @@ from arborspark.operators import frequencies as E
 from arborspark.operators import quartets as Q
 from arborspark.operators import trees as T
 from arborspark.plans.evaluate import evaluate_in_blocks, score_quartets
-from arborspark.plans.likelihood import categorise, derivatives, log_likelihood, pattern_likelihoods, site_rates
+from arborspark.plans.insertion import score_moves
+from arborspark.plans.likelihood import categorise, derivatives, log_likelihood, optimise_psr, pattern_likelihoods, site_rates
+from arborspark.plans.models import score_models
 from arborspark.plans.reports import partition_trees
 from arborspark.sources.newick import splits, to_edges, write
 from arborspark.sources.partitions import misassigned, partitions, site_map
@@ -437,8 +439,13 @@ def _rates(values: list[float]) -> str:
     return "SELECT part_id, first_site, unnest([" + ", ".join(repr(float(v)) for v in values) + "]) AS rate FROM pats"
 
 
+# Means of the four quartiles of gamma distributions of mean 1, by shape (tables in Yang 1994 have
+# those of 0.5 to four digits); worked out by numerical integration of the density, not by this package.
+QUARTILE_MEANS = {0.5: [0.0333877533836, 0.2519159175934, 0.8202684819737, 2.8944278470493], 1.5: [0.2253225359902, 0.5885564046306, 1.0504217020786, 2.1356993573006], 2.5: [0.3464566285465, 0.6994546629033, 1.0786276815381, 1.8754610270121], 3.5: [0.4245905223741, 0.7559256750352, 1.0840748659226, 1.735408936668]}
+
+
 def _gamma_rates() -> str:
-    each = (f"SELECT {p} AS part_id, unnest([{', '.join(repr(float(r)) for r in m.rates)}]) AS rate" for p, m in equal_models(ALPHAS).items())
+    each = (f"SELECT {p} AS part_id, unnest({QUARTILE_MEANS[a]}) AS rate" for p, a in enumerate(ALPHAS))
     return f"SELECT part_id, first_site, rate FROM pats JOIN ({' UNION ALL '.join(each)}) USING (part_id)"
 
 
@@ -528,3 +535,107 @@ def _second_walk() -> str:
 
 
 ORACLE_SQL["psr_loglik"] = f"{_START}{_walk(_rates(GRID))}{_RATED}{_second_walk()} SELECT part_id, round(sum(weight * ln(f)), 4) AS lnl, sum(weight) AS weight FROM lik2 GROUP BY part_id"
+
+
+# Twenty states: the same sources as amino-acid sequences. Letters stand for their states, all else is undetermined.
+AA_CODES = [*(1 << i for i in range(len(AA.states))), AA.undetermined]
+AA_KINDS = np.array([AA.states.find(chr(b).upper()) if chr(b).isalpha() and b < 128 and chr(b).upper() in AA.states else len(AA.states) for b in range(256)])
+
+
+def aa_patterns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    c = A.number_taxa(materialise(A.consensus(docs, "source", "text", AA_KINDS, AA_CODES), "aa_cells"))
+    n = c.agg(F.max("taxon_id")).first()[0] + 1
+    return materialise(A.pattern_codes(c, A.patterns(c, parts(spark, c), AA.undetermined), n, AA.undetermined), "aa_patterns"), n
+
+
+def aa_frequencies(patterns: DataFrame) -> dict[int, tuple[float, ...]]:
+    """Shares of the states where they are certain, by partition; one is added to each count."""
+    seen = patterns.select("part_id", "weight", F.explode("codes").alias("code")).where(F.bit_count("code") == 1)
+    counts = {(r["part_id"], r["code"]): r["n"] for r in seen.groupBy("part_id", "code").agg(F.sum("weight").alias("n")).collect()}
+    each = {p: [1 + counts.get((p, 1 << i), 0) for i in range(len(AA.states))] for p in {p for p, _ in counts}}
+    return {p: tuple(x / sum(n) for x in n) for p, n in each.items()}
+
+
+def aa_model_choice(spark, sf_dir):
+    """Each partition of the amino-acid alignment under one matrix of 20 states, with its own frequencies and
+    with the partition's, on the caterpillar; the better one by BIC, and what both give."""
+    table, n = aa_patterns(spark, sf_dir)
+    scored = materialise(score_models(table, caterpillar(n), {"EQUAL": equal_rates(len(AA.states), categories=1)}, aa_frequencies(table)), "aa_scores")
+    best = T.choose_models(scored, "bic").select("part_id", "model", "freq_mode", "score")
+    lnl = scored.groupBy("part_id").agg(*(F.round(F.max(F.when(F.col("freq_mode") == m, F.col("lnl"))), 3).alias(f"{m}_lnl") for m in ("fixed", "empirical")), F.max("n").alias("n"))
+    return best.join(lnl, "part_id").select("part_id", "model", "freq_mode", F.round("score", 3).alias("score"), "fixed_lnl", "empirical_lnl", "n")
+
+
+def rates_climbed(spark, sf_dir):
+    """Rates of patterns climbed to from 1 by steps of 0.5 down and 1 up, in few categories; kept if the log-likelihood
+    of all partitions gains by them."""
+    table, n = pattern_table(spark, sf_dir)
+    rated, _ = optimise_psr(table, caterpillar(n), equal_models(), PSR_CATEGORIES, (1,), PSR_MOST)
+    rated = materialise(rated, "climbed")
+    lnl = log_likelihood(rated, caterpillar(n), equal_models()).select("part_id", F.round("lnl", 4).alias("lnl"))
+    return rated.groupBy("part_id", F.round("rate", 6).alias("rate")).agg(F.count("*").alias("patterns")).join(lnl, "part_id")
+
+
+def spr_moves(spark, sf_dir):
+    """The best of all prune-and-regraft moves within three edges of the caterpillar, by log-likelihood: node, cut,
+    a, b and what the new tree gives, before any branch is optimised."""
+    table, n = pattern_table(spark, sf_dir)
+    moves = score_moves(table, caterpillar(n), equal_models(), n, 3)
+    return moves.select("node", "cut", "a", "b", "depth", F.round("lnl", 3).alias("lnl")).orderBy(F.desc("lnl"), "node", "cut", "a", "b").limit(50)
+
+
+PSR_MOST = 8.0
+QUERIES |= {f.__name__: f for f in (aa_model_choice, rates_climbed, spr_moves)}
+
+
+def _aa_walk() -> str:
+    """Pruning of the caterpillar with 20 states: a branch leaves a state where it is with probability e and else
+    draws from the frequencies. Rows: part_id, mode, lnl, weight."""
+    n, any_code = len(AA.states), AA.undetermined
+    through = lambda v: f"list_transform({v}, lambda x: e * x + (1 - e) * list_dot_product({v}, pi))"
+    tip = lambda i: f"list_transform(range({n}), lambda b: ((codes[{i}] >> b) & 1)::DOUBLE)"
+    times = lambda a, b: f"list_transform(list_zip({a}, {b}), lambda y: y[1] * y[2])"
+    cells = _CELLS.replace("CASE WHEN regexp_matches(c, '[A-Za-z]') THEN 1 << (unicode(c) % 4) ELSE 15 END", f"CASE WHEN regexp_matches(c, '[A-Za-z]') AND strpos('{AA.states}', upper(c)) > 0 THEN 1 << (strpos('{AA.states}', upper(c)) - 1) ELSE {any_code} END")
+    patterns = _PATTERNS.replace("code <> 15", f"code <> {any_code}")
+    return f"""WITH RECURSIVE {cells}{patterns},
+    nt AS (SELECT count(*) AS n FROM ids),
+    cols AS (SELECT part_id, first_site, weight, list(coalesce(code, {any_code}) ORDER BY taxon_id) AS codes FROM (SELECT p.part_id, p.first_site, p.weight, i.taxon_id, c.code FROM pats p CROSS JOIN ids i LEFT JOIN cells c ON c.site = p.first_site AND c.taxon_id = i.taxon_id) GROUP BY ALL),
+    cnt AS (SELECT part_id, code, sum(weight) AS n FROM (SELECT part_id, weight, unnest(codes) AS code FROM cols) WHERE bit_count(code) = 1 GROUP BY ALL),
+    own AS (SELECT p.part_id, b, 1 + coalesce(c.n, 0) AS n FROM (SELECT DISTINCT part_id FROM cnt) p CROSS JOIN (SELECT unnest(range({n})) AS b) LEFT JOIN cnt c ON c.part_id = p.part_id AND c.code = 1 << b),
+    fr AS (SELECT part_id, 'empirical' AS mode, list(n::DOUBLE / total ORDER BY b) AS pi FROM (SELECT *, sum(n) OVER (PARTITION BY part_id) AS total FROM own) GROUP BY part_id
+           UNION ALL SELECT DISTINCT part_id, 'fixed', list_transform(range({n}), lambda x: 1.0::DOUBLE / {n}) FROM own),
+    mu AS (SELECT part_id, mode, pi, pow({Z}, 1 / (1 - list_dot_product(pi, pi))) AS e FROM fr),
+    tipped AS (SELECT part_id, first_site, weight, codes, mode, pi, e, {times(through(tip("1")), through(tip("2")))} AS l FROM cols JOIN mu USING (part_id)),
+    steps AS (SELECT *, 3 AS i FROM tipped
+              UNION ALL SELECT part_id, first_site, weight, codes, mode, pi, e, {times(through("l"), through(tip("i")))} AS l, i + 1 FROM steps, nt WHERE i < nt.n),
+    lik AS (SELECT part_id, weight, mode, list_dot_product({times("l", through(tip("n")))}, pi) AS f FROM steps, nt WHERE i = nt.n),
+    sc AS (SELECT part_id, mode, sum(weight * ln(f)) AS lnl, sum(weight) AS w, any_value(2 * n - 3 + CASE WHEN mode = 'empirical' THEN {n - 1} ELSE 0 END) AS k FROM lik, nt GROUP BY ALL)"""
+
+
+ORACLE_SQL |= {
+    "aa_model_choice": f"""{_aa_walk()},
+        b AS (SELECT *, round(k * ln(w) - 2 * lnl, 6) AS score FROM sc),
+        r AS (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY score, mode) AS rn FROM b)
+        SELECT part_id, 'EQUAL' AS model, max(CASE WHEN rn = 1 THEN mode END) AS freq_mode, round(max(CASE WHEN rn = 1 THEN score END), 3) AS score,
+               round(max(CASE WHEN mode = 'fixed' THEN lnl END), 3) AS fixed_lnl, round(max(CASE WHEN mode = 'empirical' THEN lnl END), 3) AS empirical_lnl, max(w)::BIGINT AS n FROM r GROUP BY part_id""",
+}
+_CLIMBED = f"""{_START}{_walk(_rates([0.5, *(float(x) for x in range(1, int(PSR_MOST) + 1))]))},
+    tried AS (SELECT part_id, first_site, weight, rate, round(ln(f), 9) AS lnl FROM lik),
+    up AS (SELECT *, rate > 1 AND lnl <= lag(lnl) OVER (PARTITION BY part_id, first_site ORDER BY rate) AS falls FROM tried WHERE rate >= 1),
+    ways AS (SELECT part_id, first_site, weight, rate, lnl FROM (SELECT *, count(*) FILTER (WHERE falls) OVER (PARTITION BY part_id, first_site ORDER BY rate) AS over FROM up) WHERE over = 0
+             UNION ALL SELECT part_id, first_site, weight, rate, lnl FROM tried WHERE rate < 1),
+    best AS (SELECT part_id, first_site, weight, rate, lnl FROM (SELECT *, row_number() OVER (PARTITION BY part_id, first_site ORDER BY lnl DESC, abs(rate - 1), rate) AS rn FROM ways) WHERE rn = 1),
+    isl AS (SELECT part_id, rate, lnl, first, sum(CASE WHEN before IS NULL OR rate - before >= 0.001 THEN 1 ELSE 0 END) OVER (PARTITION BY part_id ORDER BY rate) AS island
+            FROM (SELECT part_id, rate, sum(lnl) AS lnl, min(first_site) AS first, lag(rate) OVER (PARTITION BY part_id ORDER BY rate) AS before FROM best GROUP BY part_id, rate)),
+    clu AS (SELECT part_id, arg_min(rate, first) AS cluster, sum(lnl) AS lnl FROM isl GROUP BY part_id, island),
+    kept AS (SELECT part_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY lnl, cluster) AS rn FROM clu) WHERE rn <= {PSR_CATEGORIES}),
+    near AS (SELECT b.part_id, first_site, weight, cluster, row_number() OVER (PARTITION BY b.part_id, first_site ORDER BY abs(cluster - rate), cluster) AS rn FROM best b JOIN kept k ON b.part_id = k.part_id),
+    mean AS (SELECT part_id, sum(cluster * weight) / sum(weight) AS mean FROM near WHERE rn = 1 GROUP BY part_id),
+    psr AS (SELECT part_id, first_site, weight, cluster / mean AS rate FROM near JOIN mean USING (part_id) WHERE rn = 1)"""
+ORACLE_SQL["rates_climbed"] = f"""{_CLIMBED}{_second_walk()},
+    was AS (SELECT part_id, sum(weight * lnl) AS lnl FROM tried WHERE rate = 1 GROUP BY part_id),
+    now AS (SELECT part_id, sum(weight * ln(f)) AS lnl FROM lik2 GROUP BY part_id),
+    gain AS (SELECT (SELECT sum(lnl) FROM now) >= (SELECT sum(lnl) FROM was) AS won)
+    SELECT part_id, rate, patterns, round(lnl, 4) AS lnl FROM (SELECT part_id, round(rate, 6) AS rate, count(*) AS patterns FROM psr GROUP BY ALL) JOIN now USING (part_id), gain WHERE won
+    UNION ALL SELECT part_id, 1.0, patterns, round(lnl, 4) FROM (SELECT part_id, count(*) AS patterns FROM pats GROUP BY part_id) JOIN was USING (part_id), gain WHERE NOT won"""

@@ -417,20 +417,6 @@ def test_mixtures():
     assert Mixture.gamma(parts, 0.7).rates == pytest.approx(gamma_rates(0.7, 3))
 
 
-def test_rates_are_climbed_to(spark):
-    from arborspark.plans.likelihood import climb_rates, optimise_psr
-
-    table, models = simulated(spark, 60)
-    first = site_rates(table, TREE, models, [0.05, 0.5, 2.0])
-    done = {r["pattern_id"]: r for r in climb_rates(table, first, TREE, models).collect()}
-    for r in first.collect():
-        assert done[r["pattern_id"]]["lnl"] >= r["lnl"] - 1e-9
-    before = log_likelihood(table, TREE, models).first()["lnl"]
-    rated, after = optimise_psr(table, TREE, models, 4)
-    assert after >= before and rated.select("rate").distinct().count() <= 4
-    assert log_likelihood(rated, TREE, models).first()["lnl"] == pytest.approx(after)
-
-
 def test_reports(spark, tmp_path):
     from arborspark.functions.numerics import read_models
     from arborspark.plans import reports

@@ -86,7 +86,7 @@ def test_settled_insertions_are_optima_of_their_branches():
     def visit(node, cut, a, b, graft):
         before = graft.lnl()
         lnl = graft.settle(40, 1e-9)
-        new = plans.with_lengths(regraft(tree, node, cut, a, b), dict(zip(((cut, a), (cut, b), (cut, node)), graft.z)))
+        new = plans.with_lengths(regraft(tree, node, cut, a, b), dict(zip(((cut, a), (cut, b), (cut, node)), graft.z[0])))
         full = Block(codes, np.ones(80), MODEL, new)
         assert lnl >= before and full.lnl(*root_edge(new)) == pytest.approx(lnl, abs=1e-7)
         for x in (a, b, node):
@@ -254,6 +254,50 @@ def test_site_rates_are_restored(spark, tmp_path):
     assert again[0] == part[0] and again[-1].phase == DONE and again[-1].lnl >= part[0].lnl
 
 
+def stretched(tree, factor):
+    return [(u, v, z**factor) for u, v, z in tree]
+
+
+def two_partitions(spark, tree, n, sites=150):
+    """The second partition evolves three times as fast."""
+    codes = [simulated(stretched(tree, k), n, sites, equal_rates(4, categories=1), seed=k) for k in (1, 3)]
+    rows = [(p, i, 1, [int(x) for x in c]) for p, part in enumerate(codes) for i, c in enumerate(part)]
+    return spark.createDataFrame(rows, "part_id int, pattern_id int, weight long, codes array<int>"), {p: equal_rates(4, categories=1) for p in (0, 1)}
+
+
+def test_moves_with_lengths_by_partition(spark):
+    n, tree = 8, random_tree(8, 3)
+    table, models = two_partitions(spark, tree, n, 40)
+    own = {0: tree, 1: stretched(tree, 3)}
+    blocks = {p: (np.array([r.codes for r in table.where(f"part_id = {p}").orderBy("pattern_id").collect()]), np.ones(40)) for p in own}
+    near = {tuple(r)[:4]: r.lnl for r in score_moves(table, tree, models, n, 3, local=gathered(table), own=own).collect()}
+    far = {tuple(r)[:4]: r.lnl for r in score_moves(table.repartition(2), tree, models, n, 3, own=own).collect()}
+    settled = {tuple(r)[:4]: r.lnl for r in score_moves(table, tree, models, n, 3, 4, local=gathered(table), own=own).collect()}
+    assert near.keys() == far.keys() == settled.keys()
+    for k, lnl in near.items():
+        full = sum(Block(c, w, models[p], regraft(own[p], *k)).lnl(*root_edge(regraft(own[p], *k))) for p, (c, w) in blocks.items())
+        assert lnl == pytest.approx(full, abs=1e-7) == far[k] and settled[k] >= lnl - 1e-9
+
+
+def test_search_with_lengths_by_partition(spark, tmp_path):
+    n, tree, names = 6, random_tree(6, 3), names_of(6)
+    table, models = two_partitions(spark, tree, n)
+    begin, folder = "((t000,t003),(t001,t005),(t002,t004));", str(tmp_path / "steps")
+    options = {"radius": 2, "most": 2, "by_partition": True, "epsilon": 0.5}
+    part = run_search(table, begin, dict(models), names, steps=2, folder=folder, **options)
+    states = run_search(table, begin, dict(models), names, folder=folder, **options)
+    one = run_search(table, begin, dict(models), names, radius=2, most=2, epsilon=0.5)
+    tips = {x: i for i, x in enumerate(names)}
+    assert states[:2] == part and newick.tip_sets(newick.parse(states[-1].newick, tips), n) == newick.tip_sets(tree, n)
+    own = {p: newick.parse(t, tips, True) for p, t in states[-1].own.items()}
+    size = {p: -sum(math.log(z) for _, _, z in t) for p, t in own.items()}
+    assert size[1] > 2 * size[0] and states[-1].lnl > one[-1].lnl + 10
+    mean = -sum(math.log(z) for _, _, z in newick.parse(states[-1].newick, tips, True))
+    assert mean == pytest.approx((size[0] + size[1]) / 2, rel=1e-6)
+    lnl = sum(log_likelihood(table.where(f"part_id = {p}"), own[p], models).first().lnl for p in own)
+    assert lnl == pytest.approx(states[-1].lnl, abs=1e-4)
+
+
 def test_models_are_written_and_read():
     models = {0: MODEL, 3: Mixture((MODEL, equal_rates(4, categories=1)), (0.5, 2.0), (0.3, 0.7))}
     assert models_of(as_text(models)) == models
