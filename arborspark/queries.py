@@ -225,7 +225,7 @@ QUERIES = {
 
 _CELLS = """
     ch AS (SELECT source, generate_subscripts(string_split(text, ''), 1) AS site, unnest(string_split(text, '')) AS c FROM documents),
-    k AS (SELECT source, site, CASE WHEN regexp_matches(c, '[A-Za-z]') THEN 1 << (unicode(c) % 4) ELSE 15 END AS code, count(*) AS n FROM ch GROUP BY ALL),
+    k AS (SELECT source, site, CASE WHEN regexp_matches(c, '[A-Za-z]') THEN 1 << (unicode(c) % 4) ELSE 15 END AS code, count(*) AS n FROM ch WHERE c <> '' GROUP BY ALL),
     m AS (SELECT source, site, code FROM (SELECT *, row_number() OVER (PARTITION BY source, site ORDER BY n DESC, code) AS rn FROM k) WHERE rn = 1),
     ids AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS taxon_id FROM (SELECT DISTINCT source FROM m)),
     cells AS (SELECT taxon_id, site, code FROM m JOIN ids USING (source)),
