@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-UNIT_CACHE = 600_000  #: entries a Python worker keeps; then it starts afresh
+UNIT_CACHE = 300_000  #: entries a Python worker keeps; then it starts afresh
 BATCH_BYTES = 1 << 20  #: text handed to the library at once
 JOINED = 500  #: plain words encoded as one text
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
