@@ -6,6 +6,7 @@ alignment whose size is checked; or over blocks of patterns, for alignments of a
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -16,12 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborspark.functions.numerics import Model
+from arborspark.functions.numerics import Model, as_text, models_of
 from arborspark.plans.blockwise import fit, smoothed
 from arborspark.plans.kernel import Block, root_edge, smooth, tree_of
 from arborspark.plans.parameters import SHAPE, optimise
+from arborspark.plans.parameters import cycles as fit_cycles
 from arborspark.sources.newick import Tree, parse, write
-from arborspark.sources.tables import materialise
+from arborspark.sources.pattern_store import latest_snapshot, snapshot
+from arborspark.sources.tables import materialise, new_table
 
 BROADCAST_BYTES = 64 << 20  #: pattern tables up to this size are sent to every task
 TREES_AT_ONCE, QUARTETS_AT_ONCE = 256, 2000
@@ -78,16 +81,21 @@ def evaluate_trees(trees: DataFrame, patterns: DataFrame, models: dict[int, Mode
 
 
 def evaluate_in_blocks(trees: DataFrame, patterns: DataFrame, models: dict[int, Model], names: list[str], rounds: int, shape: bool, lengths: bool) -> DataFrame:
-    tips, done = {n: i for i, n in enumerate(names)}, []
+    """evaluate_trees over blocks of patterns. The driver holds a lot of TREES_AT_ONCE trees at a time; what a lot
+    gives is added to one stored table."""
+    spark, tips = trees.sparkSession, {n: i for i, n in enumerate(names)}
+    path, schema = new_table(spark, "evaluated"), "tree_id long, newick string, lnl double, alpha double, length double"
     for lot in batched(trees.select("tree_id", "newick").toLocalIterator(), TREES_AT_ONCE):
-        found = smoothed(patterns, models, [parse(r["newick"], tips, lengths) for r in lot], rounds)
+        found, done = smoothed(patterns, models, [parse(r["newick"], tips, lengths) for r in lot], rounds), []
         for r, (lnl, tree) in zip(lot, found):
             alpha = float("nan")
             if shape:
                 own, tree, lnl = fit(patterns, tree, models, exchange=False, branches=True, links={p: 0 for p in models})
                 alpha = next(iter(own.values())).alpha
             done.append((r["tree_id"], write(tree, names), lnl, alpha, -sum(math.log(z) for _, _, z in tree)))
-    return trees.sparkSession.createDataFrame(done, "tree_id long, newick string, lnl double, alpha double, length double")
+        spark.createDataFrame(done, schema).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def topologies(merged: list[tuple[int, np.ndarray, np.ndarray]], models: dict[int, Model], passes: int) -> Iterator[float]:
@@ -157,3 +165,76 @@ def score_quartets_in_lots(quartets: DataFrame, patterns: DataFrame, models: dic
             some = quartets.where(F.pmod(F.xxhash64(*names), F.lit(lots)) == lot)
             score_quartets(some, patterns, models, passes).write.mode("overwrite").parquet(path)
     return spark.read.parquet(folder).drop("lot")
+
+
+FITTED = "tree_id long, newick string, lnl double, length double, models string"
+
+
+def fit_local(local: list, models: dict[int, Model], tree: Tree, passes: int, epsilon: float, cycles: int = 10) -> tuple[dict[int, Model], Tree, float]:
+    """Models and branches of one tree over an alignment in this task, in turn until a cycle gains little."""
+    models, best = {p: models[p] for p, _, _ in local}, -math.inf
+    for _ in range(cycles):
+        before = best
+
+        def score(tried: dict[int, list[Model]], tree: Tree = tree) -> dict[int, list[float]]:
+            return {p: [Block(c, w, m, tree, keep=False).lnl(*root_edge(tree)) for m in tried[p]] for p, c, w in local if p in tried}
+
+        models, _ = fit_cycles(score, models, epsilon=math.inf, most=1)
+        blocks = [Block(c, w, models[p], tree) for p, c, w in local]
+        smooth(blocks, passes)
+        tree = tree_of(blocks[0].near)
+        best = sum(b.lnl(*root_edge(tree)) for b in blocks)
+        if best - before < epsilon:
+            break
+    return models, tree, best
+
+
+def evaluate_with_models(trees: DataFrame, patterns: DataFrame, models: dict[int, Model], names: list[str], fast: bool = True, lengths: bool = False, epsilon: float = 0.1, passes: int = 8, folder: str | None = None) -> DataFrame:
+    """Every tree with its branches optimised, under models that are carried over: tree_id, newick, lnl, length, models.
+
+    The tree of the least tree_id has models and branches fitted. All others begin from its models and do not
+    depend on each other; fast: their branches alone are optimised, else their models as well. A small
+    alignment goes to every task and trees are rows; a larger one stays in its blocks. folder: the first
+    tree's models are kept there, and a run that was stopped reads them instead of fitting again; a folder
+    of other starting models or another first tree is refused."""
+    spark, tips, columns = trees.sparkSession, {n: i for i, n in enumerate(names)}, [c.split()[0] for c in FITTED.split(", ")]
+    begin = trees.select("tree_id", "newick").orderBy("tree_id").first()
+    if begin is None:
+        return spark.createDataFrame([], FITTED)
+    asked = json.dumps([begin["newick"], as_text(models), names, epsilon], sort_keys=True)
+    before = latest_snapshot(spark, folder) if folder else None
+    if before is not None:
+        row = before.first()
+        if row["asked"] != asked:
+            raise ValueError(f"what {folder} holds was begun from another tree or other models")
+    else:
+        own, tree, lnl = fit(patterns, parse(begin["newick"], tips, lengths), models, branches=True, epsilon=epsilon)
+        row = {"newick": write(tree, names), "lnl": lnl, "models": as_text(own)}
+        if folder:
+            snapshot(spark.createDataFrame([(asked, *row.values())], "asked string, newick string, lnl double, models string").coalesce(1), folder, 0)
+    carried = models_of(row["models"])
+    size = -sum(math.log(z) for _, _, z in parse(row["newick"], tips, lengths=True))
+    first = spark.createDataFrame([(begin["tree_id"], row["newick"], row["lnl"], size, row["models"])], FITTED)
+    rest = trees.where(F.col("tree_id") != begin["tree_id"]).select("tree_id", "newick")
+    if fast:
+        done = evaluate_trees(rest, patterns, carried, names, passes, lengths=lengths).withColumn("models", F.lit(row["models"]))
+        return first.unionByName(done.select(*columns))
+    if (local := gathered(patterns)) is not None:
+        data = spark.sparkContext.broadcast(local)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = []
+                for tree_id, text in zip(b["tree_id"], b["newick"]):
+                    own, tree, lnl = fit_local(data.value, carried, parse(text, tips, lengths), passes, epsilon)
+                    rows.append((tree_id, write(tree, names), lnl, -sum(math.log(z) for _, _, z in tree), as_text(own)))
+                yield pd.DataFrame(rows, columns=columns)
+
+        return first.unionByName(rest.mapInPandas(run, FITTED))
+    path = new_table(spark, "fitted")
+    first.coalesce(1).write.parquet(path)
+    for r in rest.toLocalIterator():
+        own, tree, lnl = fit(patterns, parse(r["newick"], tips, lengths), carried, branches=True, epsilon=epsilon)
+        rows = [(r["tree_id"], write(tree, names), lnl, -sum(math.log(z) for _, _, z in tree), as_text(own))]
+        spark.createDataFrame(rows, FITTED).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(FITTED).parquet(path)

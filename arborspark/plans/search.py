@@ -196,7 +196,7 @@ def run_search(
         tree = parse(s.newick, tips, lengths=True)
         if rated:
             patterns, _ = optimise_psr(patterns, tree, s.models)
-        own, tree, lnl = blockwise.fit(patterns, read(s.own) if by_partition else tree, s.models, alpha=not rated, branches=True)
+        own, tree, lnl = blockwise.fit(patterns, read(s.own) if by_partition else tree, s.models, alpha=not rated, branches=True, epsilon=epsilon)
         if lnl > s.lnl and by_partition:
             s.models, s.newick, s.lnl, s.own = own, write(mean_tree(tree, shares), names), lnl, {p: write(t, names) for p, t in tree.items()}
         elif lnl > s.lnl:

@@ -16,10 +16,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/arborspark-{spark.sparkContext.applicationId}"
 
 
+def new_table(spark: SparkSession, name: str) -> str:
+    """The path of a table that nothing has been written to."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later steps neither recompute it
     nor depend on one executor's disk."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_table(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

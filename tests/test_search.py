@@ -226,10 +226,10 @@ def test_the_cutoff_saves_moves(spark):
 
 
 def test_a_stopped_search_ends_as_the_whole_one(spark, tmp_path):
-    tree, names = random_tree(7, 3), names_of(7)
-    table, models = table_of(spark, simulated(tree, 7, 200)), {0: equal_rates(4, alpha=3.0)}
-    begin = "((t000,t006),(t001,t005),(t002,(t003,t004)));"
-    options = {"radius": 3, "most": 3, "fit_model": True, "epsilon": 0.5}
+    tree, names = random_tree(6, 3), names_of(6)
+    table, models = table_of(spark, simulated(tree, 6, 80)), {0: equal_rates(4, alpha=3.0)}
+    begin = "((t000,t003),(t001,t005),(t002,t004));"
+    options = {"radius": 2, "most": 2, "fit_model": True, "epsilon": 3.0}
     whole = run_search(table, begin, dict(models), names, **options)
     folder = str(tmp_path / "steps")
     part = run_search(table, begin, dict(models), names, folder=folder, steps=2, **options)
@@ -240,14 +240,14 @@ def test_a_stopped_search_ends_as_the_whole_one(spark, tmp_path):
     own = newick.parse(again[-1].newick, {x: i for i, x in enumerate(names)}, True)
     assert log_likelihood(table, own, again[-1].models).first().lnl == pytest.approx(again[-1].lnl, abs=1e-5)
     with pytest.raises(ValueError, match="other options"):
-        run_search(table, begin, dict(models), names, folder=folder, **{**options, "radius": 2})
+        run_search(table, begin, dict(models), names, folder=folder, **{**options, "radius": 3})
 
 
 def test_site_rates_are_restored(spark, tmp_path):
     tree, names = random_tree(6, 3), names_of(6)
     table, models = table_of(spark, simulated(tree, 6, 80)).withColumn("rate", F.lit(1.0)), {0: equal_rates(4, categories=1)}
     begin, folder = newick.write(tree, names), str(tmp_path / "steps")
-    options = {"radius": 1, "most": 1, "fit_model": True, "epsilon": 0.5}
+    options = {"radius": 1, "most": 1, "fit_model": True, "epsilon": 3.0}
     part = run_search(table, begin, dict(models), names, folder=folder, steps=1, **options)
     assert (tmp_path / "steps" / "rates-000000" / "_SUCCESS").exists()
     again = run_search(table, begin, dict(models), names, folder=folder, **options)
@@ -281,7 +281,7 @@ def test_moves_with_lengths_by_partition(spark):
 
 def test_search_with_lengths_by_partition(spark, tmp_path):
     n, tree, names = 6, random_tree(6, 3), names_of(6)
-    table, models = two_partitions(spark, tree, n)
+    table, models = two_partitions(spark, tree, n, 80)
     begin, folder = "((t000,t003),(t001,t005),(t002,t004));", str(tmp_path / "steps")
     options = {"radius": 2, "most": 2, "by_partition": True, "epsilon": 0.5}
     part = run_search(table, begin, dict(models), names, steps=2, folder=folder, **options)
