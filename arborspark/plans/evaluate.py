@@ -189,6 +189,22 @@ def fit_local(local: list, models: dict[int, Model], tree: Tree, passes: int, ep
     return models, tree, best
 
 
+def fit_anywhere(patterns: DataFrame, local: list | None, models: dict[int, Model], tree: Tree, epsilon: float, alpha: bool = True) -> tuple[dict[int, Model], Tree, float]:
+    """Models and branches of one tree: in one task where the alignment is small, else by sweeps over its blocks."""
+    if local is None:
+        return fit(patterns, tree, models, alpha, branches=True, epsilon=epsilon)
+    spark = patterns.sparkSession
+    data = spark.sparkContext.broadcast(local)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            own, new, lnl = fit_local(data.value, models, tree, 8, epsilon)
+            yield pd.DataFrame([(as_text(own), [list(e) for e in new], lnl)], columns=["models", "tree", "lnl"])
+
+    r = spark.range(0, 1, 1, 1).mapInPandas(run, "models string, tree array<array<double>>, lnl double").first()
+    return {**models, **models_of(r["models"])}, [(int(u), int(v), z) for u, v, z in r["tree"]], r["lnl"]
+
+
 def evaluate_with_models(trees: DataFrame, patterns: DataFrame, models: dict[int, Model], names: list[str], fast: bool = True, lengths: bool = False, epsilon: float = 0.1, passes: int = 8, folder: str | None = None) -> DataFrame:
     """Every tree with its branches optimised, under models that are carried over: tree_id, newick, lnl, length, models.
 
@@ -208,7 +224,7 @@ def evaluate_with_models(trees: DataFrame, patterns: DataFrame, models: dict[int
         if row["asked"] != asked:
             raise ValueError(f"what {folder} holds was begun from another tree or other models")
     else:
-        own, tree, lnl = fit(patterns, parse(begin["newick"], tips, lengths), models, branches=True, epsilon=epsilon)
+        own, tree, lnl = fit_anywhere(patterns, gathered(patterns), models, parse(begin["newick"], tips, lengths), epsilon)
         row = {"newick": write(tree, names), "lnl": lnl, "models": as_text(own)}
         if folder:
             snapshot(spark.createDataFrame([(asked, *row.values())], "asked string, newick string, lnl double, models string").coalesce(1), folder, 0)

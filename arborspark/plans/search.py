@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from arborspark.functions.numerics import Mixture, Model, as_text, models_of
 from arborspark.plans import blockwise
 from arborspark.plans.blockwise import Case, smooth_cases
-from arborspark.plans.evaluate import evaluate_trees, gathered
+from arborspark.plans.evaluate import evaluate_trees, fit_anywhere, gathered
 from arborspark.plans.insertion import LOCAL_BYTES, score_moves, vector_bytes
 from arborspark.plans.likelihood import optimise_psr
 from arborspark.plans.reports import mean_tree
@@ -196,7 +196,10 @@ def run_search(
         tree = parse(s.newick, tips, lengths=True)
         if rated:
             patterns, _ = optimise_psr(patterns, tree, s.models)
-        own, tree, lnl = blockwise.fit(patterns, read(s.own) if by_partition else tree, s.models, alpha=not rated, branches=True, epsilon=epsilon)
+        if by_partition:
+            own, tree, lnl = blockwise.fit(patterns, read(s.own), s.models, alpha=not rated, branches=True, epsilon=epsilon)
+        else:
+            own, tree, lnl = fit_anywhere(patterns, local, s.models, tree, epsilon, alpha=not rated)
         if lnl > s.lnl and by_partition:
             s.models, s.newick, s.lnl, s.own = own, write(mean_tree(tree, shares), names), lnl, {p: write(t, names) for p, t in tree.items()}
         elif lnl > s.lnl:

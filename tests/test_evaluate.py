@@ -35,7 +35,7 @@ def test_models_of_the_first_tree_are_carried_over(spark, case, tmp_path, monkey
     folder = str(tmp_path / "first")
     fast = checked(table, evaluate_with_models(trees, table, models, names, folder=folder, epsilon=2.0).collect(), names)
     assert set(fast) == {7, 9, 11} and len({r.models for r in fast.values()}) == 1 and models_of(fast[9].models) != models
-    monkeypatch.setattr(evaluate, "fit", None)  # a run that goes on does not fit the first tree again
+    monkeypatch.setattr(evaluate, "fit_anywhere", None)  # a run that goes on does not fit the first tree again
     again = {r.tree_id: r.lnl for r in evaluate_with_models(trees, table, models, names, folder=folder, epsilon=2.0).collect()}
     assert again == pytest.approx({k: r.lnl for k, r in fast.items()})
     with pytest.raises(ValueError, match="another tree or other models"):

@@ -149,18 +149,18 @@ def test_moves_of_a_large_tree_stay_off_the_driver(spark):
 
 @pytest.mark.parametrize("every_edge", [True, False])
 def test_memory_of_a_block_does_not_grow_with_taxa(monkeypatch, every_edge):
-    monkeypatch.setattr(kernel, "VECTOR_BYTES", 4 << 20)
+    monkeypatch.setattr(kernel, "VECTOR_BYTES", 1 << 20)
     peaks = {}
     for n in (50, 500):
         tree = random_tree(n, 5)
-        rows = pd.DataFrame({"part_id": 0, "weight": 1, "codes": list(np.random.default_rng(1).choice([1, 2, 4, 8], (3000, n)).astype(np.int32))})
+        rows = pd.DataFrame({"part_id": 0, "weight": 1, "codes": list(np.random.default_rng(1).choice([1, 2, 4, 8], (60 if every_edge else 800, n)).astype(np.int32))})
         tracemalloc.start()
         for _, _, block in blocks_of(rows, tree, {0: MODEL}, every_edge):
             for u, v, _ in tree if every_edge else tree[:1]:
                 block.lnl(u, v)
         peaks[n] = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
-    assert peaks[500] < 1.5 * peaks[50] + (2 << 20) and max(peaks.values()) < 24 << 20
+    assert peaks[500] < 1.5 * peaks[50] + (2 << 20) and max(peaks.values()) < 10 << 20
 
 
 def test_slices_give_the_same_likelihood(spark, monkeypatch):
@@ -245,9 +245,9 @@ def test_a_stopped_search_ends_as_the_whole_one(spark, tmp_path):
 
 def test_site_rates_are_restored(spark, tmp_path):
     tree, names = random_tree(6, 3), names_of(6)
-    table, models = table_of(spark, simulated(tree, 6, 80)).withColumn("rate", F.lit(1.0)), {0: equal_rates(4, categories=1)}
+    table, models = table_of(spark, simulated(tree, 6, 40)).withColumn("rate", F.lit(1.0)), {0: equal_rates(4, categories=1)}
     begin, folder = newick.write(tree, names), str(tmp_path / "steps")
-    options = {"radius": 1, "most": 1, "fit_model": True, "epsilon": 3.0}
+    options = {"radius": 1, "most": 1, "fit_model": True, "epsilon": 20.0}
     part = run_search(table, begin, dict(models), names, folder=folder, steps=1, **options)
     assert (tmp_path / "steps" / "rates-000000" / "_SUCCESS").exists()
     again = run_search(table, begin, dict(models), names, folder=folder, **options)
