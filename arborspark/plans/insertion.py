@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from arborspark.functions.numerics import Z_MAX, Z_MIN, Model
 from arborspark.plans.kernel import VECTOR_BYTES, Block, Vector, along, facing, joined, newton, summed, vectors_held
 from arborspark.plans.likelihood import blocks_of
-from arborspark.sources.newick import Tree, neighbours, regraft, tip_sets
+from arborspark.sources.newick import Tree, neighbours, regraft, tip_sets, topology
 
 LOCAL_BYTES = 4 * VECTOR_BYTES  #: vectors of a whole alignment that one task may hold
 MOVE = "node int, cut int, a int, b int, depth int, lnl double, z_a double, z_b double, z_node double"
@@ -182,3 +182,14 @@ def score_moves(patterns: DataFrame, tree: Tree, models: dict[int, Model], n_tip
                         yield pd.DataFrame(out, columns=NAMES)
 
     return rows.mapInPandas(share, MOVE).groupBy(*NAMES[:5]).agg(F.sum("lnl").alias("lnl"), *(F.first(c).alias(c) for c in NAMES[6:]))
+
+
+def with_topologies(moves: DataFrame, tree: Tree, n_tips: int) -> DataFrame:
+    """Moves of a tree with the topology that each gives; several moves may give the same."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moves.schema) + ", topology string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for m in batches:
+            yield m.assign(topology=[topology(regraft(tree, *map(int, x)), n_tips) for x in zip(m["node"], m["cut"], m["a"], m["b"])])
+
+    return moves.mapInPandas(run, schema)

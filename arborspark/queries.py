@@ -20,7 +20,7 @@ from arborspark.operators import frequencies as E
 from arborspark.operators import quartets as Q
 from arborspark.operators import trees as T
 from arborspark.plans.evaluate import evaluate_in_blocks, score_quartets
-from arborspark.plans.insertion import score_moves
+from arborspark.plans.insertion import score_moves, with_topologies
 from arborspark.plans.likelihood import categorise, derivatives, log_likelihood, optimise_psr, pattern_likelihoods, site_rates
 from arborspark.plans.models import score_models
 from arborspark.plans.reports import partition_trees
@@ -585,8 +585,28 @@ def spr_moves(spark, sf_dir):
     return moves.select("node", "cut", "a", "b", "depth", F.round("lnl", 3).alias("lnl")).orderBy(F.desc("lnl"), "node", "cut", "a", "b").limit(50)
 
 
+def tip_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every move of a single taxon into an inner edge within REACH edges of where it stood, with the tree's topology."""
+    table, n = pattern_table(spark, sf_dir)
+    tree = caterpillar(n)
+    rows = score_moves(table, tree, equal_models(), n, REACH).where(f"node < {n} and a >= {n} and b >= {n}")
+    return with_topologies(rows, tree, n).withColumn("lnl", F.round("lnl", 3))
+
+
+def best_topologies(spark, sf_dir):
+    """The best trees that moving one taxon gives: each topology once, under the best lengths that a move gives it, with its rank."""
+    return T.ranked(tip_moves(spark, sf_dir), 20)
+
+
+def top_insertions(spark, sf_dir):
+    """The taxa that gain most by a move, at most 50, by the best insertion; how many insertions were scored, and the tree."""
+    best = tip_moves(spark, sf_dir).groupBy("node").agg(F.min(F.struct((-F.col("lnl")).alias("lost"), "topology")).alias("b"), F.count("*").alias("moves"))
+    return best.select("node", (-F.col("b.lost")).alias("lnl"), "b.topology", "moves").orderBy(F.desc("lnl"), "node").limit(50)
+
+
 PSR_MOST = 8.0
-QUERIES |= {f.__name__: f for f in (aa_model_choice, rates_climbed, spr_moves)}
+REACH = 5
+QUERIES |= {f.__name__: f for f in (aa_model_choice, rates_climbed, spr_moves, best_topologies, top_insertions)}
 
 
 def _aa_walk() -> str:
@@ -639,3 +659,42 @@ ORACLE_SQL["rates_climbed"] = f"""{_CLIMBED}{_second_walk()},
     gain AS (SELECT (SELECT sum(lnl) FROM now) >= (SELECT sum(lnl) FROM was) AS won)
     SELECT part_id, rate, patterns, round(lnl, 4) AS lnl FROM (SELECT part_id, round(rate, 6) AS rate, count(*) AS patterns FROM psr GROUP BY ALL) JOIN now USING (part_id), gain WHERE won
     UNION ALL SELECT part_id, 1.0, patterns, round(lnl, 4) FROM (SELECT part_id, count(*) AS patterns FROM pats GROUP BY part_id) JOIN was USING (part_id), gain WHERE NOT won"""
+
+
+def _moved() -> str:
+    """Rows (node, topology, lnl) of the caterpillar with a taxon moved along its spine. Vectors `l` of the spine's nodes are
+    walked to from the left in the caterpillar (side 0) and in its mirror image (side 1), so a move to the left is one to the
+    right in the mirror. A taxon `i` taken out leaves the vector behind it; that is carried on over the taxa `t` it passes."""
+    e = {x: f"pow({Z}, {4 * x / 3!r})" for x in (0.5, 1.0, 2.0)}
+
+    def through(v: str, x: float) -> str:
+        return f"list_transform({v}, lambda x: {e[x]} * x + (1 - {e[x]}) / 4 * list_sum({v}))"
+
+    def tip(i: str) -> str:
+        return f"list_transform([0, 1, 2, 3], lambda b: ((codes[({i}) + 1] >> b) & 1)::DOUBLE)"
+
+    def times(*v: str) -> str:
+        return "list_transform([1, 2, 3, 4], lambda s: " + " * ".join(f"({x})[s]" for x in v) + ")"
+
+    end = through(tip("i"), 1.0)
+    return f""",
+    cols AS (SELECT first_site, weight, list(coalesce(code, 15) ORDER BY taxon_id) AS codes FROM (SELECT p.first_site, p.weight, i.taxon_id, c.code FROM pats p CROSS JOIN ids i LEFT JOIN cells c ON c.site = p.first_site AND c.taxon_id = i.taxon_id) GROUP BY ALL),
+    sides AS (SELECT first_site, weight, 0 AS side, codes, len(codes) AS n FROM cols UNION ALL SELECT first_site, weight, 1, list_reverse(codes), len(codes) FROM cols),
+    spine AS (SELECT first_site, side, codes, n, 1 AS pos, {times(through(tip("0"), 1.0), through(tip("1"), 1.0))} AS l FROM sides
+              UNION ALL SELECT first_site, side, codes, n, pos + 1, {times(through("l", 1.0), through(tip("pos + 1"), 1.0))} FROM spine WHERE pos < n - 2),
+    back AS (SELECT first_site, 1 - side AS side, n - 1 - pos AS pos, l AS r FROM spine),
+    out AS (SELECT first_site, weight, side, codes, n, unnest([0, 1]) AS i, 2 AS t FROM sides UNION ALL SELECT first_site, weight, side, codes, n, unnest(range(2, n - 3)), -1 FROM sides),
+    begun AS (SELECT o.first_site, weight, o.side, o.codes, o.n, o.i, CASE WHEN o.t = 2 THEN 2 ELSE o.i + 1 END AS t, CASE WHEN o.t = 2 THEN {tip("1 - o.i").replace("codes[", "o.codes[")} ELSE l END AS behind
+              FROM out o LEFT JOIN spine s ON s.first_site = o.first_site AND s.side = o.side AND s.pos = o.i - 1 AND o.t < 0),
+    walk AS (SELECT first_site, weight, side, codes, n, i, t, 1 AS depth, {times(through("behind", 2.0), through(tip("t"), 1.0))} AS l FROM begun WHERE t <= n - 3
+             UNION ALL SELECT first_site, weight, side, codes, n, i, t + 1, depth + 1, {times(through("l", 1.0), through(tip("t + 1"), 1.0))} FROM walk WHERE t < n - 3 AND depth < {REACH}),
+    scored AS (SELECT w.side, w.i, w.t, any_value(w.n) AS n, round(sum(weight * ln(list_sum({times(through("l", 0.5), through("r", 0.5), end)}) / 4)), 3) AS lnl
+               FROM walk w JOIN back b ON b.first_site = w.first_site AND b.side = w.side AND b.pos = w.t + 1 GROUP BY w.side, w.i, w.t),
+    turned AS (SELECT CASE WHEN side = 0 THEN i ELSE n - 1 - i END AS node, lnl, n, list_transform(list_concat(list_filter(range(t + 1), lambda x: x <> i), [i], list_filter(range(t + 1, n), lambda x: x <> i)), lambda x: CASE WHEN side = 0 THEN x ELSE n - 1 - x END) AS q FROM scored),
+    moved AS (SELECT node, lnl, md5(array_to_string(list_sort(list_transform(range(2, n - 1), lambda k: array_to_string(list_sort(CASE WHEN list_contains(q[1:k], 0) THEN q[k + 1:] ELSE q[1:k] END), ','))), '|')) AS topology FROM turned)"""
+
+
+ORACLE_SQL |= {
+    "best_topologies": f"{_START}{_moved()}, once AS (SELECT topology, max(lnl) AS lnl FROM moved GROUP BY topology) SELECT rank, topology, lnl FROM (SELECT row_number() OVER (ORDER BY lnl DESC, topology) AS rank, topology, lnl FROM once) WHERE rank <= 20",
+    "top_insertions": f"{_START}{_moved()} SELECT node, max(lnl) AS lnl, arg_min(topology, {{'a': -lnl, 'b': topology}}) AS topology, count(*) AS moves FROM moved GROUP BY node ORDER BY lnl DESC, node LIMIT 50",
+}

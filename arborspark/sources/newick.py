@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -188,6 +189,12 @@ def tip_sets(tree: Tree, n_tips: int) -> set[frozenset[int]]:
     return {frozenset(under[n]) for n in order[1:] if n >= n_tips and 2 <= len(under[n]) <= n_tips - 2}
 
 
+def topology(tree: Tree, n_tips: int) -> str:
+    """The same text for the same inner splits, whatever the lengths and the numbers of inner nodes: a digest of fixed size."""
+    text = "|".join(sorted(",".join(map(str, sorted(x))) for x in tip_sets(tree, n_tips)))
+    return hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()
+
+
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
     """Trees of text files, split at `;`: tree_id (in the order of the text), newick."""
     rows = spark.read.option("lineSep", ";").text(path).select(F.monotonically_increasing_id().alias("tree_id"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("newick"))

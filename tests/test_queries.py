@@ -25,7 +25,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["aa_model_choice", "rates_climbed", "tree_loglik_gamma", "rate_categorise", "psr_loglik"])
+@pytest.mark.parametrize("name", ["aa_model_choice", "rates_climbed", "best_topologies", "top_insertions", "tree_loglik_gamma", "rate_categorise", "psr_loglik"])
 def test_as_in_sql(spark, folder, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
