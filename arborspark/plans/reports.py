@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborspark.functions.numerics import Model
 from arborspark.operators.trees import ranked
 from arborspark.plans.blockwise import smoothed_by_partition
 from arborspark.sources.newick import Tree, write
+from arborspark.sources.pattern_store import latest_snapshot
 
 
 def partition_trees(patterns: DataFrame, tree: Tree, models: dict[int, Model], names: list[str], rounds: int = 24) -> DataFrame:
@@ -54,10 +55,20 @@ def exchange_rows(model: Model) -> list[tuple[int, int, float]]:
 
 
 def search_log(spark: SparkSession, steps: list[tuple[float, str]]) -> DataFrame:
-    """step, lnl, newick of a search."""
+    """step, lnl, newick of a search that stored nothing."""
     return spark.createDataFrame([(i, lnl, text) for i, (lnl, text) in enumerate(steps)], "step int, lnl double, newick string")
 
 
+def stored_search_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The steps of a search that stores them in `folder`, also while it runs: step, phase, radius, cutoff, lnl, gain
+    (over the step before), scored (moves), seconds (since the search began), newick."""
+    steps = latest_snapshot(spark, folder)
+    if steps is None:
+        raise ValueError(f"{folder} holds no complete snapshot")
+    gain = F.col("lnl") - F.lag("lnl").over(Window.orderBy("step"))  # a row a step: few
+    return steps.select("step", "phase", "radius", "cutoff", "lnl", gain.alias("gain"), "scored", "seconds", "newick").orderBy("step")
+
+
 def write_good_trees(scored: DataFrame, k: int, path: str) -> None:
     """The k best topologies (topology, lnl) with their ranks, as one file in the order of rank."""
     ranked(scored, k).coalesce(1).sortWithinPartitions("rank").write.mode("errorifexists").parquet(path)

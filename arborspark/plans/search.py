@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -115,7 +116,7 @@ def choose_radius(patterns: DataFrame, newick: str, models: dict[int, Model], na
 
 
 FAST, THOROUGH, DONE = "fast", "thorough", "done"
-STATE = "step int, phase string, radius int, cutoff double, lnl double, newick string, scored long, models string, lengths string, options string"
+STATE = "step int, phase string, radius int, cutoff double, lnl double, newick string, scored long, models string, lengths string, seconds double, options string"
 
 
 @dataclass
@@ -130,6 +131,7 @@ class State:
     scored: int
     models: dict[int, Model | Mixture]
     own: dict[int, str] = field(default_factory=dict)  #: the tree with lengths of its own for each partition, if these have any
+    seconds: float = 0.0  #: since the search began, without the time between an end and a restart
 
 
 class Log:
@@ -139,6 +141,7 @@ class Log:
 
     def __init__(self, spark: SparkSession, folder: str | None, options: dict):
         self.spark, self.folder, self.options, self.steps = spark, folder, json.dumps(options, sort_keys=True), []
+        self.began = time.monotonic()
 
     def restore(self) -> str | None:
         """Read the latest complete snapshot; the path of its site rates, if it has any."""
@@ -148,16 +151,18 @@ class Log:
         rows = before.orderBy("step").collect()
         if rows[-1]["options"] != self.options:
             raise ValueError(f"the search in {self.folder} was begun with other options: {rows[-1]['options']}")
-        self.steps = [State(*(r[c] for c in ("phase", "radius", "cutoff", "lnl", "newick", "scored")), models_of(r["models"]), {int(p): t for p, t in json.loads(r["lengths"]).items()}) for r in rows]
+        self.steps = [State(*(r[c] for c in ("phase", "radius", "cutoff", "lnl", "newick", "scored")), models_of(r["models"]), {int(p): t for p, t in json.loads(r["lengths"]).items()}, r["seconds"]) for r in rows]
+        self.began -= self.steps[-1].seconds
         rates = f"{self.folder}/rates-{len(self.steps) - 1:06d}"
         return rates if exists(self.spark, f"{rates}/_SUCCESS") else None
 
     def take(self, state: State, rated: DataFrame | None = None) -> None:
+        state.seconds = time.monotonic() - self.began
         self.steps.append(state)
         if self.folder:
             if rated is not None:  # written first: the snapshot makes it count
                 rated.select("part_id", "pattern_id", "rate").write.mode("overwrite").parquet(f"{self.folder}/rates-{len(self.steps) - 1:06d}")
-            rows = [(i, s.phase, s.radius, s.cutoff, s.lnl, s.newick, s.scored, as_text(s.models), json.dumps(s.own), self.options) for i, s in enumerate(self.steps)]
+            rows = [(i, s.phase, s.radius, s.cutoff, s.lnl, s.newick, s.scored, as_text(s.models), json.dumps(s.own), s.seconds, self.options) for i, s in enumerate(self.steps)]
             snapshot(self.spark.createDataFrame(rows, STATE).coalesce(1), self.folder, len(self.steps) - 1)
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborspark.functions.numerics import Mixture, Model, as_text, equal_rates, models_of
-from arborspark.plans import insertion, kernel, search as plans
+from arborspark.plans import insertion, kernel, reports, search as plans
 from arborspark.plans.evaluate import evaluate_trees, gathered
 from arborspark.plans.insertion import grafts, prunings, score_moves
 from arborspark.plans.kernel import Block, root_edge
@@ -239,6 +239,10 @@ def test_a_stopped_search_ends_as_the_whole_one(spark, tmp_path):
     assert again[:2] == part and again[-1].lnl == pytest.approx(whole[-1].lnl, abs=1e-6) and again[-1].models == whole[-1].models
     own = newick.parse(again[-1].newick, {x: i for i, x in enumerate(names)}, True)
     assert log_likelihood(table, own, again[-1].models).first().lnl == pytest.approx(again[-1].lnl, abs=1e-5)
+    log = reports.stored_search_log(spark, folder).collect()
+    assert [r.lnl for r in log] == [s.lnl for s in again] and log[-1].phase == DONE and log[0].gain is None
+    assert 0 < log[0].seconds and all(a.seconds < b.seconds for a, b in zip(log, log[1:]))
+    assert sum(r.gain for r in log[1:]) == pytest.approx(log[-1].lnl - log[0].lnl)
     with pytest.raises(ValueError, match="other options"):
         run_search(table, begin, dict(models), names, folder=folder, **{**options, "radius": 3})
 
