@@ -2,10 +2,11 @@
 
 A paragraph is a line, or a block of lines between lines without a word, so that a wrapped notice
 is read whole. Logistic regression over sparse word n-grams, one curve for each
-licence family, is trained by gradient steps that are joins and sums; the temperature and the
+licence family and one for licences of no family here, is trained on notices, on their short forms (a
+name in a frame such as an SPDX line, or two names in one) and on paragraphs of the corpus; the temperature and the
 unknown class are calibrated on examples held out of training. A prediction is confirmed when
-the paragraph holds most of the word pairs of one of the family's templates. Only n-grams of
-the model count, so a paragraph without any of their rarest words scores as unknown and needs
+the paragraph holds most of the word pairs of one of the family's templates, less those that many families
+have. Only n-grams of the model count, so a paragraph without any of their rarest words needs
 no join: that gate loses nothing.
 """
 
@@ -83,10 +84,32 @@ TEMPLATES = {
         "Copyright. All rights reserved. Unauthorised copying is prohibited.",
     ],
 }
-FAMILIES = list(TEMPLATES)
+# The usual short names of each family, and of licences that are none of these.
+NAMES = {
+    "MIT": ["MIT"],
+    "Apache-2.0": ["Apache-2.0", "Apache 2"],
+    "GPL-3.0": ["GPL-3.0", "GPL-3.0-or-later", "GPLv3", "GPL v3"],
+    "GPL-2.0": ["GPL-2.0", "GPL-2.0-or-later", "GPLv2", "GPL v2"],
+    "LGPL": ["LGPL-2.1", "LGPL-3.0", "LGPLv3", "LGPL"],
+    "BSD": ["BSD-3-Clause", "BSD-2-Clause", "BSD"],
+    "MPL-2.0": ["MPL-2.0", "MPLv2"],
+    "CC-BY-NC-4.0": ["CC-BY-NC-4.0"],
+    "CC-BY-4.0": ["CC-BY-4.0"],
+    "CC-BY-SA-4.0": ["CC-BY-SA-4.0"],
+    "CC0": ["CC0-1.0", "CC0"],
+}
+OTHER = ["ISC", "EUPL-1.2", "Zlib", "WTFPL", "EPL-2.0", "Artistic-2.0", "BSL-1.0", "OFL-1.1", "NCSA", "PostgreSQL"]
+FRAMES = ["SPDX-License-Identifier: {}", "License: {}", "Licensed under {}", "{} license"]
+TWO_NAMES = ["Dual licensed under {} and {}", "SPDX-License-Identifier: {} OR {}", "License: {} or {}"]
+TWO_FAMILIES = [("MIT", "Apache-2.0"), ("MIT", "GPL-2.0"), ("MIT", "GPL-3.0"), ("BSD", "GPL-2.0"), ("Apache-2.0", "GPL-3.0"), ("MPL-2.0", "LGPL")]
+UNKNOWN = "unknown"  #: a licence of no family here
+FAMILIES = [*TEMPLATES, UNKNOWN]
+SHARED = 2  #: families that may have a word pair that still confirms one of them
 SAMPLE = 1500  #: documents whose paragraphs are examples of the unknown class, about
 SAMPLE_BYTES = 1 << 15  #: a longer text is not among them, so the sample's size is bounded
-VARIANTS = 10  #: examples made of each template by leaving words out; the last two calibrate
+VARIANTS = 10  #: examples made of each notice by leaving words out; the last two calibrate
+HELD_FORMS = 5  #: of so many short forms one calibrates
+RARE_FORMS = 6.0  #: weight of a form with two names, or with a name of no family here, of which there are few
 COMMON = 0.01  #: n-grams in a larger share of unknown paragraphs are no features
 STEPS = 24
 RATE = 1.0
@@ -108,10 +131,26 @@ def grams(w: Column) -> Column:
     return F.array_distinct(F.concat(w, pairs(w)))
 
 
+def template_rows() -> list[tuple[list[str], str, bool, str]]:
+    """(families, template, is_short, text) of notices and of short forms, those with two names last."""
+    rows = [([f], f"{f}/{i}", False, t) for f, texts in TEMPLATES.items() for i, t in enumerate(texts)]
+    rows += [([f], f"{f}/{x.format(name)}", True, x.format(name)) for f, names in {**NAMES, UNKNOWN: OTHER}.items() for name in names for x in FRAMES]
+    two = [(x, y) for a, b in TWO_FAMILIES for x, y in ((a, b), (b, a))]
+    return rows + [([a, b], x.format(NAMES[a][0], NAMES[b][0]), True, x.format(NAMES[a][0], NAMES[b][0])) for a, b in two for x in TWO_NAMES]
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    """family, template, words; a row for each template."""
-    rows = [(f, f"{f}/{i}", t) for f, texts in TEMPLATES.items() for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "family string, template string, text string").withColumn("w", words(F.col("text"))).drop("text")
+    """families, template, is_short, w (words); a row for each template."""
+    return spark.createDataFrame(template_rows(), "families array<string>, template string, is_short boolean, text string").withColumn("w", words(F.col("text"))).drop("text")
+
+
+def shapes(known: DataFrame) -> DataFrame:
+    """family, template, gram, size: the word pairs that tell a template of one family, and their number. Pairs that more than
+    SHARED families have tell nothing, unless a template has no others."""
+    rows = known.where(F.size("families") == 1).select(F.col("families")[0].alias("family"), "template", F.explode(F.array_distinct(pairs(F.col("w")))).alias("gram"))
+    wide = rows.groupBy("gram").agg((F.count_distinct("family") <= SHARED).alias("tells"))
+    rows = rows.join(wide, "gram").withColumn("any", F.max("tells").over(Window.partitionBy("template"))).where("tells or not any")
+    return rows.select("family", "template", "gram", F.count("*").over(Window.partitionBy("template")).alias("size"))
 
 
 def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -206,16 +245,18 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Licens
     rate = math.ceil(1_000_000 * min(1.0, SAMPLE / n_docs))
     some = docs.where((F.octet_length(text) <= SAMPLE_BYTES) & (F.pmod(F.xxhash64(text, F.lit(8)), F.lit(1_000_000)) < rate))
     known = materialise(templates(spark), "templates")
-    shapes = known.select("family", "template", F.explode(F.array_distinct(pairs(F.col("w")))).alias("gram"))
-    sizes = shapes.groupBy("template").agg(F.count("*").alias("size"))
+    telling = shapes(known)
     negative = materialise(paragraphs(some, doc_id, text).where(F.size("w") > 0).select(F.concat_ws("/", F.lit("-"), "row", "paragraph").alias("example"), "w"), "sampled")
-    like = negative.select("example", F.explode(F.array_distinct(pairs(F.col("w")))).alias("gram")).join(F.broadcast(shapes), "gram")
-    like = like.groupBy("example", "template").agg(F.count("*").alias("n")).join(F.broadcast(sizes), "template").where("2 * n >= size").select("example").distinct()
+    like = negative.select("example", F.explode(F.array_distinct(pairs(F.col("w")))).alias("gram")).join(F.broadcast(telling), "gram")
+    like = like.groupBy("example", "template", "size").agg(F.count("*").alias("n")).where("2 * n >= size").select("example").distinct()
     negative = materialise(negative.join(like, "example", "left_anti"), "negatives")
     dropped = lambda i, j: F.pmod(F.xxhash64("template", i, j), F.lit(8)) == 0
-    positive = known.select("family", "template", "w", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("variant"))
+    # words of a short form are not left out: without its name it is none
+    variants = F.when(F.col("is_short"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(VARIANTS - 1)))
+    positive = known.select("families", "template", "is_short", "w", F.explode(variants).alias("variant"))
     kept = F.filter("w", lambda w, i: (F.col("variant") == 0) | ~dropped(i, F.col("variant")))
-    positive = positive.select(F.concat_ws("/", "template", "variant").alias("example"), "family", (F.col("variant") >= VARIANTS - 2).alias("held"), kept.alias("w"))
+    held = F.when(F.col("is_short"), F.pmod(F.xxhash64("template"), F.lit(HELD_FORMS)) == 0).otherwise(F.col("variant") >= VARIANTS - 2)
+    positive = positive.select(F.concat_ws("/", "template", "variant").alias("example"), "families", held.alias("held"), kept.alias("w"))
     n_negative = max(1, negative.count())
     wanted = positive.select(F.explode(grams(F.col("w"))).alias("gram")).distinct()
     seen = negative.select("example", F.explode(grams(F.col("w"))).alias("gram")).join(F.broadcast(wanted), "gram").groupBy("gram").agg((F.count("*") / n_negative).alias("share"))
@@ -224,14 +265,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Licens
     vocabulary = ["", *sorted(g for g, w in rarest.items() if share[g] <= COMMON and share.get(w, 0.0) <= COMMON)]
     gate = sorted({rarest[g] for g in vocabulary[1:]})
 
-    every = positive.unionByName(negative.select("example", F.lit(None).cast("string").alias("family"), (F.pmod(F.xxhash64("example"), F.lit(5)) == 0).alias("held"), "w"))
+    every = positive.unionByName(negative.select("example", F.array().cast("array<string>").alias("families"), (F.pmod(F.xxhash64("example"), F.lit(5)) == 0).alias("held"), "w"))
     numbers = spark.createDataFrame(list(zip(vocabulary, range(len(vocabulary)))), "gram string, g int")
-    hits = every.select("example", "family", "held", F.explode(F.concat(F.array(F.lit("")), grams(F.col("w")))).alias("gram")).join(F.broadcast(numbers), "gram")
-    alike = hits.groupBy("example", "family", "held").agg(F.sort_array(F.collect_list("g")).alias("grams")).groupBy("family", "held", "grams").agg(F.count("*").alias("n"))
+    hits = every.select("example", "families", "held", F.explode(F.concat(F.array(F.lit("")), grams(F.col("w")))).alias("gram")).join(F.broadcast(numbers), "gram")
+    alike = hits.groupBy("example", "families", "held").agg(F.sort_array(F.collect_list("g")).alias("grams")).groupBy("families", "held", "grams").agg(F.count("*").alias("n"))
     # examples of a family count as much in all as the rest
-    balance = F.when(F.col("family").isNull(), F.lit(1.0)).otherwise(F.lit(max(1.0, n_negative / (len(FAMILIES) * 8.0 * 4))))
-    labels = F.array(*(F.coalesce(F.col("family") == f, F.lit(False)).cast("double") for f in FAMILIES))
-    examples = materialise(alike.select("family", "held", "grams", (F.col("n") * balance).alias("m"), labels.alias("y")).coalesce(1), "examples")
+    balance = F.when(F.size("families") == 0, F.lit(1.0)).otherwise(F.lit(max(1.0, n_negative / (len(FAMILIES) * 8.0 * 4))))
+    balance = balance * F.when((F.size("families") == 2) | F.array_contains("families", UNKNOWN), RARE_FORMS).otherwise(1.0)
+    labels = F.array(*(F.array_contains("families", f).cast("double") for f in FAMILIES))
+    examples = materialise(alike.select("held", "grams", (F.col("n") * balance).alias("m"), labels.alias("y")).coalesce(1), "examples")
 
     weights = examples.where("not held").agg(F.sort_array(F.collect_list(F.struct("grams", "m", "y"))).alias("ex")).select(fitted(len(vocabulary)).alias("w")).first()["w"]
     held = examples.where("held")
@@ -248,10 +290,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Licens
 
 
 def license_scan(docs: DataFrame, model: LicenseModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per paragraph in which a family has the model's threshold of probability or more: doc_id, paragraph (number of its
-    first line, from 0), family (`unknown` unless a template confirms the prediction), predicted, probability,
+    """Per paragraph and family that has the model's threshold of probability or more there: doc_id, paragraph (number of its
+    first line, from 0), family (`unknown` unless a template confirms the prediction), predicted (`unknown`: a licence
+    of no family here), probability,
     template (the family's most similar one), similarity (share of its word pairs), confirmed,
-    n_lines. A block of several lines has a row if it is confirmed and none of its lines is for that
+    n_lines. A paragraph has a row for each family that is confirmed, or else for its likeliest one. A block of several lines has a row if it is confirmed and none of its lines is for that
     family; it then stands for those lines.
 
     Null and empty texts have no rows; repeated rows are all reported; a null doc_id stays null;
@@ -270,21 +313,21 @@ def license_scan(docs: DataFrame, model: LicenseModel, doc_id: str = "doc_id", t
     sums = [(F.sum(F.when(real, F.col("weights")[i])) / count + F.max(F.when(~real, F.col("weights")[i]))) / model.temperature for i in range(len(FAMILIES))]
     scores = hits.groupBy(*keys).agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).where("s0 is not null")
     best = F.greatest(*(F.struct(F.col(f"s{i}").alias("s"), F.lit(-i).alias("i")) for i in range(len(FAMILIES))))
-    scores = scores.select(*keys, best.alias("best")).select(*keys, F.element_at(F.array(*(F.lit(f) for f in FAMILIES)), 1 - F.col("best.i")).alias("predicted"), F.round(1 / (1 + F.exp(-F.col("best.s"))), 6).alias("probability"))
-    scores = scores.where(F.col("probability") >= model.threshold)
-    known = templates(spark)
-    shapes = known.select("family", "template", F.explode(F.array_distinct(pairs(F.col("w")))).alias("gram"))
-    sizes = shapes.groupBy("template").agg(F.count("*").alias("size"))
-    match = every.join(F.broadcast(shapes.join(sizes, "template")), "gram").groupBy(*keys, "family", "template", "size").agg(F.count("*").alias("n"))
+    each = F.array(*(F.struct(F.lit(f).alias("predicted"), F.round(1 / (1 + F.exp(-F.col(f"s{i}"))), 6).alias("probability"), (F.col("best.i") == -i).alias("is_best")) for i, f in enumerate(FAMILIES)))
+    scores = scores.withColumn("best", best).select(*keys, F.inline(each)).where(F.col("probability") >= model.threshold)
+    match = every.join(F.broadcast(shapes(templates(spark))), "gram").groupBy(*keys, "family", "template", "size").agg(F.count("*").alias("n"))
     match = match.groupBy(*keys, "family").agg(F.max(F.struct((F.col("n") / F.col("size")).alias("similarity"), "size", "template")).alias("m"))
     same = [scores[k].eqNullSafe(match[k]) for k in keys] + [scores["predicted"] == match["family"]]
-    out = scores.join(match, same, "left").select(*(scores[k] for k in keys), "predicted", "probability", F.col("m.template").alias("template"), F.round(F.coalesce(F.col("m.similarity"), F.lit(0.0)), 6).alias("similarity"))
-    out = out.withColumn("confirmed", F.col("similarity") >= CONFIRM)
+    out = scores.join(match, same, "left").select(*(scores[k] for k in keys), "predicted", "probability", "is_best", F.col("m.template").alias("template"), F.round(F.coalesce(F.col("m.similarity"), F.lit(0.0)), 6).alias("similarity"))
+    out = out.withColumn("confirmed", (F.col("similarity") >= CONFIRM) & (F.col("predicted") != UNKNOWN))
+    # every family that a paragraph names; else its best one
+    named = F.max("confirmed").over(Window.partitionBy("row", "block", "paragraph", "n_lines"))
+    out = out.withColumn("named", named).where("confirmed or is_best and not named")
     notice = Window.partitionBy("row", "block", "predicted")
     sure = lambda of: F.max(F.col("confirmed") & of).over(notice)
     out = out.withColumn("by_line", sure(F.col("n_lines") == 1)).withColumn("by_block", sure(F.col("n_lines") > 1))
     out = out.where((F.col("n_lines") > 1) == (F.col("by_block") & ~F.col("by_line")))
-    return out.select("doc_id", "paragraph", F.when(F.col("confirmed"), F.col("predicted")).otherwise("unknown").alias("family"), "predicted", "probability", "template", "similarity", "confirmed", "n_lines")
+    return out.select("doc_id", "paragraph", F.when(F.col("confirmed"), F.col("predicted")).otherwise(UNKNOWN).alias("family"), "predicted", "probability", "template", "similarity", "confirmed", "n_lines")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
