@@ -496,6 +496,106 @@ def test_wording_that_is_no_template(spark):
     assert {f for d, f in got.items() if d < 1000 or d >= 2000} <= {"unknown"}
 
 
+def test_short_forms_and_licences_of_no_family(spark):
+    lines = [(i, prose(30, 40 + i)) for i in range(200)]
+    short = {
+        "SPDX-License-Identifier: MIT": {"MIT"}, "License: MIT": {"MIT"}, "License: GPLv3": {"GPL-3.0"}, "// SPDX-License-Identifier: BSD-3-Clause": {"BSD"}, "license: bsd": {"BSD"},
+        "dual licensed under MIT and Apache-2.0": {"MIT", "Apache-2.0"}, "License: CC0": {"CC0"}, "SPDX-License-Identifier: ISC": {"unknown"}, "EUPL-1.2 license": {"unknown"}, "SPDX-License-Identifier: Foo-1.0": {"unknown"},
+        "She studied at Harvard or MIT before.": set(), "Your driving license expires": set(),
+    }
+    rows = spark.createDataFrame([*lines, *((1000 + i, t) for i, t in enumerate(short))], "doc_id long, text string")
+    got = collections.defaultdict(set)
+    for r in licenses.license_scan(rows, licenses.train(rows.where("doc_id < 1000"))).collect():
+        got[r["doc_id"]].add(r["family"])
+    assert {t: got[1000 + i] - ({"unknown"} if not want else set()) for i, (t, want) in enumerate(short.items())} == short
+
+
+def scanned_by_hand(rows, model):
+    """The rows of license_scan as tuples, line by line and block by block, scores in NumPy."""
+    split = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+    two = lambda w: {f"{a} {b}" for a, b in zip(w, w[1:])}
+    having, shapes = collections.defaultdict(set), collections.defaultdict(dict)
+    single = [(f[0], name, two(split(t))) for f, name, _, t in licenses.template_rows() if len(f) == 1]
+    for f, _, grams in single:
+        for g in grams:
+            having[g].add(f)
+    for f, name, grams in single:
+        tells = {g for g in grams if len(having[g]) <= licenses.SHARED}
+        if grams:
+            shapes[f][name] = tells or grams
+    out = []
+
+    def judge(w):
+        grams = {*w, *two(w)}
+        known = [np.array(model.weights[g]) for g in grams if g in model.weights]
+        if not grams & {g for g in grams if " " not in g and g in model.gate} or not known:
+            return []
+        s = (sum(known) / max(1.0, np.sqrt(len(known))) + np.array(model.weights[""])) / model.temperature
+        p = np.round(1 / (1 + np.exp(-s)), 6)
+        found = []
+        for i, f in enumerate(licenses.FAMILIES):
+            if p[i] >= model.threshold:
+                sim, _, name = max(((len(g & grams) / len(g), len(g), n) for n, g in shapes[f].items() if g & grams), default=(0.0, 0, None))
+                found.append((f, p[i], name, round(sim, 6), sim >= licenses.CONFIRM and f != licenses.UNKNOWN, i == int(np.argmax(s))))
+        named = any(x[4] for x in found)
+        return [x[:5] for x in found if x[4] or (x[5] and not named)]
+
+    for d, t in rows:
+        lines, block = [split(x) for x in (t or "").split("\n")], []
+        for i, w in enumerate([*lines, []]):
+            if w:
+                block.append((i, w))
+            elif block:
+                single = [(i, 1, x) for i, w in block for x in judge(w)]
+                whole = [(block[0][0], len(block), x) for x in judge([y for _, w in block for y in w])] if len(block) > 1 else []
+                for f in licenses.FAMILIES:
+                    lone, wide = ([y for y in part if y[2][0] == f] for part in (single, whole))
+                    use_whole = any(y[2][4] for y in wide) and not any(y[2][4] for y in lone)
+                    out += [(d, at, f if x[4] else licenses.UNKNOWN, *x, n) for at, n, x in (wide if use_whole else lone)]
+                block = []
+    return out
+
+
+def test_license_scan_by_hand(spark):
+    r, rows = random.Random(9), []
+    texts = [t for _, _, _, t in licenses.template_rows()]
+    for i in range(160):
+        parts = [prose(12, i)]
+        for _ in range(r.randrange(4)):
+            t = r.choice(texts)
+            t = " ".join(w for w in t.split() if r.random() > 0.1)
+            parts += [r.choice(["", "#", prose(6, i + 500)]), "\n".join(textwrap.wrap(t, r.choice([30, 60, 400])))]
+        rows.append((i if i % 40 else None, "\n".join(parts)))
+    rows += [(900, None), (901, ""), rows[5], rows[5]]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model = licenses.train(table)
+    key = lambda x: tuple(str(v) for v in x)
+    columns = ["doc_id", "paragraph", "family", "predicted", "probability", "template", "similarity", "confirmed", "n_lines"]
+    got = sorted((tuple(x[c] for c in columns) for x in licenses.license_scan(table, model).collect()), key=key)
+    want = sorted(((*x[:4], float(x[4]), *x[5:]) for x in scanned_by_hand(rows, model)), key=key)
+    assert len(got) > 100 and len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:4] == b[:4] and a[5:] == b[5:] and a[4] == pytest.approx(b[4], abs=2e-6)
+
+
+def test_fitted_weights_by_hand(spark):
+    r, n, k = random.Random(3), 12, len(licenses.FAMILIES)
+    examples = [([0, *sorted(r.sample(range(1, n), r.randrange(1, 6)))], float(r.randrange(1, 9)), [float(r.random() < 0.2) for _ in range(k)]) for _ in range(30)]
+    table = spark.createDataFrame([(examples,)], "ex array<struct<grams:array<int>,m:double,y:array<double>>>")
+    got = np.array(table.select(licenses.fitted(n).alias("w")).first()["w"])
+    x = np.zeros((len(examples), n))
+    for i, (grams, _, _) in enumerate(examples):
+        x[i, grams] = 1 / max(1.0, np.sqrt(len(grams) - 1))
+        x[i, 0] = 1.0
+    m, y = np.array([e[1] for e in examples])[:, None], np.array([e[2] for e in examples])
+    w, q = np.zeros((n, k)), np.full((n, k), 1e-6)
+    for _ in range(licenses.STEPS):
+        g = x.T @ (m * (y - 1 / (1 + np.exp(-x @ w))))
+        q += g * g
+        w += licenses.RATE * g / np.sqrt(q)
+    assert np.allclose(got, w, atol=1e-6)
+
+
 @pytest.mark.parametrize("bucket_bytes", [400, 32 << 20])
 def test_exact_dedup(docs, empty, bucket_bytes):
     rows = docs.select("doc_id", "text")
