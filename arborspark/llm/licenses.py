@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -139,18 +140,29 @@ def template_rows() -> list[tuple[list[str], str, bool, str]]:
     return rows + [([a, b], x.format(NAMES[a][0], NAMES[b][0]), True, x.format(NAMES[a][0], NAMES[b][0])) for a, b in two for x in TWO_NAMES]
 
 
+def words_of(text: str) -> list[str]:
+    """What `words` makes of a template, for plans that need its n-grams as values."""
+    return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+
+
 def templates(spark: SparkSession) -> DataFrame:
     """families, template, is_short, w (words); a row for each template."""
-    return spark.createDataFrame(template_rows(), "families array<string>, template string, is_short boolean, text string").withColumn("w", words(F.col("text"))).drop("text")
+    rows = [(f, t, short, words_of(text)) for f, t, short, text in template_rows()]
+    return spark.createDataFrame(rows, "families array<string>, template string, is_short boolean, w array<string>")
 
 
-def shapes(known: DataFrame) -> DataFrame:
+def shapes(spark: SparkSession) -> DataFrame:
     """family, template, gram, size: the word pairs that tell a template of one family, and their number. Pairs that more than
     SHARED families have tell nothing, unless a template has no others."""
-    rows = known.where(F.size("families") == 1).select(F.col("families")[0].alias("family"), "template", F.explode(F.array_distinct(pairs(F.col("w")))).alias("gram"))
-    wide = rows.groupBy("gram").agg((F.count_distinct("family") <= SHARED).alias("tells"))
-    rows = rows.join(wide, "gram").withColumn("any", F.max("tells").over(Window.partitionBy("template"))).where("tells or not any")
-    return rows.select("family", "template", "gram", F.count("*").over(Window.partitionBy("template")).alias("size"))
+    rows, having = [], {}
+    for f, t, _, text in template_rows():
+        if len(f) == 1:
+            w = words_of(text)
+            rows.append((f[0], t, dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:]))))
+            for g in rows[-1][2]:
+                having.setdefault(g, set()).add(f[0])
+    telling = [(f, t, [g for g in grams if len(having[g]) <= SHARED] or list(grams)) for f, t, grams in rows]
+    return spark.createDataFrame([(f, t, g, len(grams)) for f, t, grams in telling for g in grams], "family string, template string, gram string, size int")
 
 
 def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -162,7 +174,7 @@ def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def with_blocks(docs: DataFrame, doc_id: str, text: str, gate: list[str]) -> DataFrame:
     """row (of docs), doc_id, block (its first line), paragraph (first line), n_lines, w; each line with a word of the gate, and each block of several lines that has one."""
-    passes = lambda w: F.arrays_overlap(w, F.array(*(F.lit(g) for g in gate)))
+    passes = lambda w: F.arrays_overlap(w, F.split(F.lit(" ".join(gate)), " "))  # noqa: E731  # one constant
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # most texts have no word of the gate; the others are cut into lines
     rows = rows.where(passes(words(F.col("text")))).select("row", "doc_id", F.transform(F.split("text", "\n"), words).alias("lines"))
@@ -244,8 +256,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Licens
     n_docs = max(1, docs.count())
     rate = math.ceil(1_000_000 * min(1.0, SAMPLE / n_docs))
     some = docs.where((F.octet_length(text) <= SAMPLE_BYTES) & (F.pmod(F.xxhash64(text, F.lit(8)), F.lit(1_000_000)) < rate))
-    known = materialise(templates(spark), "templates")
-    telling = shapes(known)
+    known, telling = templates(spark), shapes(spark)
     negative = materialise(paragraphs(some, doc_id, text).where(F.size("w") > 0).select(F.concat_ws("/", F.lit("-"), "row", "paragraph").alias("example"), "w"), "sampled")
     like = negative.select("example", F.explode(F.array_distinct(pairs(F.col("w")))).alias("gram")).join(F.broadcast(telling), "gram")
     like = like.groupBy("example", "template", "size").agg(F.count("*").alias("n")).where("2 * n >= size").select("example").distinct()
@@ -315,7 +326,7 @@ def license_scan(docs: DataFrame, model: LicenseModel, doc_id: str = "doc_id", t
     best = F.greatest(*(F.struct(F.col(f"s{i}").alias("s"), F.lit(-i).alias("i")) for i in range(len(FAMILIES))))
     each = F.array(*(F.struct(F.lit(f).alias("predicted"), F.round(1 / (1 + F.exp(-F.col(f"s{i}"))), 6).alias("probability"), (F.col("best.i") == -i).alias("is_best")) for i, f in enumerate(FAMILIES)))
     scores = scores.withColumn("best", best).select(*keys, F.inline(each)).where(F.col("probability") >= model.threshold)
-    match = every.join(F.broadcast(shapes(templates(spark))), "gram").groupBy(*keys, "family", "template", "size").agg(F.count("*").alias("n"))
+    match = every.join(F.broadcast(shapes(spark)), "gram").groupBy(*keys, "family", "template", "size").agg(F.count("*").alias("n"))
     match = match.groupBy(*keys, "family").agg(F.max(F.struct((F.col("n") / F.col("size")).alias("similarity"), "size", "template")).alias("m"))
     same = [scores[k].eqNullSafe(match[k]) for k in keys] + [scores["predicted"] == match["family"]]
     out = scores.join(match, same, "left").select(*(scores[k] for k in keys), "predicted", "probability", "is_best", F.col("m.template").alias("template"), F.round(F.coalesce(F.col("m.similarity"), F.lit(0.0)), 6).alias("similarity"))
