@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from arborspark.llm.store import documents, materialise
 from arborspark.llm.textops import BASE as HASH_BASE
-from arborspark.llm.textops import chunks, mix, word_hashes, word_spans
+from arborspark.llm.textops import chunks, mix, release, word_hashes, word_spans
 
 TARGET = 0.99  #: share of copies with the most edits allowed that the tables of a class find, at least
 COPIES, COPIED_WORDS = 1000, 1_000_000  #: random copies on which that is measured, fewer for long items
@@ -412,6 +412,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = 75, text: s
                 for i, _, data, offsets in chunks(b.column(place)):
                     clean[[i + r for r, _, _ in in_chunk(shared.value, data, offsets)]] = False
                 yield b.filter(pa.array(clean))
+            release()
 
         out = out.mapInArrow(run, docs.schema)
     return out

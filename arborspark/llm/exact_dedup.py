@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborspark.llm.store import documents, has_plain_ids, materialise, without
+from arborspark.llm.textops import release
 from arborspark.sources.tables import broadcast_if_small
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -102,6 +103,8 @@ def collapse(limit: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
         if t.contents:
             yield spilled(t, schema)
+        t = None
+        release()
 
     return run
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from arborspark.llm.graph import components
 from arborspark.llm.store import documents, has_plain_ids, materialise, without
-from arborspark.llm.textops import chunks, mix, shingle_sets
+from arborspark.llm.textops import chunks, mix, release, shingle_sets
 from arborspark.sources.tables import broadcast_if_small
 
 VALUES = 128  #: MinHash values of a signature
@@ -70,6 +70,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sig.append(signature(s).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n", "digest", "sig"])
+        release()
 
     return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, digest binary, sig binary")
 
@@ -94,6 +95,7 @@ def forest(reps: DataFrame) -> DataFrame:
                 [b.column(0).take(pa.array(again)), *(pa.array(x.ravel().view(np.int64)) for x in (region, label)), *(pa.array(bits[again, c]) for c in (0, 1))],
                 names=["id", "region", "label", "s0", "s1"],
             )
+        release()
 
     return reps.select("id", "sig").mapInArrow(run, f"id {reps.schema['id'].dataType.simpleString()}, region long, label long, s0 long, s1 long")
 
@@ -149,6 +151,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
             pa.default_memory_pool().release_unused()
+        release()
 
     kind = pairs.schema["a"].dataType.simpleString()
     x, y = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
@@ -294,6 +297,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, doc_id: str
             for i, j, data, offsets in chunks(b.column(1)):  # handed out chunk by chunk, so that a batch's sets are never all in memory
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([s.tobytes() for s in shingle_sets(data, offsets, k)], pa.binary())], names=["id", "shingles"])
             pa.default_memory_pool().release_unused()
+        release()
 
     dense = materialise(salted_join(trees.select("id", "region"), counts, "region", "size", total).select(F.col("region").alias("cell"), "id"), "members")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense.select("id")).distinct()

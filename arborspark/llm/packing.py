@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm.store import documents, materialise
+from arborspark.llm.store import documents, in_batches_of, materialise
+from arborspark.llm.textops import release
 from arborspark.llm.tokens import by_bytes, codec
 
 MERGED_ID = 1 << 62  #: sequence ids from here on belong to merged windows
@@ -142,6 +143,7 @@ def pack(
     windows: int = 32,
     end_id: int = 2,
     merge: int = 64,
+    keep_units: bool = True,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -150,7 +152,8 @@ def pack(
     Every row of docs is one document, repeated doc_ids included; a null text is empty and
     gives the end id alone; a null doc_id stays null; an empty table gives no pieces; other
     columns are not read. Long texts fill windows of their own. `windows` bounds what is
-    open in a partition, `merge` how many partitions' last windows one task merges.
+    open in a partition, `merge` how many partitions' last windows one task merges. Workers remember
+    the units they have met; without keep_units only to the end of a task, which takes less memory.
     """
     path, tail = public_tokenizers.path(tokenizer), end_id.to_bytes(4, "little")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -174,6 +177,9 @@ def pack(
                 out.add(w, part << 32 | seq, part, still_open=w.used < size)
                 seq += 1
             yield out.take()
+        if not keep_units:
+            c.forget()
+        release()
 
     def again(table: pa.Table) -> pa.Table:
         group = table.column("part")[0].as_py() // merge
@@ -194,4 +200,5 @@ def pack(
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    in_batches_of(spark)
     return pack(documents(spark, sf_dir))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborspark.llm.store import documents
-from arborspark.llm.textops import BASE, LOWER, chunks, mix, prefix_hashes, range_hash, word_spans
+from arborspark.llm.textops import BASE, LOWER, chunks, mix, prefix_hashes, range_hash, release, word_spans
 
 SAMPLE = 3000  #: labelled documents that the weights are fitted on at most
 SAMPLE_BYTES, SAMPLE_LINES = 1 << 16, 512  #: texts of more bytes or lines are not among them, so the sample takes 170 MB at most
@@ -232,6 +232,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
         for b in batches:
             good = [model.scores(*line_features(data, offsets)) >= threshold for _, _, data, offsets in chunks(b.column(place))]
             yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *good])))
+        release()
 
     return docs.mapInArrow(run, schema)
 

@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 UNIT_CACHE = 600_000  #: entries a Python worker keeps; then it starts afresh
+KEPT_BYTES = 64  #: of the longest units that are kept: a text without white space is one unit
 BATCH_BYTES = 1 << 20  #: text handed to the library at once
 JOINED = 500  #: plain words encoded as one text
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -93,10 +94,20 @@ class Codec:
         cut = [self.units(t) for t in texts]
         if len(known) > UNIT_CACHE:
             known.clear()
+        long: list[bytes] = []
         for units, ids in self.fresh(u for u in set().union(*cut) if u not in known):
             known.update(zip(units, map(make, ids)))
+            long += [u for u in units if len(u) > KEPT_BYTES]
         get = known.__getitem__
-        return [list(map(get, u)) for u in cut]
+        out = [list(map(get, u)) for u in cut]
+        for u in long:
+            del known[u]
+        return out
+
+    def forget(self) -> None:
+        """Drop the units met so far."""
+        for known in (self.lengths, self.bytes):
+            known.clear()
 
     def count(self, texts: list[bytes]) -> list[int]:
         return [sum(x) for x in self._of(texts, self.lengths, len)]

@@ -13,7 +13,7 @@ from arborspark.llm.exact_dedup import keep_exact
 from arborspark.llm.near_dedup import keep_near
 from arborspark.llm.packing import pack
 from arborspark.llm.quality import keep_good, learn
-from arborspark.llm.store import documents, materialise
+from arborspark.llm.store import documents, in_batches_of, materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the held-out fifth teach nothing; without labels of both kinds every text gets the same score. An
     empty table gives an empty one; all columns stay.
     """
+    in_batches_of(spark)
     return keep_good(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -34,6 +35,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     also share a doc_id, or have none, exactly one stays as well. Long texts are compared whole. An
     empty table gives an empty one; all columns stay.
     """
+    in_batches_of(spark)
     return keep_exact(docs)
 
 
@@ -44,6 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay; repeated rows are near-duplicates of each other. Sets of long texts are whole. An empty table
     gives an empty one; all columns stay.
     """
+    in_batches_of(spark)
     return keep_near(docs)
 
 
@@ -54,6 +57,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     match nothing; long texts are read whole. An empty table on either side takes nothing away; all
     columns stay.
     """
+    in_batches_of(spark)
     return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -63,7 +67,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is a document, with its id as it is; a null or empty text gives the end id alone; long
     texts fill sequences of their own. An empty table gives no pieces.
     """
-    return pack(docs)
+    in_batches_of(spark)
+    return pack(docs, keep_units=False)  # workers of other stages get that memory
 
 
 STAGES = [
