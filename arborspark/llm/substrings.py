@@ -13,6 +13,9 @@ the least hash of WINDOW in a row. Such places depend on the words around them a
 WINDOW words apart at most, so every 36 common words hold a common run, and long passages are
 covered without a gap. Runs are compared with runs, spans of sentences with spans of sentences;
 what either finds is removed.
+
+Spans are shuffled by their hashes' first bits, in compressed blocks: of each batch one for each
+bucket, in which the hashes are sorted and texts are named once.
 """
 
 from __future__ import annotations
@@ -20,12 +23,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborspark.llm.decontaminate import NOT_WORD
-from arborspark.llm.store import documents, materialise
-from arborspark.llm.textops import BASE, IS_WHITE, LOWER, chunks, mix, powers, prefix_hashes, range_hash, word_spans
+from arborspark.llm.store import documents, in_batches_of, materialise
+from arborspark.llm.textops import BASE, IS_WHITE, LOWER, chunks, mix, powers, prefix_hashes, range_hash, release, word_spans
+from arborspark.llm.token_links import pack, unpack
 
 SPAN = 3  #: consecutive sentences of a span
 MIN_WORDS = 10  #: words of a span at least
@@ -35,6 +39,9 @@ WINDOW = 16  #: words, of which the one of least hash begins a run
 RUNS = 1 << 33  #: added to the numbers of runs
 TEXT_BITS = 28  #: of a text's hash, above the number: a place is a doc_id, a text and a number
 LAST_DOC = np.iinfo(np.int64).max  #: a null doc_id stands after all others
+BUCKET_BYTES = 4 << 20  #: of text, about, whose spans meet in one group
+BATCH_BYTES = 64 << 20  #: of text in which repeats are settled before the shuffle
+HALF = np.uint64(32)
 _MARK = np.zeros(256, bool)
 _MARK[list(b".!?;:,|#$%&*")] = True
 
@@ -128,6 +135,46 @@ def spans(data: np.ndarray, offsets: np.ndarray, n: int, min_words: int) -> tupl
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def repeats(doc: np.ndarray, number: np.ndarray, h0: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    """Of spans sorted by hashes and place: is it another place than the first with these hashes?"""
+    new = np.ones(len(doc), bool)
+    new[1:] = (h0[1:] != h0[:-1]) | (h1[1:] != h1[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(doc) else np.zeros(0, np.int64)
+    return (doc != doc[lead]) | (number != number[lead])
+
+
+def packed(bits: int, doc: np.ndarray, own: np.ndarray, row: np.ndarray, number: np.ndarray, h0: np.ndarray, h1: np.ndarray, later: np.ndarray) -> tuple[list, list, list]:
+    """Spans as blocks: buckets (of the first bits of h0), spans, texts. doc and own are of the texts, row is a span's text."""
+    order = np.argsort(h0, kind="stable")
+    row, number, h0, h1, later = row[order], number[order], h0[order], h1[order].view(np.uint64), later[order]
+    shift = np.uint64(64 - bits)
+    bucket = h0 >> shift
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+    spans_, texts = [], []
+    for i, j in zip(starts, np.append(starts[1:], len(h0))):
+        gap = np.diff(h0[i:j], prepend=bucket[i] << shift)
+        which, at = np.unique(row[i:j], return_inverse=True)
+        low, high = (x & np.uint64(0xFFFFFFFF) for x in (gap, h1[i:j])), (x >> HALF for x in (gap, h1[i:j]))
+        spans_.append(pack(*low, *high, at, number[i:j] & 0xFFFFFFFF, number[i:j] >> 32 << 1 | later[i:j]))
+        texts.append(pack(np.diff(doc[which].view(np.uint64), prepend=np.uint64(0)), own[which]))
+    return bucket[starts].tolist(), spans_, texts
+
+
+def unpacked(bits: int, bucket: int, spans_: bytes, texts: bytes) -> tuple[np.ndarray, ...]:
+    """Of a block's spans: doc, own, number, h0, h1, later."""
+    gap, low, gap_high, high, at, number, kind = unpack(spans_)
+    gap_, own = unpack(texts)
+    doc = np.cumsum(gap_.view(np.uint64)).view(np.int64)
+    h0 = np.cumsum((gap | gap_high << 32).view(np.uint64)) + (np.uint64(bucket) << np.uint64(64 - bits))
+    return doc[at], own[at], number | kind >> 1 << 32, h0, low | high << 32, (kind & 1).astype(bool)
+
+
+def bucket_bits(rows: DataFrame) -> int:
+    """Buckets take about BUCKET_BYTES of text, and are some times as many as the session's partitions of a shuffle."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES).bit_length()
+
+
 def substring_dedup(docs: DataFrame, n: int = SPAN, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_sentences, n_removed (sentences that are removed whole), n_bytes, n_bytes_removed, kept (the text left).
 
@@ -149,27 +196,29 @@ def substring_dedup(docs: DataFrame, n: int = SPAN, min_words: int = MIN_WORDS,
         for b in batches:
             parts = [(*spans(data, offsets, n, min_words), i) for i, _, data, offsets in chunks(b.column(0))]
             row, number, h0, h1 = (np.concatenate([p[k] + p[4] if k == 0 else p[k] for p in parts]) for k in range(4))
-            doc = b.column(1).to_numpy(zero_copy_only=False)[row]
-            number = number | b.column(2).to_numpy(zero_copy_only=False)[row] * (2 * RUNS)
-            h1 = (h1.view(np.uint64) >> np.uint64(29)).view(np.int64)
-            order = np.lexsort((number, doc, h1, h0))
-            doc, number, h0, h1 = doc[order], number[order], h0[order], h1[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (h0[1:] != h0[:-1]) | (h1[1:] != h1[:-1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(doc) else order
-            later = (doc != doc[lead]) | (number != number[lead])
-            # a settled span needs no partner: it stands under a key of its own
-            h0 = np.where(later, mix(doc.view(np.uint64)).view(np.int64), h0)
-            h1 = np.where(later, number, h1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, 2 * number + later, h0, h1)], names=["doc", "number", "h0", "h1"])
-
-    every = rows.select("text", "doc", "own").mapInArrow(emit, "doc long, number long, h0 long, h1 long")
-    place = F.struct("doc", "number")
-    settled = F.col("number") % 2 != 0
-    first = F.min(F.when(~settled, place)).over(Window.partitionBy("h0", "h1"))
-    later = every.withColumn("first", first).where(settled | (place != F.col("first")))
-    number, width = F.shiftright("number", 1), (2 * RUNS).bit_length() - 1
-    later = later.select("doc", F.shiftright(number, width).alias("own"), number.bitwiseAND(F.lit(2 * RUNS - 1)).alias("number"))
+            docs_, owns = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            place, h0 = number | owns[row] * (2 * RUNS), h0.view(np.uint64)
+            order = np.lexsort((place, docs_[row], h1 := (h1.view(np.uint64) >> np.uint64(29)).view(np.int64), h0))
+            row, number, h0, h1 = row[order], number[order], h0[order], h1[order]
+            later = repeats(docs_[row], place[order], h0, h1)
+            # a settled span needs no partner: it stands in a bucket of its text
+            h0, h1 = np.where(later, mix(docs_[row].view(np.uint64)), h0), np.where(later, 0, h1)
+            bucket, spans_, texts = packed(bits, docs_, owns, row, number, h0, h1, later)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(spans_, pa.binary()), pa.array(texts, pa.binary())], names=["bucket", "spans", "texts"])
+        release()
+
+    def meet(t: pa.Table) -> pa.Table:
+        blocks = [unpacked(bits, *x) for x in zip(*(t.column(c).to_pylist() for c in ("bucket", "spans", "texts")))]
+        doc, own, number, h0, h1, settled = (np.concatenate(x) for x in zip(*blocks))
+        place = number | own * (2 * RUNS)
+        order = np.lexsort((place, doc, h1, h0))
+        order = order[~settled[order]]
+        gone = np.concatenate([np.flatnonzero(settled), order[repeats(doc[order], place[order], h0[order], h1[order])]])
+        return pa.table({"doc": doc[gone], "own": own[gone], "number": number[gone]})
+
+    bits = bucket_bits(rows)
+    blocks = rows.select("text", "doc", "own").mapInArrow(emit, "bucket long, spans binary, texts binary")
+    later = blocks.groupBy("bucket").applyInArrow(meet, "doc long, own long, number long")
     gone = materialise(later.groupBy("doc", "own").agg(F.collect_set("number").alias("gone")), "gone")
 
     def cut(batches):
@@ -207,5 +256,6 @@ def substring_dedup(docs: DataFrame, n: int = SPAN, min_words: int = MIN_WORDS,
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    in_batches_of(spark, BATCH_BYTES)
     out = substring_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_sentences", "n_removed", "n_bytes", "n_bytes_removed", F.sha2("kept", 256).alias("kept_sha256"))
