@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm.store import documents
+from arborspark.llm.store import documents, in_batches_of
+from arborspark.llm.textops import release
 from arborspark.llm.tokens import by_bytes, codec, safe_pieces
 
 
@@ -34,6 +35,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
                 else:
                     n += c.count(part)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        release()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -42,4 +44,5 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    in_batches_of(spark)
     return token_counts(documents(spark, sf_dir))

@@ -28,6 +28,15 @@ def test_pipeline_hands_out_small_batches_and_forgets_units(spark):
         spark.conf.set(LIMIT, before)
 
 
+def test_texts_without_white_space_are_not_kept():
+    c = tokens.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    for i in range(20):
+        long = b"%d" % i + b"ab" * 5000
+        n = c.count([long + b" some words", long])
+        assert n[0] > n[1] > 0 and c.id_bytes([long])[0]
+    assert sum(map(len, c.lengths)) < 100 and not any(c.bytes)
+
+
 def test_spans_are_shuffled_in_few_bytes():
     """A row of four 64-bit columns took 32.7 bytes a span in the shuffle."""
     r, n, texts, bits = np.random.default_rng(3), 100_000, 500, 4
