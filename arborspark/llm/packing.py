@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm.store import documents, in_batches_of, materialise
+from arborspark.llm.store import ARROW_BYTES, documents, in_batches_of, materialise
 from arborspark.llm.textops import release
 from arborspark.llm.tokens import by_bytes, codec
 
@@ -165,7 +165,7 @@ def pack(
         for b in batches:
             out = out or Rows(b.schema.field(0).type)
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in by_bytes(texts):
+            for i, j in by_bytes(texts, ARROW_BYTES):
                 for doc, ids in zip(names[i:j], c.id_bytes([t or b"" for t in texts[i:j]])):
                     ids += tail
                     for w in packer.put((doc, 0, ids, len(ids) // 4)):
