@@ -38,6 +38,20 @@ def test_as_in_sql(spark, folder, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(plain(r[c]) for c in columns) for r in rows)
 
 
+def test_mean_rate_where_taxa_agree(spark, tmp_path):
+    """Partitions without a differing site have a mean rate of 0 and no normalised rates: 0 / 0 is NaN in SQL."""
+    path = f"{tmp_path}/documents.parquet"
+    last = {"s0": "aabb", "s1": "aaca", "s2": "acbt"}  # sites 1001 to 1004: all but the first differ
+    rows = [(i, "acgt" * 250 + end + " " * 2996 + tail, source) for i, ((source, end), tail) in enumerate(zip(last.items(), ("gg", "g", "")))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL["weighted_mean_rate"] + " ORDER BY part_id").fetchall()
+    got = queries.QUERIES["weighted_mean_rate"](spark, str(tmp_path)).orderBy("part_id").collect()
+    assert [r.part_id for r in got if np.isnan(r.most_normalised)] == [0, 3]
+    assert [tuple(r) for r in got] == [pytest.approx(r, abs=1e-9, nan_ok=True) for r in want]
+
+
 def test_moves_of_the_caterpillar(spark, folder):
     table, n = queries.pattern_table(spark, folder)
     tree, model = queries.caterpillar(n), queries.equal_models()[0]
